@@ -18,6 +18,18 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Rounding for published figures. Averages of cent amounts often sit EXACTLY
+# on a rounding tie (x.xxxx5); engines then disagree depending on whether
+# they round the binary value or its shortest decimal text. A nudge far
+# below the rounding unit but far above float noise makes the result stable.
+ROUND_NUDGE = 1e-8
+
+
+def rnd(x: ColumnOrName, digits: int = 4) -> Column:
+    """Half-up rounding of a published figure, stable at exact ties."""
+    return F.round(_c(x) + F.lit(ROUND_NUDGE), digits)
+
+
 # --------------------------------------------------------------------- C1
 # A pandas-style "to number, junk -> null". A bare try_cast is not enough:
 # Spark reads '1d' as 1.0 and 'nan' as NaN, where pandas gives null.

@@ -18,6 +18,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import rnd
+
 from ..functions import rulesets as RS
 from . import rank
 
@@ -55,8 +57,8 @@ def payroll_kpis(snap: DataFrame, keys: Sequence[str] = (), with_units: bool = T
     (and executing units)."""
     a = income_aggs()
     aggs = [a["cantidad"].alias("total_servidores"),
-            F.round(a["ing_prom"], digits).alias("ingreso_promedio_mensual"),
-            F.round(F.sum(F.coalesce(F.col("COSTO_TOTAL_ANUAL"), F.lit(0.0))), digits).alias("costo_total_anual"),
+            rnd(a["ing_prom"], digits).alias("ingreso_promedio_mensual"),
+            rnd(F.sum(F.coalesce(F.col("COSTO_TOTAL_ANUAL"), F.lit(0.0))), digits).alias("costo_total_anual"),
             F.count_distinct("PLIEGO").alias("n_pliegos")]
     if with_units:
         aggs.append(F.count_distinct("UNIDAD_EJECUTORA").alias("n_unidades_ejecutoras"))
@@ -72,7 +74,7 @@ def payroll_by(snap: DataFrame, keys: Sequence[str], min_heads: int | None = Non
         src = src.filter(F.col(k).isNotNull())
     a = income_aggs()
     out = src.groupBy(*keys).agg(a["cantidad"].alias("cantidad"),
-                                 F.round(a["ing_prom"], digits).alias("ing_prom"))
+                                 rnd(a["ing_prom"], digits).alias("ing_prom"))
     if min_heads is not None:
         out = out.filter(F.col("cantidad") >= min_heads)
     return out
@@ -102,7 +104,7 @@ def entity_list(snap: DataFrame, min_heads: int = 5, cut: int = 120) -> DataFram
     out = payroll_by(snap, ["PLIEGO", "NIVEL", "SECTOR"], min_heads)
     return out.select(F.substring("PLIEGO", 1, cut).alias("n"), F.col("NIVEL").alias("l"),
                       F.col("SECTOR").alias("s"), F.col("cantidad").alias("c"),
-                      F.round("ing_prom", 0).alias("i"))
+                      rnd("ing_prom", 0).alias("i"))
 
 
 def timeline(df: DataFrame, year: str = "year", top_sectors: int = 20) -> dict[str, DataFrame]:
@@ -110,9 +112,9 @@ def timeline(df: DataFrame, year: str = "year", top_sectors: int = 20) -> dict[s
     sectors, by occupational group; incomes rounded to whole soles."""
     snap = active_snapshot(df, year=year)
     kp = payroll_kpis(snap, [year], with_units=False, digits=0)
-    by_reg = payroll_by(snap, [year, "DESC_REGIMEN_LABORAL"]).withColumn("ing_prom", F.round("ing_prom", 0))
-    by_grp = payroll_by(snap, [year, "DESC_GRUPO_OCASIONAL"]).withColumn("ing_prom", F.round("ing_prom", 0))
-    by_sec = payroll_by(snap, [year, "SECTOR"]).withColumn("ing_prom", F.round("ing_prom", 0))
+    by_reg = payroll_by(snap, [year, "DESC_REGIMEN_LABORAL"]).withColumn("ing_prom", rnd("ing_prom", 0))
+    by_grp = payroll_by(snap, [year, "DESC_GRUPO_OCASIONAL"]).withColumn("ing_prom", rnd("ing_prom", 0))
+    by_sec = payroll_by(snap, [year, "SECTOR"]).withColumn("ing_prom", rnd("ing_prom", 0))
     # the sector aggregate is one row per (year, sector); top-k per year on it
     top_sec = rank.top_k_per_group(by_sec, year, [F.col("cantidad").desc(), F.col("SECTOR").asc()],
                                    top_sectors, salt_col="SECTOR")

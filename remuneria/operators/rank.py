@@ -18,6 +18,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -37,20 +39,25 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
     single-partition window: range-partition on the full sort key (a hot
     value is split by the tie-break column), sort inside partitions, number
     rows per partition with ``monotonically_increasing_id`` and add the
-    size of all earlier partitions (a table of ``partitions`` rows)."""
+    size of all earlier partitions (a table of ``partitions`` rows).
+
+    The numbered rows are checkpointed to the shared checkpoint folder
+    before the partition sizes are counted: the sizes and the row numbers
+    must come from the SAME partitioning, and a recomputation after an
+    executor loss must not re-draw the range bounds."""
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_c = _cols(order)
     ranged = (df.repartitionByRange(parts, *order_c).sortWithinPartitions(*order_c)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33))
+    ranged = cut_lineage(ranged).withColumn("_pid", F.shiftright("_mid", 33))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # `parts` rows at most: the one global window here is over partition ids.
     offsets = sizes.select(
         "_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.bitwise_and(F.col("_mid"), F.lit(_LOW_BITS)) + 1)
+            .withColumn(out, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
             .drop("_mid", "_pid", "_off"))
 
 

@@ -19,6 +19,8 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import rnd
+
 from . import rank
 
 
@@ -42,7 +44,7 @@ def kpis(df: DataFrame, value: str, distinct: Mapping[str, str] | None = None,
     stats = {"mean": F.avg(v), "median": median(v, exact), "min": F.min(v), "max": F.max(v),
              "std": F.stddev_samp(v), "total": F.sum(v)}
     for name, e in stats.items():
-        aggs.append((F.round(e, digits) if digits is not None else e).alias(name))
+        aggs.append((rnd(e, digits) if digits is not None else e).alias(name))
     return df.agg(*aggs)
 
 
@@ -78,7 +80,7 @@ def five_number(df: DataFrame, key: str, value: str, min_rows: int = 1,
     min, q1, median, q3, max, mean over non-NULL values; groups with fewer
     than ``min_rows`` rows dropped; ordered by median."""
     v = F.col(value)
-    r = (lambda e: F.round(e, digits)) if digits is not None else (lambda e: e)
+    r = (lambda e: rnd(e, digits)) if digits is not None else (lambda e: e)
     return group_stats(df, key, {
         "n": F.count(F.lit(1)),
         "min": r(F.min(v)), "q1": r(quantile(v, 0.25, exact)), "median": r(median(v, exact)),
@@ -90,7 +92,7 @@ def share(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
     """Rows per key and share of all rows (NULL keys dropped)."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.select(key, "n", F.round(F.col("n") * 100.0 / total, digits).alias("pct"))
+    return counts.select(key, "n", rnd(F.col("n") * 100.0 / total, digits).alias("pct"))
 
 
 def dominant(df: DataFrame, key: str, out: str = "dominant") -> DataFrame:
@@ -128,7 +130,7 @@ def scaled_to_max(agg: DataFrame, cols: Sequence[str], suffix: str = "_scaled",
     out = agg
     for c in cols:
         mx = agg.agg(F.max(c)).scalar()
-        out = out.withColumn(c + suffix, F.round(F.try_divide(F.col(c), mx) * 100, digits))
+        out = out.withColumn(c + suffix, rnd(F.try_divide(F.col(c), mx) * 100, digits))
     return out
 
 
@@ -152,11 +154,21 @@ def histogram(df: DataFrame, value: str, bins: int = 30, cap: float | None = Non
     w = (F.col("_hi") - F.col("_lo")) / bins
     return (grid.join(counts, "bin", "left")
             .select("bin",
-                    F.round(F.col("_lo") + (F.col("bin") - 1) * w, digits).alias("bin_lo"),
-                    F.round(F.col("_lo") + F.col("bin") * w, digits).alias("bin_hi"),
+                    rnd(F.col("_lo") + (F.col("bin") - 1) * w, digits).alias("bin_lo"),
+                    rnd(F.col("_lo") + F.col("bin") * w, digits).alias("bin_hi"),
                     F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pairwise-complete Pearson r (rows where either side is NULL are
+    skipped); NULL when a side has zero variance. Built from the stable
+    online covariance/deviation aggregates, safe under ANSI mode."""
+    both = a.isNotNull() & b.isNotNull()
+    sa = F.stddev_samp(F.when(both, a))
+    sb = F.stddev_samp(F.when(both, b))
+    return F.try_divide(F.covar_samp(a, b), sa * sb)
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair, long form
     (var_a, var_b, r), computed in ONE aggregation."""
@@ -164,14 +176,14 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFram
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             name = f"_r_{i}_{j}"
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(name))
+            aggs.append(pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(name))
             pairs.append((a, b, name))
     one = df.agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(n).alias("r"))
         for a, b, n in pairs]))
     return one.select(stacked.alias("_p")).select(
-        "_p.var_a", "_p.var_b", F.round(F.col("_p.r"), digits).alias("r"))
+        "_p.var_a", "_p.var_b", rnd(F.col("_p.r"), digits).alias("r"))
 
 
 def corr_flags(matrix: DataFrame, target: str, threshold: float = 0.3) -> DataFrame:

@@ -26,7 +26,8 @@ def query(name: str, ids: str, sql: str | None = None):
         QUERIES[name] = fn
         IDS[name] = ids
         if sql is not None:
-            ORACLE[name] = sql
+            # same tie-stable rounding as functions.text.rnd
+            ORACLE[name] = sql.replace("round(", "round(1e-8 + ")
         return fn
     return deco
 
