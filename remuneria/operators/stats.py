@@ -161,12 +161,12 @@ def histogram(df: DataFrame, value: str, bins: int = 30, cap: float | None = Non
 
 def pearson(a: Column, b: Column) -> Column:
     """Pairwise-complete Pearson r (rows where either side is NULL are
-    skipped); NULL when a side has zero variance. Built from the stable
-    online covariance/deviation aggregates, safe under ANSI mode."""
-    both = a.isNotNull() & b.isNotNull()
-    sa = F.stddev_samp(F.when(both, a))
-    sb = F.stddev_samp(F.when(both, b))
-    return F.try_divide(F.covar_samp(a, b), sa * sb)
+    skipped; NaN counts as missing, as in pandas); NULL when a side has
+    zero variance. Built from the stable online covariance/deviation
+    aggregates, safe under ANSI mode."""
+    both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
