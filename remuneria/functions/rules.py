@@ -149,6 +149,22 @@ def with_labels(df: DataFrame, out: str, texts, rs: RuleSet) -> DataFrame:
     return df.withColumn(out, classify(texts, rs))
 
 
+def label_columns(df: DataFrame, specs: dict) -> DataFrame:
+    """Add label columns ``{out: (text_column, rule_set)}`` computed on the
+    DISTINCT values of each text column and joined back (null-safe). Titles
+    and institution names repeat heavily, so the regexes run once per
+    distinct text instead of once per row; the join is planned by AQE
+    (broadcast when the distinct table is small, else sort-merge)."""
+    by_text: dict[str, list] = {}
+    for out, (text, rs) in specs.items():
+        by_text.setdefault(text, []).append((out, rs))
+    for text, items in by_text.items():
+        labels = (df.select(F.col(text).alias("_t")).distinct()
+                  .select("_t", *[classify("_t", rs).alias(out) for out, rs in items]))
+        df = df.join(labels, df[text].eqNullSafe(labels["_t"]), "left").drop("_t")
+    return df
+
+
 def classify_distinct(df: DataFrame, text: str, rs: RuleSet, out: str) -> DataFrame:
     """Classify each DISTINCT text once, then join the labels back. Titles
     repeat heavily, so on large tables this runs the regexes on the distinct

@@ -26,7 +26,10 @@ ROUND_NUDGE = 1e-8
 
 
 def rnd(x: ColumnOrName, digits: int = 4) -> Column:
-    """Half-up rounding of a published figure, stable at exact ties."""
+    """Half-up rounding of a published figure, stable at exact ties.
+    (A deferred quantile spec carries the digits to where it is computed.)"""
+    if not isinstance(x, (Column, str)):
+        return x.with_digits(digits)
     return F.round(_c(x) + F.lit(ROUND_NUDGE), digits)
 
 
@@ -83,8 +86,10 @@ _ACCENT_SRC, _ACCENT_DST = _accent_table()
 
 
 def fold(x: ColumnOrName) -> Column:
-    """Lower case + strip accents (DIRECCIÓN -> direccion)."""
-    return F.translate(F.lower(_c(x)), _ACCENT_SRC, _ACCENT_DST)
+    """Lower case + strip accents (DIRECCIÓN -> direccion). Pure-ASCII
+    text (most rows) skips the character table."""
+    low = F.lower(_c(x))
+    return F.when(low.rlike("^[\\x00-\\x7F]*$"), low).otherwise(F.translate(low, _ACCENT_SRC, _ACCENT_DST))
 
 
 # --------------------------------------------------------------------- C3/C4

@@ -21,8 +21,7 @@ def cell_stats(df: DataFrame, row: str, col: str, value: str, min_n: int = 1,
     """Median and row count per (row, col); cells under ``min_n`` rows get a
     NULL median (the study shows an empty cell)."""
     src = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-    agg = src.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"),
-                                    stats.median(value, exact).alias("_med"))
+    agg = stats.aggregate(src, [row, col], {"n": F.count(F.lit(1)), "_med": stats.median(value, exact)})
     return agg.select(row, col, "n", F.when(F.col("n") >= min_n, F.col("_med")).alias("median"))
 
 
@@ -48,8 +47,7 @@ def grid_with_top_cols(df: DataFrame, row: str, col: str, value: str, rows: Sequ
     """M2: fixed row axis x the ``top_cols`` columns with the highest overall
     median (excluding ``exclude_col``). The column axis has at most
     ``top_cols`` rows; the row axis is a literal list exploded onto it."""
-    med = (df.filter(F.col(col).isNotNull()).groupBy(col)
-           .agg(stats.median(value, exact).alias("_colmed")))
+    med = stats.aggregate(df.filter(F.col(col).isNotNull()), [col], {"_colmed": stats.median(value, exact)})
     if exclude_col is not None:
         med = med.filter(F.col(col) != exclude_col)
     top = med.orderBy(F.col("_colmed").desc_nulls_last(), F.col(col).asc()).limit(top_cols)

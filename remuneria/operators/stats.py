@@ -21,37 +21,100 @@ from pyspark.sql import functions as F
 
 from ..functions.text import rnd
 
+from . import quantiles as Q
 from . import rank
 
 
-def quantile(v: Column | str, p: float, exact: bool = True) -> Column:
-    c = F.col(v) if isinstance(v, str) else v
-    return F.percentile(c, F.lit(p)) if exact else F.percentile_approx(c, F.lit(p), 10000)
-
-
-def median(v: Column | str, exact: bool = True) -> Column:
-    c = F.col(v) if isinstance(v, str) else v
-    return F.median(c) if exact else F.percentile_approx(c, F.lit(0.5), 10000)
+class Quantile:
+    """An exact quantile inside an aggregation dict (``group_stats``,
+    ``aggregate``). It is computed either by the built-in ``percentile``
+    aggregate (default) or by the distributed method of ``quantiles.py``,
+    chosen by the session setting ``remuneria.quantiles``."""
+
+    def __init__(self, value, p: float, digits: int | None = None, exact: bool = True):
+        self.value, self.p, self.digits, self.exact = value, float(p), digits, exact
+
+    def with_digits(self, digits: int) -> "Quantile":
+        return Quantile(self.value, self.p, digits, self.exact)
+
+
+def quantile(v: Column | str, p: float, exact: bool = True) -> Quantile:
+    return Quantile(v, p, exact=exact)
+
+
+def median(v: Column | str, exact: bool = True) -> Quantile:
+    return Quantile(v, 0.5, exact=exact)
+
+
+def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Quantile]) -> DataFrame:
+    """``groupBy(keys).agg(aggs)`` where some outputs may be quantiles.
+    Built-in method: all quantiles of one value share ONE ``percentile``
+    call (one value map per group). Distributed method: quantiles come from
+    ``quantiles.group_quantiles`` and are joined on the keys."""
+    keys = list(keys)
+    plain = {n: e for n, e in aggs.items() if not isinstance(e, Quantile)}
+    qs = {n: e for n, e in aggs.items() if isinstance(e, Quantile)}
+    src, value_cols = df, {}
+    for n, q in qs.items():
+        if isinstance(q.value, str):
+            value_cols[n] = q.value
+        else:
+            value_cols[n] = f"_qv_{n}"
+            src = src.withColumn(value_cols[n], q.value)
+    distributed = Q.method(df.sparkSession) == "distributed"
+    cols = [e.alias(n) for n, e in plain.items()]
+    finals = {}
+    by_value: dict[str, list[str]] = {}
+    for n, q in qs.items():
+        by_value.setdefault(value_cols[n], []).append(n)
+    if not distributed:
+        for vcol, names in by_value.items():
+            exact = all(qs[n].exact for n in names)
+            probs = F.array(*[F.lit(qs[n].p) for n in names])
+            arr = F.percentile(F.col(vcol), probs) if exact else F.percentile_approx(F.col(vcol), probs, 10000)
+            tmp = f"_qa_{vcol}"
+            cols.append(arr.alias(tmp))
+            for i, n in enumerate(names):
+                finals[n] = F.col(tmp)[i]
+    out = src.groupBy(*keys).agg(*cols) if cols else src.select(*keys).distinct()
+    if distributed and qs:
+        key_or_all = keys or ["_all"]
+        if not keys:
+            out = out.withColumn("_all", F.lit(1))
+        for vcol, names in by_value.items():
+            probs = {f"_qd_{n}": qs[n].p for n in names}
+            qdf = Q.group_quantiles(src, keys, vcol, probs)
+            out = out.join(qdf, key_or_all, "left")
+            for n in names:
+                finals[n] = F.col(f"_qd_{n}")
+    sel = [F.col(k) for k in keys]
+    for n in aggs:
+        if n in qs:
+            e = finals[n]
+            sel.append((rnd(e, qs[n].digits) if qs[n].digits is not None else e).alias(n))
+        else:
+            sel.append(F.col(n))
+    return out.select(*sel)
 
 
 def kpis(df: DataFrame, value: str, distinct: Mapping[str, str] | None = None,
          digits: int | None = None, exact: bool = True) -> DataFrame:
     """A1: rows, distinct counts, mean, median, min, max, sample std, sum."""
     v = F.col(value)
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    aggs: dict = {"n_rows": F.count(F.lit(1))}
     for out, col in (distinct or {}).items():
-        aggs.append(F.count_distinct(F.col(col)).alias(out))
+        aggs[out] = F.count_distinct(F.col(col))
     stats = {"mean": F.avg(v), "median": median(v, exact), "min": F.min(v), "max": F.max(v),
              "std": F.stddev_samp(v), "total": F.sum(v)}
     for name, e in stats.items():
-        aggs.append((rnd(e, digits) if digits is not None else e).alias(name))
-    return df.agg(*aggs)
+        aggs[name] = rnd(e, digits) if digits is not None else e
+    return aggregate(df, [], aggs)
 
 
 def percentiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
                 exact: bool = True) -> DataFrame:
     """A2: several quantiles in one pass."""
-    return df.agg(*[quantile(value, p, exact).alias(n) for p, n in zip(probs, names)])
+    return aggregate(df, [], {n: quantile(value, p, exact) for p, n in zip(probs, names)})
 
 
 def group_stats(df: DataFrame, keys: Sequence[str] | str, aggs: Mapping[str, Column],
@@ -65,7 +128,7 @@ def group_stats(df: DataFrame, keys: Sequence[str] | str, aggs: Mapping[str, Col
     if drop_null_keys:
         for k in keys:
             src = src.filter(F.col(k).isNotNull())
-    out = src.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
+    out = aggregate(src, keys, aggs)
     if having is not None:
         out = out.filter(having)
     if order is not None:
@@ -78,14 +141,15 @@ def five_number(df: DataFrame, key: str, value: str, min_rows: int = 1,
                 exact: bool = True, digits: int | None = None) -> DataFrame:
     """N (rows, NULL values included, as the study counts them),
     min, q1, median, q3, max, mean over non-NULL values; groups with fewer
-    than ``min_rows`` rows dropped; ordered by median."""
+    than ``min_rows`` rows dropped; ordered by median. The three quartiles
+    share one percentile computation."""
     v = F.col(value)
     r = (lambda e: rnd(e, digits)) if digits is not None else (lambda e: e)
     return group_stats(df, key, {
-        "n": F.count(F.lit(1)),
-        "min": r(F.min(v)), "q1": r(quantile(v, 0.25, exact)), "median": r(median(v, exact)),
-        "q3": r(quantile(v, 0.75, exact)), "max": r(F.max(v)), "mean": r(F.avg(v)),
-    }, having=F.col("n") >= min_rows, order=[F.col("median").asc_nulls_last()])
+        "n": F.count(F.lit(1)), "min": r(F.min(v)), "q1": r(quantile(value, 0.25, exact)),
+        "median": r(median(value, exact)), "q3": r(quantile(value, 0.75, exact)),
+        "max": r(F.max(v)), "mean": r(F.avg(v))},
+        having=F.col("n") >= min_rows, order=[F.col("median").asc_nulls_last()])
 
 
 def share(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
@@ -159,31 +223,34 @@ def histogram(df: DataFrame, value: str, bins: int = 30, cap: float | None = Non
                     F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Pairwise-complete Pearson r (rows where either side is NULL are
-    skipped; NaN counts as missing, as in pandas); NULL when a side has
-    zero variance. Built from the stable online covariance/deviation
-    aggregates, safe under ANSI mode."""
-    both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-    x, y = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair, long form
-    (var_a, var_b, r), computed in ONE aggregation."""
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            name = f"_r_{i}_{j}"
-            aggs.append(pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(name))
-            pairs.append((a, b, name))
-    one = df.agg(*aggs)
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(n).alias("r"))
-        for a, b, n in pairs]))
-    return one.select(stacked.alias("_p")).select(
-        "_p.var_a", "_p.var_b", rnd(F.col("_p.r"), digits).alias("r"))
+    (var_a, var_b, r). Each row is unpivoted into one (pair, x, y) row per
+    unordered pair with both sides present (NaN counts as missing, as in
+    pandas); ONE grouped aggregation keyed by pair then gives covariance and
+    deviations (few buffer fields, so it stays in generated code), and
+    r = cov / (sx * sy) is NULL for a zero-variance side (no ANSI error).
+    The matrix is mirrored from the upper triangle."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    items = []
+    for i, j in pairs:
+        x, y = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
+        ok = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+        items.append(F.when(ok, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x.alias("x"), y.alias("y"))))
+    long = df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("_p")).select("_p.*")
+    agg = long.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("_c"), F.stddev_samp("x").alias("_sx"),
+                                     F.stddev_samp("y").alias("_sy"))
+    r = agg.select("i", "j", F.try_divide(F.col("_c"), F.col("_sx") * F.col("_sy")).alias("r"))
+    # every pair appears in the output, also pairs with no complete row
+    names = F.array(*[F.lit(c) for c in cols])
+    grid = df.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("_g")).select("_g.*")
+    full = grid.join(r, ["i", "j"], "left")
+    mirrored = full.unionByName(full.filter(F.col("i") != F.col("j")).select(
+        F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    return mirrored.select(F.element_at(names, F.col("i") + 1).alias("var_a"),
+                           F.element_at(names, F.col("j") + 1).alias("var_b"),
+                           rnd(F.col("r"), digits).alias("r"))
 
 
 def corr_flags(matrix: DataFrame, target: str, threshold: float = 0.3) -> DataFrame:

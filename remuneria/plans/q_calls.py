@@ -23,15 +23,15 @@ VALID = "salario IS NOT NULL AND salario > 100"
 
 
 def _all(spark, sf):
-    c = B.calls(spark, sf)
-    return c.withColumn("tipo_inst", R.classify("institucion", BR.INSTITUTION_TYPE))
+    return R.label_columns(B.calls(spark, sf), {"tipo_inst": ("institucion", BR.INSTITUTION_TYPE)})
 
 
 def _valid(spark, sf):
-    c = _all(spark, sf).filter(T.valid_salary("salario", 100))
-    return c.withColumns({"nivel": R.classify("puesto", BR.PUBLIC_LEVEL),
-                          "rol_granular": R.classify("puesto", BR.ROLE_17),
-                          "rol_cat": R.classify("puesto", BR.ROLE_CAT)})
+    c = B.calls(spark, sf).filter(T.valid_salary("salario", 100))
+    return R.label_columns(c, {"tipo_inst": ("institucion", BR.INSTITUTION_TYPE),
+                               "nivel": ("puesto", BR.PUBLIC_LEVEL),
+                               "rol_granular": ("puesto", BR.ROLE_17),
+                               "rol_cat": ("puesto", BR.ROLE_CAT)})
 
 
 _TIPO = case("institucion", BR.INSTITUTION_TYPE)
@@ -94,9 +94,9 @@ FROM top LEFT JOIN modal USING (institucion)""")
 def tree_institution(spark, sf):
     a = _all(spark, sf).filter(F.col("institucion").isNotNull())
     # one pass over ALL calls: size from every call, colour from valid salaries only
-    per = a.groupBy("institucion").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        S.median(F.when(T.valid_salary("salario", 100), F.col("salario"))).alias("med"))
+    per = S.aggregate(a, ["institucion"], {
+        "cnt": F.count(F.lit(1)),
+        "med": S.median(F.when(T.valid_salary("salario", 100), F.col("salario")))})
     top = K.top_n(per, [F.col("cnt").desc(), F.col("institucion").asc()], 50)
     # modal type: counts per (institution, type), then the most frequent (ties -> smallest)
     modal = (a.groupBy("institucion", "tipo_inst").agg(F.count(F.lit(1)).alias("_n"))

@@ -48,8 +48,8 @@ SELECT round(quantile_cont({V}, 0.25), 4) AS p25, round(quantile_cont({V}, 0.75)
        round(stddev_samp({V}), 4) AS std FROM postings""")
 def kpi_percentiles(spark, sf):
     p = _p(spark, sf)
-    return p.agg(r4(S.quantile(V, 0.25)).alias("p25"), r4(S.quantile(V, 0.75)).alias("p75"),
-                 r4(F.stddev_samp(V)).alias("std"))
+    return S.aggregate(p, [], {"p25": r4(S.quantile(V, 0.25)), "p75": r4(S.quantile(V, 0.75)),
+                               "std": r4(F.stddev_samp(V))})
 
 
 _TI = any_of("puesto", BR.TI_WORDS)
@@ -277,7 +277,7 @@ l AS (SELECT *, {case('puesto', BR.SENIORITY)} AS seniority_level FROM postings)
 SELECT seniority_level, round(avg({V}), 2) AS mean, round(median({V}), 2) AS median, count({V}) AS n,
        round(stddev_samp({V}), 2) AS std, count(DISTINCT empresa) AS n_empresas FROM l GROUP BY seniority_level""")
 def seniority_stats(spark, sf):
-    p = _p(spark, sf).withColumn("seniority_level", R.classify("puesto", BR.SENIORITY))
+    p = R.label_columns(_p(spark, sf), {"seniority_level": ("puesto", BR.SENIORITY)})
     v = F.col(V)
     return S.group_stats(p, "seniority_level", {
         "mean": rnd(F.avg(v), 2), "median": rnd(S.median(v), 2), "n": F.count(v),
@@ -330,7 +330,7 @@ l AS (SELECT *, {case('puesto', BR.ROLE_FAMILY)} AS familia FROM postings)
 SELECT * FROM (SELECT familia, round(median({V}), 4) AS median, round(avg({V}), 4) AS mean, count({V}) AS n
  FROM l WHERE familia IS NOT NULL GROUP BY familia) WHERE n >= 5""")
 def role_family_median(spark, sf):
-    p = _p(spark, sf).withColumn("familia", R.classify("puesto", BR.ROLE_FAMILY))
+    p = R.label_columns(_p(spark, sf), {"familia": ("puesto", BR.ROLE_FAMILY)})
     v = F.col(V)
     return S.group_stats(p, "familia", {"median": r4(S.median(v)), "mean": r4(F.avg(v)), "n": F.count(v)},
                          having=F.col("n") >= 5, order=[F.col("median").desc()])
@@ -361,7 +361,7 @@ SELECT {out}, count(*) AS n, round(avg({V}), 4) AS mean, round(median({V}), 4) A
 
 
 def _multi(spark, sf, rs, out):
-    p = _p(spark, sf).withColumn(out, F.explode(R.classify("puesto", rs)))
+    p = R.label_columns(_p(spark, sf), {"_labels": ("puesto", rs)}).withColumn(out, F.explode("_labels"))
     v = F.col(V)
     return S.group_stats(p, out, {"n": F.count(F.lit(1)), "mean": r4(F.avg(v)), "median": r4(S.median(v)),
                                   "max": r4(F.max(v)), "n_empresas": F.count_distinct("empresa")},
@@ -388,7 +388,7 @@ SELECT * FROM (SELECT categoria, count(*) AS n, round(min({V}), 4) AS min, round
 
 
 def _five(df, rs, min_rows):
-    return S.five_number(df.withColumn("categoria", R.classify("puesto", rs)), "categoria", V, min_rows, digits=4)
+    return S.five_number(R.label_columns(df, {"categoria": ("puesto", rs)}), "categoria", V, min_rows, digits=4)
 
 
 @query("quartiles_scope_ti", "A21 R10 R13", _five_sql(_TI, BR.TI_AREA, 3))
@@ -478,7 +478,7 @@ SELECT * FROM (SELECT categoria, count(*) AS n, round(min({V}), 4) AS min, round
        round(median({V}), 4) AS median, round(quantile_cont({V}, 0.75), 4) AS q3, round(max({V}), 4) AS max,
        round(avg({V}), 4) AS mean FROM s WHERE {in_list('categoria', BR.LEVEL_ORDER)} GROUP BY categoria) WHERE n >= 2""")
 def level_box_summary(spark, sf):
-    p = _p(spark, sf).filter(T.valid_salary(V, 100)).withColumn("categoria", R.classify("puesto", BR.LEVEL))
+    p = R.label_columns(_p(spark, sf).filter(T.valid_salary(V, 100)), {"categoria": ("puesto", BR.LEVEL)})
     return S.five_number(p.filter(F.col("categoria").isin(BR.LEVEL_ORDER)), "categoria", V, 2, digits=4)
 
 
@@ -532,11 +532,12 @@ SELECT DISTINCT trim(puesto) AS puesto, {_TITLE_SQL.format(x='trim(puesto)')} AS
        len(list_filter(string_split_regex(trim(puesto), '\\s+'), lambda t: t <> '')) AS titulo_words,
        empresa FROM postings""")
 def clean_names(spark, sf):
-    p = _p(spark, sf).select(F.trim("puesto").alias("puesto"), "empresa")
+    # distinct first: the text functions then run once per distinct pair
+    p = _p(spark, sf).select(F.trim("puesto").alias("puesto"), "empresa").distinct()
     return p.select("puesto", T.title_case("puesto").alias("puesto_title"),
                     T.clean_company("empresa").alias("empresa_title"),
                     F.length("puesto").alias("titulo_length"), T.word_count("puesto").alias("titulo_words"),
-                    "empresa").distinct()
+                    "empresa")
 
 
 @query("income_bands", "R27", f"""{W},
@@ -686,7 +687,7 @@ SELECT ax.nivel, ax.sector, CAST(ax.row_pos AS INTEGER) AS row_pos, coalesce(cel
        CASE WHEN cells.n >= 2 THEN round(cells.med, 4) END AS median
 FROM ax LEFT JOIN cells ON ax.nivel = cells.nivel AND ax.sector = cells.sector""")
 def grid_level_sector(spark, sf):
-    p = _p(spark, sf).filter(T.valid_salary(V, 100)).withColumn("nivel", R.classify("puesto", BR.LEVEL))
+    p = R.label_columns(_p(spark, sf).filter(T.valid_salary(V, 100)), {"nivel": ("puesto", BR.LEVEL)})
     g = G.grid_with_top_cols(p, "nivel", "sector", V, BR.LEVEL_ORDER, top_cols=8, exclude_col="Otros", min_n=2)
     return g.withColumn("median", r4(F.col("median")))
 

@@ -226,12 +226,12 @@ def validity(pages: DataFrame, words=tuple(RS.PAY_PAGE_WORDS), pass_rate: float
 
 
 def coverage(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """Companies, rows, rows with salary; pages with / without rows."""
-    per_page = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"))
+    """Companies, rows, rows with salary; pages with / without rows.
+    Per-page counts are one aggregation; distinct companies a second one."""
+    per_page = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"), F.count("salario_promedio").alias("_s"))
+    companies = rows.agg(F.count_distinct("empresa")).scalar()
     ok = pages.select("page_id").join(per_page, "page_id", "left")
     return ok.agg(
-        F.count_if(F.col("_n") > 0).alias("pages_ok"), F.count_if(F.col("_n").isNull()).alias("pages_failed")
-    ).select("pages_ok", "pages_failed",
-             rows.agg(F.count_distinct("empresa")).scalar().alias("n_empresas"),
-             rows.agg(F.count(F.lit(1))).scalar().alias("n_rows"),
-             rows.agg(F.count("salario_promedio")).scalar().alias("n_with_salary"))
+        F.count_if(F.col("_n") > 0).alias("pages_ok"), F.count_if(F.col("_n").isNull()).alias("pages_failed"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("_s"), F.lit(0)).alias("n_with_salary"),
+    ).select("pages_ok", "pages_failed", companies.alias("n_empresas"), "n_rows", "n_with_salary")
