@@ -38,6 +38,30 @@ class Quantile:
         return Quantile(self.value, self.p, digits, self.exact)
 
 
+class DistinctCount:
+    """``count(DISTINCT col)`` inside an aggregation dict. Computed in its own
+    aggregation and joined on the keys, so it never shares an Expand with
+    the other aggregates (an Expand multiplies the rows, and a percentile
+    buffer per expanded group is very costly)."""
+
+    def __init__(self, col: str):
+        self.col = col
+
+
+def distinct_count(col: str) -> DistinctCount:
+    return DistinctCount(col)
+
+
+def _join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of two per-key aggregates on NULL-safe key equality."""
+    b2 = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = a[k].eqNullSafe(b2[f"_k_{k}"])
+        cond = c if cond is None else cond & c
+    return a.join(b2, cond, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def quantile(v: Column | str, p: float, exact: bool = True) -> Quantile:
     return Quantile(v, p, exact=exact)
 
@@ -52,8 +76,12 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Qu
     call (one value map per group). Distributed method: quantiles come from
     ``quantiles.group_quantiles`` and are joined on the keys."""
     keys = list(keys)
-    plain = {n: e for n, e in aggs.items() if not isinstance(e, Quantile)}
+    dist = {n: e for n, e in aggs.items() if isinstance(e, DistinctCount)}
+    plain = {n: e for n, e in aggs.items() if not isinstance(e, (Quantile, DistinctCount))}
     qs = {n: e for n, e in aggs.items() if isinstance(e, Quantile)}
+    if dist and not plain and not qs:
+        plain = {n: F.count_distinct(F.col(d.col)) for n, d in dist.items()}
+        dist = {}
     src, value_cols = df, {}
     for n, q in qs.items():
         if isinstance(q.value, str):
@@ -87,6 +115,15 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Qu
             out = out.join(qdf, key_or_all, "left")
             for n in names:
                 finals[n] = F.col(f"_qd_{n}")
+    if dist:
+        dkeys = keys or ["_all"]
+        dsrc = src if keys else src.withColumn("_all", F.lit(1))
+        dagg = dsrc.groupBy(*dkeys).agg(*[F.count_distinct(F.col(d.col)).alias(n) for n, d in dist.items()])
+        if not keys and "_all" not in out.columns:
+            out = out.withColumn("_all", F.lit(1))
+        out = _join_keys(out, dagg, dkeys)
+        for n, d in dist.items():
+            out = out.withColumn(n, F.coalesce(F.col(n), F.lit(0)))
     sel = [F.col(k) for k in keys]
     for n in aggs:
         if n in qs:
@@ -103,7 +140,7 @@ def kpis(df: DataFrame, value: str, distinct: Mapping[str, str] | None = None,
     v = F.col(value)
     aggs: dict = {"n_rows": F.count(F.lit(1))}
     for out, col in (distinct or {}).items():
-        aggs[out] = F.count_distinct(F.col(col))
+        aggs[out] = distinct_count(col)
     stats = {"mean": F.avg(v), "median": median(v, exact), "min": F.min(v), "max": F.max(v),
              "std": F.stddev_samp(v), "total": F.sum(v)}
     for name, e in stats.items():

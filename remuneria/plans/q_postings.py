@@ -202,7 +202,7 @@ def sector_stats(spark, sf):
     v = F.col(V)
     return S.group_stats(_p(spark, sf), "sector", {
         "mean": r4(F.avg(v)), "median": r4(S.median(v)), "n": F.count(v),
-        "n_empresas": F.count_distinct("empresa")}, order=[F.col("mean").desc()])
+        "n_empresas": S.distinct_count("empresa")}, order=[F.col("mean").desc()])
 
 
 @query("sector_median_min5", "A10", f"""{W}
@@ -250,7 +250,7 @@ def university_ranking(spark, sf):
     return S.group_stats(_p(spark, sf), "universidad_principal", {
         "salario_promedio": rnd(F.avg(v), 2), "salario_mediano": rnd(S.median(v), 2),
         "count_salarios": F.count(v), "salario_maximo": rnd(F.max(v), 2),
-        "empresas": F.count_distinct("empresa"), "total_puestos": F.count("puesto")},
+        "empresas": S.distinct_count("empresa"), "total_puestos": F.count("puesto")},
         order=[F.col("salario_promedio").desc()])
 
 
@@ -281,7 +281,7 @@ def seniority_stats(spark, sf):
     v = F.col(V)
     return S.group_stats(p, "seniority_level", {
         "mean": rnd(F.avg(v), 2), "median": rnd(S.median(v), 2), "n": F.count(v),
-        "std": rnd(F.stddev_samp(v), 2), "n_empresas": F.count_distinct("empresa")},
+        "std": rnd(F.stddev_samp(v), 2), "n_empresas": S.distinct_count("empresa")},
         order=[F.col("mean").desc()])
 
 
@@ -315,7 +315,7 @@ def role_stats(spark, sf):
     v = F.col(V)
     return S.group_stats(_p(spark, sf), "puesto", {
         "mean": rnd(F.avg(v), 2), "n": F.count(v), "max": rnd(F.max(v), 2),
-        "n_empresas": F.count_distinct("empresa")}, having=F.col("n") >= 2, order=[F.col("mean").desc()])
+        "n_empresas": S.distinct_count("empresa")}, having=F.col("n") >= 2, order=[F.col("mean").desc()])
 
 
 @query("role_top_n", "T1", f"""{W}
@@ -364,7 +364,7 @@ def _multi(spark, sf, rs, out):
     p = R.label_columns(_p(spark, sf), {"_labels": ("puesto", rs)}).withColumn(out, F.explode("_labels"))
     v = F.col(V)
     return S.group_stats(p, out, {"n": F.count(F.lit(1)), "mean": r4(F.avg(v)), "median": r4(S.median(v)),
-                                  "max": r4(F.max(v)), "n_empresas": F.count_distinct("empresa")},
+                                  "max": r4(F.max(v)), "n_empresas": S.distinct_count("empresa")},
                          order=[F.col("mean").desc()])
 
 
@@ -456,7 +456,7 @@ def management_bubbles(spark, sf):
     return S.group_stats(p, "nivel_gerencial", {
         "salario_promedio": rnd(F.avg(v), 0), "cantidad_registros": F.count(v),
         "salario_mediano": rnd(S.median(v), 0), "salario_maximo": rnd(F.max(v), 0),
-        "empresas_diferentes": F.count_distinct("empresa")}, having=F.col("cantidad_registros") >= 2)
+        "empresas_diferentes": S.distinct_count("empresa")}, having=F.col("cantidad_registros") >= 2)
 
 
 @query("banking_roles", "A22 R19", f"""{W},
