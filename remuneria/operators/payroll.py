@@ -33,7 +33,9 @@ def active_snapshot(df: DataFrame, period: str = "PERIODO", year: str | None = N
     lexical on the period string, as the files carry yyyymmdd text), then
     active state and type only. The max is taken BEFORE the state filter."""
     keys = [year] if year else []
-    latest = df.groupBy(*keys).agg(F.max(period).alias("_latest"))
+    # distinct (year, period) first: a hash aggregate on the keys shrinks the
+    # data to one row per period before the (sort-based) max over text
+    latest = df.select(*keys, period).distinct().groupBy(*keys).agg(F.max(period).alias("_latest"))
     cond = [F.col(period) == F.col("_latest")] + [df[k] == latest[k] for k in keys]
     # one row per year: bounded by the number of years, safe to broadcast
     snap = df.join(F.broadcast(latest), on=cond, how="inner").drop("_latest", *[latest[k] for k in keys])
