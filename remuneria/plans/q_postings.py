@@ -483,7 +483,7 @@ def level_box_summary(spark, sf):
 
 
 @query("pay_by_start_year", "A39", f"""{W}
-SELECT year(fecha_inicio) AS anio, round(quantile_cont({V}, 0.25), 4) AS q1, round(median({V}), 4) AS median,
+SELECT CAST(year(fecha_inicio) AS INTEGER) AS anio, round(quantile_cont({V}, 0.25), 4) AS q1, round(median({V}), 4) AS median,
        round(quantile_cont({V}, 0.75), 4) AS q3, round(avg({V}), 4) AS mean, count({V}) AS n
 FROM postings WHERE fecha_inicio IS NOT NULL GROUP BY year(fecha_inicio)""")
 def pay_by_start_year(spark, sf):
@@ -528,8 +528,8 @@ _TITLE_SQL = ("list_aggregate(list_transform(regexp_extract_all({x}, '(\\p{{L}}+
 
 @query("clean_names", "C2 C16", f"""{W}
 SELECT DISTINCT trim(puesto) AS puesto, {_TITLE_SQL.format(x='trim(puesto)')} AS puesto_title,
-       {_TITLE_SQL.format(x='trim(empresa)')} AS empresa_title, length(trim(puesto)) AS titulo_length,
-       len(list_filter(string_split_regex(trim(puesto), '\\s+'), lambda t: t <> '')) AS titulo_words,
+       {_TITLE_SQL.format(x='trim(empresa)')} AS empresa_title, CAST(length(trim(puesto)) AS INTEGER) AS titulo_length,
+       CAST(len(list_filter(string_split_regex(trim(puesto), '\\s+'), lambda t: t <> '')) AS INTEGER) AS titulo_words,
        empresa FROM postings""")
 def clean_names(spark, sf):
     # distinct first: the text functions then run once per distinct pair

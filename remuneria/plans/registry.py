@@ -18,6 +18,24 @@ ORACLE: dict[str, str] = {}
 IDS: dict[str, str] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's returns BIGINT."""
+    out, i = [], 0
+    while True:
+        j = sql.find("count_if(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len("count_if")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def query(name: str, ids: str, sql: str | None = None):
     """Register a query; ``ids`` lists the survey operator IDs it covers."""
     def deco(fn: Builder) -> Builder:
@@ -27,7 +45,7 @@ def query(name: str, ids: str, sql: str | None = None):
         IDS[name] = ids
         if sql is not None:
             # same tie-stable rounding as functions.text.rnd
-            ORACLE[name] = sql.replace("round(", "round(1e-8 + ")
+            ORACLE[name] = _bigint_count_if(sql.replace("round(", "round(1e-8 + "))
         return fn
     return deco
 

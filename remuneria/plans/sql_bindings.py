@@ -43,7 +43,7 @@ hist AS (
   FROM obs GROUP BY url)"""
 
 PAYROLL = """payroll AS (
-  SELECT strftime(l.l_shipdate, '%Y%m') AS PERIODO, year(l.l_shipdate) AS year,
+  SELECT strftime(l.l_shipdate, '%Y%m') AS PERIODO, CAST(year(l.l_shipdate) AS INTEGER) AS year,
          r.r_name AS NIVEL, c.c_mktsegment AS SECTOR, n.n_name AS PLIEGO,
          CAST(l.l_suppkey AS VARCHAR) AS UNIDAD_EJECUTORA,
          CASE l.l_returnflag WHEN 'R' THEN 'Activos'
