@@ -51,4 +51,4 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_payroll, q_postings, q_calls, q_history, q_pages  # noqa: F401
+    from . import q_payroll, q_postings, q_calls, q_history, q_pages, q_io  # noqa: F401

@@ -104,15 +104,22 @@ def read_postings_jdbc(spark: SparkSession, options: Mapping[str, str]) -> DataF
 
 
 def read_payroll(spark: SparkSession, folder: str, pattern: str = "PERSONALSP_*.csv",
-                 columns: Sequence[str] | None = None) -> DataFrame:
+                 columns: Sequence[str] | None = None, year_from: str = "file_name") -> DataFrame:
     """S4 + S5: every yearly payroll file at once. The year comes from the
-    file name (``_metadata.file_name``); files whose name has no year are
-    skipped; numbers are coerced (junk -> NULL); PERIODO/MES stay text.
-    Only ``columns`` are kept (CSV column pruning)."""
-    raw = _csv(spark, PAYROLL_RAW, f"{folder.rstrip('/')}/{pattern}",
-               columnNameOfCorruptRecord="_corrupt_record")
-    year = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.csv$", 1)
-    out = raw.withColumn("year", F.nullif(year, F.lit("")).try_cast("int")).filter(F.col("year").isNotNull())
+    file name (``_metadata.file_name``; files whose name has no year are
+    skipped) or, with ``year_from='partition'``, from ``year=YYYY`` folders
+    (partition discovery; a filter on year then prunes folders). Numbers are
+    coerced (junk -> NULL); PERIODO/MES stay text. Only ``columns`` are kept
+    (CSV column pruning)."""
+    if year_from == "partition":
+        raw = _csv(spark, PAYROLL_RAW, folder, columnNameOfCorruptRecord="_corrupt_record",
+                   recursiveFileLookup="false")
+        out = raw.filter(F.col("year").isNotNull())
+    else:
+        raw = _csv(spark, PAYROLL_RAW, f"{folder.rstrip('/')}/{pattern}",
+                   columnNameOfCorruptRecord="_corrupt_record")
+        year = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.csv$", 1)
+        out = raw.withColumn("year", F.nullif(year, F.lit("")).try_cast("int")).filter(F.col("year").isNotNull())
     for c, t in PAYROLL_NUMERIC.items():
         out = out.withColumn(c, X.to_number(c).try_cast(t))
     keep = list(columns) if columns else list(PAYROLL_COLUMNS)

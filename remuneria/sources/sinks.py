@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from .readers import jdbc_options  # noqa: F401  (re-exported for writers)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",", single_file: bool = False) -> None:
-    """K1 / K6 (sep='\\t'): CSV with a header."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",", single_file: bool = False,
+              partition_by: Sequence[str] = ()) -> None:
+    """K1 / K6 (sep='\\t'): CSV with a header; optionally one folder per
+    value of ``partition_by`` (e.g. payroll by year). ``single_file`` only for
+    bounded aggregates."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", True).option("sep", sep).csv(path)
+    w = out.write.mode(mode).option("header", True).option("sep", sep)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
