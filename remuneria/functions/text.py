@@ -113,7 +113,10 @@ def parse_salary(x: ColumnOrName) -> Column:
     """C4: salary text -> struct(min, max, avg). Strips 'S/', 'PEN' and
     thousands commas; a range gives (a, b, (a+b)/2), a single amount gives
     (v, v, v), anything else NULLs."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(_c(x), "S/", ""), "PEN", ""), ",", ""))
+    clean = _c(x)
+    for token in ("S/", "PEN", ","):            # literal replaces, in this order
+        clean = F.replace(clean, F.lit(token), F.lit(""))
+    clean = F.trim(clean)
     lo = F.nullif(F.regexp_extract(clean, RANGE_NUMBERS, 1), F.lit("")).cast("double")
     hi = F.nullif(F.regexp_extract(clean, RANGE_NUMBERS, 2), F.lit("")).cast("double")
     one = F.nullif(F.regexp_extract(clean, ONE_NUMBER, 1), F.lit("")).cast("double")

@@ -93,3 +93,15 @@ def test_views_and_sql(spark):
 def test_jdbc_options():
     o = RD.jdbc_options("jdbc:mysql://db/x", "salarios", "u", "p", "id", 1, 1000, 16)
     assert o["numPartitions"] == "16" and o["partitionColumn"] == "id" and o["dbtable"] == "salarios"
+
+
+def test_bucketed_table(spark):
+    d = scratch()
+    df = spark.createDataFrame([(i % 7, float(i)) for i in range(100)], "empresa int, v double")
+    SK.write_table(df, "postings_bucketed", bucket_by=["empresa"], buckets=4, sort_by=["empresa"],
+                   path=os.path.join(d, "tbl"))
+    t = spark.table("postings_bucketed")
+    assert t.count() == 100
+    # an aggregation on the bucket column needs no shuffle
+    plan = t.groupBy("empresa").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
