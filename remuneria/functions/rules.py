@@ -151,16 +151,23 @@ def with_labels(df: DataFrame, out: str, texts, rs: RuleSet) -> DataFrame:
 
 def label_columns(df: DataFrame, specs: dict) -> DataFrame:
     """Add label columns ``{out: (text_column, rule_set)}`` computed on the
-    DISTINCT values of each text column and joined back (null-safe). Titles
+    DISTINCT values of the text columns and joined back (null-safe). Titles
     and institution names repeat heavily, so the regexes run once per
-    distinct text instead of once per row; the join is planned by AQE
-    (broadcast when the distinct table is small, else sort-merge)."""
+    distinct text instead of once per row. The distinct texts of all the
+    text columns come from ONE extra pass (a partial aggregation); each join
+    back is planned by AQE (broadcast when the label table is small, else
+    sort-merge)."""
     by_text: dict[str, list] = {}
     for out, (text, rs) in specs.items():
         by_text.setdefault(text, []).append((out, rs))
-    for text, items in by_text.items():
-        labels = (df.select(F.col(text).alias("_t")).distinct()
-                  .select("_t", *[classify("_t", rs).alias(out) for out, rs in items]))
+    texts = list(by_text)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(t).cast("string").alias("_t"))
+                                for i, t in enumerate(texts)]))
+    distinct = df.select(pairs.alias("_p")).select("_p._i", "_p._t").distinct()
+    for i, text in enumerate(texts):
+        items = by_text[text]
+        labels = distinct.filter(F.col("_i") == i).select(
+            "_t", *[classify("_t", rs).alias(out) for out, rs in items])
         df = df.join(labels, df[text].eqNullSafe(labels["_t"]), "left").drop("_t")
     return df
 
