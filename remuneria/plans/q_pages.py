@@ -138,3 +138,19 @@ def catalog_union_sorted(spark, sf):
     cat = su.unionByName(cu).select(F.lower(F.replace("nombre", F.lit("#"), F.lit("-"))).alias("slug"), "nombre").distinct()
     return cat.select("slug", "nombre", F.concat(F.lit("https://example.org/empresa/"), "slug").alias("url_completa"),
                       T.has_accent("slug").alias("has_accent")).orderBy(F.lower("nombre"), "slug")
+
+
+@query("documents_fold_accents", "C7 C16 C19", """
+SELECT doc_id, lang, CAST(length(strip_accents(lower(text))) AS INTEGER) AS n_chars_folded,
+       lower(text) <> strip_accents(lower(text)) AS has_accents,
+       regexp_matches(text, '[áéíóúñ]') AS has_spanish_accent,
+       md5(strip_accents(lower(text))) AS folded_md5 FROM documents""")
+def documents_fold_accents(spark, sf):
+    """Accent folding over whole document texts (C7), with the accent
+    predicate (C19); the folded text is published as its md5."""
+    d = B.table(spark, sf, "documents")
+    folded = T.fold("text")
+    return d.select("doc_id", "lang", F.length(folded).alias("n_chars_folded"),
+                    (F.lower("text") != folded).alias("has_accents"),
+                    T.has_accent("text").alias("has_spanish_accent"),
+                    F.md5(folded).alias("folded_md5"))
