@@ -109,10 +109,18 @@ def entity_list(snap: DataFrame, min_heads: int = 5, cut: int = 120) -> DataFram
                       rnd("ing_prom", 0).alias("i"))
 
 
-def timeline(df: DataFrame, year: str = "year", top_sectors: int = 20) -> dict[str, DataFrame]:
+def timeline(df: DataFrame, year: str = "year", top_sectors: int = 20,
+             materialize: bool = False) -> dict[str, DataFrame]:
     """H5: every year at once (no per-year loop): KPIs, by regime, top
-    sectors, by occupational group; incomes rounded to whole soles."""
+    sectors, by occupational group; incomes rounded to whole soles.
+    ``materialize=True`` checkpoints the snapshot (the latest month of each
+    year, active rows only -- a small slice of the payroll) to the shared
+    folder once, when all four outputs are written: the raw payroll is then
+    read once instead of four times."""
     snap = active_snapshot(df, year=year)
+    if materialize:
+        from ..session import cut_lineage
+        snap = cut_lineage(snap)
     kp = payroll_kpis(snap, [year], with_units=False, digits=0)
     by_reg = payroll_by(snap, [year, "DESC_REGIMEN_LABORAL"]).withColumn("ing_prom", rnd("ing_prom", 0))
     by_grp = payroll_by(snap, [year, "DESC_GRUPO_OCASIONAL"]).withColumn("ing_prom", rnd("ing_prom", 0))

@@ -67,7 +67,7 @@ def io_payroll_partitioned_roundtrip(spark, sf):
 SELECT year, DESC_REGIMEN_LABORAL, {HEADS} AS cantidad, round({ING_PROM}, 0) AS ing_prom
 FROM snap_year GROUP BY year, DESC_REGIMEN_LABORAL""")
 def io_json_datasets_roundtrip(spark, sf):
-    tl = P.timeline(B.payroll(spark, sf))
+    tl = P.timeline(B.payroll(spark, sf), materialize=True)
     base = _scratch(spark, "timeline-json")
     SK.write_json_datasets(tl, base)
     back = spark.read.schema(tl["por_regimen"].schema).json(os.path.join(base, "por_regimen"))
