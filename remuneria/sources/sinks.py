@@ -1,7 +1,6 @@
-"""Writers (survey K1-K8). Every sink is a distributed write; nothing is
-collected to the driver. Small aggregates are still written as Spark
-datasets (one part file after ``coalesce(1)`` only when the caller asks and
-the frame is an aggregate of bounded size)."""
+"""Writers (survey K1-K8). Every sink is a distributed write from all
+partitions; nothing is collected to the driver or funnelled into one task
+(no ``coalesce(1)``): a "file" is a folder of part files."""
 
 from __future__ import annotations
 
@@ -13,13 +12,11 @@ from pyspark.sql import functions as F
 from .readers import jdbc_options  # noqa: F401  (re-exported for writers)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",", single_file: bool = False,
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",",
               partition_by: Sequence[str] = ()) -> None:
     """K1 / K6 (sep='\\t'): CSV with a header; optionally one folder per
-    value of ``partition_by`` (e.g. payroll by year). ``single_file`` only for
-    bounded aggregates."""
-    out = df.coalesce(1) if single_file else df
-    w = out.write.mode(mode).option("header", True).option("sep", sep)
+    value of ``partition_by`` (e.g. payroll by year)."""
+    w = df.write.mode(mode).option("header", True).option("sep", sep)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -86,20 +83,6 @@ def write_json_datasets(frames: Mapping[str, DataFrame], base: str, mode: str =
     return out
 
 
-def nested_document(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """K4 for BOUNDED aggregates only: one row whose columns are arrays of
-    structs, ready for ``write_json``. Each input must be an aggregate of
-    known small size (e.g. one row per regime); raw tables must use
-    ``write_json_datasets``."""
-    spark = next(iter(frames.values())).sparkSession
-    cols = [F.lit(1).alias("_k")]
-    out = spark.range(1).select(*cols)
-    for name, df in frames.items():
-        packed = df.agg(F.collect_list(F.struct(*df.columns)).alias(name)).withColumn("_k", F.lit(1))
-        out = out.join(packed, "_k")
-    return out.drop("_k")
-
-
 def write_atom(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K7: Atom entries as XML (the XML writer escapes the text)."""
     (entries.write.mode(mode).format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path))
