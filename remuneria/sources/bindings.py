@@ -131,3 +131,24 @@ def payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
         (price * F.col("l_tax")).alias("INCENTIVO_UNICO_MENSUAL"),
         (price * 12).alias("COSTO_TOTAL_ANUAL"),
     )
+
+
+CANONICAL = {"postings": postings, "calls": calls, "observations": observations, "payroll": payroll}
+LAYOUT = {"payroll": ["year"]}
+
+
+def materialize(spark: SparkSession, sf_dir: str, out_dir: str, names=tuple(CANONICAL),
+                mode: str = "overwrite") -> dict[str, str]:
+    """Write the canonical tables once as parquet (payroll partitioned by
+    year, so the latest-period filter prunes folders). Production runs read
+    these instead of re-joining the source tables in every query."""
+    paths = {}
+    for name in names:
+        df = CANONICAL[name](spark, sf_dir)
+        w = df.write.mode(mode)
+        if name in LAYOUT:
+            w = w.partitionBy(*LAYOUT[name])
+        path = f"{out_dir.rstrip('/')}/{name}"
+        w.parquet(path)
+        paths[name] = path
+    return paths

@@ -104,3 +104,16 @@ def test_bucketed_table(spark):
     # an aggregation on the bucket column needs no shuffle
     plan = t.groupBy("empresa").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_materialize_bindings(spark):
+    from remuneria.sources import bindings as B
+    from remuneria.operators import payroll as P
+    from conftest import SF_SMALL
+    d = scratch()
+    paths = B.materialize(spark, SF_SMALL, d, names=("payroll",))
+    stored = spark.read.parquet(paths["payroll"])
+    assert os.path.isdir(os.path.join(paths["payroll"], "year=1995"))
+    a = sorted(tuple(r) for r in P.timeline(stored)["kpis"].collect())
+    b = sorted(tuple(r) for r in P.timeline(B.payroll(spark, SF_SMALL))["kpis"].collect())
+    assert a == b
