@@ -321,3 +321,19 @@ def scatter_projection(df: DataFrame, cols: Sequence[str], fraction: float, seed
     """Numeric projection for a scatter matrix; a Bernoulli sample (the
     sampling IS the feature: a chart never needs every point)."""
     return df.select(*cols).sample(withReplacement=False, fraction=fraction, seed=seed)
+
+
+def interpolated_percentile(value: Column | str, breakpoints: Column, levels: Sequence[float]) -> Column:
+    """Position of ``value`` on a breakpoint table (``breakpoints[i]`` is
+    the value at percentile ``levels[i]``, ascending): linear interpolation
+    inside the bracket, clamped to the first/last level outside. The table
+    is an array column (e.g. a scalar-subquery percentile array), so the
+    "range join" is a CASE over its brackets -- no join at all."""
+    v = F.col(value) if isinstance(value, str) else value
+    bp = lambda i: F.element_at(breakpoints, i + 1)
+    expr = F.when(v <= bp(0), F.lit(float(levels[0])))
+    for i in range(len(levels) - 1):
+        lo, hi = bp(i), bp(i + 1)
+        frac = F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))
+        expr = expr.when(v <= hi, F.lit(float(levels[i])) + frac * (levels[i + 1] - levels[i]))
+    return expr.otherwise(F.lit(float(levels[-1])))

@@ -35,13 +35,14 @@ WITH s AS (SELECT page_id, {_SLUG_SQL} AS slug,
                   nullif(trim(regexp_extract(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
                                              'Salarios en (.+?)(?:\\s*[-|])', 1)), '') AS from_title,
                   regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)
-SELECT page_id, slug, coalesce(from_title, {_slug_name_sql('slug')}) AS nombre,
+SELECT page_id, slug, coalesce(from_title, {_slug_name_sql('slug')}) AS nombre, url_encode(slug) AS slug_encoded,
        regexp_matches(title, '[áéíóúñ]') AS title_has_accent FROM s""")
 def pages_title_name(spark, sf):
     pages = B.table(spark, sf, "pages")
     names = PG.company_names(pages)
     acc = pages.select("page_id", T.has_accent(F.regexp_extract("html", PG.TITLE, 1)).alias("title_has_accent"))
-    return names.join(acc, "page_id").select("page_id", "slug", "nombre", "title_has_accent")
+    return names.join(acc, "page_id").select("page_id", "slug", "nombre", T.url_quote("slug").alias("slug_encoded"),
+                                             "title_has_accent")
 
 
 @query("pages_links", "S14 U4", f"""

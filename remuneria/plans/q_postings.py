@@ -707,3 +707,30 @@ def tree_company(spark, sf):
     leaves = e.select(F.substring("empresa", 1, 25).alias("label"),
                       R.classify("empresa", BR.SECTOR_FIRST).alias("parent"), "cnt", "med")
     return G.tree_rows(leaves, "label", "parent", "cnt", "med")
+
+
+_DECILES = [i / 10 for i in range(11)]
+
+
+def _pct_case_sql(v, bp):
+    parts = [f"WHEN {v} <= {bp}[1] THEN {_DECILES[0] * 100}"]
+    for i in range(10):
+        lo, hi = f"{bp}[{i + 1}]", f"{bp}[{i + 2}]"
+        frac = f"coalesce(CASE WHEN {hi} - {lo} = 0 THEN NULL ELSE ({v} - {lo}) / ({hi} - {lo}) END, 0.0)"
+        parts.append(f"WHEN {v} <= {hi} THEN {_DECILES[i] * 100} + {frac} * {(_DECILES[i + 1] - _DECILES[i]) * 100}")
+    return "CASE " + " ".join(parts) + f" ELSE {_DECILES[-1] * 100} END"
+
+
+@query("income_percentile_rank", "R27 A2", f"""{W},
+bp AS (SELECT quantile_cont({V}, [{', '.join(str(d) for d in _DECILES)}]) AS b FROM postings),
+m AS (SELECT empresa, avg({V}) AS mean FROM postings WHERE empresa IS NOT NULL GROUP BY empresa)
+SELECT empresa, round(mean, 4) AS mean, round({_pct_case_sql('mean', '(SELECT b FROM bp)')}, 4) AS national_pct FROM m""")
+def income_percentile_rank(spark, sf):
+    """Each company's mean pay placed on the national decile table
+    (breakpoints from the data, linear interpolation inside a bracket)."""
+    p = _p(spark, sf)
+    deciles = S.aggregate(p, [], {f"d{i}": S.quantile(V, d) for i, d in enumerate(_DECILES)})
+    bp = deciles.select(F.array(*[F.col(f"d{i}") for i in range(len(_DECILES))])).scalar()
+    m = S.group_stats(p, "empresa", {"mean": F.avg(V)})
+    return m.select("empresa", r4(F.col("mean")).alias("mean"),
+                    r4(S.interpolated_percentile("mean", bp, [d * 100 for d in _DECILES])).alias("national_pct"))
