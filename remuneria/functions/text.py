@@ -100,11 +100,16 @@ RANGE_NUMBERS = r"(\d+\.?\d*)\s*-\s*(\d+\.?\d*)"
 ONE_NUMBER = r"(\d+\.?\d*)"
 
 
-def salary_text(x: ColumnOrName) -> Column:
+STRICT_RANGE_LABEL = r"Rango salarial:\s*(" + MONEY_SPAN + ")"
+
+
+def salary_text(x: ColumnOrName, strict: bool = False) -> Column:
     """First "Rango salarial: S/..." up to the next '.', else the first
-    S/ amount or S/ a - S/ b range; NULL when neither is present."""
+    S/ amount or S/ a - S/ b range; NULL when neither is present. The
+    default keeps the study's behaviour ("S/3,600.00 - S/5,000.00" gives
+    "S/3,600"); ``strict=True`` reads the whole labelled amount or range."""
     d = _c(x)
-    labelled = F.nullif(F.trim(F.regexp_extract(d, RANGE_LABEL, 1)), F.lit(""))
+    labelled = F.nullif(F.trim(F.regexp_extract(d, STRICT_RANGE_LABEL if strict else RANGE_LABEL, 1)), F.lit(""))
     span = F.nullif(F.trim(F.regexp_extract(d, MONEY_SPAN, 0)), F.lit(""))
     return F.coalesce(labelled, span)
 
@@ -138,11 +143,13 @@ SLUG_SUFFIXES = [
 ]
 
 
-def slug_to_name(x: ColumnOrName) -> Column:
+def slug_to_name(x: ColumnOrName, strict: bool = False) -> Column:
     """Url-decode, legal suffixes in order, '-' -> ' ', title case. The
-    order is kept, so '-s-a-' wins over '-s-a-c-' as in the source data."""
+    order is kept by default, so '-s-a-' wins over '-s-a-c-' as in the source
+    data; ``strict=True`` tries the longer suffixes first."""
     s = F.try_url_decode(_c(x)) if hasattr(F, "try_url_decode") else F.url_decode(_c(x))
-    for old, new in SLUG_SUFFIXES:
+    order = sorted(SLUG_SUFFIXES, key=lambda kv: -len(kv[0])) if strict else SLUG_SUFFIXES
+    for old, new in order:
         s = F.replace(s, F.lit(old), F.lit(new))
     s = F.replace(s, F.lit("-"), F.lit(" "))
     return title_case(s)

@@ -82,14 +82,18 @@ def payroll_by(snap: DataFrame, keys: Sequence[str], min_heads: int | None = Non
     return out
 
 
-def department_of(entity: Column | str, names: Sequence[str] = tuple(RS.DEPARTMENTS)) -> Column:
+def department_of(entity: Column | str, names: Sequence[str] = tuple(RS.DEPARTMENTS),
+                  strict: bool = False) -> Column:
     """First department whose name is a substring of the upper-cased
-    entity name (list order); NULL = national. Substring semantics on
-    purpose ('ICA' also hits 'REPUBLICA')."""
+    entity name (list order); NULL = national. Substring semantics by
+    default, as the study does ('ICA' also hits 'REPUBLICA');
+    ``strict=True`` matches whole words only."""
+    import re
     u = F.upper(F.col(entity) if isinstance(entity, str) else entity)
     expr = None
     for d in names:
-        cond = F.coalesce(u.contains(d), F.lit(False))
+        hit = u.rlike(r"\b" + re.escape(d) + r"\b") if strict else u.contains(d)
+        cond = F.coalesce(hit, F.lit(False))
         expr = F.when(cond, F.lit(d)) if expr is None else expr.when(cond, F.lit(d))
     return expr
 

@@ -59,6 +59,8 @@ def test_departments_substring_quirk(spark):
                                 ("MINISTERIO DE SALUD",)], "p string")
     got = [r[0] for r in df.select(department_of("p")).collect()]
     assert got == ["PIURA", "ICA", None]
+    strict = [r[0] for r in df.select(department_of("p", strict=True)).collect()]
+    assert strict == ["PIURA", None, None]
 
 
 def test_junior_scope(spark):

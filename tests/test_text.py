@@ -78,3 +78,9 @@ def test_rnd_is_tie_stable(spark):
     # 0.125 sits exactly on a tie; both rounding styles give 0.13
     assert one_col(spark, [0.125, 2.5, 1.0 / 3], lambda c: T.rnd(c, 2), "double") == [0.13, 2.5, 0.33]
     assert not math.isnan(one_col(spark, [1.5], lambda c: T.rnd(c, 0), "double")[0])
+
+
+def test_strict_variants(spark):
+    assert one_col(spark, ["alicorp-s-a-c-"], lambda c: T.slug_to_name(c, strict=True)) == ["Alicorp S.A.C."]
+    assert one_col(spark, ["Rango salarial: S/3,600.00 - S/5,000.00. Otros"],
+                   lambda c: T.salary_text(c, strict=True)) == ["S/3,600.00 - S/5,000.00"]
