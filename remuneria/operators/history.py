@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,13 +37,14 @@ def trend(hist: DataFrame, first: str = "primera_vez_visto", last: str = "ultima
     seen): new calls that day, calls active in that snapshot, and calls ever
     seen up to that day. The running total (W4) is a window over the
     per-date table: one row per scrape day, bounded by the days of history."""
-    dates = (hist.select(F.col(first).alias("fecha")).union(hist.select(F.col(last).alias("fecha")))
-             .filter(F.col("fecha").isNotNull()).distinct())
-    new = hist.groupBy(F.col(first).alias("fecha")).agg(F.count(F.lit(1)).alias("nuevas"))
-    active = hist.groupBy(F.col(last).alias("fecha")).agg(F.count(F.lit(1)).alias("vigentes"))
-    per_day = (dates.join(new, "fecha", "left").join(active, "fecha", "left")
-               .select("fecha", F.coalesce("nuevas", F.lit(0)).alias("nuevas"),
-                       F.coalesce("vigentes", F.lit(0)).alias("vigentes")))
+    # one pass: every call contributes (first_seen: +1 new) and
+    # (last_seen: +1 active); the union of the two date sets falls out of
+    # the grouping itself
+    marks = hist.select(F.explode(F.array(
+        F.struct(F.col(first).alias("fecha"), F.lit(1).alias("n"), F.lit(0).alias("a")),
+        F.struct(F.col(last).alias("fecha"), F.lit(0).alias("n"), F.lit(1).alias("a")))).alias("m")).select("m.*")
+    per_day = (marks.filter(F.col("fecha").isNotNull()).groupBy("fecha")
+               .agg(F.sum("n").cast("bigint").alias("nuevas"), F.sum("a").cast("bigint").alias("vigentes")))
     w = Window.orderBy("fecha").rowsBetween(Window.unboundedPreceding, 0)
     return per_day.withColumn("acumulado", F.sum("nuevas").over(w))
 
@@ -79,9 +80,10 @@ def feed_entries(rows: DataFrame, as_of: str) -> DataFrame:
         dept.alias("category_place"), state.alias("category_state"))
 
 
-def search_index(calls: DataFrame, tiebreak: str = "url") -> DataFrame:
+def search_index(calls: DataFrame) -> DataFrame:
     """H4: cut fields, whole positive salary, sorted by salary desc with the
-    unknown salaries last."""
+    unknown salaries last (ties by url). A global sort: Spark range-
+    partitions it, no single task holds all rows."""
     s = T.positive_int("salario")
     out = calls.select(
         F.coalesce(T.cut("institucion", 120), F.lit("")).alias("i"),

@@ -8,7 +8,6 @@ from ..functions import text as T
 from ..sources import bindings as B
 from ..sources import pages as PG
 from .registry import query
-from .sql_bindings import POSTINGS
 
 # Binding parameters: the driver pages link to site paths ("/word"), not to
 # "/empresa/<slug>", and carry about six links each.

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import rnd
-
 from ..operators import payroll as P
 from ..operators import stats as S
 from ..sources import bindings as B
