@@ -72,3 +72,15 @@ def io_json_datasets_roundtrip(spark, sf):
     SK.write_json_datasets(tl, base)
     back = spark.read.schema(tl["por_regimen"].schema).json(os.path.join(base, "por_regimen"))
     return back
+
+
+@query("sql_views_newest", "S16 T5", f"""WITH {POSTINGS}
+SELECT count(*) OVER () AS n_rows, posting_id, empresa, puesto
+FROM postings ORDER BY fecha_extraccion DESC, posting_id LIMIT 5""")
+def sql_views_newest(spark, sf):
+    """The canonical table registered as a view and queried with SQL
+    (count + newest rows, the study's ad-hoc checks)."""
+    view = f"postings_{uuid.uuid4().hex[:8]}"
+    RD.register_views(spark, {view: B.postings(spark, sf)})
+    return spark.sql(f"""SELECT (SELECT count(*) FROM {view}) AS n_rows, posting_id, empresa, puesto
+                         FROM {view} ORDER BY fecha_extraccion DESC, posting_id LIMIT 5""")
