@@ -260,34 +260,41 @@ def histogram(df: DataFrame, value: str, bins: int = 30, cap: float | None = Non
                     F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, chunk: int = 15) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair, long form
-    (var_a, var_b, r). Each row is unpivoted into one (pair, x, y) row per
-    unordered pair with both sides present (NaN counts as missing, as in
-    pandas); ONE grouped aggregation keyed by pair then gives covariance and
-    deviations (few buffer fields, so it stays in generated code), and
-    r = cov / (sx * sy) is NULL for a zero-variance side (no ANSI error).
-    The matrix is mirrored from the upper triangle."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    (var_a, var_b, r). Each unordered pair is one r = cov / (sx * sy) over
+    the rows where both sides are present (NaN counts as missing, as in
+    pandas), built from Spark's stable one-pass covariance / deviation
+    aggregates inside ONE aggregation per ``chunk`` of pairs (few enough
+    buffers to stay in generated code). A zero-variance side gives NULL
+    (``try_divide``: no ANSI error); the diagonal is 1 where the variance is
+    positive. Both orders of a pair come from the same aggregate row."""
     items = []
-    for i, j in pairs:
-        x, y = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
-        ok = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-        items.append(F.when(ok, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x.alias("x"), y.alias("y"))))
-    long = df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("_p")).select("_p.*")
-    agg = long.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("_c"), F.stddev_samp("x").alias("_sx"),
-                                     F.stddev_samp("y").alias("_sy"))
-    r = agg.select("i", "j", F.try_divide(F.col("_c"), F.col("_sx") * F.col("_sy")).alias("r"))
-    # every pair appears in the output, also pairs with no complete row
-    names = F.array(*[F.lit(c) for c in cols])
-    grid = df.sparkSession.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("_g")).select("_g.*")
-    full = grid.join(r, ["i", "j"], "left")
-    mirrored = full.unionByName(full.filter(F.col("i") != F.col("j")).select(
-        F.col("j").alias("i"), F.col("i").alias("j"), "r"))
-    return mirrored.select(F.element_at(names, F.col("i") + 1).alias("var_a"),
-                           F.element_at(names, F.col("j") + 1).alias("var_b"),
-                           rnd(F.col("r"), digits).alias("r"))
+    for i in range(len(cols)):
+        for j in range(i, len(cols)):
+            x, y = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
+            if i == j:
+                xm = F.when(x.isNotNull() & ~F.isnan(x), x)
+                r = F.when(F.stddev_samp(xm) > 0, F.lit(1.0))
+            else:
+                ok = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+                xm, ym = F.when(ok, x), F.when(ok, y)
+                r = F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))
+            items.append((cols[i], cols[j], r))
+    parts = []
+    for k in range(0, len(items), chunk):
+        part = items[k:k + chunk]
+        one = df.agg(*[r.alias(f"_r{n}") for n, (_, _, r) in enumerate(part)])
+        cells = []
+        for n, (a, b, _) in enumerate(part):          # both (a, b) and (b, a) from the same row
+            cells.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"_r{n}").alias("r")))
+            if a != b:
+                cells.append(F.struct(F.lit(b).alias("var_a"), F.lit(a).alias("var_b"), F.col(f"_r{n}").alias("r")))
+        parts.append(one.select(F.explode(F.array(*cells)).alias("_p")).select("_p.*"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out.select("var_a", "var_b", rnd(F.col("r"), digits).alias("r"))
 
 
 def corr_flags(matrix: DataFrame, target: str, threshold: float = 0.3) -> DataFrame:
