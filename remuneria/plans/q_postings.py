@@ -576,9 +576,9 @@ _CORR_VARS = ["salario_promedio", "titulo_length", "titulo_words", "empresa_size
 
 def _corr_input(spark, sf):
     p = K.group_size(_p(spark, sf), "empresa", "empresa_size")
-    lvl = R.classify("puesto", BR.SENIORITY)
+    p = R.label_columns(p, {"_lvl": ("puesto", BR.SENIORITY)})
     return p.select(V, F.length("puesto").alias("titulo_length"), T.word_count("puesto").alias("titulo_words"),
-                    "empresa_size", T.ordinal(lvl, RS.SENIORITY_ORDINAL).alias("seniority_numeric"))
+                    "empresa_size", T.ordinal("_lvl", RS.SENIORITY_ORDINAL).alias("seniority_numeric"))
 
 
 def _corr_sql(insights: bool = False):
