@@ -78,3 +78,67 @@ def run_merge_stream(spark: SparkSession, source_dir: str, file_glob: str = "eve
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return read_merged(spark, sink)
+
+
+# ---------------------------------------------------------------- optional state expiry
+_STATE_SCHEMA = ("primera_vez_visto date, ultima_vez_visto date, last_ts timestamp, institucion string, "
+                 "puesto string, departamento string, salario double, fecha_limite string")
+_OUT_SCHEMA = "url string, " + _STATE_SCHEMA + ", expired boolean"
+
+
+def _merge_with_expiry(expire_ms: int):
+    """Per-url state (first/last seen, newest fields) kept with an
+    event-time timeout: a url not seen for ``expire_ms`` past the watermark
+    is emitted one last time (expired=True) and its state is dropped, so
+    the state store stays bounded by the urls still alive. The pandas work
+    is per url and per micro-batch; Spark partitions and shuffles the urls."""
+    import pandas as pd
+
+    cols = ["primera_vez_visto", "ultima_vez_visto", "last_ts", "institucion", "puesto", "departamento",
+            "salario", "fecha_limite"]
+
+    def fn(key, pdfs, state):
+        url = key[0]
+        if state.hasTimedOut:
+            row = dict(zip(cols, state.get))
+            state.remove()
+            yield pd.DataFrame([{"url": url, **row, "expired": True}])
+            return
+        cur = dict(zip(cols, state.get)) if state.exists else None
+        for pdf in pdfs:
+            newest = pdf.loc[pdf["seen_ts"].idxmax()]
+            first, last = pdf["seen_date"].min(), pdf["seen_date"].max()
+            if cur is None or newest["seen_ts"] > pd.Timestamp(cur["last_ts"]):
+                fields = {c: newest[c] for c in ("institucion", "puesto", "departamento", "salario", "fecha_limite")}
+                ts = newest["seen_ts"]
+            else:
+                fields = {c: cur[c] for c in ("institucion", "puesto", "departamento", "salario", "fecha_limite")}
+                ts = cur["last_ts"]
+            cur = {"primera_vez_visto": first if cur is None else min(first, cur["primera_vez_visto"]),
+                   "ultima_vez_visto": last if cur is None else max(last, cur["ultima_vez_visto"]),
+                   "last_ts": ts, **fields}
+        state.update(tuple(cur[c] for c in cols))
+        state.setTimeoutTimestamp(int(pd.Timestamp(cur["last_ts"]).timestamp() * 1000) + expire_ms)
+        yield pd.DataFrame([{"url": url, **cur, "expired": False}])
+
+    return fn
+
+
+def start_merge_with_expiry(obs: DataFrame, sink_dir: str, checkpoint_dir: str, expire_days: int,
+                            lateness: str = "1 day", available_now: bool = True):
+    """Z1 with bounded state: watermark on the observation time, per-url
+    state via ``applyInPandasWithState`` with an event-time timeout."""
+    # event time must be a TIMESTAMP (the driver data carries TIMESTAMP_NTZ)
+    obs = obs.withColumn("seen_ts", F.col("seen_ts").cast("timestamp"))
+    merged = (obs.withWatermark("seen_ts", lateness).groupBy("url").applyInPandasWithState(
+        _merge_with_expiry(expire_days * 86_400_000), _OUT_SCHEMA, _STATE_SCHEMA, "update", "EventTimeTimeout"))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        out = batch.select("url", "primera_vez_visto", "ultima_vez_visto",
+                           F.struct(*FIELDS).alias("_f"), "expired")
+        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+            os.path.join(sink_dir, f"batch_id={batch_id}"))
+
+    w = merged.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

@@ -63,3 +63,27 @@ def test_stream_equals_batch_over_several_micro_batches(spark):
     b = sorted(tuple(r) for r in batch.select(cols).collect())
     assert a == b and len(a) > 0
     assert M.read_merged(spark, streamed.inputFiles()[0].rsplit("/batch_id=", 1)[0]).count() == len(b)
+
+
+import pytest
+
+
+@pytest.mark.parametrize("expire_days", [400, 1])
+def test_stream_with_state_expiry(spark, expire_days):
+    ev = B.table(spark, SF_SMALL, "events")
+    src = tempfile.mkdtemp(prefix="z1x-src-")
+    days = F.dayofmonth("ts")
+    for lo, hi in [(1, 10), (11, 20), (21, 31)]:           # appended in time order -> several micro-batches
+        ev.filter((days >= lo) & (days <= hi)).coalesce(1).write.mode("append").parquet(src)
+    out = tempfile.mkdtemp(prefix="z1x-out-")
+    obs = M.observation_stream(spark, src, file_glob="*.parquet", max_files_per_trigger=1)
+    q = M.start_merge_with_expiry(obs, os.path.join(out, "changes"), os.path.join(out, "state"),
+                                  expire_days=expire_days)
+    q.awaitTermination()
+    assert q.exception() is None
+    merged = M.read_merged(spark, os.path.join(out, "changes"))
+    batch = H.merge_observations(B.observations_from_events(ev))
+    cols = ["url", "institucion", "primera_vez_visto", "ultima_vez_visto", "estado"]
+    assert sorted(tuple(r) for r in merged.select(cols).collect()) == sorted(tuple(r) for r in batch.select(cols).collect())
+    n_expired = spark.read.parquet(os.path.join(out, "changes")).filter("expired").count()
+    assert (n_expired > 0) == (expire_days == 1)     # short expiry: idle urls leave the state store
