@@ -45,6 +45,13 @@ def history_merge_stream(spark, sf):
     return _published(M.run_merge_stream(spark, sf))
 
 
+@query("history_merge_stream_expiring", "Z1", _MERGED_SQL)
+def history_merge_stream_expiring(spark, sf):
+    """Z1 with bounded state (watermark + event-time timeout, urls idle for
+    3 days leave the state store after a final row); same result."""
+    return _published(M.run_merge_stream(spark, sf, expire_days=3))
+
+
 @query("history_trend", "H1 U1 W4", f"""{W},
 d AS (SELECT primera_vez_visto AS fecha FROM hist UNION SELECT ultima_vez_visto FROM hist),
 n AS (SELECT primera_vez_visto AS fecha, count(*) AS nuevas FROM hist GROUP BY 1),

@@ -68,12 +68,16 @@ def read_merged(spark: SparkSession, sink_dir: str, fields=FIELDS) -> DataFrame:
 
 
 def run_merge_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
-                     max_files_per_trigger: int | None = 1, work_dir: str | None = None) -> DataFrame:
+                     max_files_per_trigger: int | None = 1, work_dir: str | None = None,
+                     expire_days: int | None = None) -> DataFrame:
     """Run the stream to completion over what is in ``source_dir`` now
-    (availableNow) and return the merged history read back from the sink."""
+    (availableNow) and return the merged history read back from the sink.
+    With ``expire_days`` the bounded-state variant runs."""
     base = work_dir or os.path.join(ensure_checkpoint_dir(spark), f"z1-{uuid.uuid4().hex}")
     sink, ckpt = os.path.join(base, "changes"), os.path.join(base, "state")
-    q = start_merge(observation_stream(spark, source_dir, file_glob, max_files_per_trigger), sink, ckpt)
+    obs = observation_stream(spark, source_dir, file_glob, max_files_per_trigger)
+    q = (start_merge_with_expiry(obs, sink, ckpt, expire_days) if expire_days is not None
+         else start_merge(obs, sink, ckpt))
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
