@@ -4,7 +4,9 @@ Spark's ``percentile`` aggregate keeps a value->count map per group and
 merges all partial maps of a group in ONE task. That is fine while a
 group's distinct values are few (round salaries), and it is the default
 here (``remuneria.quantiles=aggregate``). For groups whose distinct values
-are unbounded, set ``spark.conf.set("remuneria.quantiles", "distributed")``:
+are unbounded, set ``spark.conf.set("remuneria.quantiles", "distributed")``
+(``approx`` switches every quantile to ``percentile_approx``, a bounded
+sketch, when exact figures are not required):
 
 1. count rows per (group, value) -- a partial/final aggregation, so a hot
    group is combined map-side;

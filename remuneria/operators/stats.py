@@ -89,7 +89,8 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Qu
         else:
             value_cols[n] = f"_qv_{n}"
             src = src.withColumn(value_cols[n], q.value)
-    distributed = Q.method(df.sparkSession) == "distributed"
+    method = Q.method(df.sparkSession)
+    distributed = method == "distributed"
     cols = [e.alias(n) for n, e in plain.items()]
     finals = {}
     by_value: dict[str, list[str]] = {}
@@ -97,7 +98,7 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Qu
         by_value.setdefault(value_cols[n], []).append(n)
     if not distributed:
         for vcol, names in by_value.items():
-            exact = all(qs[n].exact for n in names)
+            exact = all(qs[n].exact for n in names) and method != "approx"
             probs = F.array(*[F.lit(qs[n].p) for n in names])
             arr = F.percentile(F.col(vcol), probs) if exact else F.percentile_approx(F.col(vcol), probs, 10000)
             tmp = f"_qa_{vcol}"

@@ -75,3 +75,16 @@ def test_both_quantile_methods_agree(spark):
     finally:
         spark.conf.unset("remuneria.quantiles")
     pd.testing.assert_frame_equal(a.sort_values("g").reset_index(drop=True), b.sort_values("g").reset_index(drop=True))
+
+
+def test_approx_quantile_method_is_close(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.choice(["x", "y"], 2000), "v": rng.normal(3000, 500, 2000).round(2)})
+    df = spark.createDataFrame(pdf)
+    exact = S.five_number(df, "g", "v", 1).toPandas().set_index("g")
+    spark.conf.set("remuneria.quantiles", "approx")
+    try:
+        approx = S.five_number(df, "g", "v", 1).toPandas().set_index("g")
+    finally:
+        spark.conf.unset("remuneria.quantiles")
+    assert ((approx["median"] - exact["median"]).abs() < 50).all()
