@@ -67,3 +67,6 @@ def rescaled(df, salary: str = "salario_promedio", role: str = "puesto", floor:
                       & F.coalesce(low.rlike(professional), F.lit(False)), F.lit(False))
     return df.withColumns({**{c: F.when(cond, F.col(c) * 10).otherwise(F.col(c)) for c in cols},
                            "rescaled": cond})
+
+
+rescale_salary = rescaled

@@ -133,3 +133,9 @@ def timeline(df: DataFrame, year: str = "year", top_sectors: int = 20,
     top_sec = rank.top_k_per_group(by_sec, year, [F.col("cantidad").desc(), F.col("SECTOR").asc()],
                                    top_sectors, salt_col="SECTOR")
     return {"kpis": kp, "por_regimen": by_reg, "por_sector": top_sec, "por_grupo": by_grp}
+
+
+# names used in the blueprint
+latest_snapshot = active_snapshot
+weighted_income = income_aggs
+payroll_timeline = timeline

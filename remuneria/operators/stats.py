@@ -345,3 +345,9 @@ def interpolated_percentile(value: Column | str, breakpoints: Column, levels: Se
         frac = F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))
         expr = expr.when(v <= hi, F.lit(float(levels[i])) + frac * (levels[i + 1] - levels[i]))
     return expr.otherwise(F.lit(float(levels[-1])))
+
+
+def band_share(df: DataFrame, value: str, bands, out: str = "banda", digits: int = 4) -> DataFrame:
+    """Rows per income band (lower edge inclusive) and share of all rows."""
+    from ..functions.rules import bin_left_closed
+    return share(df.filter(F.col(value).isNotNull()).withColumn(out, bin_left_closed(value, bands)), out, digits)

@@ -548,9 +548,8 @@ b AS (SELECT CASE WHEN {V} / 10 >= 30000 THEN 'A++' WHEN {V} / 10 >= 15000 THEN
 c AS (SELECT banda, count(*) AS n FROM b GROUP BY banda)
 SELECT banda, n, round(n * 100.0 / (SELECT sum(n) FROM c), 4) AS pct FROM c""")
 def income_bands(spark, sf):
-    p = _p(spark, sf).filter(F.col(V).isNotNull())
-    p = p.withColumn("banda", R.bin_left_closed(F.col(V) / 10, RS.INCOME_BANDS))
-    return S.share(p, "banda")
+    p = _p(spark, sf).withColumn("_monthly", F.col(V) / 10)
+    return S.band_share(p, "_monthly", RS.INCOME_BANDS)
 
 
 @query("classify_first", "R4 R5", f"""{W},

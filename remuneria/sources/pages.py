@@ -235,3 +235,6 @@ def coverage(rows: DataFrame, pages: DataFrame) -> DataFrame:
         F.count_if(F.col("_n") > 0).alias("pages_ok"), F.count_if(F.col("_n").isNull()).alias("pages_failed"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("_s"), F.lit(0)).alias("n_with_salary"),
     ).select("pages_ok", "pages_failed", companies.alias("n_empresas"), "n_rows", "n_with_salary")
+
+
+page_validity = validity

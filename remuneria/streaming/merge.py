@@ -146,3 +146,6 @@ def start_merge_with_expiry(obs: DataFrame, sink_dir: str, checkpoint_dir: str,
     w = merged.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+merge_stream = run_merge_stream
