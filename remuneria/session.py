@@ -7,8 +7,10 @@ fills in values that are unset, and the checkpoint folder is read from
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,16 +50,55 @@ def build_session(master: str | None = None, app: str = "remuneria",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder. A cluster names it in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) do we make
-    a fresh scratch folder."""
+    ``spark.checkpoint.dir``; only a local session may leave it unset and
+    then gets a fresh scratch folder. Anywhere else a machine-local folder
+    would silently lose data, so it is an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        master = sc.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is not set and the master is {master!r}: "
+                               "name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="remuneria-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return path
+
+
+class Scratch:
+    """Intermediate tables of one query, written as Parquet below the shared
+    checkpoint folder (they survive lost executors). ``drop`` removes a table
+    that nothing reads any more; the rest goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.count = 0
+        atexit.register(self.close)
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` once and return it as a table without lineage."""
+        self.count += 1
+        path = f"{self.root}/t{self.count}"
+        df.write.parquet(path, compression="zstd")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables returned by ``save``."""
+        for t in tables:
+            for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+                self._delete(path)
+
+    def close(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

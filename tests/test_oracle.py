@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from remuneria.plans import registry
 from remuneria.sources.bindings import TABLES
 from conftest import SF_SMALL
 
@@ -35,7 +36,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF_SMALL)
     sc, sr = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
