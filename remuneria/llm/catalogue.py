@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import block_names, chat_fsm, line_windows, url_rules
+from . import block_names, chat_fsm, line_windows, url_rules, winnow
 
-MODULES = (url_rules, line_windows, chat_fsm, block_names)
+MODULES = (url_rules, line_windows, chat_fsm, winnow, block_names)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
