@@ -16,9 +16,10 @@ used: A by rising document frequency, B and C by two independent hashes.
    partner at all, and ``n - unique`` bounds its overlap with any other.
 3. Candidates share a token of both A-prefixes, and pass the size, frequency
    and position bounds. They are not enumerated within a group of near copies:
-   each token first pairs its classes with one hub only (the class with the
-   smallest share of unique tokens); what that links is merged; then pairs are
-   made only between classes that are still apart, once per pair.
+   each token has one hub (its class with the smallest share of unique
+   tokens); a class is first paired with the best of its hubs, then with those
+   of its other hubs from which it is still apart; then pairs are made only
+   between classes of a token that are apart even now, once per pair.
 4. Candidates must also share a token of the B- and of the C-prefixes; the
    survivors are verified exactly on their tokens.
 5. Components come from star contraction of the links. No link between
@@ -240,11 +241,20 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
     hub = posts.groupBy("token").agg(F.count("*").alias("f"), F.min(F.struct(F.expr("u / n"), "id", "n", "u", "i")).alias("hub"))
     hub = hub.filter("f > 1").select("token", "hub.id", "hub.n", "hub.u", "hub.i")
     x, y = posts.drop("prefix").alias("x"), hub.alias("y")
-    first = x.join(y, F.expr("x.token = y.token and x.id != y.id") & _bound("x", "y", percent)).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    first = scratch.save(first)
-    links = scratch.save(_verified(first, cands, percent))
-    roots = connected_components(links, scratch)
+    to_hubs = scratch.save(x.join(y, F.expr("x.token = y.token and x.id != y.id") & _bound("x", "y", percent)).select(
+        F.col("x.id").alias("of"), F.struct(F.expr("y.u / y.n"), F.col("y.id").alias("id")).alias("hub")).distinct())
+    pair = [F.least("of", "hub.id").alias("a"), F.greatest("of", "hub.id").alias("b")]
+    nearest = scratch.save(to_hubs.groupBy("of").agg(F.min("hub").alias("hub")).select(*pair).distinct())
+    links = scratch.save(_verified(nearest, cands, percent))
+    roots = scratch.save(connected_components(links, scratch))
+    others = to_hubs.select(*pair).distinct().join(nearest, ["a", "b"], "left_anti")
+    for end in "ab":
+        others = others.join(roots.withColumnsRenamed({"node": end, "root": "root_" + end}), end, "left")
+    others = scratch.save(others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    more = scratch.save(_verified(others, _named(cands, others, scratch), percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = scratch.save(connected_components(links, scratch))
 
     apart = posts.join(roots, posts["id"] == roots["node"], "left").select(
         "id", "n", "u", "i", "token", F.coalesce("root", "id").alias("root"),
@@ -256,13 +266,20 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
     seen_before = F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
     second = x.join(y, F.expr("x.token = y.token and x.id < y.id and x.root != y.root")
                     & _bound("x", "y", percent) & ~seen_before)
-    second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = scratch.save(_verified(second, cands, percent))
+    second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    second = scratch.save(second.join(nearest.unionByName(others), ["a", "b"], "left_anti"))
+    more = scratch.save(_verified(second, _named(cands, second, scratch), percent))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
     return sets.select("doc_id", "n", "s1", "s2"), roots
 
 
+def _named(cands: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes that occur in ``pairs``."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return scratch.save(cands.join(ids, "id", "left_semi"))
+
+
 def _verified(pairs: DataFrame, cands: DataFrame, percent: int) -> DataFrame:
     side = lambda s: cands.select(F.col("id").alias({"x": "a", "y": "b"}[s]), *[F.col(c).alias(s + c) for c in ("n", "b", "c", "tokens")])
     return pairs.join(side("x"), "a").join(side("y"), "b").mapInArrow(_verify(percent), pairs.select("a", "b").schema)
