@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import block_names, chat_fsm, jaccard_orders, line_windows, url_rules, winnow
+from . import block_names, chat_fsm, jaccard_orders, lang_rank, line_windows, lm_ctw, url_rules, winnow
 
-MODULES = (url_rules, line_windows, chat_fsm, winnow, jaccard_orders, block_names)
+MODULES = (lm_ctw, url_rules, line_windows, lang_rank, chat_fsm, winnow, jaccard_orders, block_names)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
