@@ -111,18 +111,32 @@ def block_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hashes=has
     return out
 
 
-def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
+def _grouped(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(every row with its identity, one row per identity: its size and its best row)."""
     ids = block_identities(docs, block_bytes)
     rows = docs.select(_row_key(text_of()).alias("k"), F.sha2(F.encode(squeeze(text_of()), "UTF-8"), 256).alias("text_sha256"))
     rows = rows.join(ids, "k")
-    groups = rows.groupBy("level", "name").agg(
-        F.count("*").alias("group_size"), (-F.max(F.struct(F.col("k.n"), -F.col("k.doc_id")))["col2"]).alias("keep_id"))
+    best = F.max(F.struct(F.col("k.n").alias("n"), (-F.col("k.doc_id")).alias("minus"), F.col("k.h").alias("h")))
+    return rows, rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
+
+
+def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
+    rows, groups = _grouped(docs, block_bytes)
+    groups = groups.withColumn("keep_id", -F.col("best.minus"))
     return rows.join(groups, ["level", "name"]).select(
         F.col("k.doc_id").alias("doc_id"), "keep_id", "group_size",
         F.col("k.doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one for each text."""
+    _, groups = _grouped(docs, block_bytes)
+    best = groups.select(F.struct((-F.col("best.minus")).alias("doc_id"), F.col("best.h"), F.col("best.n")).alias("best"))
+    d = docs.withColumn("__key", _row_key(text_of()))
+    return d.join(best, d["__key"] == best["best"], "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
 def op10_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -71,9 +71,7 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind=SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word in order, words of each row)."""
-    inside, code = kind
+def _bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = inside[data]
     first, last = w.copy(), w.copy()
     first[1:] &= ~w[:-1]
@@ -82,15 +80,33 @@ def words(data: np.ndarray, offsets: np.ndarray, kind=SPACED) -> tuple[np.ndarra
     cut = cut[(cut > 0) & (cut < len(w))]
     first[cut] = w[cut]
     last[cut - 1] = w[cut - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(size)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _running(data: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which the hash of any piece follows: (total[z] - total[a]) * down[a]."""
+    up, down = _powers(1 << max(12, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(code[data] * up[:len(data)], out=total[1:])
+    return total, down
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind=SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word in order, words of each row)."""
+    s, e = _bounds(data, offsets, kind[0])
+    total, down = _running(data, kind[1])
     hashes = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
     return hashes, np.diff(np.searchsorted(s, offsets))
 
 
+def word_starts(data: np.ndarray, offsets: np.ndarray, kind, lengths) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """(start and bytes of each word, {0: hash of the word, m: hash of its first m bytes})."""
+    s, e = _bounds(data, offsets, kind[0])
+    total, down = _running(data, kind[1])
+    piece = lambda z: (total[z] - total[s]) * down[s]
+    return s, e - s, {0: piece(e), **{m: piece(np.minimum(s + m, e)) for m in lengths}}
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` words (runs over a row's end included)."""
     n = len(hashes) - k + 1
