@@ -21,7 +21,8 @@ used: A by rising document frequency, B and C by two independent hashes.
    of its other hubs from which it is still apart; then pairs are made only
    between classes of a token that are apart even now, once per pair.
 4. Candidates must also share a token of the B- and of the C-prefixes; the
-   survivors are verified exactly on their tokens.
+   survivors are verified exactly on their tokens. In the later rounds, whose
+   pairs rarely link, 16-bit marks of the tokens bound the overlap beforehand.
 5. Components come from star contraction of the links. No link between
    different components is missed, as every candidate pair that isn't already
    connected is verified.
@@ -54,6 +55,8 @@ from .components import connected_components
 BLOCK_BYTES = 8 << 20
 BUCKET_TOKENS = 1 << 20
 EARLIER = 64
+#: Ids of 16 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 17
 _B, _C = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -158,7 +161,7 @@ def _frequent(t: pa.Table) -> pa.Table:
 
 
 _TOLD = "block long, s1 long, s2 long, tokens binary, df binary"
-_CAND = "s1 long, s2 long, n long, u long, b long, c long, prefix array<long>, tokens binary"
+_CAND = "s1 long, s2 long, n long, u long, b long, c long, prefix array<long>, tokens binary, marks binary"
 
 
 def _candidates(k: int, bits: int, percent: int):
@@ -185,14 +188,29 @@ def _candidates(k: int, bits: int, percent: int):
                 first = y[np.lexsort((y, df[at[known]]))[:p - u]]
                 c = wa.mix(x ^ _C)
                 rows.append((s1, s2, n, u, int(x[p - 1].astype(np.int64)), int(np.partition(c, p - 1)[p - 1].astype(np.int64)),
-                             first.view(np.int64), y.tobytes()))
-        cols = list(zip(*rows)) if rows else [()] * 8
-        types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()]
+                             first.view(np.int64), y.tobytes(), (y >> np.uint64(48)).astype(np.uint16).tobytes()))
+        cols = list(zip(*rows)) if rows else [()] * 9
+        types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary(), pa.binary()]
         return pa.table({name: pa.array(v, t) for name, v, t in zip(
-            ("s1", "s2", "n", "u", "b", "c", "prefix", "tokens"), cols, types)})
+            ("s1", "s2", "n", "u", "b", "c", "prefix", "tokens", "marks"), cols, types)})
     return run, _CAND
 
 
+def _may_link(percent: int):
+    """Rows with both classes' 16-bit marks of their tokens -> those whose marks
+    agree often enough. Equal tokens have equal marks, so no link is lost."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, ok = batch.to_pydict(), []
+            for n, m, x, y in zip(d["xn"], d["yn"], d["xmarks"], d["ymarks"]):
+                (v, c), (w, e) = (np.unique(np.frombuffer(z, np.uint16), return_counts=True) for z in (x, y))
+                _, i, j = np.intersect1d(v, w, assume_unique=True, return_indices=True)
+                most = int(np.minimum(c[i], e[j]).sum())
+                ok.append(100 * most >= percent * (n + m - most))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
 def _verify(percent: int):
     """Rows with both classes -> those that share B- and C-prefix tokens and link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +253,7 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
     told = frequent.unionByName(owners.selectExpr("block", "s1", "s2", "cast(null as binary) tokens", "cast(null as binary) df"))
     f, schema = _candidates(k, bits, percent)
     cands = scratch.save(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(f, schema)
-                         .select(F.struct("s1", "s2").alias("id"), "n", "u", "b", "c", "prefix", "tokens"))
+                         .select(F.struct("s1", "s2").alias("id"), "n", "u", "b", "c", "prefix", "tokens", "marks"))
 
     posts = cands.select("id", "n", "u", F.posexplode("prefix").alias("i", "token"), "prefix")
     hub = posts.groupBy("token").agg(F.count("*").alias("f"), F.min(F.struct(F.expr("u / n"), "id", "n", "u", "i")).alias("hub"))
@@ -251,7 +269,7 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
     for end in "ab":
         others = others.join(roots.withColumnsRenamed({"node": end, "root": "root_" + end}), end, "left")
     others = scratch.save(others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    more = scratch.save(_verified(others, _named(cands, others, scratch), percent))
+    more = scratch.save(_verified_few(others, cands, percent, scratch))
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = scratch.save(connected_components(links, scratch))
@@ -268,21 +286,30 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
                     & _bound("x", "y", percent) & ~seen_before)
     second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     second = scratch.save(second.join(nearest.unionByName(others), ["a", "b"], "left_anti"))
-    more = scratch.save(_verified(second, _named(cands, second, scratch), percent))
+    more = scratch.save(_verified_few(second, cands, percent, scratch))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
     return sets.select("doc_id", "n", "s1", "s2"), roots
 
 
-def _named(cands: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The classes that occur in ``pairs``."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return scratch.save(cands.join(ids, "id", "left_semi"))
+def _both_sides(pairs: DataFrame, cands: DataFrame, columns: list[str], f) -> DataFrame:
+    side = lambda s, end: cands.select(F.col("id").alias(end), *[F.col(c).alias(s + c) for c in columns])
+    return pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").mapInArrow(f, pairs.select("a", "b").schema)
 
 
 def _verified(pairs: DataFrame, cands: DataFrame, percent: int) -> DataFrame:
-    side = lambda s: cands.select(F.col("id").alias({"x": "a", "y": "b"}[s]), *[F.col(c).alias(s + c) for c in ("n", "b", "c", "tokens")])
-    return pairs.join(side("x"), "a").join(side("y"), "b").mapInArrow(_verify(percent), pairs.select("a", "b").schema)
+    return _both_sides(pairs, cands, ["n", "b", "c", "tokens"], _verify(percent))
+
+
+def _verified_few(pairs: DataFrame, cands: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """As ``_verified``, for pairs that mostly don't link: their 16-bit marks
+    (a quarter of the bytes) are compared first, and tokens are sent only for
+    the classes that remain."""
+    left = scratch.save(_both_sides(pairs, cands, ["n", "marks"], _may_link(percent)))
+    ids = scratch.save(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return _verified(left, scratch.save(cands.join(ids, "id", "left_semi")), percent)
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

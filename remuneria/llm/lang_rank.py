@@ -129,7 +129,8 @@ def out_of_place(profiles: pd.DataFrame, size: int = PROFILE):
     names = sorted(profiles["lang"].unique())
     grams = np.unique(profiles["gram"].to_numpy(np.int64)) if len(profiles) else np.zeros(0, np.int64)
     ranks = np.full((len(grams) + 1, len(names)), 2 * size, np.int32)  # the last line: in no profile
-    ranks[np.searchsorted(grams, profiles["gram"].to_numpy(np.int64)), np.searchsorted(names, profiles["lang"].to_numpy(str)) if names else 0] = profiles["rank"]
+    if names:
+        ranks[np.searchsorted(grams, profiles["gram"].to_numpy(np.int64)), np.searchsorted(names, profiles["lang"].to_numpy(str))] = profiles["rank"]
 
     def judge(texts: pd.Series) -> pd.DataFrame:
         lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))

@@ -114,7 +114,7 @@ def test_restores_obfuscated_words(spark):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     text = "The thing was an onre. Ther hation {} eron and thes. Heen ined stion."
     planted = [(900000 + i, text.format(w), 0) for i, w in enumerate(["you 1d10t,", "i d i o t", "m0r0n", "you scum", "worthlesssss", "of", "and the", "v2"])]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string, x int").drop("x"))
