@@ -57,12 +57,12 @@ def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     text = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[head]
     x = _letters()[text]
-    end = np.flatnonzero(np.diff(row)) + 1  # a blank after each row, and one before the first
-    x = np.insert(x, end, BLANK)
-    row = np.insert(row, end, row[end - 1])
-    x = np.concatenate([[BLANK], x, [BLANK]]).astype(np.uint32)
-    row = np.concatenate([row[:1], row, row[-1:]])
-    keep = np.concatenate([[True], (x[1:] != BLANK) | (x[:-1] != BLANK)])
+    cut = np.flatnonzero(np.diff(row)) + 1
+    ends = np.stack([cut, cut], 1).ravel()  # a blank after each row and one before the next
+    owner = np.stack([row[cut - 1], row[cut]], 1).ravel()
+    x = np.concatenate([[BLANK], np.insert(x, ends, BLANK), [BLANK]]).astype(np.uint32)
+    row = np.concatenate([row[:1], np.insert(row, ends, owner), row[-1:]])
+    keep = np.concatenate([[True], (x[1:] != BLANK) | (x[:-1] != BLANK) | (row[1:] != row[:-1])])
     return x[keep], row[keep]
 
 
@@ -104,7 +104,7 @@ def _count(lang_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, codes = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
-            for first, data, offsets in wa.chunks(batch.column(1), 8 << 20):
+            for first, data, offsets in wa.chunks(batch.column(1)):
                 for row, gram, count in gram_counts(data, offsets):
                     d = pd.DataFrame({"l": codes[row + first], "g": gram, "c": count}).groupby(["l", "g"], sort=False)["c"].sum()
                     yield pa.record_batch([pa.array(langs[d.index.get_level_values(0)]), pa.array(d.index.get_level_values(1).to_numpy()),
@@ -124,6 +124,16 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> pd.DataFrame:
     return out.sort_values(["lang", "rank"], ignore_index=True)
 
 
+def _by_rank(row: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Order by row, then falling count; equals stay in their order."""
+    most, n = int(count.max()), len(row)
+    b, c = n.bit_length(), most.bit_length()
+    if int(row[-1]).bit_length() + b + c > 64:
+        return np.lexsort((-count, row))
+    key = (row.astype(np.uint64) << np.uint64(b + c)) | ((most - count).astype(np.uint64) << np.uint64(b)) | np.arange(n, dtype=np.uint64)
+    return (np.sort(key) & np.uint64((1 << b) - 1)).astype(np.int64)
+
+
 def out_of_place(profiles: pd.DataFrame, size: int = PROFILE):
     """Series of texts -> frame of (lang, score)."""
     names = sorted(profiles["lang"].unique())
@@ -135,9 +145,9 @@ def out_of_place(profiles: pd.DataFrame, size: int = PROFILE):
     def judge(texts: pd.Series) -> pd.DataFrame:
         lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         index = pd.Index(grams)
-        for first, data, offsets in wa.chunks(pa.array(texts, pa.large_string(), from_pandas=True), 8 << 20):
+        for first, data, offsets in wa.chunks(pa.array(texts, pa.large_string(), from_pandas=True)):
             for row, gram, count in gram_counts(data, offsets):
-                by = np.lexsort((gram, -count, row))
+                by = _by_rank(row, count)
                 row, gram = row[by], gram[by]
                 start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 n = np.diff(np.append(start, len(row)))

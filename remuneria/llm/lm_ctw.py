@@ -390,13 +390,14 @@ def ctw_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_byte
     salts = -(-blocks // BLOCKS_PER_TASK)
     buckets = min(MAX_BUCKETS, max(16, blocks))
     d = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).alias("block"), "doc_id", held_out.alias("held_out"), text.alias("text"))
+    # One job up to the sums of each text: what the blocks sent, and the texts
+    # themselves, are shuffled once and read again from there.
     sent = d.groupBy("block").applyInArrow(_count(depth, buckets), _SENT)
     merged = sent.groupBy("kind", "bucket", "salt").applyInArrow(_merge, _MERGED)
     grams, words = merged.filter(F.col("kind") == GRAM), merged.filter(F.col("kind") == WORD)
-    upper = _upper(scratch.save(grams.groupBy("bucket").applyInArrow(_nodes(depth), _NODES)))
+    upper = _upper(grams.groupBy("bucket").applyInArrow(_nodes(depth), _NODES))
     model = (grams.groupBy("bucket").cogroup(upper.groupBy("bucket")).applyInArrow(_gram_model(depth), _MODEL)
              .unionByName(words.groupBy("bucket").applyInArrow(_word_model, _MODEL)))
-    model = scratch.save(model)
     each = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     key = ["kind", "bucket", "salt"]
     told = sent.groupBy(*key).cogroup(each.groupBy(*key)).applyInArrow(_dispatch, _TOLD)

@@ -47,6 +47,8 @@ RANGES = 64
 FEATURES = 4096
 SAMPLE_ROWS = 16000
 BEGINNINGS = range(3, 9)
+#: A feature counts once for each of these numbers of occurrences that a text reaches.
+STEPS = np.array([1, 2, 4, 8])
 
 # What a sign may stand for, and the costs of the channel.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -96,11 +98,10 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 _LEET = re.escape("".join(LEET))
 _UNIT = rf"(?:[^\W\d_]|[{_LEET}])"
-_GAP = r"(?:[.\-_*]| )"
-#: Three or more single signs with the same kind of gap, else a word with signs of leetspeak or a letter repeated.
-SPAN = re.compile(rf"(?<![^\W_])(?<![{_LEET}]){_UNIT}(?:{_GAP}{_UNIT}(?![^\W_])){{2,}}|(?:[^\W_]|[{_LEET}])+")
-_REPEAT = re.compile(r"([^\W\d_])\1\1")
-_SIGN = re.compile(rf"[{_LEET}](?=[^\W\d_])|(?<=[^\W\d_])[0-9@|€]")
+#: From the start of a word: three or more single signs with gaps, or a word in
+#: which a sign of leetspeak touches a letter or a letter is said three times.
+SPAN = re.compile(rf"(?<![^\W_])(?<![{_LEET}])(?:{_UNIT}(?:[{re.escape(GAPS)}]{_UNIT}(?![^\W_])){{2,}}"
+                  rf"|(?:[^\W_]|[{_LEET}])*?(?:[{_LEET}](?=[^\W\d_])|(?<=[^\W\d_])[0-9@|€]|([^\W\d_])\1\1)(?:[^\W_]|[{_LEET}])*)")
 
 
 def _symbol(c: str) -> int:
@@ -152,6 +153,9 @@ def decode(span: str, log_p: list) -> str:
     return max(states.values(), key=lambda v: (v[0], v[1]))[1].rstrip(" ")
 
 
+_UNITS = wa.byte_class(words="".join(chr(c) for c in range(128) if chr(c).isalpha() or chr(c) in LEET))[0]
+
+
 def _evidence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows in which some span may have more than one path."""
     low = data | 0x20
@@ -161,13 +165,17 @@ def _evidence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     hit = np.zeros(len(data), bool)
     hit[:-1] = sign[:-1] & letter[1:]
     hit[1:] |= sign[1:] & letter[:-1]
-    if len(data) > 4:
+    if len(data) > 2:
         hit[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-        unit = letter | sign
-        hit[4:] |= unit[:-4] & gap[1:-3] & unit[2:-2] & gap[3:-1] & unit[4:]
-    at = np.searchsorted(offsets, np.flatnonzero(hit | (data == 0xE2)), "right") - 1
+    at = [np.flatnonzero(hit | (data == 0xE2))]
+    s, e = wa.bounds(data, offsets, _UNITS)
+    lead = data[s] if len(s) else data[:0]
+    single = (e - s) == 1 + (lead >= 0xC2) + (lead >= 0xE0) + (lead >= 0xF0)
+    if len(s) > 2:
+        near = (s[1:] - e[:-1] == 1) & gap[np.minimum(e[:-1], len(data) - 1)]
+        at.append(s[:-2][single[:-2] & single[1:-1] & single[2:] & near[:-1] & near[1:]])
     out = np.zeros(len(offsets) - 1, bool)
-    out[at] = True
+    out[np.searchsorted(offsets, np.concatenate(at), "right") - 1] = True
     return out
 
 
@@ -179,8 +187,6 @@ class Restorer:
 
     def _span(self, m: re.Match) -> str:
         s = m[0]
-        if not (_REPEAT.search(s) or _SIGN.search(s) or (len(s) > 4 and any(c in GAPS for c in s))):
-            return s
         if (out := self.known.get(s)) is None:
             if len(self.known) > 200_000:  # a cache, not a result
                 self.known.clear()
@@ -204,25 +210,37 @@ class Restorer:
 _LETTERS = wa.byte_class(words="abcdefghijklmnopqrstuvwxyz")
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) for each word and each beginning of a word."""
+def _per_row(data: np.ndarray, offsets: np.ndarray, chosen: pd.Index | None = None):
+    """(row, feature, count) of each word and each beginning of a word, sorted,
+    and the words per row; with ``chosen``, the position of its features there."""
     starts, lengths, hashes = wa.word_starts(data, offsets, _LETTERS, BEGINNINGS)
     row = np.searchsorted(offsets, starts, "right") - 1
-    rows, feats = [], []
+    keys = []
     for m, h in hashes.items():
-        has = slice(None) if m == 0 else lengths >= m
-        rows.append(row[has])
-        feats.append((wa.mix(h[has] + np.uint64(m)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
-    return np.concatenate(rows), np.concatenate(feats)
-
-
-def _per_row(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, count), sorted."""
-    row, feat = _features(data, offsets)
-    key = np.sort(row << FEATURE_BITS | feat)
+        has = lengths >= m
+        feat = (wa.mix(h[has] + np.uint64(m)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+        r = row[has]
+        if chosen is not None:
+            feat = chosen.get_indexer(feat)
+            r, feat = r[feat >= 0], feat[feat >= 0]
+        keys.append(r << FEATURE_BITS | feat)
+    key = np.sort(np.concatenate(keys))
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     key, count = key[start], np.diff(np.append(start, len(key)))
-    return key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1), count
+    return key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1), count, np.bincount(row, minlength=len(offsets) - 1)
+
+
+def design(row: np.ndarray, feat: np.ndarray, count: np.ndarray, words: np.ndarray, n_features: int):
+    """Sparse rows of the regression: (row, column, value). A feature has a
+    column per step of its count; the last column is the length of the text."""
+    rows, cols = [np.arange(len(words))], [np.full(len(words), n_features * len(STEPS))]
+    for i, least in enumerate(STEPS):
+        has = count >= least
+        rows.append(row[has])
+        cols.append(feat[has] * len(STEPS) + i)
+    value = np.ones(sum(map(len, rows)))
+    value[:len(words)] = np.log1p(words) / 10
+    return np.concatenate(rows), np.concatenate(cols), value
 
 
 def _restored_chunks(texts: pa.Array, restorer: Restorer):
@@ -240,7 +258,7 @@ def _count_features(log_p: np.ndarray):
             toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             rows += np.bincount(toxic, minlength=2)
             for first, data, offsets in _restored_chunks(b.column(0), restorer):
-                row, feat, _ = _per_row(data, offsets)
+                row, feat, _, _ = _per_row(data, offsets)
                 for t in (0, 1):
                     n[t] += np.bincount(feat[toxic[first + row] == t], minlength=1 << FEATURE_BITS)
         if rows.sum():
@@ -269,14 +287,13 @@ def _sample_rows(log_p: np.ndarray, chosen: np.ndarray):
         restorer, index = Restorer(log_p), pd.Index(chosen)
         for b in batches:
             for first, data, offsets in _restored_chunks(b.column(0), restorer):
-                row, feat, count = _per_row(data, offsets)
-                at = index.get_indexer(feat)
-                row, at, count = row[at >= 0], at[at >= 0], count[at >= 0]
+                row, at, count, words = _per_row(data, offsets, index)
                 edge = np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)
                 yield pa.record_batch([
                     b.column(1).slice(first, len(offsets) - 1),
                     pa.ListArray.from_arrays(edge, pa.array(at.astype(np.int32))),
-                    pa.ListArray.from_arrays(edge, pa.array(count.astype(np.int32)))], ["toxic", "f", "c"])
+                    pa.ListArray.from_arrays(edge, pa.array(count.astype(np.int32))),
+                    pa.array(words.astype(np.int64))], ["toxic", "f", "c", "words"])
     return run
 
 
@@ -299,20 +316,21 @@ def learn(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, sample_rows: in
     """(features, weights, bias) from ``docs`` (doc_id, text) that have a label."""
     scratch = Scratch(docs.sparkSession, "toxic")
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    rows = scratch.save(docs.select("doc_id", text_of().alias("text")).join(known, "doc_id").select("text", "toxic"))
+    rows = scratch.save(docs.select("doc_id", text_of().alias("text")).join(known.hint("merge"), "doc_id").select("text", "toxic"))
     told = rows.mapInArrow(_count_features(log_p), "r long, toxic binary, other binary, n1 long, n0 long").groupBy("r").applyInArrow(_tell, "f long, z double")
     chosen = np.sort(told.orderBy(F.desc("z"), "f").limit(FEATURES).toPandas()["f"].to_numpy(np.int64))
     n = rows.count()
     sample = rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
-    got = sample.mapInArrow(_sample_rows(log_p, chosen), "toxic int, f array<int>, c array<int>").toArrow()
+    got = sample.mapInArrow(_sample_rows(log_p, chosen), "toxic int, f array<int>, c array<int>, words long").toArrow()
     scratch.close()
     y = got["toxic"].to_numpy().astype(float)
     if not len(y) or not 0 < y.sum() < len(y):
         share = float(y.mean()) if len(y) else 0.0
-        return chosen[:0], np.zeros(0), 40.0 if share == 1 else float(np.log(share / (1 - share))) if share else -40.0
+        return chosen[:0], np.zeros(1), 40.0 if share == 1 else float(np.log(share / (1 - share))) if share else -40.0
     size = np.array([len(x) for x in got["f"].to_pylist()])
     f, c = (np.concatenate([np.asarray(x, np.int64) for x in got[k].to_pylist()] or [np.zeros(0, np.int64)]) for k in ("f", "c"))
-    w, bias = fit_weights(np.repeat(np.arange(len(y)), size), f, np.log1p(c), y, len(chosen))
+    row, col, value = design(np.repeat(np.arange(len(y)), size), f, c, got["words"].to_numpy(), len(chosen))
+    w, bias = fit_weights(row, col, value, y, len(chosen) * len(STEPS) + 1)
     return chosen, w, bias
 
 
@@ -326,13 +344,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, teach: Column) -> Column:
         for texts in batches:
             out = np.full(len(texts), bias)
             for first, data, offsets in _restored_chunks(pa.array(texts, pa.large_string(), from_pandas=True), restorer):
-                row, feat = _features(data, offsets)
-                at = index.get_indexer(feat)
-                key = np.sort(row[at >= 0] * len(chosen) + at[at >= 0])
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                count, key = np.diff(np.append(start, len(key))), key[start]
-                if len(key):
-                    out[first:first + len(offsets) - 1] += np.bincount(key // len(chosen), weights[key % len(chosen)] * np.log1p(count), minlength=len(offsets) - 1)
+                row, col, value = design(*_per_row(data, offsets, index), len(chosen))
+                out[first:first + len(offsets) - 1] += np.bincount(row, weights[col] * value, minlength=len(offsets) - 1)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

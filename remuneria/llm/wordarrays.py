@@ -71,7 +71,8 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
-def _bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of a chunk."""
     w = inside[data]
     first, last = w.copy(), w.copy()
     first[1:] &= ~w[:-1]
@@ -93,7 +94,7 @@ def _running(data: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def words(data: np.ndarray, offsets: np.ndarray, kind=SPACED) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word in order, words of each row)."""
-    s, e = _bounds(data, offsets, kind[0])
+    s, e = bounds(data, offsets, kind[0])
     total, down = _running(data, kind[1])
     hashes = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
     return hashes, np.diff(np.searchsorted(s, offsets))
@@ -101,7 +102,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind=SPACED) -> tuple[np.ndarra
 
 def word_starts(data: np.ndarray, offsets: np.ndarray, kind, lengths) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """(start and bytes of each word, {0: hash of the word, m: hash of its first m bytes})."""
-    s, e = _bounds(data, offsets, kind[0])
+    s, e = bounds(data, offsets, kind[0])
     total, down = _running(data, kind[1])
     piece = lambda z: (total[z] - total[s]) * down[s]
     return s, e - s, {0: piece(e), **{m: piece(np.minimum(s + m, e)) for m in lengths}}

@@ -116,7 +116,9 @@ def test_restores_obfuscated_words(spark):
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     text = "The thing was an onre. Ther hation {} eron and thes. Heen ined stion."
-    planted = [(900000 + i, text.format(w), 0) for i, w in enumerate(["you 1d10t,", "i d i o t", "m0r0n", "you scum", "worthlesssss", "of", "and the", "v2"])]
+    planted = [(900000 + i, text.format(w), 0) for i, w in enumerate([
+        "you 1d10t, m0r0n and l0ser", "i d i o t, c l o w n, s.c.u.m", "p@thetic 5tupid tr4sh", "scum, clown, idiot", "worthlesssss mooooron, sssscum",
+        "of", "and the", "v2 in 2024 b2b"])]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string, x int").drop("x"))
     got = {r.doc_id: r for r in toxic_channel.judge(more, labels, id_bucket(5) == 0).collect()}
     assert [got[900000 + i].predicted for i in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0]
