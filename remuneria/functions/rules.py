@@ -28,7 +28,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import _c, fold
+from .text import _c, fold, fold_text
 
 
 @dataclass(frozen=True)
@@ -67,9 +67,7 @@ def _pattern(keywords: Sequence[str], mode: str) -> str:
     if mode == "regex":
         return "|".join(f"(?:{k})" for k in keywords)
     if mode == "folded":
-        from .text import _ACCENT_DST, _ACCENT_SRC
-        table = str.maketrans(_ACCENT_SRC, _ACCENT_DST)
-        keywords = [k.lower().translate(table) for k in keywords]
+        keywords = [fold_text(k) for k in keywords]
     else:
         keywords = [k.lower() for k in keywords]
     return "|".join(re.escape(k) for k in keywords)
@@ -145,38 +143,8 @@ def bin_left_closed(x: Column | str, bands: Sequence[tuple[str, float | None, fl
     return expr
 
 
-def with_labels(df: DataFrame, out: str, texts, rs: RuleSet) -> DataFrame:
-    return df.withColumn(out, classify(texts, rs))
-
-
 def label_columns(df: DataFrame, specs: dict) -> DataFrame:
-    """Add label columns ``{out: (text_column, rule_set)}`` computed on the
-    DISTINCT values of the text columns and joined back (null-safe). Titles
-    and institution names repeat heavily, so the regexes run once per
-    distinct text instead of once per row. The distinct texts of all the
-    text columns come from ONE extra pass (a partial aggregation); each join
-    back is planned by AQE (broadcast when the label table is small, else
-    sort-merge)."""
-    by_text: dict[str, list] = {}
-    for out, (text, rs) in specs.items():
-        by_text.setdefault(text, []).append((out, rs))
-    texts = list(by_text)
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(t).cast("string").alias("_t"))
-                                for i, t in enumerate(texts)]))
-    distinct = df.select(pairs.alias("_p")).select("_p._i", "_p._t").distinct()
-    for i, text in enumerate(texts):
-        items = by_text[text]
-        labels = distinct.filter(F.col("_i") == i).select(
-            "_t", *[classify("_t", rs).alias(out) for out, rs in items])
-        df = df.join(labels, df[text].eqNullSafe(labels["_t"]), "left").drop("_t")
-    return df
-
-
-def classify_distinct(df: DataFrame, text: str, rs: RuleSet, out: str) -> DataFrame:
-    """Classify each DISTINCT text once, then join the labels back. Titles
-    repeat heavily, so on large tables this runs the regexes on the distinct
-    set only. The join is left to the optimizer (AQE broadcasts the label
-    table when its measured size is under the threshold, else shuffles)."""
-    labels = (df.select(F.col(text).alias("_t")).distinct()
-              .withColumn(out, classify("_t", rs)))
-    return (df.join(labels, df[text].eqNullSafe(labels["_t"]), "left").drop("_t"))
+    """Add label columns ``{out: (text_column, rule_set)}``: one CASE per set
+    in the projection, so a label that the query doesn't use is pruned and the
+    source is read once."""
+    return df.withColumns({out: classify(text, rs) for out, (text, rs) in specs.items()})

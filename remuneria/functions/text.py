@@ -18,19 +18,12 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# Rounding for published figures. Averages of cent amounts often sit EXACTLY
-# on a rounding tie (x.xxxx5); engines then disagree depending on whether
-# they round the binary value or its shortest decimal text. A nudge far
-# below the rounding unit but far above float noise makes the result stable.
-ROUND_NUDGE = 1e-8
-
-
 def rnd(x: ColumnOrName, digits: int = 4) -> Column:
-    """Half-up rounding of a published figure, stable at exact ties.
-    (A deferred quantile spec carries the digits to where it is computed.)"""
+    """Half-up rounding of a published figure. (A deferred quantile spec
+    carries the digits to where it is computed.)"""
     if not isinstance(x, (Column, str)):
         return x.with_digits(digits)
-    return F.round(_c(x) + F.lit(ROUND_NUDGE), digits)
+    return F.round(_c(x), digits)
 
 
 # --------------------------------------------------------------------- C1
@@ -55,7 +48,7 @@ def title_case(x: ColumnOrName) -> Column:
     ("l'oreal" -> "L'Oreal", "beesb2b" -> "Beesb2B"). ``initcap`` differs."""
     runs = F.regexp_extract_all(_c(x), F.lit(_RUN), 1)
     cased = F.transform(
-        runs, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1 << 30))))
+        runs, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, F.length(t)))))
     return F.when(_c(x).isNotNull(), F.array_join(cased, ""))
 
 
@@ -65,31 +58,34 @@ def clean_company(x: ColumnOrName) -> Column:
 
 
 # --------------------------------------------------------------------- C7
+def _stripped(text: str) -> str:
+    """Canonical decomposition without combining marks (the Unicode rule)."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
 def _accent_table() -> tuple[str, str]:
-    """Lower-case letters of the Latin-1 and Latin Extended-A/B blocks whose
-    canonical decomposition starts with an ASCII letter, mapped to it. Built
-    from the Unicode rule instead of a hand list, so letters such as 'ē' are
-    covered."""
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
-        ch = chr(cp)
-        if ch != ch.lower():
-            continue
-        base = unicodedata.normalize("NFD", ch)[0]
-        if base.isascii() and base.isalpha() and base != ch:
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+    """Every lower-case letter of the basic plane that the rule maps to one
+    other letter (Hangul syllables, which decompose without marks, aside)."""
+    pairs = [(ch, _stripped(ch)) for ch in map(chr, [*range(0x80, 0xAC00), *range(0xF900, 0x10000)])
+             if ch == ch.lower() and unicodedata.category(ch) != "Mn"]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 _ACCENT_SRC, _ACCENT_DST = _accent_table()
 
 
+def fold_text(text: str) -> str:
+    """``fold`` of a Python string (for keywords)."""
+    return _stripped(text.lower())
+
+
 def fold(x: ColumnOrName) -> Column:
-    """Lower case + strip accents (DIRECCIÓN -> direccion). Pure-ASCII
-    text (most rows) skips the character table."""
+    """Lower case + strip accents (DIRECCIÓN -> direccion), composed or
+    decomposed. Pure-ASCII text (most rows) skips the character table."""
     low = F.lower(_c(x))
-    return F.when(low.rlike("^[\\x00-\\x7F]*$"), low).otherwise(F.translate(low, _ACCENT_SRC, _ACCENT_DST))
+    bare = F.regexp_replace(F.translate(low, _ACCENT_SRC, _ACCENT_DST), r"\p{Mn}", "")
+    return F.when(low.rlike("^[\\x00-\\x7F]*$"), low).otherwise(bare)
 
 
 # --------------------------------------------------------------------- C3/C4
@@ -160,31 +156,10 @@ def url_quote(x: ColumnOrName) -> Column:
     return F.replace(F.url_encode(_c(x)), F.lit("+"), F.lit("%20"))
 
 
-# --------------------------------------------------------------------- C8-C12
-PROFESSIONAL_HINT = (
-    "analista|analyst|coordinador|coordinator|especialista|specialist|ejecutivo|executive|"
-    "asesor|advisor|supervisor|jefe|head|gerente|manager")
-TRAINEE_HINT = "practicante|trainee|intern|auxiliar|asistente|assistant"
-
-
-def needs_rescale(salary: ColumnOrName, role: ColumnOrName, floor: float = 2000.0) -> Column:
-    """C8 predicate: salary under ``floor`` on a professional, non-trainee
-    role (looks entered without a digit)."""
-    r = F.lower(_c(role))
-    return F.coalesce(
-        (_c(salary) < F.lit(floor)) & ~F.coalesce(r.rlike(TRAINEE_HINT), F.lit(False))
-        & F.coalesce(r.rlike(PROFESSIONAL_HINT), F.lit(False)),
-        F.lit(False))
-
-
+# --------------------------------------------------------------------- C9-C12
 def valid_salary(x: ColumnOrName, min_value: float = 0.0) -> Column:
-    """Not null and strictly above ``min_value``."""
-    return _c(x).isNotNull() & (_c(x) > F.lit(min_value))
-
-
-def zero_if_null(x: ColumnOrName) -> Column:
-    """C11."""
-    return F.coalesce(_c(x), F.lit(0.0))
+    """A number (not null, not NaN) strictly above ``min_value``."""
+    return _c(x).isNotNull() & ~F.isnan(_c(x)) & (_c(x) > F.lit(min_value))
 
 
 def cut(x: ColumnOrName, n: int) -> Column:

@@ -26,7 +26,7 @@ def merge_observations(obs: DataFrame, url: str = "url", seen: str = "seen_date"
     latest = obs.agg(F.max(seen)).scalar()
     merged = obs.groupBy(url).agg(
         F.min(seen).alias("primera_vez_visto"), F.max(seen).alias("ultima_vez_visto"),
-        F.max_by(F.struct(*fields), F.col(order)).alias("_f"))
+        F.max(F.struct(order, *fields)).alias("_f"))  # the fields break ties: a total order
     return merged.select(
         url, *[F.col("_f")[c].alias(c) for c in fields], "primera_vez_visto", "ultima_vez_visto",
         F.when(F.col("ultima_vez_visto") == latest, F.lit("vigente")).otherwise(F.lit("expirada")).alias("estado"))
@@ -51,11 +51,12 @@ def trend(hist: DataFrame, first: str = "primera_vez_visto", last: str = "ultima
 
 def recent(hist: DataFrame, as_of: str, days: int = 14, limit: int = 200,
            first: str = "primera_vez_visto", url: str = "url") -> DataFrame:
-    """H2: calls first seen in the last ``days`` days before ``as_of`` (a
-    parameter, never now()) with a non-empty url; newest first by (first
+    """H2: calls first seen in the last ``days`` days up to ``as_of`` (a
+    parameter, never now(); later ones aren't known yet) with a non-empty url; newest first by (first
     seen, url); at most ``limit`` entries (the feed cap is the feature)."""
     cutoff = F.date_sub(F.lit(as_of).cast("date"), days)
-    keep = hist.filter((F.col(first) >= cutoff) & F.col(url).isNotNull() & (F.trim(F.col(url)) != ""))
+    known = F.col(first).between(cutoff, F.lit(as_of).cast("date"))
+    keep = hist.filter(known & F.col(url).isNotNull() & (F.trim(F.col(url)) != ""))
     return keep.orderBy(F.col(first).desc(), F.col(url).desc()).limit(limit)
 
 

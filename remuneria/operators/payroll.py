@@ -6,9 +6,9 @@ period (per year for the timeline), record state OCUPADO, record type in
 the active set.
 
 Scale: the latest-period table has one row per year (bounded by the number
-of years), so it is broadcast explicitly; the state/type predicates are
-plain filters that Catalyst pushes into the scan. All figures are one
-partial+final aggregation keyed by the dimension (and year).
+of years), so it is broadcast explicitly. ``bindings.payroll_snapshot`` takes
+the month before any join and filters on the scanned columns. All figures are
+one partial+final aggregation keyed by the dimension (and year).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from ..functions.text import rnd
 
 from ..functions import rulesets as RS
 from . import rank
+from .stats import aggregate, distinct_count
 
 INCOMES = ("ING_IMPONIBLE_PERM_MENSUAL", "ING_NO_IMPONIBLE_PERM_MENSUAL", "INCENTIVO_UNICO_MENSUAL")
 
@@ -58,25 +59,25 @@ def payroll_kpis(snap: DataFrame, keys: Sequence[str] = (), with_units: bool = T
     """Heads, income per head, total yearly cost, distinct entities
     (and executing units)."""
     a = income_aggs()
-    aggs = [a["cantidad"].alias("total_servidores"),
-            rnd(a["ing_prom"], digits).alias("ingreso_promedio_mensual"),
-            rnd(F.sum(F.coalesce(F.col("COSTO_TOTAL_ANUAL"), F.lit(0.0))), digits).alias("costo_total_anual"),
-            F.count_distinct("PLIEGO").alias("n_pliegos")]
+    aggs = {"total_servidores": a["cantidad"],
+            "ingreso_promedio_mensual": rnd(a["ing_prom"], digits),
+            "costo_total_anual": rnd(F.sum(F.coalesce(F.col("COSTO_TOTAL_ANUAL"), F.lit(0.0))), digits),
+            "n_pliegos": distinct_count("PLIEGO")}
     if with_units:
-        aggs.append(F.count_distinct("UNIDAD_EJECUTORA").alias("n_unidades_ejecutoras"))
-    return snap.groupBy(*keys).agg(*aggs)
+        aggs["n_unidades_ejecutoras"] = distinct_count("UNIDAD_EJECUTORA")
+    return aggregate(snap, keys, aggs)
 
 
 def payroll_by(snap: DataFrame, keys: Sequence[str], min_heads: int | None = None,
-               digits: int = 4) -> DataFrame:
-    """Heads and income per head per key set; groups under
+               digits: int | None = 4) -> DataFrame:
+    """Heads and income per head per key set, rounded once; groups under
     ``min_heads`` dropped. NULL keys dropped (pandas groupby)."""
     src = snap
     for k in keys:
         src = src.filter(F.col(k).isNotNull())
     a = income_aggs()
     out = src.groupBy(*keys).agg(a["cantidad"].alias("cantidad"),
-                                 rnd(a["ing_prom"], digits).alias("ing_prom"))
+                                 (a["ing_prom"] if digits is None else rnd(a["ing_prom"], digits)).alias("ing_prom"))
     if min_heads is not None:
         out = out.filter(F.col("cantidad") >= min_heads)
     return out
@@ -107,35 +108,27 @@ def payroll_by_department(snap: DataFrame, entity: str = "PLIEGO",
 def entity_list(snap: DataFrame, min_heads: int = 5, cut: int = 120) -> DataFrame:
     """Entity x level x sector, >= min_heads, names cut, income rounded
     to whole soles."""
-    out = payroll_by(snap, ["PLIEGO", "NIVEL", "SECTOR"], min_heads)
+    out = payroll_by(snap, ["PLIEGO", "NIVEL", "SECTOR"], min_heads, digits=0)
     return out.select(F.substring("PLIEGO", 1, cut).alias("n"), F.col("NIVEL").alias("l"),
                       F.col("SECTOR").alias("s"), F.col("cantidad").alias("c"),
-                      rnd("ing_prom", 0).alias("i"))
+                      F.col("ing_prom").alias("i"))
 
 
-def timeline(df: DataFrame, year: str = "year", top_sectors: int = 20,
+def timeline(snap: DataFrame, year: str = "year", top_sectors: int = 20,
              materialize: bool = False) -> dict[str, DataFrame]:
-    """H5: every year at once (no per-year loop): KPIs, by regime, top
-    sectors, by occupational group; incomes rounded to whole soles.
-    ``materialize=True`` checkpoints the snapshot (the latest month of each
-    year, active rows only -- a small slice of the payroll) to the shared
-    folder once, when all four outputs are written: the raw payroll is then
-    read once instead of four times."""
-    snap = active_snapshot(df, year=year)
+    """H5: every year at once (no per-year loop) over the yearly snapshot
+    (``active_snapshot(df, year=...)``): KPIs, by regime, top sectors, by
+    occupational group; incomes rounded to whole soles. ``materialize=True``
+    writes the snapshot to the shared folder once, when all four outputs are
+    written."""
     if materialize:
-        from ..session import cut_lineage
-        snap = cut_lineage(snap)
+        from ..session import Scratch
+        snap = Scratch(snap.sparkSession, "payroll").save(snap)
     kp = payroll_kpis(snap, [year], with_units=False, digits=0)
-    by_reg = payroll_by(snap, [year, "DESC_REGIMEN_LABORAL"]).withColumn("ing_prom", rnd("ing_prom", 0))
-    by_grp = payroll_by(snap, [year, "DESC_GRUPO_OCASIONAL"]).withColumn("ing_prom", rnd("ing_prom", 0))
-    by_sec = payroll_by(snap, [year, "SECTOR"]).withColumn("ing_prom", rnd("ing_prom", 0))
+    by_reg = payroll_by(snap, [year, "DESC_REGIMEN_LABORAL"], digits=0)
+    by_grp = payroll_by(snap, [year, "DESC_GRUPO_OCASIONAL"], digits=0)
+    by_sec = payroll_by(snap, [year, "SECTOR"], digits=0)
     # the sector aggregate is one row per (year, sector); top-k per year on it
     top_sec = rank.top_k_per_group(by_sec, year, [F.col("cantidad").desc(), F.col("SECTOR").asc()],
                                    top_sectors, salt_col="SECTOR")
     return {"kpis": kp, "por_regimen": by_reg, "por_sector": top_sec, "por_grupo": by_grp}
-
-
-# names used in the blueprint
-latest_snapshot = active_snapshot
-weighted_income = income_aggs
-payroll_timeline = timeline

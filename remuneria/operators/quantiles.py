@@ -1,12 +1,7 @@
 """Exact quantiles per group without one task holding a whole group.
 
-Spark's ``percentile`` aggregate keeps a value->count map per group and
-merges all partial maps of a group in ONE task. That is fine while a
-group's distinct values are few (round salaries), and it is the default
-here (``remuneria.quantiles=aggregate``). For groups whose distinct values
-are unbounded, set ``spark.conf.set("remuneria.quantiles", "distributed")``
-(``approx`` switches every quantile to ``percentile_approx``, a bounded
-sketch, when exact figures are not required):
+Spark's ``percentile`` aggregate keeps a value -> count map per group and
+merges all partial maps of a group in one task. Here instead:
 
 1. count rows per (group, value) -- a partial/final aggregation, so a hot
    group is combined map-side;
@@ -15,37 +10,32 @@ sketch, when exact figures are not required):
    partition offsets (a hot group spans many partitions);
 3. per group, find the values at the two positions around p*(n-1) and
    interpolate linearly (same rule as ``percentile`` / pandas / DuckDB
-   ``quantile_cont``) -- again a keyed aggregation.
+   ``quantile_cont``). The group's start and size are joined on (group,
+   range partition), so a hot group stays spread here too.
 
-No step sorts a whole group in one task; the ranked table is checkpointed
-to the shared folder so partition ids and offsets agree (and survive an
-executor loss).
+No step sorts a whole group in one task; the ranked table is written to the
+shared folder so partition ids and offsets agree (and survive an executor
+loss). NULL and NaN values are missing; a NULL key is a group like any other.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import Scratch
 
-CONF_KEY = "remuneria.quantiles"
 
-
-def method(spark) -> str:
-    return spark.conf.get(CONF_KEY, "aggregate")
-
-
-def weighted_prefix(df: DataFrame, order: Sequence[str], weight: str, out: str = "_cum",
-                    partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``weight`` over a TOTAL order of ``df``."""
+def ranked(df: DataFrame, order: Sequence[str], weight: str, partitions: int | None = None) -> DataFrame:
+    """Adds ``_cum``, the inclusive running sum of ``weight`` over a TOTAL
+    order of ``df``, and ``_pid``, the range partition of the row."""
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) for c in order]
     ranged = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    ranged = Scratch(spark, "ranked").save(ranged)
     local = ranged.withColumn("_local", F.sum(weight).over(
         Window.partitionBy("_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)))
     totals = ranged.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
@@ -53,24 +43,34 @@ def weighted_prefix(df: DataFrame, order: Sequence[str], weight: str, out: str =
     offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))
+            .withColumn("_cum", F.col("_off") + F.col("_local")).drop("_off", "_local"))
+
+
+def weighted_prefix(df: DataFrame, order: Sequence[str], weight: str, out: str = "_cum",
+                    partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``weight`` over a TOTAL order of ``df``."""
+    return ranked(df, order, weight, partitions).drop("_pid").withColumnRenamed("_cum", out)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & a[k].eqNullSafe(b["_k_" + k])
+    return cond
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles ``{name: p}`` of ``value`` per
-    group (NULL values ignored; NULL keys dropped). One row per group."""
+    group; one row per group that has a value. Without keys: one row."""
     keys = list(keys)
-    src = df
-    if not keys:
-        src = src.withColumn("_all", F.lit(1))
-        keys = ["_all"]
     v = F.col(value)
-    for k in keys:
-        src = src.filter(F.col(k).isNotNull())
-    counts = src.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    ranked = weighted_prefix(counts, [*keys, value], "_w")
-    groups = ranked.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_w")).alias("_start"), F.sum("_w").alias("_n"))
-    r = ranked.join(groups, keys)
+    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    r = ranked(counts, [*keys, value], "_w")
+    groups = r.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_w")).alias("_start"), F.sum("_w").alias("_n"),
+                                  F.min("_pid").alias("_lo"), F.max("_pid").alias("_hi"))
+    groups = groups.select(*[F.col(k).alias("_k_" + k) for k in keys], "_start", "_n",
+                           F.explode(F.sequence("_lo", "_hi")).alias("_p"))
+    r = r.join(groups, (r["_pid"] == groups["_p"]) & _same(r, groups, keys))
     first = F.col("_cum") - F.col("_w") - F.col("_start")      # 0-based position of the first copy
     past = F.col("_cum") - F.col("_start")                       # one past the last copy
     aggs, finals = [], []

@@ -3,13 +3,13 @@
 All are one ``groupBy().agg()`` each, so Spark runs a partial (map-side)
 aggregation before the shuffle: a key holding a third of the rows is
 combined per task first and only one partial row per task crosses the
-network. Exact ``percentile``/``median`` keep a value->count map per group;
-pass ``exact=False`` to switch to ``percentile_approx`` (bounded sketch)
-when the distinct values of one group are unbounded.
+network. Quantiles are exact and come from ``quantiles.group_quantiles``,
+which spreads a hot group over many tasks; a single quantile asked for with
+``exact=False`` uses ``percentile_approx`` (a bounded sketch).
 
 Results that feed a second step (share of total, scaled to max, histogram
-edges) read a one-row aggregate as a scalar subquery (``DataFrame.scalar``):
-Spark runs it once and inlines the value, no join.
+edges) read a one-row aggregate as one scalar subquery (``DataFrame.scalar``)
+holding a struct of all figures: Spark runs it once and inlines the value.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ from . import rank
 
 
 class Quantile:
-    """An exact quantile inside an aggregation dict (``group_stats``,
-    ``aggregate``). It is computed either by the built-in ``percentile``
-    aggregate (default) or by the distributed method of ``quantiles.py``,
-    chosen by the session setting ``remuneria.quantiles``."""
+    """A quantile inside an aggregation dict (``group_stats``, ``aggregate``);
+    approximate only where ``exact=False`` is asked for in this very call.
+    NULL and NaN values are missing."""
 
     def __init__(self, value, p: float, digits: int | None = None, exact: bool = True):
         self.value, self.p, self.digits, self.exact = value, float(p), digits, exact
@@ -70,18 +69,22 @@ def median(v: Column | str, exact: bool = True) -> Quantile:
     return Quantile(v, 0.5, exact=exact)
 
 
+def mean_of_cents(value: Column | str, digits: int = 4) -> Column:
+    """Mean of amounts with two decimals, rounded half up: summed as DECIMAL,
+    so a mean that stands exactly on a tie doesn't depend on the order of the sum."""
+    cents = (F.col(value) if isinstance(value, str) else value).cast("decimal(18,2)")
+    return F.round(F.try_divide(F.sum(cents), F.count(cents)), digits).cast("double")
+
+
 def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Quantile]) -> DataFrame:
-    """``groupBy(keys).agg(aggs)`` where some outputs may be quantiles.
-    Built-in method: all quantiles of one value share ONE ``percentile``
-    call (one value map per group). Distributed method: quantiles come from
-    ``quantiles.group_quantiles`` and are joined on the keys."""
+    """``groupBy(keys).agg(aggs)`` where some outputs may be quantiles or
+    distinct counts. All exact quantiles of one value share one ranked table;
+    the parts are put together on the keys (null-safe), or read as scalars
+    where there are no keys."""
     keys = list(keys)
     dist = {n: e for n, e in aggs.items() if isinstance(e, DistinctCount)}
     plain = {n: e for n, e in aggs.items() if not isinstance(e, (Quantile, DistinctCount))}
     qs = {n: e for n, e in aggs.items() if isinstance(e, Quantile)}
-    if dist and not plain and not qs:
-        plain = {n: F.count_distinct(F.col(d.col)) for n, d in dist.items()}
-        dist = {}
     src, value_cols = df, {}
     for n, q in qs.items():
         if isinstance(q.value, str):
@@ -89,49 +92,38 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Qu
         else:
             value_cols[n] = f"_qv_{n}"
             src = src.withColumn(value_cols[n], q.value)
-    method = Q.method(df.sparkSession)
-    distributed = method == "distributed"
-    cols = [e.alias(n) for n, e in plain.items()]
-    finals = {}
-    by_value: dict[str, list[str]] = {}
     for n, q in qs.items():
-        by_value.setdefault(value_cols[n], []).append(n)
-    if not distributed:
-        for vcol, names in by_value.items():
-            exact = all(qs[n].exact for n in names) and method != "approx"
-            probs = F.array(*[F.lit(qs[n].p) for n in names])
-            arr = F.percentile(F.col(vcol), probs) if exact else F.percentile_approx(F.col(vcol), probs, 10000)
-            tmp = f"_qa_{vcol}"
-            cols.append(arr.alias(tmp))
-            for i, n in enumerate(names):
-                finals[n] = F.col(tmp)[i]
-    out = src.groupBy(*keys).agg(*cols) if cols else src.select(*keys).distinct()
-    if distributed and qs:
-        key_or_all = keys or ["_all"]
-        if not keys:
-            out = out.withColumn("_all", F.lit(1))
-        for vcol, names in by_value.items():
-            probs = {f"_qd_{n}": qs[n].p for n in names}
-            qdf = Q.group_quantiles(src, keys, vcol, probs)
-            out = out.join(qdf, key_or_all, "left")
-            for n in names:
-                finals[n] = F.col(f"_qd_{n}")
-    if dist:
-        dkeys = keys or ["_all"]
-        dsrc = src if keys else src.withColumn("_all", F.lit(1))
-        dagg = dsrc.groupBy(*dkeys).agg(*[F.count_distinct(F.col(d.col)).alias(n) for n, d in dist.items()])
-        if not keys and "_all" not in out.columns:
-            out = out.withColumn("_all", F.lit(1))
-        out = _join_keys(out, dagg, dkeys)
-        for n, d in dist.items():
-            out = out.withColumn(n, F.coalesce(F.col(n), F.lit(0)))
+        if not q.exact:
+            v = F.col(value_cols[n])
+            plain[n] = F.percentile_approx(F.when(~F.isnan(v), v), F.lit(q.p), 10000)
+    by_value: dict[str, dict[str, float]] = {}
+    for n, q in qs.items():
+        if q.exact:
+            by_value.setdefault(value_cols[n], {})[n] = q.p
+    parts = [Q.group_quantiles(src, keys, vcol, probs) for vcol, probs in by_value.items()]
+    # each distinct count by itself: first the distinct (keys, value), then their number
+    for n, d in dist.items():
+        parts.append(src.filter(F.col(d.col).isNotNull()).select(*keys, d.col).distinct()
+                     .groupBy(*keys).agg(F.count(F.lit(1)).alias(n)))
+    if keys:
+        out = src.groupBy(*keys).agg(*[e.alias(n) for n, e in plain.items()]) if plain else src.select(*keys).distinct()
+        for part in parts:
+            out = _join_keys(out, part, keys)
+    else:
+        out = src.agg(*[e.alias(n) for n, e in plain.items()]) if plain else None
+        scalars = {}
+        for part in parts:
+            row = part.select(F.struct(*part.columns)).scalar()
+            scalars.update({c: row[c] for c in part.columns})
+        if out is None:
+            out = src.agg(F.count(F.lit(1)).alias("_rows"))
+        out = out.withColumns(scalars) if scalars else out
     sel = [F.col(k) for k in keys]
     for n in aggs:
-        if n in qs:
-            e = finals[n]
-            sel.append((rnd(e, qs[n].digits) if qs[n].digits is not None else e).alias(n))
-        else:
-            sel.append(F.col(n))
+        e = F.coalesce(F.col(n), F.lit(0)) if n in dist else F.col(n)
+        if n in qs and qs[n].digits is not None:
+            e = rnd(e, qs[n].digits)
+        sel.append(e.alias(n))
     return out.select(*sel)
 
 
@@ -229,11 +221,8 @@ def scaled_to_max(agg: DataFrame, cols: Sequence[str], suffix: str = "_scaled",
                   digits: int = 4) -> DataFrame:
     """Each column / its maximum over the table x 100. ``agg`` is
     already one row per key; the maxima are one row."""
-    out = agg
-    for c in cols:
-        mx = agg.agg(F.max(c)).scalar()
-        out = out.withColumn(c + suffix, rnd(F.try_divide(F.col(c), mx) * 100, digits))
-    return out
+    most = agg.agg(F.struct(*[F.max(c).alias(c) for c in cols])).scalar()
+    return agg.withColumns({c + suffix: rnd(F.try_divide(F.col(c), most[c]) * 100, digits) for c in cols})
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, cap: float | None = None,
@@ -241,33 +230,35 @@ def histogram(df: DataFrame, value: str, bins: int = 30, cap: float | None = Non
     """Equal-width bins between min and max (numpy semantics: the last bin
     is closed on the right). Every bin is returned, empty ones with 0."""
     v = F.col(value)
-    src = df.filter(v.isNotNull())
+    src = df.filter(v.isNotNull() & ~F.isnan(v))
     if cap is not None:
         src = src.filter(v <= cap)
-    edges = src.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    lo, hi = edges.select("_lo").scalar(), edges.select("_hi").scalar()
-    width = hi - lo
+    edges = src.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("e"))
+    e = edges.scalar()
+    width = e["hi"] - e["lo"]
     idx = F.when(width == 0, F.lit(1)).otherwise(
-        F.least(F.floor((v - lo) * bins / width) + 1, F.lit(bins)))
+        F.least(F.floor((v - e["lo"]) * bins / width) + 1, F.lit(bins)))
     counts = src.groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    # the bin axis derives from the data's own min/max row (empty input -> no bins)
-    grid = edges.filter(F.col("_lo").isNotNull()).select(
-        "_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    w = (F.col("_hi") - F.col("_lo")) / bins
-    return (grid.join(counts, "bin", "left")
-            .select("bin",
-                    rnd(F.col("_lo") + (F.col("bin") - 1) * w, digits).alias("bin_lo"),
-                    rnd(F.col("_lo") + F.col("bin") * w, digits).alias("bin_hi"),
-                    F.coalesce(F.col("n"), F.lit(0)).alias("n")))
-
-
-def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, chunk: int = 15) -> DataFrame:
+    # one row per bin, empty ones too: all bins with 0, added to the counts (empty input -> no bins)
+    grid = counts.limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), F.lit(0).cast("long").alias("n"))
+    out = counts.unionByName(grid).groupBy("bin").agg(F.sum("n").alias("n"))
+    w = width / bins
+    return out.select("bin", rnd(e["lo"] + (F.col("bin") - 1) * w, digits).alias("bin_lo"),
+                      rnd(e["lo"] + F.col("bin") * w, digits).alias("bin_hi"), "n")
+
+
+def histogram_lines(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
+    """The mean and median lines of the chart, over all values (the bars
+    may be capped)."""
+    return aggregate(df, [], {"mean": rnd(F.avg(value), digits), "median": rnd(median(value), digits)})
+
+
+def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair, long form
     (var_a, var_b, r). Each unordered pair is one r = cov / (sx * sy) over
     the rows where both sides are present (NaN counts as missing, as in
     pandas), built from Spark's stable one-pass covariance / deviation
-    aggregates inside ONE aggregation per ``chunk`` of pairs (few enough
-    buffers to stay in generated code). A zero-variance side gives NULL
+    aggregates, all pairs in ONE aggregation. A zero-variance side gives NULL
     (``try_divide``: no ANSI error); the diagonal is 1 where the variance is
     positive. Both orders of a pair come from the same aggregate row."""
     items = []
@@ -282,19 +273,12 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, chunk: int
                 xm, ym = F.when(ok, x), F.when(ok, y)
                 r = F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))
             items.append((cols[i], cols[j], r))
-    parts = []
-    for k in range(0, len(items), chunk):
-        part = items[k:k + chunk]
-        one = df.agg(*[r.alias(f"_r{n}") for n, (_, _, r) in enumerate(part)])
-        cells = []
-        for n, (a, b, _) in enumerate(part):          # both (a, b) and (b, a) from the same row
-            cells.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"_r{n}").alias("r")))
-            if a != b:
-                cells.append(F.struct(F.lit(b).alias("var_a"), F.lit(a).alias("var_b"), F.col(f"_r{n}").alias("r")))
-        parts.append(one.select(F.explode(F.array(*cells)).alias("_p")).select("_p.*"))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
+    one = df.agg(*[r.alias(f"_r{n}") for n, (_, _, r) in enumerate(items)])
+    cells = []
+    for n, (a, b, _) in enumerate(items):
+        for p, q in {(a, b), (b, a)}:
+            cells.append(F.struct(F.lit(p).alias("var_a"), F.lit(q).alias("var_b"), F.col(f"_r{n}").alias("r")))
+    out = one.select(F.explode(F.array(*cells)).alias("_p")).select("_p.*")
     return out.select("var_a", "var_b", rnd(F.col("r"), digits).alias("r"))
 
 
@@ -311,13 +295,21 @@ def word_freq(df: DataFrame, text: str, value: str, tiebreak: str, top_share: fl
               n: int = 15, min_len: int = 4) -> DataFrame:
     """Words of the titles in the top ``top_share`` rows by value
     (k = floor(share x rows)); the n most common words, then only words of at
-    least ``min_len`` letters. The top-k is found with a distributed global
-    row number, never a k-row limit through one task."""
-    k = df.select(F.floor(F.count(F.lit(1)) * top_share)).scalar()
-    numbered = rank.global_row_number(
-        df.select(text, value, tiebreak),
-        [F.col(value).desc_nulls_last(), F.col(tiebreak).asc()], "_rn")
-    words = (numbered.filter(F.col("_rn") <= k)
+    least ``min_len`` letters. Rows are counted per value; rows above the
+    value at which the k-th row falls are in, and only its ties are ordered."""
+    v = F.col(value)
+    per = df.groupBy(value).agg(F.count(F.lit(1)).alias("_w")).withColumn("_last", v.isNull())
+    per = per.withColumn("_down", -v)
+    k = F.floor(per.agg(F.sum("_w")).scalar() * top_share)
+    run = rank_weights(per, ["_last", "_down"])
+    cut = run.filter(F.col("_cum") <= k).agg(F.struct(F.max(F.struct("_last", "_down")).alias("at"), F.max("_cum").alias("taken"))).scalar()
+    at = run.filter(F.col("_cum") > k).agg(F.min(F.struct("_last", "_down"))).scalar()
+    place = F.struct(v.isNull().alias("_last"), (-v).alias("_down"))
+    rows = df.select(text, tiebreak, place.alias("_at"))
+    above = rows.filter(at.isNull() | (F.col("_at") < at)).select(text)
+    ties = rows.filter(F.col("_at") == at).withColumn("_one", F.lit(1))
+    ties = rank_weights(ties, [tiebreak], "_one").filter(F.col("_cum") <= k - F.coalesce(cut["taken"], F.lit(0))).select(text)
+    words = (above.unionByName(ties)
              .select(F.explode(F.split(F.lower(F.trim(F.col(text))), r"\s+")).alias("word"))
              .filter(F.col("word") != ""))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -325,10 +317,14 @@ def word_freq(df: DataFrame, text: str, value: str, tiebreak: str, top_share: fl
     return top.filter(F.length("word") >= min_len)
 
 
-def scatter_projection(df: DataFrame, cols: Sequence[str], fraction: float, seed: int = 7) -> DataFrame:
-    """Numeric projection for a scatter matrix; a Bernoulli sample (the
-    sampling IS the feature: a chart never needs every point)."""
-    return df.select(*cols).sample(withReplacement=False, fraction=fraction, seed=seed)
+def rank_weights(df: DataFrame, order: Sequence[str], weight: str = "_w") -> DataFrame:
+    """Adds ``_cum``, the running sum of ``weight`` in ``order`` (total)."""
+    return Q.weighted_prefix(df, order, weight)
+
+
+def scatter_projection(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Numeric projection for a scatter matrix, every row."""
+    return df.select(*cols)
 
 
 def interpolated_percentile(value: Column | str, breakpoints: Column, levels: Sequence[float]) -> Column:

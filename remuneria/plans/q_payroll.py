@@ -17,11 +17,11 @@ BIND_DEPARTMENTS = [f"NATION_{i}" for i in range(1, 10)]
 
 
 def _snap_year(spark, sf):
-    return P.active_snapshot(B.payroll(spark, sf), year="year")
+    return B.payroll_snapshot(spark, sf, by_year=True)
 
 
 def _snap(spark, sf):
-    return P.active_snapshot(B.payroll(spark, sf))
+    return B.payroll_snapshot(spark, sf)
 
 
 @query("payroll_income_by_regime_year", "J5 W5 R28 A31 A32 H5", f"""
@@ -29,7 +29,7 @@ WITH {PAYROLL}
 SELECT year, DESC_REGIMEN_LABORAL, {HEADS} AS cantidad, round({ING_PROM}, 0) AS ing_prom
 FROM snap_year GROUP BY year, DESC_REGIMEN_LABORAL""")
 def payroll_income_by_regime_year(spark, sf):
-    return P.timeline(B.payroll(spark, sf))["por_regimen"]
+    return P.timeline(_snap_year(spark, sf))["por_regimen"]
 
 
 @query("payroll_timeline_kpis", "H5 A30 A31 C11", f"""
@@ -39,7 +39,7 @@ SELECT year, {HEADS} AS total_servidores, round({ING_PROM}, 0) AS ingreso_promed
        count(DISTINCT PLIEGO) AS n_pliegos
 FROM snap_year GROUP BY year""")
 def payroll_timeline_kpis(spark, sf):
-    return P.timeline(B.payroll(spark, sf))["kpis"]
+    return P.timeline(_snap_year(spark, sf))["kpis"]
 
 
 @query("payroll_timeline_top_sectors", "H5 W3", f"""
@@ -50,7 +50,7 @@ SELECT year, SECTOR, cantidad, ing_prom, rank_in_group FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY cantidad DESC, SECTOR) AS INTEGER) AS rank_in_group
   FROM agg) WHERE rank_in_group <= 20""")
 def payroll_timeline_top_sectors(spark, sf):
-    return P.timeline(B.payroll(spark, sf), top_sectors=20)["por_sector"]
+    return P.timeline(_snap_year(spark, sf), top_sectors=20)["por_sector"]
 
 
 @query("payroll_timeline_by_group", "H5", f"""
@@ -58,7 +58,7 @@ WITH {PAYROLL}
 SELECT year, DESC_GRUPO_OCASIONAL, {HEADS} AS cantidad, round({ING_PROM}, 0) AS ing_prom
 FROM snap_year GROUP BY year, DESC_GRUPO_OCASIONAL""")
 def payroll_timeline_by_group(spark, sf):
-    return P.timeline(B.payroll(spark, sf))["por_grupo"]
+    return P.timeline(_snap_year(spark, sf))["por_grupo"]
 
 
 @query("payroll_kpis_latest", "J5 R28 A30 A31", f"""
@@ -118,15 +118,15 @@ def payroll_by_department(spark, sf):
 @query("payroll_sector_regime", "A34", f"""
 WITH {PAYROLL}
 SELECT SECTOR, DESC_REGIMEN_LABORAL, {HEADS} AS cantidad, round({ING_PROM}, 4) AS ing_prom
-FROM snap GROUP BY SECTOR, DESC_REGIMEN_LABORAL HAVING {HEADS} >= 100""")
+FROM snap GROUP BY SECTOR, DESC_REGIMEN_LABORAL HAVING {HEADS} >= 20""")
 def payroll_sector_regime(spark, sf):
-    return P.payroll_by(_snap(spark, sf), ["SECTOR", "DESC_REGIMEN_LABORAL"], min_heads=100)
+    return P.payroll_by(_snap(spark, sf), ["SECTOR", "DESC_REGIMEN_LABORAL"], min_heads=20)
 
 
 @query("payroll_entity_list", "A35 C12", f"""
 WITH {PAYROLL}
 SELECT substr(PLIEGO, 1, 120) AS n, NIVEL AS l, SECTOR AS s, {HEADS} AS c,
-       round(round({ING_PROM}, 4), 0) AS i
+       round({ING_PROM}, 0) AS i
 FROM snap GROUP BY PLIEGO, NIVEL, SECTOR HAVING {HEADS} >= 5""")
 def payroll_entity_list(spark, sf):
     return P.entity_list(_snap(spark, sf), min_heads=5)
@@ -136,9 +136,9 @@ def payroll_entity_list(spark, sf):
 WITH {PAYROLL},
 agg AS (SELECT PLIEGO, {HEADS} AS cantidad, round({ING_PROM}, 4) AS ing_prom
         FROM snap GROUP BY PLIEGO)
-SELECT * FROM agg WHERE cantidad >= 200 ORDER BY cantidad DESC, PLIEGO LIMIT 30""")
+SELECT * FROM agg WHERE cantidad >= 40 ORDER BY cantidad DESC, PLIEGO LIMIT 30""")
 def payroll_large_entities(spark, sf):
-    agg = P.payroll_by(_snap(spark, sf), ["PLIEGO"], min_heads=200)
+    agg = P.payroll_by(_snap(spark, sf), ["PLIEGO"], min_heads=40)
     return agg.orderBy(F.col("cantidad").desc(), F.col("PLIEGO").asc()).limit(30)
 
 
@@ -148,6 +148,5 @@ WITH {PAYROLL}, latest AS (SELECT * FROM payroll WHERE PERIODO = (SELECT max(PER
 c AS (SELECT DESC_TIPO_REGISTRO, count(*) AS n FROM latest GROUP BY DESC_TIPO_REGISTRO)
 SELECT DESC_TIPO_REGISTRO, n, round(n * 100.0 / (SELECT sum(n) FROM c), 4) AS pct FROM c""")
 def payroll_record_types(spark, sf):
-    p = B.payroll(spark, sf)
-    latest = P.active_snapshot(p, types=["Activos", "Contrato Administrativo de Servicios", "Pensionistas"])
+    latest = B.payroll_snapshot(spark, sf, flags=("R", "A", "N"))
     return S.share(latest, "DESC_TIPO_REGISTRO")

@@ -3,6 +3,7 @@ C8-C10, C16, C21, J1, J2, J4, U3, U5, W1, W2, T1, T5, X1-X5, M1, M2, M4)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rnd
@@ -22,6 +23,8 @@ from .sql_rules import any_of, case, in_list, q
 
 W = f"WITH {POSTINGS}"
 V = "salario_promedio"
+#: Mean of cents, half up at four digits, in whole numbers.
+MEAN4 = f"((2 * sum(CAST(round({V} * 100) AS HUGEINT)) * 100 + count({V})) // (2 * count({V})) / 10000.0)"
 
 
 def _p(spark, sf):
@@ -165,13 +168,16 @@ def company_scatter(spark, sf):
 @query("company_sector_bubbles", "A25 J1 W2", f"""{W},
 sized AS (SELECT p.*, s.empresa_size FROM postings p JOIN
           (SELECT empresa, count(*) AS empresa_size FROM postings GROUP BY empresa) s USING (empresa))
-SELECT empresa, sector, round(avg({V}), 4) AS salario_avg, max(empresa_size) AS num_empleados,
+SELECT empresa, sector, {MEAN4} AS salario_avg, max(empresa_size) AS num_empleados,
        count(puesto) AS num_puestos FROM sized WHERE empresa IS NOT NULL AND sector IS NOT NULL
 GROUP BY empresa, sector""")
 def company_sector_bubbles(spark, sf):
-    p = K.group_size(_p(spark, sf), "empresa", "empresa_size")
-    return S.group_stats(p, ["empresa", "sector"], {
-        "salario_avg": r4(F.avg(V)), "num_empleados": F.max("empresa_size"), "num_puestos": F.count("puesto")})
+    # company and sector first; the company's size is a sum over that small table
+    g = S.group_stats(_p(spark, sf), ["empresa", "sector"], {
+        "salario_avg": S.mean_of_cents(V), "_n": F.count(F.lit(1)), "num_puestos": F.count("puesto")}, drop_null_keys=False)
+    size = g.groupBy("empresa").agg(F.sum("_n").alias("num_empleados"))
+    return g.filter("empresa is not null and sector is not null").join(size, "empresa").select(
+        "empresa", "sector", "salario_avg", "num_empleados", "num_puestos")
 
 
 @query("company_size_rank", "J1 J2 W1 W2 R26", f"""{W},
@@ -650,17 +656,26 @@ def top20_word_freq(spark, sf):
     return S.word_freq(_p(spark, sf), "puesto", V, "posting_id", 0.2, 15, 4)
 
 
-@query("scatter_projection", "X5")
+@query("scatter_projection", "X5 J2 W1 W2", f"""{W},
+size AS (SELECT empresa, count(*) AS empresa_size FROM postings GROUP BY empresa),
+ranks AS (SELECT empresa, CAST(row_number() OVER (ORDER BY m DESC NULLS LAST, empresa) AS INTEGER) AS empresa_rank
+          FROM (SELECT empresa, avg(salario_promedio) AS m FROM postings GROUP BY empresa))
+SELECT posting_id, salario_promedio, empresa_size, empresa_rank FROM postings JOIN size USING (empresa) JOIN ranks USING (empresa)""")
 def scatter_projection(spark, sf):
-    p = K.group_size(_p(spark, sf), "empresa", "empresa_size")
-    return S.scatter_projection(p, [V, "empresa_size", "sector"], fraction=0.05)
+    """Every posting with the size and the rank (by mean salary) of its company."""
+    p = _p(spark, sf)
+    per = p.groupBy("empresa").agg(F.count(F.lit(1)).alias("empresa_size"), F.avg(V).alias("_m"))
+    # one row per company: the window is over the aggregate, not over postings
+    order = Window.orderBy(F.col("_m").desc_nulls_last(), F.col("empresa").asc())
+    per = per.withColumn("empresa_rank", F.row_number().over(order)).drop("_m")
+    return S.scatter_projection(p.join(per, "empresa"), ["posting_id", V, "empresa_size", "empresa_rank"])
 
 
 # ------------------------------------------------------------------ grids / trees
 @query("grid_role_company", "M1 J4 U3 T2", f"""{W},
 tr AS (SELECT puesto FROM postings WHERE puesto IS NOT NULL GROUP BY puesto ORDER BY count(*) DESC, puesto LIMIT 15),
 te AS (SELECT empresa FROM postings WHERE empresa IS NOT NULL GROUP BY empresa ORDER BY count(*) DESC, empresa LIMIT 10)
-SELECT puesto, empresa, round(avg({V}), 4) AS mean, count(*) AS n FROM postings
+SELECT puesto, empresa, {MEAN4} AS mean, count(*) AS n FROM postings
 WHERE puesto IN (SELECT puesto FROM tr) AND empresa IN (SELECT empresa FROM te) GROUP BY puesto, empresa""")
 def grid_role_company(spark, sf):
     p = _p(spark, sf)
@@ -668,7 +683,7 @@ def grid_role_company(spark, sf):
     roles = K.top_keys(p, "puesto", 15).select("puesto")
     firms = K.top_keys(p, "empresa", 10).select("empresa")
     p = p.join(F.broadcast(roles), "puesto", "left_semi").join(F.broadcast(firms), "empresa", "left_semi")
-    return p.groupBy("puesto", "empresa").agg(r4(F.avg(V)).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return p.groupBy("puesto", "empresa").agg(S.mean_of_cents(V).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 def _level_list_sql():

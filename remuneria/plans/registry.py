@@ -44,8 +44,7 @@ def query(name: str, ids: str, sql: str | None = None):
         QUERIES[name] = fn
         IDS[name] = ids
         if sql is not None:
-            # same tie-stable rounding as functions.text.rnd
-            ORACLE[name] = _bigint_count_if(sql.replace("round(", "round(1e-8 + "))
+            ORACLE[name] = _bigint_count_if(sql)
         return fn
     return deco
 

@@ -35,9 +35,9 @@ OBSERVATIONS = """obs AS (
 HISTORY = OBSERVATIONS + """,
 hist AS (
   SELECT url,
-         arg_max(institucion, seen_ts) AS institucion, arg_max(puesto, seen_ts) AS puesto,
-         arg_max(departamento, seen_ts) AS departamento, arg_max(salario, seen_ts) AS salario,
-         arg_max(fecha_limite, seen_ts) AS fecha_limite,
+         arg_max(institucion, (seen_ts, institucion, puesto, departamento, salario, fecha_limite)) AS institucion, arg_max(puesto, (seen_ts, institucion, puesto, departamento, salario, fecha_limite)) AS puesto,
+         arg_max(departamento, (seen_ts, institucion, puesto, departamento, salario, fecha_limite)) AS departamento, arg_max(salario, (seen_ts, institucion, puesto, departamento, salario, fecha_limite)) AS salario,
+         arg_max(fecha_limite, (seen_ts, institucion, puesto, departamento, salario, fecha_limite)) AS fecha_limite,
          min(seen_date) AS primera_vez_visto, max(seen_date) AS ultima_vez_visto,
          CASE WHEN max(seen_date) = (SELECT max(seen_date) FROM obs) THEN 'vigente' ELSE 'expirada' END AS estado
   FROM obs GROUP BY url)"""

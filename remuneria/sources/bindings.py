@@ -93,14 +93,32 @@ def observations_from_events(ev: DataFrame) -> DataFrame:
     )
 
 
-def payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Government payroll: one row per line item.
+def payroll_snapshot(spark: SparkSession, sf_dir: str, by_year: bool = False,
+                     flags: tuple[str, ...] = ("R", "A")) -> DataFrame:
+    """J5 + R28 on the source tables: the payroll rows of the latest month (of
+    each year with ``by_year``) with active state and type. The month comes
+    from the line items alone, before any join, and the month, state and type
+    filters stand on the scanned columns."""
+    li = table(spark, sf_dir, "lineitem")
+    active = li.filter((F.col("l_linestatus") == "O") & F.col("l_returnflag").isin(*flags))
+    if by_year:
+        months = li.groupBy(F.year("l_shipdate").alias("_y")).agg(F.trunc(F.max("l_shipdate"), "month").alias("_m"))
+        # one row per year: bounded by the number of years, safe to broadcast
+        active = active.join(F.broadcast(months.select("_m")), F.trunc("l_shipdate", "month") == F.col("_m"), "left_semi")
+    else:
+        latest = li.agg(F.trunc(F.max("l_shipdate"), "month")).scalar()
+        active = active.filter(F.col("l_shipdate") >= latest.cast("timestamp_ntz"))
+    return payroll(spark, sf_dir, active)
+
+
+def payroll(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Government payroll: one row per line item (of ``lines`` when given).
     PERIODO=yyyyMM of ship date, year; ESTADO from line status ('O' ->
     OCUPADO); type from return flag (R -> Activos, A -> CAS, N ->
     Pensionistas); CANTIDAD=quantity; incomes from price, discount, tax;
     regime=order priority, SECTOR=market segment, PLIEGO=nation,
     NIVEL=region, unit=supplier, group=part type."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem") if lines is None else lines
     od = table(spark, sf_dir, "orders")
     cu = table(spark, sf_dir, "customer")
     na = table(spark, sf_dir, "nation")

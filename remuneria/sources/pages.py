@@ -47,9 +47,49 @@ LD_ITEM = T.ArrayType(T.StructType([
 ]))
 
 
+# The named entities of page text; '&amp;' must come last.
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+            ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"),
+            ("&ntilde;", "ñ"), ("&Aacute;", "Á"), ("&Eacute;", "É"), ("&Iacute;", "Í"), ("&Oacute;", "Ó"),
+            ("&Uacute;", "Ú"), ("&Ntilde;", "Ñ"), ("&amp;", "&")]
+NUMERIC_ENTITY = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a code point, through its UTF-32 bytes."""
+    ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE")).otherwise(F.lit("\ufffd"))
+
+
+def unescape_html(x: Column) -> Column:
+    """Named and numeric entities to characters; a text without '&' is left alone."""
+    named = x
+    for entity, char in ENTITIES[:-1]:
+        named = F.replace(named, F.lit(entity), F.lit(char))
+
+    def one(m: Column) -> Column:
+        digits = F.substring(m, 3, F.length(m) - 3)
+        is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
+        value = F.when(is_hex, F.conv(F.substring(digits, 2, F.length(digits)), 16, 10)).otherwise(digits)
+        return _code_point(value.cast("bigint"))
+
+    # the text between numeric entities, and the entities, interleaved
+    between = F.split(named, NUMERIC_ENTITY, -1)
+    found = F.regexp_extract_all(named, F.lit(NUMERIC_ENTITY), 0)
+    joined = F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(one(F.get(found, i)), F.lit("")))), "")
+    return F.when(x.contains("&"), F.replace(joined, F.lit("&amp;"), F.lit("&"))).otherwise(x)
+
+
 def _text(x: Column) -> Column:
-    """Cell/anchor text: tags removed, entities left as is, trimmed."""
-    return F.trim(F.regexp_replace(x, TAG, ""))
+    """Cell/anchor text: tags removed, entities decoded, trimmed."""
+    return F.trim(unescape_html(F.regexp_replace(x, TAG, "")))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in a start tag, in double, single or no quotes; null when absent."""
+    m = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.coalesce(F.regexp_extract(tag, m, i), F.lit("")) for i in (1, 2, 3)])
+    return F.when(tag.rlike(m), unescape_html(value))
 
 
 def jsonld_items(pages: DataFrame) -> DataFrame:
@@ -68,7 +108,7 @@ def jsonld_postings(pages: DataFrame) -> DataFrame:
     Organization name of the page (overrides the slug name)."""
     items = jsonld_items(pages)
     org = (items.filter(F.col("item")["@type"] == "Organization")
-           .groupBy("page_id").agg(F.min_by(F.col("item")["name"], F.struct("block_pos", "item_pos")).alias("org_name")))
+           .groupBy("page_id").agg(F.max_by(F.col("item")["name"], F.struct("block_pos", "item_pos")).alias("org_name")))
     jobs = items.filter(F.col("item")["@type"] == "JobPosting")
     sal = X.parse_salary(X.salary_text(F.col("item")["description"]))
     rows = jobs.select(
@@ -105,7 +145,7 @@ def table_postings(pages: DataFrame) -> DataFrame:
     second cell holds the currency mark 'S/'."""
     tables = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TABLE), 1)).alias("tpos", "t"))
     rows = tables.select("page_id", "tpos", F.regexp_extract_all("t", F.lit(ROW), 1).alias("rows"))
-    body = rows.select("page_id", "tpos", F.posexplode(F.slice("rows", 2, 1 << 20)).alias("rpos", "r"))
+    body = rows.select("page_id", "tpos", F.posexplode("rows").alias("rpos", "r")).filter(F.col("rpos") > 0)
     cells = body.select("page_id", "tpos", "rpos", F.regexp_extract_all("r", F.lit(CELL), 1).alias("c"))
     cells = cells.filter(F.size("c") >= 2).select(
         "page_id", "tpos", "rpos", _text(F.col("c")[0]).alias("puesto"), _text(F.col("c")[1]).alias("sal_text"))
@@ -131,7 +171,7 @@ def company_names(pages: DataFrame) -> DataFrame:
     readable (C5)."""
     items = jsonld_items(pages)
     org = (items.filter(F.col("item")["@type"] == "Organization")
-           .groupBy("page_id").agg(F.min_by(F.col("item")["name"], F.struct("block_pos", "item_pos")).alias("org")))
+           .groupBy("page_id").agg(F.max_by(F.col("item")["name"], F.struct("block_pos", "item_pos")).alias("org")))
     hiring = (items.filter(F.col("item")["hiringOrganization"]["name"].isNotNull())
               .groupBy("page_id").agg(F.min_by(F.col("item")["hiringOrganization"]["name"],
                                                F.struct("block_pos", "item_pos")).alias("hiring")))
@@ -179,23 +219,25 @@ def extract_links(pages: DataFrame, anchor_prefix: str = "/empresa/", min_option
     for method, (container, skip_default) in enumerate([
             (r"(?is)<select[^>]*>(.*?)</select>", True), (r"(?is)<datalist[^>]*>(.*?)</datalist>", False)]):
         lists = slim.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(container), 1)).alias("lpos", "l"))
-        opt = r'(?is)<option[^>]*value="([^"]*)"[^>]*>(.*?)</option>'
+        opt = r"(?is)<option\b([^>]*)>(.*?)</option>"
         pairs = lists.select("page_id", "lpos", F.arrays_zip(
             F.regexp_extract_all("l", F.lit(opt), 1).alias("v"),
             F.regexp_extract_all("l", F.lit(opt), 2).alias("t")).alias("o"))
-        pairs = pairs.filter(F.size("o") > min_options)
+        pairs = pairs.filter(F.size("o") > min_options)  # options without a value count too
         ex = pairs.select("page_id", "lpos", F.posexplode("o").alias("opos", "x"))
-        value, label = F.trim(F.col("x")["v"]), _text(F.col("x")["t"])
+        value, label = F.trim(F.coalesce(_attribute(F.col("x")["v"], "value"), F.lit(""))), _text(F.col("x")["t"])
         label = F.coalesce(F.nullif(label, F.lit("")), value) if not skip_default else label
         keep = (value != "") & (value != "default") & (label != "Escoge una empresa") & (label != "")
         slug = F.when(value.contains("/empresa/"),
                       F.regexp_replace(F.regexp_replace(value, "/empresa/", ""), "^/+|/+$", "")).otherwise(value)
         out.append(ex.filter(keep).select(slug.alias("slug"), label.alias("nombre"),
                                           F.struct(F.lit(method).alias("m"), F.col("page_id").alias("p"), F.col("lpos").alias("a"), F.col("opos").alias("b")).alias("prio")))
-    anchor = r'(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    anchor = r"(?is)<a\b([^>]*)>(.*?)</a>"
     an = slim.select("page_id", F.arrays_zip(
         F.regexp_extract_all("html", F.lit(anchor), 1).alias("h"),
         F.regexp_extract_all("html", F.lit(anchor), 2).alias("t")).alias("a"))
+    an = an.select("page_id", F.transform("a", lambda x: F.struct(
+        F.coalesce(_attribute(x["h"], "href"), F.lit("")).alias("h"), x["t"].alias("t"))).alias("a"))
     an = an.select("page_id", F.filter("a", lambda x: x["h"].contains(anchor_prefix)).alias("a"))
     an = an.filter(F.size("a") > min_anchors).select("page_id", F.posexplode("a").alias("apos", "x"))
     href, label = F.col("x")["h"], _text(F.col("x")["t"])
@@ -237,4 +279,3 @@ def coverage(rows: DataFrame, pages: DataFrame) -> DataFrame:
     ).select("pages_ok", "pages_failed", companies.alias("n_empresas"), "n_rows", "n_with_salary")
 
 
-page_validity = validity

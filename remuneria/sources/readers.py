@@ -21,6 +21,8 @@ from ..functions import text as X
 
 S = T.StringType()
 
+# The column names of the input files.
+
 POSTINGS_RAW = T.StructType([T.StructField(c, S) for c in (
     "empresa", "puesto", "salario_minimo", "salario_maximo", "salario_promedio", "moneda",
     "universidad_principal", "url_empresa", "fecha_inicio", "fecha_fin", "fecha_extraccion")])
@@ -45,10 +47,26 @@ CATALOG = T.StructType([T.StructField("slug", S), T.StructField("nombre", S), T.
 
 
 def _csv(spark: SparkSession, schema: T.StructType, path: str | Sequence[str], **opts) -> DataFrame:
-    r = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+    """CSV with a header, columns taken by NAME: the file may hold them in any
+    order and among others; a column that it lacks is NULL. Files read
+    together must share one header (Spark checks it, rather than shifting
+    values silently). A partition column of the folder passes through."""
+    header = spark.read.option("header", True).csv(path)
+    found = {c.strip().lstrip("\ufeff").upper(): c for c in header.columns}
+    corrupt = opts.get("columnNameOfCorruptRecord")
+    wanted = [f.name for f in schema.fields if f.name != corrupt]
+    in_path = {f.name for f in header.schema.fields if f.dataType != S}  # partition values are typed
+    file_schema = [T.StructField(c, S) for c in header.columns if c not in in_path]
+    if corrupt:
+        file_schema.append(T.StructField(corrupt, S))
+    r = (spark.read.schema(T.StructType(file_schema)).option("header", True).option("mode", "PERMISSIVE")
+         .option("enforceSchema", False))
     for k, v in opts.items():
         r = r.option(k, v)
-    return r.csv(path)
+    df = r.csv(path)
+    cols = [F.col(f"`{found[c.upper()]}`").alias(c) if c.upper() in found else F.lit(None).cast("string").alias(c) for c in wanted]
+    rest = [c for c in df.columns if c in in_path and c not in wanted] + ([corrupt] if corrupt else [])
+    return df.select(*cols, *rest, "_metadata.file_name")
 
 
 def clean_postings(df: DataFrame) -> DataFrame:
@@ -75,7 +93,7 @@ def clean_postings(df: DataFrame) -> DataFrame:
 def read_postings(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv") -> DataFrame:
     """Postings file(s) -> cleaned postings. ``fmt='parquet'`` reads a
     stored table (the default store; S2 over JDBC is ``read_postings_jdbc``)."""
-    raw = _csv(spark, POSTINGS_RAW, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    raw = _csv(spark, POSTINGS_RAW, path).drop("file_name") if fmt == "csv" else spark.read.format(fmt).load(path)
     return clean_postings(raw)
 
 
@@ -103,32 +121,48 @@ def read_postings_jdbc(spark: SparkSession, options: Mapping[str, str]) -> DataF
     return clean_postings(spark.read.format("jdbc").options(**options).load())
 
 
+def _files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that match a glob, in whatever store the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in (fs.globStatus(p) or []))
+
+
 def read_payroll(spark: SparkSession, folder: str, pattern: str = "PERSONALSP_*.csv",
-                 columns: Sequence[str] | None = None, year_from: str = "file_name") -> DataFrame:
-    """S4 + S5: every yearly payroll file at once. The year comes from the
-    file name (``_metadata.file_name``; files whose name has no year are
-    skipped) or, with ``year_from='partition'``, from ``year=YYYY`` folders
-    (partition discovery; a filter on year then prunes folders). Numbers are
-    coerced (junk -> NULL); PERIODO/MES stay text. Only ``columns`` are kept
-    (CSV column pruning)."""
+                 columns: Sequence[str] | None = None, year_from: str = "file_name",
+                 malformed: bool = False) -> DataFrame:
+    """S4 + S5: every yearly payroll file at once, columns by name (each file
+    may have its own order). The year comes from the file name (files whose
+    name has no year are skipped) or, with ``year_from='partition'``, from
+    ``year=YYYY`` folders (partition discovery; a filter on year then prunes
+    folders). Numbers are coerced (junk -> NULL); PERIODO/MES stay text. Only
+    ``columns`` are kept. Malformed records are left out; ``malformed=True``
+    returns them instead (year and ``_corrupt_record``), for quarantine."""
+    bad = {"columnNameOfCorruptRecord": "_corrupt_record"}
     if year_from == "partition":
-        raw = _csv(spark, PAYROLL_RAW, folder, columnNameOfCorruptRecord="_corrupt_record",
-                   recursiveFileLookup="false")
-        out = raw.filter(F.col("year").isNotNull())
+        out = _csv(spark, PAYROLL_RAW, folder, **bad)
     else:
-        raw = _csv(spark, PAYROLL_RAW, f"{folder.rstrip('/')}/{pattern}",
-                   columnNameOfCorruptRecord="_corrupt_record")
-        year = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.csv$", 1)
-        out = raw.withColumn("year", F.nullif(year, F.lit("")).try_cast("int")).filter(F.col("year").isNotNull())
+        out = None
+        for path in _files(spark, f"{folder.rstrip('/')}/{pattern}"):  # one file a year
+            one = _csv(spark, PAYROLL_RAW, path, **bad)
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            out = spark.createDataFrame([], T.StructType([*PAYROLL_RAW.fields, T.StructField("file_name", S)]))
+        year = F.regexp_extract(F.col("file_name"), r"_(\d+)\.csv$", 1)
+        out = out.withColumn("year", F.nullif(year, F.lit("")).try_cast("int"))
+    out = out.filter(F.col("year").isNotNull())
+    if malformed:
+        return out.filter(F.col("_corrupt_record").isNotNull()).select("year", "file_name", "_corrupt_record", *PAYROLL_COLUMNS)
+    out = out.filter(F.col("_corrupt_record").isNull())
     for c, t in PAYROLL_NUMERIC.items():
         out = out.withColumn(c, X.to_number(c).try_cast(t))
     keep = list(columns) if columns else list(PAYROLL_COLUMNS)
-    return out.select(*keep, "year", "_corrupt_record")
+    return out.select(*keep, "year")
 
 
 def read_calls(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Public calls with the salary coerced."""
-    raw = _csv(spark, CALLS_RAW, path)
+    raw = _csv(spark, CALLS_RAW, path).drop("file_name")
     return raw.withColumn("salario", X.to_number("salario")).withColumn(
         "fecha_extraccion", F.try_to_timestamp("fecha_extraccion"))
 
@@ -137,8 +171,7 @@ def read_history(spark: SparkSession, path: str | Sequence[str]) -> DataFrame |
     """Call history with DATE columns; ``None`` when the file is absent
     (the history is optional)."""
     try:
-        raw = _csv(spark, HISTORY_RAW, path)
-        raw.schema  # resolves the path
+        raw = _csv(spark, HISTORY_RAW, path).drop("file_name")
     except AnalysisException:
         return None
     d = lambda c: F.to_date(F.try_to_timestamp(F.nullif(F.trim(c), F.lit(""))))
@@ -150,7 +183,7 @@ def read_history(spark: SparkSession, path: str | Sequence[str]) -> DataFrame |
 def read_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A company catalogue (slug, nombre, url_completa)."""
     if fmt == "csv":
-        return _csv(spark, CATALOG, path)
+        return _csv(spark, CATALOG, path).drop("file_name")
     return spark.read.schema(CATALOG).format(fmt).load(path)
 
 
@@ -184,8 +217,3 @@ def newest(spark: SparkSession, view: str, ts: str = "fecha_extraccion", n: int
     """Newest n rows (a total order when ``tiebreak`` is given)."""
     order = f"{ts} DESC" + (f", {tiebreak}" if tiebreak else "")
     return spark.sql(f"SELECT * FROM {view} ORDER BY {order} LIMIT {int(n)}")
-
-
-def sample_rows(spark: SparkSession, view: str, fraction: float = 0.01, seed: int = 7) -> DataFrame:
-    """A Bernoulli sample of a view (the sample is the feature)."""
-    return spark.table(view).sample(fraction=fraction, seed=seed)

@@ -1,17 +1,19 @@
 """Z1 as Structured Streaming: merge daily call observations into the
 history table incrementally.
 
-Plan: file source (parquet) -> observation projection -> stateful
-aggregation keyed by url (min / max seen date, fields of the newest
-observation) in ``update`` mode -> ``foreachBatch`` appends the changed
-urls of each micro-batch, tagged with the batch id, to a change log under
-the shared checkpoint folder. Readers keep, per url, the row of the newest
-batch and derive the state (vigente when last seen on the newest snapshot
-date). The state store holds one row per url; the change log only grows by
-the urls touched in a batch, so nothing is rewritten whole per trigger.
-
-Restarts are exactly-once: the sink is idempotent per batch id (a replayed
-batch overwrites its own ``batch_id=`` folder).
+Plan: file source (parquet) -> observation projection -> ``foreachBatch``:
+each micro-batch is aggregated to one row per url (first and last date seen,
+fields of the newest observation under a total order) and appended to a
+change log under the shared checkpoint folder. That aggregate is associative
+and commutative, so the history is the same aggregate over the log: late
+observations and urls that return after any time need no state in the stream
+and no watermark, and equal the batch result. Every ``compact_every`` batches
+the log is merged into one history table (one row per url) and the folders
+that it covers are deleted.
+
+Restarts are exactly-once: a replayed batch overwrites its own
+``batch_id=`` folder, and a compaction its own ``upto=`` folder; readers use
+the newest history and the batches behind it.
 """
 
 from __future__ import annotations
@@ -26,126 +28,112 @@ from ..operators.history import FIELDS
 from ..session import ensure_checkpoint_dir
 from ..sources import bindings as B
 
+COMPACT_EVERY = 50
 
-def observation_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
-                       max_files_per_trigger: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(os.path.join(source_dir, file_glob)).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+
+def observation_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Observations from ``source``: a parquet file, a folder of part files or a glob."""
+    reader = spark.readStream.schema(spark.read.parquet(source).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return B.observations_from_events(reader.parquet(source_dir))
-
-
-def merged_state(obs: DataFrame, fields=FIELDS) -> DataFrame:
-    """Per-url state: same aggregation as the batch merge, minus the
-    table-wide 'latest snapshot' (which needs all urls; taken at read time)."""
-    return obs.groupBy("url").agg(
-        F.min("seen_date").alias("primera_vez_visto"), F.max("seen_date").alias("ultima_vez_visto"),
-        F.max_by(F.struct(*fields), F.col("seen_ts")).alias("_f"))
-
-
-def start_merge(obs: DataFrame, sink_dir: str, checkpoint_dir: str, available_now: bool = True):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not (fs.exists(path) and fs.getFileStatus(path).isDirectory()):  # a file or a glob: streams read folders
+        reader = reader.option("pathGlobFilter", path.getName())
+        source = path.getParent().toString()
+    return B.observations_from_events(reader.parquet(source))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """One row per url of rows with (url, primera_vez_visto, ultima_vez_visto, newest)."""
+    return rows.groupBy("url").agg(F.min("primera_vez_visto").alias("primera_vez_visto"),
+                                   F.max("ultima_vez_visto").alias("ultima_vez_visto"), F.max("newest").alias("newest"))
+
+
+def as_rows(obs: DataFrame, fields=FIELDS) -> DataFrame:
+    """Observations in the shape that ``merged`` takes; ``newest`` orders by
+    time, then by all fields."""
+    return obs.select("url", F.col("seen_date").alias("primera_vez_visto"), F.col("seen_date").alias("ultima_vez_visto"),
+                      F.struct("seen_ts", *fields).alias("newest"))
+
+
+class ChangeLog:
+    """The folders ``changes/batch_id=N`` and ``history/upto=N``."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _ids(self, kind: str, name: str) -> list[int]:
+        fs, p = self._fs(f"{self.base}/{kind}")
+        if not fs.exists(p):
+            return []
+        found = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{name}="))
+
+    def _drop(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.base}/changes/batch_id={batch_id}")
+
+    def rows(self, upto: int | None = None) -> DataFrame | None:
+        """Everything merged so far, one or more rows per url."""
+        done = [i for i in self._ids("history", "upto") if upto is None or i < upto]
+        paths = [f"{self.base}/history/upto={done[-1]}"] if done else []
+        paths += [f"{self.base}/changes/batch_id={i}" for i in self._ids("changes", "batch_id")
+                  if i > (done[-1] if done else -1) and (upto is None or i <= upto)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def compact(self, batch_id: int) -> None:
+        """Merge the history and all batches up to ``batch_id`` into a new history."""
+        merged(self.rows(batch_id)).write.mode("overwrite").parquet(f"{self.base}/history/upto={batch_id}")
+        for i in self._ids("history", "upto"):
+            if i < batch_id:
+                self._drop(f"{self.base}/history/upto={i}")
+        for i in self._ids("changes", "batch_id"):
+            if i <= batch_id:
+                self._drop(f"{self.base}/changes/batch_id={i}")
+
+
+def start_merge(obs: DataFrame, log: ChangeLog, checkpoint_dir: str, available_now: bool = True,
+                compact_every: int = COMPACT_EVERY):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}")))
+        log.append(merged(as_rows(batch)), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            log.compact(batch_id)
 
-    w = (merged_state(obs).writeStream.outputMode("update")
-         .option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch))
+    w = obs.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def read_merged(spark: SparkSession, sink_dir: str, fields=FIELDS) -> DataFrame:
-    """Latest row per url across the change log, plus the state column."""
-    log = spark.read.parquet(sink_dir)
-    latest = log.groupBy("url").agg(F.max_by(F.struct("primera_vez_visto", "ultima_vez_visto", "_f"),
-                                             F.col("batch_id")).alias("_r"))
-    flat = latest.select("url", "_r.primera_vez_visto", "_r.ultima_vez_visto", "_r._f")
+def read_merged(log: ChangeLog, fields=FIELDS) -> DataFrame | None:
+    """The history: one row per url, with its state (vigente when last seen on
+    the newest snapshot date). None before the first batch."""
+    rows = log.rows()
+    if rows is None:
+        return None
+    flat = merged(rows)
     newest = flat.agg(F.max("ultima_vez_visto")).scalar()
     return flat.select(
-        "url", *[F.col("_f")[c].alias(c) for c in fields], "primera_vez_visto", "ultima_vez_visto",
+        "url", *[F.col("newest")[c].alias(c) for c in fields], "primera_vez_visto", "ultima_vez_visto",
         F.when(F.col("ultima_vez_visto") == newest, F.lit("vigente")).otherwise(F.lit("expirada")).alias("estado"))
 
 
-def run_merge_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
-                     max_files_per_trigger: int | None = 1, work_dir: str | None = None,
-                     expire_days: int | None = None) -> DataFrame:
-    """Run the stream to completion over what is in ``source_dir`` now
-    (availableNow) and return the merged history read back from the sink.
-    With ``expire_days`` the bounded-state variant runs."""
+def run_merge_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = 1,
+                     work_dir: str | None = None, compact_every: int = COMPACT_EVERY) -> DataFrame | None:
+    """Run the stream to completion over what is in ``source`` now
+    (availableNow) and return the merged history read back from its log."""
     base = work_dir or os.path.join(ensure_checkpoint_dir(spark), f"z1-{uuid.uuid4().hex}")
-    sink, ckpt = os.path.join(base, "changes"), os.path.join(base, "state")
-    obs = observation_stream(spark, source_dir, file_glob, max_files_per_trigger)
-    q = (start_merge_with_expiry(obs, sink, ckpt, expire_days) if expire_days is not None
-         else start_merge(obs, sink, ckpt))
+    log = ChangeLog(spark, os.path.join(base, "log"))
+    q = start_merge(observation_stream(spark, source, max_files_per_trigger), log, os.path.join(base, "state"),
+                    compact_every=compact_every)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return read_merged(spark, sink)
-
-
-# ---------------------------------------------------------------- optional state expiry
-_STATE_SCHEMA = ("primera_vez_visto date, ultima_vez_visto date, last_ts timestamp, institucion string, "
-                 "puesto string, departamento string, salario double, fecha_limite string")
-_OUT_SCHEMA = "url string, " + _STATE_SCHEMA + ", expired boolean"
-
-
-def _merge_with_expiry(expire_ms: int):
-    """Per-url state (first/last seen, newest fields) kept with an
-    event-time timeout: a url not seen for ``expire_ms`` past the watermark
-    is emitted one last time (expired=True) and its state is dropped, so
-    the state store stays bounded by the urls still alive. The pandas work
-    is per url and per micro-batch; Spark partitions and shuffles the urls."""
-    import pandas as pd
-
-    cols = ["primera_vez_visto", "ultima_vez_visto", "last_ts", "institucion", "puesto", "departamento",
-            "salario", "fecha_limite"]
-
-    def fn(key, pdfs, state):
-        url = key[0]
-        if state.hasTimedOut:
-            row = dict(zip(cols, state.get))
-            state.remove()
-            yield pd.DataFrame([{"url": url, **row, "expired": True}])
-            return
-        cur = dict(zip(cols, state.get)) if state.exists else None
-        for pdf in pdfs:
-            newest = pdf.loc[pdf["seen_ts"].idxmax()]
-            first, last = pdf["seen_date"].min(), pdf["seen_date"].max()
-            if cur is None or newest["seen_ts"] > pd.Timestamp(cur["last_ts"]):
-                fields = {c: newest[c] for c in ("institucion", "puesto", "departamento", "salario", "fecha_limite")}
-                ts = newest["seen_ts"]
-            else:
-                fields = {c: cur[c] for c in ("institucion", "puesto", "departamento", "salario", "fecha_limite")}
-                ts = cur["last_ts"]
-            cur = {"primera_vez_visto": first if cur is None else min(first, cur["primera_vez_visto"]),
-                   "ultima_vez_visto": last if cur is None else max(last, cur["ultima_vez_visto"]),
-                   "last_ts": ts, **fields}
-        state.update(tuple(cur[c] for c in cols))
-        state.setTimeoutTimestamp(int(pd.Timestamp(cur["last_ts"]).timestamp() * 1000) + expire_ms)
-        yield pd.DataFrame([{"url": url, **cur, "expired": False}])
-
-    return fn
-
-
-def start_merge_with_expiry(obs: DataFrame, sink_dir: str, checkpoint_dir: str, expire_days: int,
-                            lateness: str = "1 day", available_now: bool = True):
-    """Z1 with bounded state: watermark on the observation time, per-url
-    state via ``applyInPandasWithState`` with an event-time timeout."""
-    # event time must be a TIMESTAMP (the driver data carries TIMESTAMP_NTZ)
-    obs = obs.withColumn("seen_ts", F.col("seen_ts").cast("timestamp"))
-    merged = (obs.withWatermark("seen_ts", lateness).groupBy("url").applyInPandasWithState(
-        _merge_with_expiry(expire_days * 86_400_000), _OUT_SCHEMA, _STATE_SCHEMA, "update", "EventTimeTimeout"))
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = batch.select("url", "primera_vez_visto", "ultima_vez_visto",
-                           F.struct(*FIELDS).alias("_f"), "expired")
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            os.path.join(sink_dir, f"batch_id={batch_id}"))
-
-    w = merged.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
-
-
-merge_stream = run_merge_stream
+    return read_merged(log)
