@@ -255,10 +255,10 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
     cands = scratch.save(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(f, schema)
                          .select(F.struct("s1", "s2").alias("id"), "n", "u", "b", "c", "prefix", "tokens", "marks"))
 
-    posts = cands.select("id", "n", "u", F.posexplode("prefix").alias("i", "token"), "prefix")
+    posts = cands.select("id", "n", "u", F.posexplode("prefix").alias("i", "token"))
     hub = posts.groupBy("token").agg(F.count("*").alias("f"), F.min(F.struct(F.expr("u / n"), "id", "n", "u", "i")).alias("hub"))
     hub = hub.filter("f > 1").select("token", "hub.id", "hub.n", "hub.u", "hub.i")
-    x, y = posts.drop("prefix").alias("x"), hub.alias("y")
+    x, y = posts.alias("x"), hub.alias("y")
     to_hubs = scratch.save(x.join(y, F.expr("x.token = y.token and x.id != y.id") & _bound("x", "y", percent)).select(
         F.col("x.id").alias("of"), F.struct(F.expr("y.u / y.n"), F.col("y.id").alias("id")).alias("hub")).distinct())
     pair = [F.least("of", "hub.id").alias("a"), F.greatest("of", "hub.id").alias("b")]
@@ -274,12 +274,14 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
         links = links.unionByName(more)
         roots = scratch.save(connected_components(links, scratch))
 
-    apart = posts.join(roots, posts["id"] == roots["node"], "left").select(
-        "id", "n", "u", "i", "token", F.coalesce("root", "id").alias("root"),
-        F.when(F.col("i") <= EARLIER, F.slice("prefix", F.lit(1), F.col("i"))).alias("before"))
-    apart = scratch.save(apart)
-    mixed = apart.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    apart = scratch.save(apart.join(mixed, "token"))
+    # tokens that lie in several components, and the classes that hold them
+    slim = cands.select("id", "n", "u", "prefix").join(roots, cands["id"] == roots["node"], "left")
+    slim = scratch.save(slim.select("id", "n", "u", F.coalesce("root", "id").alias("root"), F.posexplode("prefix").alias("i", "token")))
+    mixed = slim.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
+    held = slim.join(mixed, "token").groupBy("id", "n", "u", "root").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("held"))
+    apart = held.select("id", "n", "u", "root", "held", F.posexplode("held").alias("at", "h"))
+    apart = scratch.save(apart.select("id", "n", "u", "root", "h.i", "h.token", F.when(
+        F.col("at") <= EARLIER, F.transform(F.slice("held", F.lit(1), F.col("at")), lambda h: h["token"])).alias("before")))
     x, y = apart.alias("x"), apart.alias("y")
     seen_before = F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
     second = x.join(y, F.expr("x.token = y.token and x.id < y.id and x.root != y.root")
