@@ -84,6 +84,16 @@ def pack_counts(x: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
 
+def pack_values(x: np.ndarray) -> bytes:
+    """Single-precision numbers, as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.float32).view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack_values(b: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(b, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view(np.float32).ravel()
+
+
 def _planes(b: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(pa.decompress(b, 8 * n, "zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(raw.reshape(8, n).T).view(np.uint64).ravel()
@@ -330,17 +340,17 @@ def _word_model(t: pa.Table) -> pa.Table:
                      "value": pa.array([counts.astype(np.float64).tobytes()], pa.binary())})
 
 
-_TOLD = "block long, kind int, bucket long, known long, value binary"
+_TOLD = "block long, kind int, bucket long, n long, known long, value binary"
 
 
 def _dispatch(sent: pa.Table, model: pa.Table) -> pa.Table:
     """What each block asked of a bucket, in the order in which it asked."""
     n = model["n"][0].as_py()
     keys, value = unpack(model["keys"][0].as_py(), n), np.frombuffer(model["value"][0].as_py(), np.float64)
-    out = [value[np.searchsorted(keys, unpack(k, m))].astype(np.float32).tobytes() for k, m in zip(sent["keys"].to_pylist(), sent["n"].to_pylist())]
+    out = [pack_values(value[np.searchsorted(keys, unpack(k, m))]) for k, m in zip(sent["keys"].to_pylist(), sent["n"].to_pylist())]
     known = np.zeros(len(out), np.int64)
     known[0] = model["known"][0].as_py() if model["salt"][0].as_py() == 0 else 0  # each bucket's words are told once
-    return pa.table({"block": sent["block"], "kind": sent["kind"], "bucket": sent["bucket"], "known": pa.array(known),
+    return pa.table({"block": sent["block"], "kind": sent["kind"], "bucket": sent["bucket"], "n": sent["n"], "known": pa.array(known),
                      "value": pa.array(out, pa.binary())})
 
 
@@ -357,7 +367,7 @@ def _score(depth: int, buckets: int, id_type: str):
             b = _bucket(keys, kind, depth, buckets)
             keys = keys[np.argsort(b, kind="stable")]
             mine = told.filter(pa.compute.equal(told["kind"], kind)).sort_by("bucket")
-            values = [np.frombuffer(v, np.float32) for v in mine["value"].to_pylist()]
+            values = [unpack_values(v, n) for v, n in zip(mine["value"].to_pylist(), mine["n"].to_pylist())]
             lookup[kind] = (pd.Index(keys.view(np.int64)), np.concatenate(values) if values else np.zeros(0, np.float32))
         cols = {k: [] for k in ("n_tokens", "n_known", "log_c", "score", "n_bytes")}
         for _, grams, words, n_bytes, n_words in chunks:
