@@ -77,7 +77,7 @@ def history_recent(spark, sf):
     return r.select("url", F.col("primera_vez_visto").cast("string").alias("primera_vez_visto"), "estado")
 
 
-@query("history_feed_entries", "H3 C14 C15 C17", f"""{W}, {_RECENT},
+FEED_SQL = f"""{W}, {_RECENT},
 f AS (SELECT *, CASE WHEN salario > 0 AND floor(salario) <> 0
                      THEN 'S/ ' || format('{{:,}}', CAST(floor(salario) AS BIGINT)) ELSE '(salario no reportado)' END AS sal,
              coalesce(nullif(trim(institucion), ''), '(sin institución)') AS inst,
@@ -89,7 +89,10 @@ SELECT trim(url) AS id, role || ' @ ' || inst || ' — ' || sal AS title,
             || '. Estado: ' || st || '.' AS summary,
        strftime(CAST(primera_vez_visto AS TIMESTAMP) + INTERVAL 12 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS published,
        strftime(CAST(coalesce(ultima_vez_visto, primera_vez_visto) AS TIMESTAMP) + INTERVAL 12 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS updated,
-       dept AS category_place, st AS category_state FROM f""")
+       dept AS category_place, st AS category_state FROM f"""
+
+
+@query("history_feed_entries", "H3 C14 C15 C17", FEED_SQL)
 def history_feed_entries(spark, sf):
     r = H.recent(_hist(spark, sf), AS_OF, days=14, limit=200)
     return H.feed_entries(r, AS_OF)

@@ -83,6 +83,25 @@ def write_json_datasets(frames: Mapping[str, DataFrame], base: str, mode: str =
     return out
 
 
+def write_company_list(companies: DataFrame, base: str, as_of: str, source: str = "", mode: str = "overwrite") -> None:
+    """K6: the company list as JSON rows and as TSV, and its metadata (number
+    of companies, extraction date, source) as a JSON dataset beside it.
+    ``as_of`` is a parameter, never the clock."""
+    meta = companies.agg(F.count(F.lit(1)).alias("total_empresas")).select(
+        "total_empresas", F.lit(as_of).alias("fecha_extraccion"), F.lit(source).alias("fuente"))
+    write_json(meta, f"{base}/metadata", mode)
+    write_json(companies, f"{base}/empresas", mode)
+    write_csv(companies, f"{base}/tsv", mode, sep="\t")
+
+
+def read_company_list(spark, base: str) -> DataFrame:
+    """The rows of ``write_company_list`` with their metadata."""
+    meta = spark.read.schema("total_empresas long, fecha_extraccion string, fuente string").json(f"{base}/metadata")
+    one = meta.select(F.struct(*meta.columns)).scalar()
+    rows = spark.read.schema("slug string, nombre string").json(f"{base}/empresas")
+    return rows.select("*", *[one[c].alias(c) for c in meta.columns])
+
+
 def write_atom(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K7: Atom entries as XML (the XML writer escapes the text)."""
     (entries.write.mode(mode).format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path))

@@ -45,45 +45,59 @@ def test_merge_observations_states(spark):
     assert got["u2"][0] == "expirada"
 
 
+COLS = ["url", "institucion", "salario", "primera_vez_visto", "ultima_vez_visto", "estado"]
+
+
+def same_rows(a, b):
+    x, y = (sorted(tuple(r) for r in d.select(COLS).collect()) for d in (a, b))
+    assert x == y and len(x) > 0
+
+
+def write_days(ev, src, spans):
+    """One file for each span of days, in this order."""
+    for lo, hi in spans:
+        ev.filter(F.dayofmonth("ts").between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
+
+
 def test_stream_equals_batch_over_several_micro_batches(spark):
     ev = B.table(spark, SF_SMALL, "events")
-    src = tempfile.mkdtemp(prefix="z1-src-")
-    # split the events into 4 files by day ranges -> 4 micro-batches
-    days = F.dayofmonth("ts")
-    for i, (lo, hi) in enumerate([(1, 8), (9, 15), (16, 23), (24, 31)]):
-        ev.filter((days >= lo) & (days <= hi)).coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
-    for i in range(4):
-        part = [f for f in os.listdir(os.path.join(src, f"part{i}")) if f.endswith(".parquet")][0]
-        os.rename(os.path.join(src, f"part{i}", part), os.path.join(src, f"events-{i}.parquet"))
-    streamed = M.run_merge_stream(spark, src, file_glob="events-*.parquet", max_files_per_trigger=1,
-                                  work_dir=tempfile.mkdtemp(prefix="z1-out-"))
     batch = H.merge_observations(B.observations_from_events(ev))
-    cols = ["url", "institucion", "salario", "primera_vez_visto", "ultima_vez_visto", "estado"]
-    a = sorted(tuple(r) for r in streamed.select(cols).collect())
-    b = sorted(tuple(r) for r in batch.select(cols).collect())
-    assert a == b and len(a) > 0
-    assert M.read_merged(spark, streamed.inputFiles()[0].rsplit("/batch_id=", 1)[0]).count() == len(b)
+    for compact in (1, 2, 50):
+        src = tempfile.mkdtemp(prefix="z1-src-")
+        # the newest days come first: most rows are late, and urls return after any gap
+        write_days(ev, src, [(24, 31), (1, 8), (16, 23), (9, 15)])
+        same_rows(M.run_merge_stream(spark, src, 1, tempfile.mkdtemp(prefix="z1-out-"), compact), batch)
 
 
-import pytest
+def test_stream_reads_a_file_or_a_folder(spark):
+    ev = B.table(spark, SF_SMALL, "events")
+    batch = H.merge_observations(B.observations_from_events(ev))
+    folder = os.path.join(tempfile.mkdtemp(prefix="z1-tab-"), "events.parquet")
+    ev.repartition(3).write.parquet(folder)
+    for source in (folder, f"{SF_SMALL}/events.parquet"):
+        same_rows(M.run_merge_stream(spark, source, work_dir=tempfile.mkdtemp(prefix="z1-out-")), batch)
 
 
-@pytest.mark.parametrize("expire_days", [400, 1])
-def test_stream_with_state_expiry(spark, expire_days):
+def test_stream_goes_on_where_it_stopped(spark):
     ev = B.table(spark, SF_SMALL, "events")
-    src = tempfile.mkdtemp(prefix="z1x-src-")
-    days = F.dayofmonth("ts")
-    for lo, hi in [(1, 10), (11, 20), (21, 31)]:           # appended in time order -> several micro-batches
-        ev.filter((days >= lo) & (days <= hi)).coalesce(1).write.mode("append").parquet(src)
-    out = tempfile.mkdtemp(prefix="z1x-out-")
-    obs = M.observation_stream(spark, src, file_glob="*.parquet", max_files_per_trigger=1)
-    q = M.start_merge_with_expiry(obs, os.path.join(out, "changes"), os.path.join(out, "state"),
-                                  expire_days=expire_days)
-    q.awaitTermination()
-    assert q.exception() is None
-    merged = M.read_merged(spark, os.path.join(out, "changes"))
-    batch = H.merge_observations(B.observations_from_events(ev))
-    cols = ["url", "institucion", "primera_vez_visto", "ultima_vez_visto", "estado"]
-    assert sorted(tuple(r) for r in merged.select(cols).collect()) == sorted(tuple(r) for r in batch.select(cols).collect())
-    n_expired = spark.read.parquet(os.path.join(out, "changes")).filter("expired").count()
-    assert (n_expired > 0) == (expire_days == 1)     # short expiry: idle urls leave the state store
+    src, work = tempfile.mkdtemp(prefix="z1-src-"), tempfile.mkdtemp(prefix="z1-out-")
+    write_days(ev, src, [(1, 10)])
+    M.run_merge_stream(spark, src, 1, work, 2)
+    write_days(ev, src, [(20, 31), (11, 19)])
+    log = M.ChangeLog(spark, os.path.join(work, "log"))
+    M.run_merge_stream(spark, src, 1, work, 2)
+    same_rows(M.read_merged(log), H.merge_observations(B.observations_from_events(ev)))
+    assert len(os.listdir(os.path.join(work, "log", "history"))) == 1  # compacted, the old folders are gone
+
+
+def test_recent_has_an_upper_bound(spark):
+    rows = [("a", "2024-01-01"), ("b", "2024-01-09"), ("c", "2023-12-01"), (" ", "2024-01-02")]
+    h = spark.createDataFrame(rows, "url string, d string").select("url", F.to_date("d").alias("primera_vez_visto"))
+    assert [r.url for r in H.recent(h, "2024-01-08").collect()] == ["a"]
+
+
+def test_newest_observation_has_no_random_winner(spark):
+    obs = spark.createDataFrame([("u", dt.date(2024, 1, 1), dt.datetime(2024, 1, 1), f"I{i}", "p", "d", float(i), "x") for i in range(5)],
+                                "url string, seen_date date, seen_ts timestamp, institucion string, puesto string, departamento string, "
+                                "salario double, fecha_limite string").repartition(4)
+    assert H.merge_observations(obs).first().institucion == "I4"

@@ -114,6 +114,27 @@ def test_materialize_bindings(spark):
     paths = B.materialize(spark, SF_SMALL, d, names=("payroll",))
     stored = spark.read.parquet(paths["payroll"])
     assert os.path.isdir(os.path.join(paths["payroll"], "year=1995"))
-    a = sorted(tuple(r) for r in P.timeline(stored)["kpis"].collect())
-    b = sorted(tuple(r) for r in P.timeline(B.payroll(spark, SF_SMALL))["kpis"].collect())
+    a = sorted(tuple(r) for r in P.timeline(P.active_snapshot(stored, year="year"))["kpis"].collect())
+    b = sorted(tuple(r) for r in P.timeline(B.payroll_snapshot(spark, SF_SMALL, by_year=True))["kpis"].collect())
     assert a == b
+
+
+def test_payroll_files_by_name(spark):
+    """Own column order in each file, extra and missing columns, a malformed row."""
+    d = scratch()
+    with open(os.path.join(d, "PERSONALSP_2023.csv"), "w") as f:
+        f.write("X,CANTIDAD,PERIODO,ESTADO_REGISTRO\nzzz,5,20231201,OCUPADO\nq,7,20231101,VACANTE\n")
+    with open(os.path.join(d, "PERSONALSP_2024.csv"), "w") as f:
+        f.write("PERIODO,ESTADO_REGISTRO,CANTIDAD\n20241201,OCUPADO,9\n20241201,OCUPADO,8,too,many\n")
+    with open(os.path.join(d, "PERSONALSP_x.csv"), "w") as f:
+        f.write("PERIODO\n1\n")
+    got = sorted((r.year, r.PERIODO, r.ESTADO_REGISTRO, r.CANTIDAD, r.SECTOR) for r in RD.read_payroll(spark, d).collect())
+    assert got == [(2023, "20231101", "VACANTE", 7, None), (2023, "20231201", "OCUPADO", 5, None), (2024, "20241201", "OCUPADO", 9, None)]
+    assert [r._corrupt_record for r in RD.read_payroll(spark, d, malformed=True).collect()] == ["20241201,OCUPADO,8,too,many"]
+
+
+def test_company_list(spark):
+    d = scratch()
+    SK.write_company_list(spark.createDataFrame([("a", "A"), ("b", "B")], "slug string, nombre string"), d, "2024-01-01", "site")
+    got = sorted(tuple(r) for r in SK.read_company_list(spark, d).collect())
+    assert got == [("a", "A", 2, "2024-01-01", "site"), ("b", "B", 2, "2024-01-01", "site")]

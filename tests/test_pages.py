@@ -70,3 +70,26 @@ def test_validity_and_coverage(spark):
     assert (v.n_pages, v.n_valid, v.passes) == (4, 3, True)
     c = PG.coverage(PG.extract_postings(p), p).first()
     assert (c.pages_ok, c.pages_failed, c.n_rows, c.n_empresas) == (3, 1, 5, 3)
+
+
+def test_last_organization_and_entities(spark):
+    html = ("""<script type="application/ld+json">{"@type": "Organization", "name": "First"}</script>
+<script type="application/ld+json">{"@type": "Organization", "name": "Last"}</script>
+<table><tr><th>P</th></tr><tr><td>Fusiones &amp; Adq &#243;&#xF1; &lt;x&gt; &amp;lt;</td><td>S/ 5</td></tr></table>""")
+    df = spark.createDataFrame([(1, "https://site.pe/empresa/a-b", html)], "page_id long, url string, html string")
+    r = PG.extract_postings(df).first()
+    assert (r.empresa, r.puesto) == ("Last", "Fusiones & Adq óñ <x> &lt;")
+
+
+def test_single_quotes_and_options_without_value(spark):
+    anchors = "".join(f"<a class=x href='/empresa/s{i:03d}'>E {i}</a>" for i in range(30))
+    opts = "<option>none</option>" * 45 + "".join(f"<option value='/empresa/o{i}0'>O {i}</option>" for i in range(6))
+    df = spark.createDataFrame([(1, anchors), (2, f"<select>{opts}</select>")], "page_id long, html string")
+    got = {r.slug for r in PG.extract_links(df).collect()}
+    assert got == {f"s{i:03d}" for i in range(30)} | {f"o{i}0" for i in range(6)}
+
+
+def test_long_table(spark):
+    rows = "".join(f"<tr><td>P{i}</td><td>S/ {i}</td></tr>" for i in range(1, 3000))
+    df = spark.createDataFrame([(1, "https://s/empresa/x", f"<table><tr><th>h</th></tr>{rows}</table>")], "page_id long, url string, html string")
+    assert PG.extract_postings(df).count() == 2999

@@ -31,6 +31,6 @@ def test_income_per_head_rules(spark):
 
 def test_timeline_per_year_latest(spark):
     rows = [base(period="20231231"), base(period="20231130", cnt=99), base(period="20241201", cnt=7)]
-    t = P.timeline(spark.createDataFrame(rows, COLS))
+    t = P.timeline(P.active_snapshot(spark.createDataFrame(rows, COLS), year="year"))
     got = {r.year: r.total_servidores for r in t["kpis"].collect()}
     assert got == {2023: 10, 2024: 7}

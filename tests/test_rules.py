@@ -98,8 +98,8 @@ def test_income_bands(spark):
     assert got == ["A++", "A++", "A", "E", "D"]
 
 
-def test_classify_distinct_matches_direct(spark):
+def test_label_columns_match_direct(spark):
     df = spark.createDataFrame([("CEO",), ("CEO",), (None,), ("Analista",)], "p string")
-    a = sorted((r[0] or "", r[1]) for r in R.classify_distinct(df, "p", RS.LEVEL, "lvl").collect())
+    a = sorted((r[0] or "", r[1]) for r in R.label_columns(df, {"lvl": ("p", RS.LEVEL)}).collect())
     b = sorted((r[0] or "", r[1]) for r in df.select("p", R.classify("p", RS.LEVEL)).collect())
     assert a == b

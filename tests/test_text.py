@@ -67,17 +67,20 @@ def test_money_and_positive_int(spark):
     assert one_col(spark, [1234.9, 0.0, -3.0, None], T.positive_int, "double") == [1234, None, None, None]
 
 
-def test_rescale_predicate(spark):
-    df = spark.createDataFrame([("Analista", 450.0), ("Practicante analista", 450.0), ("Analista", 2000.0),
-                                ("Chofer", 450.0)], "r string, s double")
-    got = [r[0] for r in df.select(T.needs_rescale("s", "r")).collect()]
-    assert got == [True, False, False, False]
+def test_valid_salary_and_rounding(spark):
+    assert one_col(spark, [float("nan"), 101.0, 100.0, None], lambda c: T.valid_salary(c, 100), "double") == [False, True, False, False]
+    assert one_col(spark, [0.12344999999, -0.00005, 0.125], lambda c: T.rnd(c, 4), "double") == [0.1234, -0.0001, 0.125]
 
 
-def test_rnd_is_tie_stable(spark):
-    # 0.125 sits exactly on a tie; both rounding styles give 0.13
-    assert one_col(spark, [0.125, 2.5, 1.0 / 3], lambda c: T.rnd(c, 2), "double") == [0.13, 2.5, 0.33]
-    assert not math.isnan(one_col(spark, [1.5], lambda c: T.rnd(c, 0), "double")[0])
+def test_fold_composed_and_decomposed(spark):
+    texts = ["DIRECCIÓN", "direccio\u0301n", "Nguyễn", "Nguye\u0302\u0303n", "Ẁ ḃ ǖ", "plain", "Й", None]
+    want = ["direccion", "direccion", "nguyen", "nguyen", "w b u", "plain", "и", None]
+    assert one_col(spark, texts, T.fold) == want
+    assert [T.fold_text(t) for t in texts[:-1]] == want[:-1]
+
+
+def test_title_case_of_long_runs(spark):
+    assert one_col(spark, ["a" * 5000], T.title_case) == ["A" + "a" * 4999]
 
 
 def test_strict_variants(spark):
