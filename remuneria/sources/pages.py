@@ -11,7 +11,7 @@ away right after extraction so it never travels through a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,7 +58,7 @@ NUMERIC_ENTITY = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 def _code_point(n: Column) -> Column:
     """The character of a code point, through its UTF-32 bytes."""
     ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE")).otherwise(F.lit("\ufffd"))
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
 
 def unescape_html(x: Column) -> Column:
@@ -71,7 +71,7 @@ def unescape_html(x: Column) -> Column:
         digits = F.substring(m, 3, F.length(m) - 3)
         is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
         value = F.when(is_hex, F.conv(F.substring(digits, 2, F.length(digits)), 16, 10)).otherwise(digits)
-        return _code_point(value.cast("bigint"))
+        return F.when(m.isNotNull(), _code_point(value.cast("bigint")))
 
     # the text between numeric entities, and the entities, interleaved
     between = F.split(named, NUMERIC_ENTITY, -1)
@@ -148,7 +148,7 @@ def table_postings(pages: DataFrame) -> DataFrame:
     body = rows.select("page_id", "tpos", F.posexplode("rows").alias("rpos", "r")).filter(F.col("rpos") > 0)
     cells = body.select("page_id", "tpos", "rpos", F.regexp_extract_all("r", F.lit(CELL), 1).alias("c"))
     cells = cells.filter(F.size("c") >= 2).select(
-        "page_id", "tpos", "rpos", _text(F.col("c")[0]).alias("puesto"), _text(F.col("c")[1]).alias("sal_text"))
+        "page_id", "tpos", "rpos", _text(F.get("c", F.lit(0))).alias("puesto"), _text(F.get("c", F.lit(1))).alias("sal_text"))
     keep = cells.filter((F.col("puesto") != "") & (F.col("sal_text") != "") & F.col("sal_text").contains("S/"))
     sal = X.parse_salary(F.col("sal_text"))
     return keep.select(
@@ -183,20 +183,30 @@ def company_names(pages: DataFrame) -> DataFrame:
                                    X.slug_to_name("slug")).alias("nombre"))
 
 
-def extract_postings(pages: DataFrame) -> DataFrame:
+def extract_postings(pages: DataFrame, extracted: str | None = None) -> DataFrame:
     """The cascade per page: JSON-LD rows if any, else payload rows,
-    else table rows. The winning branch per page is the minimum priority
-    (an aggregation keyed by page), joined back."""
+    else table rows. The company is the page's Organization, else its readable
+    slug. ``extracted`` is the extraction stamp (a parameter, never the clock)."""
     slim = pages.select("page_id", "url", "html")
     jl = jsonld_postings(slim)
     branches = (jl.drop("org_name").unionByName(payload_postings(slim)).unionByName(table_postings(slim)))
-    best = branches.groupBy("page_id").agg(F.min("priority").alias("priority"))
-    chosen = branches.join(best, ["page_id", "priority"], "left_semi")
-    names = company_names(slim).select("page_id", "url", F.col("nombre").alias("empresa"))
+    # rank() over the page: the rows of its first branch; a page's rows are few
+    first = F.min("priority").over(Window.partitionBy("page_id"))
+    chosen = branches.withColumn("_first", first).filter("priority = _first").drop("_first")
+    names = _organizations(slim).select("page_id", "url", F.coalesce(
+        F.nullif("org", F.lit("")), X.slug_to_name(page_slug("url"))).alias("empresa"))
     return (chosen.join(names, "page_id", "left")
             .select("page_id", "priority", "pos", "empresa", "puesto", "salario_minimo", "salario_maximo",
                     "salario_promedio", F.lit("PEN").alias("moneda"), "universidad_principal",
-                    F.col("url").alias("url_empresa"), "fecha_inicio", "fecha_fin"))
+                    F.col("url").alias("url_empresa"), "fecha_inicio", "fecha_fin",
+                    F.lit(extracted).cast("string").alias("fecha_extraccion")))
+
+
+def _organizations(pages: DataFrame) -> DataFrame:
+    """Every page with the name of its last Organization block (null without one)."""
+    org = (jsonld_items(pages).filter(F.col("item")["@type"] == "Organization")
+           .groupBy("page_id").agg(F.max_by(F.col("item")["name"], F.struct("block_pos", "item_pos")).alias("org")))
+    return pages.select("page_id", "url").join(org, "page_id", "left")
 
 
 def sitemap_slugs(df: DataFrame, text: str, pattern: str = SITEMAP_LOC) -> DataFrame:
