@@ -18,7 +18,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import Scratch
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -41,7 +41,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
     rows per partition with ``monotonically_increasing_id`` and add the
     size of all earlier partitions (a table of ``partitions`` rows).
 
-    The numbered rows are checkpointed to the shared checkpoint folder
+    The numbered rows are written to the shared checkpoint folder
     before the partition sizes are counted: the sizes and the row numbers
     must come from the SAME partitioning, and a recomputation after an
     executor loss must not re-draw the range bounds."""
@@ -50,7 +50,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
     order_c = _cols(order)
     ranged = (df.repartitionByRange(parts, *order_c).sortWithinPartitions(*order_c)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = cut_lineage(ranged).withColumn("_pid", F.shiftright("_mid", 33))
+    ranged = Scratch(spark, "numbered").save(ranged).withColumn("_pid", F.shiftright("_mid", 33))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # `parts` rows at most: the one global window here is over partition ids.
     offsets = sizes.select(

