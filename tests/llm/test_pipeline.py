@@ -3,8 +3,8 @@ import zlib
 import corpus_pipeline
 from remuneria.llm import mix_budget, toxic_channel
 from remuneria.llm.common import id_bucket, table
-from test_exact_and_lines import bare, brute_winnow
-from test_jaccard_orders import brute
+from .test_exact_and_lines import bare, brute_winnow
+from .test_jaccard_orders import brute
 
 SF = "/root/testdata/sf0.001"
 
