@@ -74,6 +74,12 @@ def average_rank(df: DataFrame, value: str, tiebreak: str, out: str = "rank",
     return df.join(per_value, on=value, how="left")
 
 
+def group_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """The sum of ``value`` per key on each row of an aggregated table."""
+    total = df.groupBy(key).agg(F.sum(value).alias(out))
+    return df.join(total, key, "left")
+
+
 def group_size(df: DataFrame, key: str | Sequence[str], out: str = "group_size") -> DataFrame:
     """Rows per key broadcast back to each row: an aggregation (map-
     side combine, skew-safe) joined back on the key; AQE splits a skewed

@@ -111,13 +111,11 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Qu
             out = _join_keys(out, part, keys)
     else:
         out = src.agg(*[e.alias(n) for n, e in plain.items()]) if plain else None
-        scalars = {}
-        for part in parts:
-            row = part.select(F.struct(*part.columns)).scalar()
-            scalars.update({c: row[c] for c in part.columns})
         if out is None:
             out = src.agg(F.count(F.lit(1)).alias("_rows"))
-        out = out.withColumns(scalars) if scalars else out
+        for i, part in enumerate(parts):  # one subquery for each part
+            out = out.withColumn(f"_part{i}", part.select(F.struct(*part.columns)).scalar())
+            out = out.withColumns({c: F.col(f"_part{i}")[c] for c in part.columns})
     sel = [F.col(k) for k in keys]
     for n in aggs:
         e = F.coalesce(F.col(n), F.lit(0)) if n in dist else F.col(n)
@@ -222,7 +220,8 @@ def scaled_to_max(agg: DataFrame, cols: Sequence[str], suffix: str = "_scaled",
     """Each column / its maximum over the table x 100. ``agg`` is
     already one row per key; the maxima are one row."""
     most = agg.agg(F.struct(*[F.max(c).alias(c) for c in cols])).scalar()
-    return agg.withColumns({c + suffix: rnd(F.try_divide(F.col(c), most[c]) * 100, digits) for c in cols})
+    out = agg.withColumn("_most", most)  # a column of its own: the subquery stands once in the plan
+    return out.withColumns({c + suffix: rnd(F.try_divide(F.col(c), F.col("_most")[c]) * 100, digits) for c in cols}).drop("_most")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, cap: float | None = None,
@@ -234,14 +233,15 @@ def histogram(df: DataFrame, value: str, bins: int = 30, cap: float | None = Non
     if cap is not None:
         src = src.filter(v <= cap)
     edges = src.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("e"))
-    e = edges.scalar()
+    src = src.withColumn("_e", edges.scalar())  # a column of its own: the subquery stands once
+    e = F.col("_e")
     width = e["hi"] - e["lo"]
     idx = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.floor((v - e["lo"]) * bins / width) + 1, F.lit(bins)))
     counts = src.groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # one row per bin, empty ones too: all bins with 0, added to the counts (empty input -> no bins)
     grid = counts.limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), F.lit(0).cast("long").alias("n"))
-    out = counts.unionByName(grid).groupBy("bin").agg(F.sum("n").alias("n"))
+    out = counts.unionByName(grid).groupBy("bin").agg(F.sum("n").alias("n")).withColumn("_e", edges.scalar())
     w = width / bins
     return out.select("bin", rnd(e["lo"] + (F.col("bin") - 1) * w, digits).alias("bin_lo"),
                       rnd(e["lo"] + F.col("bin") * w, digits).alias("bin_hi"), "n")

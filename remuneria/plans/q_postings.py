@@ -274,9 +274,14 @@ SELECT universidad_principal, round(salario, 4) AS salario, round(tamano, 4) AS
        round(tamano / (SELECT max(tamano) FROM a) * 100, 4) AS tamano_scaled,
        round(n / (SELECT max(n) FROM a) * 100, 4) AS n_scaled FROM a""")
 def university_profile_scaled(spark, sf):
-    p = K.group_size(_p(spark, sf), "empresa", "empresa_size")
-    a = S.group_stats(p, "universidad_principal", {"salario": F.avg(V), "tamano": F.avg("empresa_size"),
-                                                   "n": F.count(F.lit(1))})
+    # company and university first; sizes and means are weighted sums over that small table
+    g = _p(spark, sf).groupBy("empresa", "universidad_principal").agg(
+        F.sum(V).alias("s"), F.count(V).alias("c"), F.count(F.lit(1)).alias("n"))
+    g = K.group_sum(g, "empresa", "n", "empresa_size").filter("universidad_principal is not null")
+    a = g.groupBy("universidad_principal").agg(
+        F.try_divide(F.sum("s"), F.sum("c")).alias("salario"),
+        F.try_divide(F.sum(F.col("empresa_size") * F.col("n")), F.sum(F.when(F.col("empresa_size").isNotNull(), F.col("n")))).alias("tamano"),
+        F.sum("n").alias("n"))
     return S.scaled_to_max(a, ["salario", "tamano", "n"]).withColumns(
         {"salario": r4(F.col("salario")), "tamano": r4(F.col("tamano"))})
 
@@ -749,6 +754,6 @@ def income_percentile_rank(spark, sf):
     p = _p(spark, sf)
     deciles = S.aggregate(p, [], {f"d{i}": S.quantile(V, d) for i, d in enumerate(_DECILES)})
     bp = deciles.select(F.array(*[F.col(f"d{i}") for i in range(len(_DECILES))])).scalar()
-    m = S.group_stats(p, "empresa", {"mean": F.avg(V)})
+    m = S.group_stats(p, "empresa", {"mean": F.avg(V)}).withColumn("_bp", bp)
     return m.select("empresa", r4(F.col("mean")).alias("mean"),
-                    r4(S.interpolated_percentile("mean", bp, [d * 100 for d in _DECILES])).alias("national_pct"))
+                    r4(S.interpolated_percentile("mean", F.col("_bp"), [d * 100 for d in _DECILES])).alias("national_pct"))
