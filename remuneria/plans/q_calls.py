@@ -144,13 +144,13 @@ def role_comparison(spark, sf):
 
 
 @query("call_level_box", "A26 R23", f"""{SAL}
-SELECT * FROM (SELECT nivel AS categoria, count(*) AS n, round(min(salario), 4) AS min,
-       round(quantile_cont(salario, 0.25), 4) AS q1, round(median(salario), 4) AS median,
-       round(quantile_cont(salario, 0.75), 4) AS q3, round(max(salario), 4) AS max, round(avg(salario), 4) AS mean
+SELECT * FROM (SELECT nivel AS categoria, count(*) AS n, round(min(salario), 6) AS min,
+       round(quantile_cont(salario, 0.25), 6) AS q1, round(median(salario), 6) AS median,
+       round(quantile_cont(salario, 0.75), 6) AS q3, round(max(salario), 6) AS max, round(avg(salario), 6) AS mean
        FROM v WHERE {in_list('nivel', BR.PUBLIC_LEVEL_ORDER)} GROUP BY nivel) WHERE n >= 2""")
 def call_level_box(spark, sf):
     v = _valid(spark, sf).filter(F.col("nivel").isin(BR.PUBLIC_LEVEL_ORDER)).withColumnRenamed("nivel", "categoria")
-    return S.five_number(v, "categoria", "salario", 2, digits=4)
+    return S.five_number(v, "categoria", "salario", 2, digits=6)
 
 
 @query("call_histogram", "X3", f"""{W},

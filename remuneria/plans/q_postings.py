@@ -88,14 +88,14 @@ def kpi_by_flags(spark, sf):
 
 # ------------------------------------------------------------------ companies
 @query("company_ranking_mean", "A3", f"""{W}
-SELECT * FROM (SELECT empresa, round(avg({V}), 2) AS salario_promedio, round(median({V}), 2) AS salario_mediano,
+SELECT * FROM (SELECT empresa, round(avg({V}), 2) AS salario_promedio, round(median({V}), 4) AS salario_mediano,
        count({V}) AS count_salarios, round(max({V}), 2) AS salario_maximo, count(puesto) AS total_puestos
        FROM postings WHERE empresa IS NOT NULL GROUP BY empresa) WHERE total_puestos >= 2
 ORDER BY salario_promedio DESC, empresa LIMIT 15""")
 def company_ranking_mean(spark, sf):
     v = F.col(V)
     return S.group_stats(_p(spark, sf), "empresa", {
-        "salario_promedio": rnd(F.avg(v), 2), "salario_mediano": rnd(S.median(v), 2),
+        "salario_promedio": rnd(F.avg(v), 2), "salario_mediano": rnd(S.median(v), 4),
         "count_salarios": F.count(v), "salario_maximo": rnd(F.max(v), 2),
         "total_puestos": F.count("puesto")},
         having=F.col("total_puestos") >= 2, order=[F.col("salario_promedio").desc()], limit=15)
@@ -118,10 +118,10 @@ def company_top_n(spark, sf):
 
 
 @query("company_ranking_median", "A6", f"""{W}
-SELECT * FROM (SELECT empresa, round(median({V}), 2) AS median, count({V}) AS n FROM postings
+SELECT * FROM (SELECT empresa, round(median({V}), 4) AS median, count({V}) AS n FROM postings
                WHERE empresa IS NOT NULL GROUP BY empresa) WHERE n >= 5 ORDER BY median DESC, empresa LIMIT 15""")
 def company_ranking_median(spark, sf):
-    return S.group_stats(_p(spark, sf), "empresa", {"median": rnd(S.median(V), 2), "n": F.count(V)},
+    return S.group_stats(_p(spark, sf), "empresa", {"median": rnd(S.median(V), 4), "n": F.count(V)},
                          having=F.col("n") >= 5, order=[F.col("median").desc()], limit=15)
 
 
@@ -251,14 +251,14 @@ def sector_profile_scaled(spark, sf):
 
 # ------------------------------------------------------------------ universities
 @query("university_ranking", "A13", f"""{W}
-SELECT universidad_principal, round(avg({V}), 2) AS salario_promedio, round(median({V}), 2) AS salario_mediano,
+SELECT universidad_principal, round(avg({V}), 2) AS salario_promedio, round(median({V}), 4) AS salario_mediano,
        count({V}) AS count_salarios, round(max({V}), 2) AS salario_maximo, count(DISTINCT empresa) AS empresas,
        count(puesto) AS total_puestos
 FROM postings WHERE universidad_principal IS NOT NULL GROUP BY universidad_principal""")
 def university_ranking(spark, sf):
     v = F.col(V)
     return S.group_stats(_p(spark, sf), "universidad_principal", {
-        "salario_promedio": rnd(F.avg(v), 2), "salario_mediano": rnd(S.median(v), 2),
+        "salario_promedio": rnd(F.avg(v), 2), "salario_mediano": rnd(S.median(v), 4),
         "count_salarios": F.count(v), "salario_maximo": rnd(F.max(v), 2),
         "empresas": S.distinct_count("empresa"), "total_puestos": F.count("puesto")},
         order=[F.col("salario_promedio").desc()])
@@ -289,13 +289,13 @@ def university_profile_scaled(spark, sf):
 # ------------------------------------------------------------------ seniority / roles
 @query("seniority_stats", "A15 R7", f"""{W},
 l AS (SELECT *, {case('puesto', BR.SENIORITY)} AS seniority_level FROM postings)
-SELECT seniority_level, round(avg({V}), 2) AS mean, round(median({V}), 2) AS median, count({V}) AS n,
+SELECT seniority_level, round(avg({V}), 2) AS mean, round(median({V}), 4) AS median, count({V}) AS n,
        round(stddev_samp({V}), 2) AS std, count(DISTINCT empresa) AS n_empresas FROM l GROUP BY seniority_level""")
 def seniority_stats(spark, sf):
     p = R.label_columns(_p(spark, sf), {"seniority_level": ("puesto", BR.SENIORITY)})
     v = F.col(V)
     return S.group_stats(p, "seniority_level", {
-        "mean": rnd(F.avg(v), 2), "median": rnd(S.median(v), 2), "n": F.count(v),
+        "mean": rnd(F.avg(v), 2), "median": rnd(S.median(v), 4), "n": F.count(v),
         "std": rnd(F.stddev_samp(v), 2), "n_empresas": S.distinct_count("empresa")},
         order=[F.col("mean").desc()])
 
