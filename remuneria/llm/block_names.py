@@ -113,11 +113,14 @@ def block_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hashes=has
 
 def _grouped(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(every row with its identity, one row per identity: its size and its best row)."""
-    ids = block_identities(docs, block_bytes)
+    scratch = Scratch(docs.sparkSession, "block-names")
+    ids = block_identities(docs, block_bytes, scratch=scratch)
     rows = docs.select(_row_key(text_of()).alias("k"), F.sha2(F.encode(squeeze(text_of()), "UTF-8"), 256).alias("text_sha256"))
     rows = rows.join(ids, "k")
     best = F.max(F.struct(F.col("k.n").alias("n"), (-F.col("k.doc_id")).alias("minus"), F.col("k.h").alias("h")))
-    return rows, rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
+    groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
+    # written, so that joins with it are plain shuffle joins whose hot keys Spark can split
+    return rows, scratch.save(groups)
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -257,7 +257,9 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
 
     posts = cands.select("id", "n", "u", F.posexplode("prefix").alias("i", "token"))
     hub = posts.groupBy("token").agg(F.count("*").alias("f"), F.min(F.struct(F.expr("u / n"), "id", "n", "u", "i")).alias("hub"))
-    hub = hub.filter("f > 1").select("token", "hub.id", "hub.n", "hub.u", "hub.i")
+    # written, like the other tables by token or root below: a join with a written
+    # table is a plain shuffle join, whose hot keys Spark can split
+    hub = scratch.save(hub.filter("f > 1").select("token", "hub.id", "hub.n", "hub.u", "hub.i"))
     x, y = posts.alias("x"), hub.alias("y")
     to_hubs = scratch.save(x.join(y, F.expr("x.token = y.token and x.id != y.id") & _bound("x", "y", percent)).select(
         F.col("x.id").alias("of"), F.struct(F.expr("y.u / y.n"), F.col("y.id").alias("id")).alias("hub")).distinct())
@@ -278,6 +280,7 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
     slim = cands.select("id", "n", "u", "prefix").join(roots, cands["id"] == roots["node"], "left")
     slim = scratch.save(slim.select("id", "n", "u", F.coalesce("root", "id").alias("root"), F.posexplode("prefix").alias("i", "token")))
     mixed = slim.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
+    mixed = scratch.save(mixed)
     held = slim.join(mixed, "token").groupBy("id", "n", "u", "root").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("held"))
     apart = held.select("id", "n", "u", "root", "held", F.posexplode("held").alias("at", "h"))
     apart = scratch.save(apart.select("id", "n", "u", "root", "h.i", "h.token", F.when(
@@ -322,7 +325,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     rows = sets.withColumn("id", own).join(roots, F.col("id") == F.col("node"), "left")
     rows = scratch.save(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root")))
     first = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(first, "root", "left").select(
+    return rows.join(scratch.save(first), "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

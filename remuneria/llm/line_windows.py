@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .common import table
 
 LINES = 3
@@ -52,8 +53,9 @@ def covered_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
     """k, gone: the sorted distinct positions to remove from each row."""
     occ = occurrences(docs, n)
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("k", "i")).alias("first"), F.max(F.struct("k", "i")).alias("last"))
-    later = occ.join(first.filter("first != last").select("h1", "h2", "first"), ["h1", "h2"]).filter(
-        F.struct("k", "i") != F.col("first"))
+    # written, so that the join with it is a plain shuffle join whose hot windows Spark can split
+    repeated = Scratch(docs.sparkSession, "line-windows").save(first.filter("first != last").select("h1", "h2", "first"))
+    later = occ.join(repeated, ["h1", "h2"]).filter(F.struct("k", "i") != F.col("first"))
     starts = later.groupBy("k").agg(F.collect_set("i").alias("starts"))
     return starts.select("k", F.array_sort(F.array_distinct(F.flatten(F.transform(
         "starts", lambda s: F.sequence(s, s + (n - 1)))))).alias("gone"))
