@@ -110,7 +110,7 @@ def leaf_budgets(leaves: DataFrame, mix: Mix, total: Column | None = None) -> Da
     return budget
 
 
-def _cut(rows: DataFrame, digits: int) -> DataFrame:
+def _cut(rows: DataFrame, digits: int, scratch: Scratch) -> DataFrame:
     """Rows (leaf, key, n, left) -> the same with ``taken``: true before the
     digits at which ``left`` ends, false behind, null at them (with what is left)."""
     head = F.substring("key", 1, digits)
@@ -118,7 +118,8 @@ def _cut(rows: DataFrame, digits: int) -> DataFrame:
     order = Window.partitionBy(*LEVELS).orderBy("head").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("n").over(order)).filter(F.col("upto") > F.col("left"))
     end = sums.groupBy(*LEVELS).agg(F.min(F.struct("head", (F.col("left") - F.col("upto") + F.col("n")).alias("left"))).alias("end"))
-    d = rows.join(end, list(LEVELS), "left")
+    # written, one row per leaf: the join is a plain shuffle join, whose hot leaves Spark can split
+    d = rows.join(scratch.save(end), list(LEVELS), "left")
     taken = F.when(F.col("end").isNull() | (head < F.col("end.head")), True).when(head > F.col("end.head"), False)
     return d.withColumn("taken", taken).withColumn("left", F.coalesce("end.left", "left")).drop("end")
 
@@ -134,8 +135,8 @@ def mix_sources(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     budgets = budgets.select(*LEVELS, "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("left"))
     d = rows.join(scratch.save(budgets), list(LEVELS)).withColumn(
         "key", F.md5(F.concat_ws(":", F.lit(mix.seed), "full", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    one = scratch.save(_cut(d, DIGITS))
-    two = scratch.save(_cut(one.filter("taken is null").drop("taken"), 2 * DIGITS))
+    one = scratch.save(_cut(d, DIGITS, scratch))
+    two = scratch.save(_cut(one.filter("taken is null").drop("taken"), 2 * DIGITS, scratch))
     upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("key", "n").rowsBetween(Window.unboundedPreceding, 0))
     last = two.filter("taken is null").withColumn("taken", upto <= F.col("left"))
     all_ = one.filter("taken is not null").unionByName(two.filter("taken is not null")).unionByName(last)
