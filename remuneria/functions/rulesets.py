@@ -379,3 +379,8 @@ ACTIVE_TYPES = ["Activos", "Contrato Administrativo de Servicios"]
 # R29 "looks like a pay page".
 PAY_PAGE_WORDS = ["salario", "S/", "puesto"]
 PAY_PAGE_PASS_RATE = 0.60
+
+# C8 salary rescue: which titles are trainees, which are professionals.
+TRAINEE_HINT = "practicante|trainee|intern|auxiliar|asistente|assistant"
+PROFESSIONAL_HINT = ("analista|analyst|coordinador|coordinator|especialista|specialist|ejecutivo|executive|"
+                     "asesor|advisor|supervisor|jefe|head|gerente|manager")

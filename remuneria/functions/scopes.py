@@ -56,17 +56,12 @@ def any_scope(company: Column | str, sector: Column | str, role: Column | str |
 
 
 def rescaled(df, salary: str = "salario_promedio", role: str = "puesto", floor: float = 2000.0,
-             trainee: str = "practicante|trainee|intern|auxiliar|asistente|assistant",
-             professional: str = ("analista|analyst|coordinador|coordinator|especialista|specialist|"
-                                  "ejecutivo|executive|asesor|advisor|supervisor|jefe|head|gerente|manager"),
+             trainee: str = RS.TRAINEE_HINT, professional: str = RS.PROFESSIONAL_HINT,
              cols: Sequence[str] = ("salario_minimo", "salario_maximo", "salario_promedio")):
     """Multiply min/max/avg by 10 where avg < floor on a professional,
     non-trainee role; adds a ``rescaled`` flag (the study prints each one)."""
     low = F.lower(F.col(role))
-    cond = F.coalesce((F.col(salary) < floor) & ~F.coalesce(low.rlike(trainee), F.lit(False))
+    cond = F.coalesce((F.col(salary) < floor) & ~F.isnan(F.col(salary).cast("double")) & ~F.coalesce(low.rlike(trainee), F.lit(False))
                       & F.coalesce(low.rlike(professional), F.lit(False)), F.lit(False))
     return df.withColumns({**{c: F.when(cond, F.col(c) * 10).otherwise(F.col(c)) for c in cols},
                            "rescaled": cond})
-
-
-rescale_salary = rescaled

@@ -60,6 +60,7 @@ def recent(hist: DataFrame, as_of: str, days: int = 14, limit: int = 200,
     return keep.orderBy(F.col(first).desc(), F.col(url).desc()).limit(limit)
 
 
+# The texts of a feed entry.
 def feed_entries(rows: DataFrame, as_of: str) -> DataFrame:
     """H3: Atom entry fields: title, summary, published/updated (RFC 3339,
     midnight -> noon), two categories."""

@@ -12,6 +12,7 @@ study's own lists run in ``q_rules.py`` on texts built from the tables.
 from __future__ import annotations
 
 from ..functions.rules import Rule, RuleSet
+from ..functions.rulesets import INSTITUTION_GRID_ORDER, INSTITUTION_TREE_ORDER, LEVEL_ORDER, ROLE_CAT_DISPLAY  # noqa: F401
 
 # R1 shape: last match wins, company OR role.
 SECTOR_LAST = RuleSet("B-R1", (
@@ -39,7 +40,6 @@ LEVEL = RuleSet("B-R5", (
     Rule("Analista", ["old", "red"]),
     Rule("Junior", ["small", "blue"]),
 ), default="Otros")
-LEVEL_ORDER = ["C-Level", "VP / Director", "Gerente", "Jefe / Subgerente", "Senior", "Analista", "Junior"]
 
 # R6 shape (two labels + default) and R7 shape (three labels + default).
 SENIORITY_SIMPLE = RuleSet("B-R6", (
@@ -153,7 +153,6 @@ ROLE_CAT = RuleSet("B-R22", (
     Rule("Auxiliar", ["small"]),
     Rule("Técnico", ["red", "blue"]),
 ), default=None)
-ROLE_CAT_DISPLAY = ["Especialista", "Coordinador", "Profesional", "Analista", "Asistente", "Técnico", "Auxiliar"]
 PUBLIC_LEVEL = RuleSet("B-R23", (
     Rule("Gerente/Jefe", ["large"]),
     Rule("Coordinador/Esp.", ["hot", "new"]),
@@ -172,10 +171,3 @@ INSTITUTION_TYPE = RuleSet("B-R24", (
     Rule("Municipalidades", ["europe supplier#0000000"]),
     Rule("Gobiernos Regionales", ["europe"]),
 ), default="Otros", mode="folded", exact={"middle east supplier#000000004": "Identidad / Civil"})
-INSTITUTION_GRID_ORDER = ["Ministerios", "Gobiernos Regionales", "Salud / Hospitales",
-                          "Justicia", "Educación", "Municipalidades",
-                          "Programas Sociales", "Sup. y Fiscalización", "Identidad / Civil"]
-INSTITUTION_TREE_ORDER = ["Educación", "Gobiernos Regionales", "Ministerios",
-                          "Sup. y Fiscalización", "Identidad / Civil", "Otros",
-                          "Salud / Hospitales", "Municipalidades", "Justicia",
-                          "Programas Sociales"]

@@ -654,6 +654,13 @@ def histogram_capped_20(spark, sf):
     return S.histogram(_p(spark, sf), V, 20, cap=50000)
 
 
+@query("histogram_lines", "X3 A1", f"""{W}
+SELECT round(avg({V}), 4) AS mean, round(median({V}), 4) AS median FROM postings""")
+def histogram_lines(spark, sf):
+    """The mean and median lines of the capped chart: over all salaries."""
+    return S.histogram_lines(_p(spark, sf), V)
+
+
 @query("top20_word_freq", "X4", f"""{W},
 k AS (SELECT CAST(floor(count(*) * 0.2) AS BIGINT) AS k FROM postings),
 t AS (SELECT puesto FROM (SELECT puesto, row_number() OVER (ORDER BY {V} DESC NULLS LAST, posting_id) AS rn
