@@ -2,16 +2,15 @@
 
 The study parses one fetched page at a time. Here the same extraction is a
 Spark job over a table of already-fetched pages ``(page_id, url, html)``:
-regular expressions pull the small matched parts out of each page
-(``regexp_extract_all`` + ``explode``), JSON text is typed with
-``from_json``, and per-page choices (which extraction branch wins) are
-aggregations keyed by page, not loops. The ``html`` column is projected
-away right after extraction so it never travels through a shuffle.
+regular expressions pull the small matched parts out of each page into arrays,
+JSON text is typed with ``from_json``, and the part of the cascade that wins is
+chosen in the same projection before one ``explode``. The ``html`` column never
+travels through a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,70 +91,64 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(m), unescape_html(value))
 
 
-def jsonld_items(pages: DataFrame) -> DataFrame:
-    """Every JSON-LD object of every page; a block may be one object or
-    a list; a block that is not valid JSON yields nothing."""
-    blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LD_JSON), 1)).alias("block_pos", "block"))
-    blocks = blocks.withColumn("block", F.trim("block"))
-    as_list = F.when(F.col("block").startswith("["), F.col("block")).otherwise(F.concat(F.lit("["), F.col("block"), F.lit("]")))
-    parsed = blocks.select("page_id", "block_pos", F.from_json(as_list, LD_ITEM, {"mode": "PERMISSIVE"}).alias("items"))
-    return parsed.select("page_id", "block_pos", F.posexplode("items").alias("item_pos", "item")).filter(F.col("item").isNotNull())
-
-
-def jsonld_postings(pages: DataFrame) -> DataFrame:
-    """S8 -> rows: JobPosting items with salary parsed from the description
-    (C3, C4); items without a title are dropped. Also returns the
-    Organization name of the page (overrides the slug name)."""
-    items = jsonld_items(pages)
-    org = (items.filter(F.col("item")["@type"] == "Organization")
-           .groupBy("page_id").agg(F.max_by(F.col("item")["name"], F.struct("block_pos", "item_pos")).alias("org_name")))
-    jobs = items.filter(F.col("item")["@type"] == "JobPosting")
-    sal = X.parse_salary(X.salary_text(F.col("item")["description"]))
-    rows = jobs.select(
-        "page_id", F.lit(1).alias("priority"), F.struct(F.col("block_pos").alias("a"), F.col("item_pos").alias("b")).alias("pos"),
-        F.col("item")["title"].alias("puesto"), sal["min"].alias("salario_minimo"),
-        sal["max"].alias("salario_maximo"), sal["avg"].alias("salario_promedio"),
-        F.col("item")["universidad"]["name"].alias("universidad_principal"),
-        F.nullif(F.col("item")["datePosted"], F.lit("")).alias("fecha_inicio"),
-        F.nullif(F.col("item")["validThrough"], F.lit("")).alias("fecha_fin"))
-    rows = rows.filter(F.col("puesto").isNotNull() & (F.col("puesto") != ""))
-    return rows.join(org, "page_id", "left")
-
-
-def payload_postings(pages: DataFrame) -> DataFrame:
-    """(title, salary_range) pairs from the inline framework payload
-    scripts."""
-    scripts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT), 1)).alias("spos", "s"))
-    scripts = scripts.filter(F.col("s").contains(PAYLOAD_MARK))
-    pairs = scripts.select("page_id", "spos", F.arrays_zip(
-        F.regexp_extract_all("s", F.lit(PAYLOAD_PAIR), 1).alias("title"),
-        F.regexp_extract_all("s", F.lit(PAYLOAD_PAIR), 2).alias("salary_range")).alias("p"))
-    ex = pairs.select("page_id", "spos", F.posexplode("p").alias("ppos", "pair"))
-    sal = X.parse_salary(F.col("pair")["salary_range"])
-    return ex.select(
-        "page_id", F.lit(2).alias("priority"), F.struct(F.col("spos").alias("a"), F.col("ppos").alias("b")).alias("pos"),
-        F.coalesce(F.col("pair")["title"], F.lit("Desconocido")).alias("puesto"),
-        sal["min"].alias("salario_minimo"), sal["max"].alias("salario_maximo"), sal["avg"].alias("salario_promedio"),
-        F.lit(None).cast("string").alias("universidad_principal"),
-        F.lit(None).cast("string").alias("fecha_inicio"), F.lit(None).cast("string").alias("fecha_fin"))
-
-
-def table_postings(pages: DataFrame) -> DataFrame:
+# Each part of the cascade is an array expression over one page's html, so a
+# page is read once and its html never leaves the projection.
+
+def jsonld_items(html: Column) -> Column:
+    """Every JSON-LD object of a page, in order; a block may be one object
+    or a list; a block that is not valid JSON yields nothing."""
+    def parse(block: Column) -> Column:
+        b = F.trim(block)
+        as_list = F.when(b.startswith("["), b).otherwise(F.concat(F.lit("["), b, F.lit("]")))
+        return F.from_json(as_list, LD_ITEM, {"mode": "PERMISSIVE"})
+
+    lists = F.filter(F.transform(F.regexp_extract_all(html, F.lit(LD_JSON), 1), parse), lambda x: x.isNotNull())
+    return F.filter(F.flatten(lists), lambda x: x.isNotNull())
+
+
+def _posting(title: Column, salary: Column, university: Column | None = None,
+             begin: Column | None = None, end: Column | None = None) -> Column:
+    null = F.lit(None).cast("string")
+    sal = X.parse_salary(salary)
+    text = lambda c: null if c is None else F.nullif(c, F.lit(""))
+    return F.struct(
+        title.alias("puesto"), sal["min"].alias("salario_minimo"), sal["max"].alias("salario_maximo"),
+        sal["avg"].alias("salario_promedio"), (null if university is None else university).alias("universidad_principal"),
+        text(begin).alias("fecha_inicio"), text(end).alias("fecha_fin"))
+
+
+def jsonld_postings(items: Column) -> Column:
+    """The JobPosting items with a title, salary parsed from the
+    description (C3, C4)."""
+    jobs = F.filter(items, lambda x: (x["@type"] == "JobPosting") & (x["title"] != ""))
+    return F.transform(jobs, lambda x: _posting(
+        x["title"], X.salary_text(x["description"]), x["universidad"]["name"], x["datePosted"], x["validThrough"]))
+
+
+def payload_postings(html: Column) -> Column:
+    """(title, salary_range) pairs from the inline framework payload scripts."""
+    scripts = F.filter(F.regexp_extract_all(html, F.lit(SCRIPT), 1), lambda s: s.contains(PAYLOAD_MARK))
+    pairs = F.flatten(F.transform(scripts, lambda s: F.arrays_zip(
+        F.regexp_extract_all(s, F.lit(PAYLOAD_PAIR), 1).alias("title"),
+        F.regexp_extract_all(s, F.lit(PAYLOAD_PAIR), 2).alias("salary_range"))))
+    return F.transform(pairs, lambda p: _posting(F.coalesce(p["title"], F.lit("Desconocido")), p["salary_range"]))
+
+
+def table_postings(html: Column) -> Column:
     """HTML tables, header row skipped, first two cells, kept when the
     second cell holds the currency mark 'S/'."""
-    tables = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TABLE), 1)).alias("tpos", "t"))
-    rows = tables.select("page_id", "tpos", F.regexp_extract_all("t", F.lit(ROW), 1).alias("rows"))
-    body = rows.select("page_id", "tpos", F.posexplode("rows").alias("rpos", "r")).filter(F.col("rpos") > 0)
-    cells = body.select("page_id", "tpos", "rpos", F.regexp_extract_all("r", F.lit(CELL), 1).alias("c"))
-    cells = cells.filter(F.size("c") >= 2).select(
-        "page_id", "tpos", "rpos", _text(F.get("c", F.lit(0))).alias("puesto"), _text(F.get("c", F.lit(1))).alias("sal_text"))
-    keep = cells.filter((F.col("puesto") != "") & (F.col("sal_text") != "") & F.col("sal_text").contains("S/"))
-    sal = X.parse_salary(F.col("sal_text"))
-    return keep.select(
-        "page_id", F.lit(3).alias("priority"), F.struct(F.col("tpos").alias("a"), F.col("rpos").alias("b")).alias("pos"), "puesto",
-        sal["min"].alias("salario_minimo"), sal["max"].alias("salario_maximo"), sal["avg"].alias("salario_promedio"),
-        F.lit(None).cast("string").alias("universidad_principal"),
-        F.lit(None).cast("string").alias("fecha_inicio"), F.lit(None).cast("string").alias("fecha_fin"))
+    rows = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(TABLE), 1), lambda t: F.filter(
+        F.regexp_extract_all(t, F.lit(ROW), 1), lambda r, i: i > 0)))
+    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(CELL), 1))
+    pairs = F.transform(cells, lambda c: F.struct(
+        _text(F.get(c, F.lit(0))).alias("puesto"), _text(F.get(c, F.lit(1))).alias("sal")))
+    kept = F.filter(pairs, lambda p: (p["puesto"] != "") & p["sal"].contains("S/"))
+    return F.transform(kept, lambda p: _posting(p["puesto"], p["sal"]))
+
+
+def _last_name(items: Column) -> Column:
+    """The name of the last Organization item, null without one."""
+    return F.try_element_at(F.filter(items, lambda x: x["@type"] == "Organization"), F.lit(-1))["name"]
 
 
 def page_slug(url: Column | str) -> Column:
@@ -166,47 +159,34 @@ def page_slug(url: Column | str) -> Column:
 
 
 def company_names(pages: DataFrame) -> DataFrame:
-    """Name per page: Organization name, else hiringOrganization name,
-    else the '<title>' pattern "Salarios en X -", else the slug made
-    readable (C5)."""
-    items = jsonld_items(pages)
-    org = (items.filter(F.col("item")["@type"] == "Organization")
-           .groupBy("page_id").agg(F.max_by(F.col("item")["name"], F.struct("block_pos", "item_pos")).alias("org")))
-    hiring = (items.filter(F.col("item")["hiringOrganization"]["name"].isNotNull())
-              .groupBy("page_id").agg(F.min_by(F.col("item")["hiringOrganization"]["name"],
-                                               F.struct("block_pos", "item_pos")).alias("hiring")))
-    base = pages.select("page_id", "url", page_slug("url").alias("slug"),
-                        F.nullif(F.trim(F.regexp_extract(F.regexp_extract("html", TITLE, 1), TITLE_NAME, 1)), F.lit("")).alias("from_title"))
-    named = base.join(org, "page_id", "left").join(hiring, "page_id", "left")
-    return named.select("page_id", "url", "slug",
-                        F.coalesce(F.nullif("org", F.lit("")), F.nullif("hiring", F.lit("")), "from_title",
-                                   X.slug_to_name("slug")).alias("nombre"))
+    """Name per page: the last Organization name, else the first
+    hiringOrganization name, else the '<title>' pattern "Salarios en X -", else
+    the slug made readable (C5)."""
+    d = pages.select("page_id", "url", jsonld_items(F.col("html")).alias("items"), page_slug("url").alias("slug"),
+                     F.trim(F.regexp_extract(F.regexp_extract("html", TITLE, 1), TITLE_NAME, 1)).alias("from_title"))
+    hiring = F.get(F.filter("items", lambda x: x["hiringOrganization"]["name"].isNotNull()), F.lit(0))["hiringOrganization"]["name"]
+    name = F.coalesce(F.nullif(_last_name(F.col("items")), F.lit("")), F.nullif(hiring, F.lit("")),
+                      F.nullif("from_title", F.lit("")), X.slug_to_name("slug"))
+    return d.select("page_id", "url", "slug", name.alias("nombre"))
 
 
 def extract_postings(pages: DataFrame, extracted: str | None = None) -> DataFrame:
     """The cascade per page: JSON-LD rows if any, else payload rows,
-    else table rows. The company is the page's Organization, else its readable
-    slug. ``extracted`` is the extraction stamp (a parameter, never the clock)."""
-    slim = pages.select("page_id", "url", "html")
-    jl = jsonld_postings(slim)
-    branches = (jl.drop("org_name").unionByName(payload_postings(slim)).unionByName(table_postings(slim)))
-    # rank() over the page: the rows of its first branch; a page's rows are few
-    first = F.min("priority").over(Window.partitionBy("page_id"))
-    chosen = branches.withColumn("_first", first).filter("priority = _first").drop("_first")
-    names = _organizations(slim).select("page_id", "url", F.coalesce(
-        F.nullif("org", F.lit("")), X.slug_to_name(page_slug("url"))).alias("empresa"))
-    return (chosen.join(names, "page_id", "left")
-            .select("page_id", "priority", "pos", "empresa", "puesto", "salario_minimo", "salario_maximo",
-                    "salario_promedio", F.lit("PEN").alias("moneda"), "universidad_principal",
-                    F.col("url").alias("url_empresa"), "fecha_inicio", "fecha_fin",
-                    F.lit(extracted).cast("string").alias("fecha_extraccion")))
-
-
-def _organizations(pages: DataFrame) -> DataFrame:
-    """Every page with the name of its last Organization block (null without one)."""
-    org = (jsonld_items(pages).filter(F.col("item")["@type"] == "Organization")
-           .groupBy("page_id").agg(F.max_by(F.col("item")["name"], F.struct("block_pos", "item_pos")).alias("org")))
-    return pages.select("page_id", "url").join(org, "page_id", "left")
+    else table rows (``priority`` 1 to 3, ``pos`` the row's place in its part).
+    The company is the page's Organization, else its readable slug.
+    ``extracted`` is the extraction stamp (a parameter, never the clock)."""
+    d = pages.select("page_id", "url", jsonld_items(F.col("html")).alias("items"),
+                     payload_postings(F.col("html")).alias("payload"), table_postings(F.col("html")).alias("table"))
+    d = d.select("page_id", "url", _last_name(F.col("items")).alias("org"), F.array(
+        jsonld_postings(F.col("items")), F.col("payload"), F.col("table")).alias("parts"))
+    first = F.when(F.size(F.col("parts")[0]) > 0, 1).when(F.size(F.col("parts")[1]) > 0, 2).when(F.size(F.col("parts")[2]) > 0, 3)
+    d = d.withColumn("priority", first).filter("priority is not null")
+    d = d.select("page_id", "priority", "url", F.coalesce(F.nullif("org", F.lit("")), X.slug_to_name(page_slug("url"))).alias("empresa"),
+                 F.posexplode(F.element_at("parts", F.col("priority"))).alias("pos", "p"))
+    return d.select("page_id", "priority", "pos", "empresa", "p.puesto", "p.salario_minimo", "p.salario_maximo",
+                    "p.salario_promedio", F.lit("PEN").alias("moneda"), "p.universidad_principal",
+                    F.col("url").alias("url_empresa"), "p.fecha_inicio", "p.fecha_fin",
+                    F.lit(extracted).cast("string").alias("fecha_extraccion"))
 
 
 def sitemap_slugs(df: DataFrame, text: str, pattern: str = SITEMAP_LOC) -> DataFrame:
