@@ -7,7 +7,6 @@ fills in values that are unset, and the checkpoint folder is read from
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -70,13 +69,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables of one query, written as Parquet below the shared
     checkpoint folder (they survive lost executors). ``drop`` removes a table
-    that nothing reads any more; the rest goes when the driver ends."""
+    that nothing reads any more; the rest goes when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
-        atexit.register(self.close)
+        path, fs = self._on(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return it as a table without lineage."""
@@ -92,13 +93,16 @@ class Scratch:
                 self._delete(path)
 
     def close(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            self._delete(self.root)
+        """Delete all tables."""
+        self._delete(self.root)
+
+    def _on(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._on(path)
+        fs.delete(p, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
