@@ -271,10 +271,11 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
     for end in "ab":
         others = others.join(roots.withColumnsRenamed({"node": end, "root": "root_" + end}), end, "left")
     others = scratch.save(others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    more = scratch.save(_verified_few(others, cands, percent, scratch))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = scratch.save(connected_components(links, scratch))
+    if not others.isEmpty():
+        more = scratch.save(_verified_few(others, cands, percent, scratch))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = scratch.save(connected_components(links, scratch))
 
     # tokens that lie in several components, and the classes that hold them
     slim = cands.select("id", "n", "u", "prefix").join(roots, cands["id"] == roots["node"], "left")
