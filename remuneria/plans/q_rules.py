@@ -133,6 +133,7 @@ def rules_scopes(spark, sf):
         "R15": SC.in_names("empresa", RS.CONSUMER_COMPANIES), "R16": SC.junior_scope("puesto", "salario"),
         "R18": SC.any_scope("empresa", "sector", "puesto", RS.TECH_COMPANIES, RS.TECH_SECTOR_REGEX, RS.TECH_ROLE_WORDS),
         "R19": SC.any_scope("empresa", "sector", None, RS.BANK_COMPANIES, RS.BANK_SECTOR_REGEX)}
-    one = s.agg(*[F.struct(F.lit(k).alias("scope"), F.count_if(c).alias("n_in"), F.count_if(~c).alias("n_out")).alias(k)
-                  for k, c in scopes.items()])
+    one = s.agg(*[F.struct(F.lit(k).alias("scope"), F.count_if(c).alias("n_in")).alias(k) for k, c in scopes.items()],
+                F.count(F.lit(1)).alias("rows"))
+    one = one.select(*[F.struct(f"{k}.scope", f"{k}.n_in", (F.col("rows") - F.col(f"{k}.n_in")).alias("n_out")).alias(k) for k in scopes])
     return one.select(F.explode(F.array(*scopes)).alias("s")).select("s.*")
