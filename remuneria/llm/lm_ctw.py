@@ -43,6 +43,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import Scratch
 from . import wordarrays as wa
@@ -54,6 +56,7 @@ BLOCK_BYTES = 8 << 20
 MAX_BUCKETS = 1 << 16
 BLOCKS_PER_TASK = 256
 GRAM, WORD = 0, 1
+NO_BLOCK = -1
 
 
 # -- numbers ---------------------------------------------------------------
@@ -344,20 +347,36 @@ _TOLD = "block long, kind int, bucket long, n long, known long, value binary"
 
 
 def _dispatch(sent: pa.Table, model: pa.Table) -> pa.Table:
-    """What each block asked of a bucket, in the order in which it asked."""
+    """What each block asked of a bucket, in the order in which it asked; none
+    if no block of this salt did. The model row of salt 0, which every bucket
+    has, tells its known words once, to ``NO_BLOCK``."""
     n = model["n"][0].as_py()
-    keys, value = unpack(model["keys"][0].as_py(), n), np.frombuffer(model["value"][0].as_py(), np.float64)
-    out = [pack_values(value[np.searchsorted(keys, unpack(k, m))]) for k, m in zip(sent["keys"].to_pylist(), sent["n"].to_pylist())]
-    known = np.zeros(len(out), np.int64)
-    known[0] = model["known"][0].as_py() if model["salt"][0].as_py() == 0 else 0  # each bucket's words are told once
-    return pa.table({"block": sent["block"], "kind": sent["kind"], "bucket": sent["bucket"], "n": sent["n"], "known": pa.array(known),
-                     "value": pa.array(out, pa.binary())})
+    cols = {c: sent[c].to_pylist() if sent.num_rows else [] for c in ("block", "kind", "bucket", "n")}
+    out = []
+    if sent.num_rows:
+        keys, value = unpack(model["keys"][0].as_py(), n), np.frombuffer(model["value"][0].as_py(), np.float64)
+        out = [pack_values(value[np.searchsorted(keys, unpack(k, m))]) for k, m in zip(sent["keys"].to_pylist(), cols["n"])]
+    known = [0] * len(out)
+    if model["salt"][0].as_py() == 0 and model["known"][0].as_py():
+        for c, x in (("block", NO_BLOCK), ("kind", model["kind"][0].as_py()), ("bucket", model["bucket"][0].as_py()), ("n", 0)):
+            cols[c].append(x)
+        known.append(model["known"][0].as_py())
+        out.append(pack_values(np.zeros(0)))
+    return pa.table({"block": pa.array(cols["block"], pa.int64()), "kind": pa.array(cols["kind"], pa.int32()),
+                     "bucket": pa.array(cols["bucket"], pa.int64()), "n": pa.array(cols["n"], pa.int64()),
+                     "known": pa.array(known, pa.int64()), "value": pa.array(out, pa.binary())})
 
 
 def _score(depth: int, buckets: int, id_type: str):
-    """Cogroup (texts, answers) -> sums of each text, and a row (n_tokens null)
-    that carries how many known words were told to this block."""
+    """Cogroup (texts, answers) -> sums of each text; of ``NO_BLOCK``, which has
+    no texts, a row (n_tokens null) with the number of known words."""
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, log_c double, score double, n_bytes long, known long"
+    empty = [(f.name, f.type) for f in to_arrow_schema(StructType.fromDDL(schema))]
+
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            known = {"known": pa.array([pa.compute.sum(told["known"]).as_py()], pa.int64())}
+            return pa.table({c: known.get(c, pa.nulls(1, t)) for c, t in empty})
         held = docs["held_out"].to_numpy(zero_copy_only=False)
         chunks = list(_block_keys(docs, depth))
         lookup = {}
@@ -383,11 +402,9 @@ def _score(depth: int, buckets: int, id_type: str):
             cols["log_c"].append(total(np.log10(c + 1)))
             cols["n_tokens"].append(n_words.astype(np.int64) + 1)
             cols["n_bytes"].append(n_bytes.astype(np.int64))
-        out = pa.table({"doc_id": docs["doc_id"], "held_out": pa.array(held), **{k: pa.array(np.concatenate(v)) for k, v in cols.items()},
-                        "known": pa.nulls(docs.num_rows, pa.int64())})
-        extra = pa.table({"known": pa.array([pa.compute.sum(told["known"]).as_py() or 0], pa.int64())})
-        return pa.concat_tables([out, extra], promote_options="default")
-    return run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, log_c double, score double, n_bytes long, known long"
+        return pa.table({"doc_id": docs["doc_id"], "held_out": pa.array(held), **{k: pa.array(np.concatenate(v)) for k, v in cols.items()},
+                         "known": pa.nulls(docs.num_rows, pa.int64())})
+    return run, schema
 
 
 def ctw_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:

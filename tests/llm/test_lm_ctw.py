@@ -93,6 +93,25 @@ def test_ctw_same_as_brute_force(spark, depth, block_bytes, monkeypatch):
         assert g[5:] == pytest.approx(x[5:], rel=1e-5, abs=1e-5)
 
 
+@pytest.mark.parametrize("rare_in_first", [False, True])
+def test_ctw_where_a_salt_asks_nothing_of_a_bucket(spark, rare_in_first, monkeypatch):
+    """Each block its own salt, most contexts and words in one block only."""
+    monkeypatch.setattr(op, "BLOCKS_PER_TASK", 1)
+    texts = ["".join(chr(33 + (7 * i + j * j) % 90) for j in range(60)) + f" w{i}x w{i}y" for i in range(6)]
+    texts = texts if rare_in_first else ["a", "a b"] + texts
+    rows = [(i, t, i % 3 == 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    train = [t for _, t, h in rows if not h]
+    tree, count = BruteTree(train, 4), Counter(w for t in train for w in tokens(t))
+    n, v = sum(count.values()), len(count)
+    got = {r.doc_id: r for r in op.ctw_scores(df, F.col("held_out"), 4, 40).collect()}
+    assert len(got) == len(rows)
+    for d, t, _ in rows:
+        base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in tokens(t))
+        assert got[d].train_tokens == n and got[d].n_known == sum(count[x] > 0 for x in tokens(t))
+        assert (got[d].base_score, got[d].score) == pytest.approx((base, tree.log10(t)), rel=1e-5)
+
+
 def test_ctw_no_rows_and_no_training(spark, empty_docs):
     assert op.ctw_scores(empty_docs, F.lit(False)).collect() == []
     d = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
