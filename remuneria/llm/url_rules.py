@@ -1,22 +1,27 @@
 """URL filter by association rules.
 
 ``apply_prefix_rules`` judges urls by declared (host, path) rules. The urls
-that a rule decides are the labelled examples from which ``mine`` learns:
-Spark's FP-growth finds token combinations that go with a label, and the rules
-that pass the support and confidence thresholds and aren't implied by a
-shorter rule of at least the same confidence stay. ``match`` finds the rules
+that a rule decides are the labelled examples from which ``mine`` learns: the
+token combinations that go with a label, of which those that pass the support
+and confidence thresholds and aren't implied by a shorter rule of at least the
+same confidence stay. ``match`` finds the rules
 of a url by an inverted index: a rule is listed under its rarest token, so a
 url meets only rules that it can satisfy in full after one containment test.
 
 Tokens of a url: the labels of its host, the segments of its path, and the
 names and pairs of its query, each tagged with its kind. All tokens serve for
-matching. For mining, a url stands with its ``MAX_ITEMS`` most telling
-frequent tokens (a bound on the classifier's features: FP-growth's output is
-exponential in the tokens that frequently occur together).
+mining and for matching.
+
+Sets of tokens grow by one token at a time, counted over all examples. A set
+grows no further, and none that contains it is counted, if no label has the
+support in it, if all its examples have one label (a longer set is implied by
+it), or if one of its parts has the same examples (which implies it). Nothing
+else is left out, so the rules are those of a full search. The work is the
+number of sets that stay, times their support: it still is exponential in
+tokens that occur together in all mixtures of labels.
 
 The frequent sets are bounded by the support threshold, not by the data.
-Everything is done once per distinct url. DataFrame functions and Spark ML
-only.
+Everything is done once per distinct url. DataFrame functions only.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule, and tokens only from what it has (none for null); ties go to the
@@ -28,7 +33,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +48,7 @@ RULES = ((ALLOW, "org", "/"), (BLOCK, "example.org", "/es/"), (BLOCK, "example.o
          (ALLOW, "com", "/fr/"), (BLOCK, "com", "/de/"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
-MAX_ITEMS = 12
+MAX_ITEMS = None
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,29 +98,56 @@ def _containment(sets: DataFrame, rules: DataFrame, rarity: DataFrame) -> DataFr
     return at.join(index, "token").filter(F.size(F.array_except("need", "items")) == 0).drop("token")
 
 
+def _grown(held: DataFrame) -> DataFrame:
+    """Each set with each of the tokens that it may grow by."""
+    more = held.select("need", "rest", "seen", "b", F.posexplode("rest").alias("at", "token"))
+    return (more.select(F.concat("need", F.array("token")).alias("need"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "seen", "b")
+            .groupBy("need", "rest").agg(F.sum("seen").alias("seen"), F.sum("b").alias("b")))
+
+
 def mine(examples: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE, max_items: int = MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
+         min_confidence: float = MIN_CONFIDENCE, max_items: int | None = MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
     """(rules: rid, need, verdict, confidence, support; token frequencies) from
-    ``examples`` (items, given)."""
-    examples = examples.withColumn("e", F.monotonically_increasing_id())
+    ``examples`` (items, given). ``max_items`` bounds the tokens of a rule (None: any number)."""
     total = examples.count()
-    seen = (examples.select(F.explode("items").alias("token"), (F.col("given") == BLOCK).cast("long").alias("b"))
-            .groupBy("token").agg(F.count("*").alias("seen"), F.sum("b").alias("b"))
-            .filter(F.col("seen") >= min_support * total))
-    base = examples.select(F.avg((F.col("given") == BLOCK).cast("double"))).first()[0] or 0.0
-    seen = scratch.save(seen.withColumn("tells", F.abs(F.col("b") / F.col("seen") - F.lit(base))))
-    baskets = (examples.select("e", "given", F.explode("items").alias("token")).join(seen, "token")
-               .groupBy("e", "given").agg(F.sort_array(F.collect_list(F.struct("tells", "seen", "token")), asc=False).alias("t")))
-    baskets = baskets.select(F.concat(F.transform(F.slice("t", 1, max_items), lambda x: x["token"]),
-                                      F.array(F.concat(F.lit("verdict:"), "given"))).alias("items"))
-    baskets = scratch.save(baskets)
-    fitted = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = fitted.associationRules.filter(F.col("consequent")[0].startswith("verdict:") & ~F.exists(
-        "antecedent", lambda x: x.startswith("verdict:")))
+    need = max(1, math.ceil(min_support * total))
+    frequent = F.greatest("b", F.col("seen") - F.col("b")) >= need
+    open_ = (F.col("b") > 0) & (F.col("b") < F.col("seen"))
+    sums = [F.sum("seen").alias("seen"), F.sum("b").alias("b")]
+    sets = (examples.select(F.explode("items").alias("token"), F.lit(1).alias("seen"), (F.col("given") == BLOCK).cast("int").alias("b"))
+            .groupBy("token").agg(*sums).filter(frequent))
+    sets = scratch.save(sets.select(F.array("token").alias("need"), "seen", "b"))
+    rarity = sets.select(F.col("need")[0].alias("token"), "seen")
+    told = [sets]
+    alive = sets.filter(open_)
+    examples = examples.withColumn("e", F.monotonically_increasing_id())
+    # What a set may still grow by: the later tokens of the examples that hold it.
+    held = (examples.select("e", (F.col("given") == BLOCK).cast("int").alias("b"), F.explode("items").alias("token"))
+            .join(alive.select(F.col("need")[0].alias("token")), "token")
+            .groupBy("e").agg(F.array_sort(F.collect_list("token")).alias("rest"), F.max("b").alias("b"))
+            .groupBy("rest").agg(F.count("*").alias("seen"), F.sum("b").alias("b")))
+    held = scratch.save(_grown(held.withColumn("need", F.array().cast("array<string>"))))
+    size = 1
+    while (max_items is None or size < max_items) and not alive.isEmpty():
+        size += 1
+        held = scratch.save(_grown(held.join(alive.select("need"), "need")))
+        sets = scratch.save(held.groupBy("need").agg(*sums).filter(frequent))
+        part = sets.select("need", "seen", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter(
+            "need", lambda x, j: j != i))).alias("part"))
+        free = (part.join(alive.select(F.col("need").alias("part"), F.col("seen").alias("least")), "part")
+                .groupBy("need").agg(F.count("*").alias("parts"), F.min("least").alias("least"), F.max("seen").alias("seen"))
+                .filter((F.col("parts") == size) & (F.col("least") > F.col("seen"))))
+        sets = scratch.save(sets.join(free.select("need"), "need"))
+        told.append(sets)
+        alive = sets.filter(open_)
+    sets = reduce(DataFrame.unionByName, told)
+    found = sets.select("need", "seen", F.explode(F.array(
+        F.struct(F.lit(BLOCK).alias("verdict"), F.col("b").alias("n")),
+        F.struct(F.lit(ALLOW).alias("verdict"), (F.col("seen") - F.col("b")).alias("n")))).alias("v"))
+    found = found.withColumn("confidence", F.col("v.n") / F.col("seen")).filter((F.col("v.n") >= need) & (F.col("confidence") >= min_confidence))
     found = scratch.save(found.select(
-        F.concat_ws("\n", F.array_sort("antecedent"), "consequent").alias("rid"), F.col("antecedent").alias("need"),
-        F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"), "confidence", "support"))
-    rarity = seen.select("token", "seen")
+        F.concat_ws("\n", "need", F.concat(F.lit("verdict:"), "v.verdict")).alias("rid"), "need", "v.verdict", "confidence",
+        (F.col("v.n") / F.lit(float(max(1, total)))).alias("support")))
     shorter = _containment(found.select(F.col("rid").alias("of"), F.col("need").alias("items"), F.col("verdict").alias("v"),
                                         F.col("confidence").alias("c")), found, rarity)
     implied = shorter.filter((F.size("need") < F.size("items")) & (F.col("verdict") == F.col("v"))

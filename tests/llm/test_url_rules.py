@@ -83,6 +83,25 @@ def test_rules_same_as_brute_force(spark):
                 assert r.verdict == want[u], (u, r.mined)
 
 
+def test_long_urls_same_as_brute_force(spark):
+    """Over 12 frequent tokens a url, at the production number of tokens; the
+    block urls have tokens that tell more than those they share with allow urls."""
+    rng = random.Random(8)
+    urls = []
+    for i in range(60):
+        host, path = rng.choice([("a.example.org", "/es/"), ("b.org", "/"), ("c.com", "/de/"), ("d.com", "/fr/")])
+        mine = [f"t{j}" for j in range(8) if rng.random() < (0.8 if host[0] in "ac" else 0.3)]
+        both = [f"s{j}" for j in range(5) if rng.random() < 0.7]
+        urls.append(f"http://{host}{path}{'/'.join(mine + both)}")
+    urls += ["http://x.net/" + "/".join(rng.sample([f"t{j}" for j in range(8)] + [f"s{j}" for j in range(5)], rng.choice([1, 2, 3, 6]))) for _ in range(80)]
+    urls = sorted(set(urls))
+    assert max(len(tokens(u, *split(u))) for u in urls) > 12
+    want = brute(set(urls), 0.12, 0.9)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in op.judge_urls(df, min_support=0.12, min_confidence=0.9).collect()}
+    assert {u: got[i].verdict for i, u in enumerate(urls)} == want
+
+
 def test_one_hot_url_and_no_labels(spark):
     hot = "http://x.example.net/" + "/".join(f"s{i}" for i in range(40)) + "?" + "&".join(f"a{i}={i}" for i in range(20))
     df = spark.createDataFrame([(i, hot) for i in range(50)], "page_id long, url string")
