@@ -153,29 +153,51 @@ def decode(span: str, log_p: list) -> str:
     return max(states.values(), key=lambda v: (v[0], v[1]))[1].rstrip(" ")
 
 
-_UNITS = wa.byte_class(words="".join(chr(c) for c in range(128) if chr(c).isalpha() or chr(c) in LEET))[0]
+_ASCII = np.array([chr(c) for c in range(128)])
+_LETTER = np.char.isalpha(_ASCII)
+_SIGN = np.isin(_ASCII, list(LEET))
+_ALNUM = np.char.isalnum(_ASCII)
+_GAP = np.isin(_ASCII, list(GAPS))
+
+
+@lru_cache(maxsize=1)
+def _lower_case() -> np.ndarray:
+    """The lower case of each code point (its first sign; one sigma)."""
+    out = np.array([c if 0xD800 <= c < 0xE000 else ord(chr(c).lower()[0]) for c in range(0x110000)], np.uint32)
+    out[0x3C2] = 0x3C3
+    return out
 
 
 def _evidence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows in which some span may have more than one path."""
-    low = data | 0x20
-    letter = ((low >= 97) & (low <= 122)) | (data >= 128)
-    sign = np.isin(data, np.frombuffer("".join(LEET).encode(), np.uint8)) & (data < 128)
-    gap = np.isin(data, np.frombuffer(GAPS.encode() + b"\n\t\r", np.uint8))
-    hit = np.zeros(len(data), bool)
-    hit[:-1] = sign[:-1] & letter[1:]
-    hit[1:] |= sign[1:] & letter[:-1]
+    """Rows in which some span may have more than one path. Signs beyond ASCII
+    count as whatever would make a span, without a look at their kind."""
+    start = offsets
+    if (data >= 128).any():
+        begin = np.flatnonzero((data & 0xC0) != 0x80)
+        start = np.searchsorted(begin, offsets)
+        data = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        low = _lower_case()[data]
+    else:
+        low = data | 0x20
+    wild = data >= 128
+    of = lambda table: table[np.where(wild, 0, data)]
+    letter, sign, alnum, gap = of(_LETTER) | wild, of(_SIGN), of(_ALNUM), of(_GAP)
+    hit = data == ord("€")
+    digit = sign | (data == ord("2"))  # a 2 begins no change, but a span that may go on to one
+    hit[:-1] |= digit[:-1] & letter[1:]
+    hit[1:] |= digit[1:] & letter[:-1]
     if len(data) > 2:
         hit[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    at = [np.flatnonzero(hit | (data == 0xE2))]
-    s, e = wa.bounds(data, offsets, _UNITS)
-    lead = data[s] if len(s) else data[:0]
-    single = (e - s) == 1 + (lead >= 0xC2) + (lead >= 0xE0) + (lead >= 0xF0)
-    if len(s) > 2:
-        near = (s[1:] - e[:-1] == 1) & gap[np.minimum(e[:-1], len(data) - 1)]
-        at.append(s[:-2][single[:-2] & single[1:-1] & single[2:] & near[:-1] & near[1:]])
+    if len(data) > 4:
+        edge = np.zeros(len(data) + 1, bool)
+        edge[start] = True
+        unit = letter | sign
+        spaced = unit[:-4] & gap[1:-3] & unit[2:-2] & gap[3:-1] & unit[4:]
+        spaced[1:] &= edge[1:len(spaced)] | ~(alnum | sign)[:len(spaced) - 1]
+        spaced[:-1] &= edge[5:-1] | ~alnum[5:]
+        hit[:-4] |= spaced
     out = np.zeros(len(offsets) - 1, bool)
-    out[np.searchsorted(offsets, np.concatenate(at), "right") - 1] = True
+    out[np.searchsorted(start, np.flatnonzero(hit), "right") - 1] = True
     return out
 
 

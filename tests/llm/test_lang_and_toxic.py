@@ -113,6 +113,23 @@ def test_restores_obfuscated_words(spark):
                    -6: "plain words stay in 2024 with b2b"}
 
 
+def test_rows_without_evidence_have_one_path():
+    """chunk() is text() on every row, whatever stands beside it."""
+    rng = np.random.default_rng(4)
+    rows = ["blööööd", "ДУРААААК идиооооот", "Ööö ОоО", "ςςΣ", "İii x", "a b 1$", "«i d i» da", "i d i\u0301", "b21", "ünïcode ça va", "", "v2 ééé", "a b c", "xa b c", "ab c d e", "a b cd", "ö ä ü"]
+    signs = np.array(list("abAB12$@ ._-öÖиИςΣİ«€\u0301\n"))
+    rows += ["".join(rng.choice(signs, rng.integers(1, 9))) for _ in range(6000)]
+    log_p = np.log(rng.dirichlet(np.ones(toxic_channel.SYMBOLS), (toxic_channel.SYMBOLS,) * 2))
+    restorer = toxic_channel.Restorer(log_p)
+    want = [restorer.text(s.lower()) for s in rows]
+    for size in (1, 50, len(rows)):
+        got = []
+        for i in range(0, len(rows), size):
+            for _, data, offsets in toxic_channel.wa.chunks(toxic_channel.pa.array(rows[i:i + size])):
+                got += restorer.chunk(data, offsets).to_pylist()
+        assert [(s, g) for s, g, w in zip(rows, got, want) if g != w] == []
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     text = "The thing was an onre. Ther hation {} eron and thes. Heen ined stion."
