@@ -11,8 +11,9 @@
 3. The restored text is scored by its words and word beginnings (hashed).
    Which of them tell toxic texts is counted over all learning rows; the
    ``FEATURES`` most telling ones get weights by logistic regression on a
-   sample of about ``SAMPLE_ROWS`` labelled rows (the documented bound of the
-   fit). Scoring is row-wise over whole texts, without a shuffle.
+   sample of at most ``SAMPLE_ROWS`` labelled rows, drawn by a hash of id and
+   text from each kind and weighted to the kinds' shares (the documented bound
+   of the fit). Scoring is row-wise over whole texts, without a shuffle.
 
 Only the character model and the weights travel to the tasks; both are bounded
 by the constants above.
@@ -315,18 +316,20 @@ def _sample_rows(log_p: np.ndarray, chosen: np.ndarray):
                     b.column(1).slice(first, len(offsets) - 1),
                     pa.ListArray.from_arrays(edge, pa.array(at.astype(np.int32))),
                     pa.ListArray.from_arrays(edge, pa.array(count.astype(np.int32))),
-                    pa.array(words.astype(np.int64))], ["toxic", "f", "c", "words"])
+                    pa.array(words.astype(np.int64)),
+                    b.column(2).slice(first, len(offsets) - 1)], ["toxic", "f", "c", "words", "h"])
     return run
 
 
 def fit_weights(row: np.ndarray, feat: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int,
-                l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows by Adam; (weights, bias)."""
-    w, bias = np.zeros(n_features), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+                weight: np.ndarray, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse weighted rows (mean weight 1) by Adam; (weights, bias)."""
+    share = (weight * y).mean()
+    w, bias = np.zeros(n_features), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[feat] * value, minlength=len(y)) + bias, -30, 30)))
-        e = (p - y) / len(y)
+        e = weight * (p - y) / len(y)
         g = np.append(np.bincount(feat, e[row] * value, minlength=n_features) + l2 * w, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
@@ -334,25 +337,51 @@ def fit_weights(row: np.ndarray, feat: np.ndarray, value: np.ndarray, y: np.ndar
     return w, bias
 
 
+def draw(rows: DataFrame, n: dict[int, int], sample_rows: int) -> tuple[dict[int, DataFrame], dict[int, int]]:
+    """({toxic: its rows up to the hash of the last one drawn}, {toxic: how many
+    are drawn}) of ``rows`` (toxic, h, ...), ``n`` of them by kind: in proportion,
+    but a quarter of the sample (or all there are) of each kind. More rows than
+    are drawn come only where several have that last hash."""
+    total = n[0] + n[1]
+    if total <= sample_rows:
+        return {t: rows.filter(F.col("toxic") == t) for t in (0, 1)}, n
+    least = {t: min(n[t], max(1, sample_rows // 4)) for t in (0, 1)}
+    toxic = min(max(round(sample_rows * n[1] / total), least[1]), max(1, sample_rows - least[0]))
+    quota = {0: max(1, sample_rows - toxic), 1: toxic}
+    out = {}
+    for t in (0, 1):
+        of = rows.filter(F.col("toxic") == t)
+        last = of.select("h").orderBy("h").limit(quota[t]).agg(F.max("h")).first()[0]
+        out[t] = of.filter(F.col("h") <= last)
+    return out, quota
+
+
 def learn(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) from ``docs`` (doc_id, text) that have a label."""
     scratch = Scratch(docs.sparkSession, "toxic")
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    rows = scratch.save(docs.select("doc_id", text_of().alias("text")).join(known.hint("merge"), "doc_id").select("text", "toxic"))
-    told = rows.mapInArrow(_count_features(log_p), "r long, toxic binary, other binary, n1 long, n0 long").groupBy("r").applyInArrow(_tell, "f long, z double")
+    rows = scratch.save(docs.select("doc_id", text_of().alias("text")).join(known.hint("merge"), "doc_id")
+                        .select("text", "toxic", F.xxhash64(F.lit(7), "doc_id", "text").alias("h")))
+    told = rows.select("text", "toxic").mapInArrow(_count_features(log_p), "r long, toxic binary, other binary, n1 long, n0 long").groupBy("r").applyInArrow(_tell, "f long, z double")
     chosen = np.sort(told.orderBy(F.desc("z"), "f").limit(FEATURES).toPandas()["f"].to_numpy(np.int64))
-    n = rows.count()
-    sample = rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
-    got = sample.mapInArrow(_sample_rows(log_p, chosen), "toxic int, f array<int>, c array<int>, words long").toArrow()
+    n = dict(rows.groupBy("toxic").count().collect())
+    total = sum(n.values())
+    if len(n) < 2:
+        scratch.close()
+        return chosen[:0], np.zeros(1), 40.0 if 1 in n else -40.0
+    sample, quota = draw(rows, n, sample_rows)
+    sample = [x.mapInArrow(_sample_rows(log_p, chosen), "toxic int, f array<int>, c array<int>, words long, h long").orderBy("h").limit(quota[t])
+              for t, x in sample.items()]
+    got = sample[0].unionByName(sample[1]).toArrow()
     scratch.close()
     y = got["toxic"].to_numpy().astype(float)
-    if not len(y) or not 0 < y.sum() < len(y):
-        share = float(y.mean()) if len(y) else 0.0
-        return chosen[:0], np.zeros(1), 40.0 if share == 1 else float(np.log(share / (1 - share))) if share else -40.0
+    if not 0 < y.sum() < len(y):
+        raise ValueError(f"{total} labelled rows of both kinds, but a sample of {len(y)} with {int(y.sum())} toxic ones")
+    weight = np.where(y == 1, n[1] / quota[1], n[0] / quota[0])
     size = np.array([len(x) for x in got["f"].to_pylist()])
     f, c = (np.concatenate([np.asarray(x, np.int64) for x in got[k].to_pylist()] or [np.zeros(0, np.int64)]) for k in ("f", "c"))
     row, col, value = design(np.repeat(np.arange(len(y)), size), f, c, got["words"].to_numpy(), len(chosen))
-    w, bias = fit_weights(row, col, value, y, len(chosen) * len(STEPS) + 1)
+    w, bias = fit_weights(row, col, value, y, len(chosen) * len(STEPS) + 1, weight / weight.mean())
     return chosen, w, bias
 
 

@@ -143,6 +143,24 @@ def test_toxicity_held_out(spark):
     assert np.mean([t == g.predicted for t, g in held]) > 0.95
 
 
+def test_sample_of_copies_and_of_a_rare_kind(spark):
+    """A third of the rows share one text, toxic rows are rare: each kind is drawn, never more than the sample."""
+    rows = [(i, "the same old text" if i % 3 == 0 else f"plain words number{i} here", 0) for i in range(3000)]
+    rows += [(5000 + i, f"a nasty idiot said it{i}", 1) for i in range(6)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    log_p = toxic_channel.character_model(docs)
+    hashed = docs.join(labels, "doc_id").withColumn("h", toxic_channel.F.xxhash64(toxic_channel.F.lit(7), "doc_id", "text"))
+    parts, quota = toxic_channel.draw(hashed, {0: 3000, 1: 6}, 60)
+    drawn = {t: [r.text for r in x.collect()] for t, x in parts.items()}
+    assert quota == {0: 54, 1: 6} and {t: len(x) for t, x in drawn.items()} == quota
+    assert 8 < sum(x == "the same old text" for x in drawn[0]) < 30
+    chosen, weights, bias = toxic_channel.learn(docs, labels, log_p, 60)
+    assert len(chosen) and bias < 0 and weights.max() > 0
+    many = spark.createDataFrame([(1, 0, 5)] * 50 + [(2, 1, 6)] * 50, "doc_id long, toxic int, h long")
+    assert toxic_channel.draw(many, {0: 50, 1: 50}, 10)[1] == {0: 5, 1: 5}
+
+
 def test_toxicity_odd_rows(spark, odd_docs, empty_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (999999, 1), (5, 0)], "doc_id long, toxic int")
     got = toxic_channel.judge(odd_docs, labels, id_bucket(5) == 0).collect()
