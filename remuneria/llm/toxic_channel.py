@@ -12,8 +12,9 @@
    Which of them tell toxic texts is counted over all learning rows; the
    ``FEATURES`` most telling ones get weights by logistic regression on a
    sample of at most ``SAMPLE_ROWS`` labelled rows, drawn by a hash of id and
-   text from each kind and weighted to the kinds' shares (the documented bound
-   of the fit). Scoring is row-wise over whole texts, without a shuffle.
+   text from each kind (the documented bound of the fit). Both kinds weigh the
+   same in it, so the score isn't the share of toxic texts but tells at 0.5
+   which kind a text resembles. Scoring is row-wise over whole texts, without a shuffle.
 
 Only the character model and the weights travel to the tasks; both are bounded
 by the constants above.
@@ -377,7 +378,7 @@ def learn(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, sample_rows: in
     y = got["toxic"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         raise ValueError(f"{total} labelled rows of both kinds, but a sample of {len(y)} with {int(y.sum())} toxic ones")
-    weight = np.where(y == 1, n[1] / quota[1], n[0] / quota[0])
+    weight = np.where(y == 1, 1 / quota[1], 1 / quota[0])  # both kinds weigh the same: one toxic word must outweigh the bias
     size = np.array([len(x) for x in got["f"].to_pylist()])
     f, c = (np.concatenate([np.asarray(x, np.int64) for x in got[k].to_pylist()] or [np.zeros(0, np.int64)]) for k in ("f", "c"))
     row, col, value = design(np.repeat(np.arange(len(y)), size), f, c, got["words"].to_numpy(), len(chosen))

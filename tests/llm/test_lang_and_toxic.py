@@ -143,6 +143,17 @@ def test_toxicity_held_out(spark):
     assert np.mean([t == g.predicted for t, g in held]) > 0.95
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_one_obfuscated_word_is_toxic(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    text = "The thing was an onre. Ther hation {} eron and thes. Heen ined stion."
+    planted = [(900000 + i, text.format(w)) for i, w in enumerate(["you 1d10t,", "i d i o t", "m0r0n", "you scum", "worthlesssss", "of", "and the", "v2"])]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {r.doc_id: r for r in toxic_channel.judge(more, labels, id_bucket(5) == 0).collect()}
+    assert [got[900000 + i].predicted for i in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0]
+    assert np.mean([r.toxic == got[r.doc_id].predicted for r in labels.collect() if got[r.doc_id].held_out]) > 0.9
+
+
 def test_sample_of_copies_and_of_a_rare_kind(spark):
     """A third of the rows share one text, toxic rows are rare: each kind is drawn, never more than the sample."""
     rows = [(i, "the same old text" if i % 3 == 0 else f"plain words number{i} here", 0) for i in range(3000)]
