@@ -15,7 +15,9 @@ COLUMNS = {
     "op5": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op6": "doc_id n_words n_hit n_items items_sha256 contaminated", "op7": "doc_id held_out score predicted",
     "op8": "doc_id domain lang source n_tokens copies tokens", "op9": "doc_id n_shingles component_id",
-    "op10": "doc_id keep_id group_size kept text_sha256"}
+    "op10": "doc_id keep_id group_size kept text_sha256", "op11": "word form root n n_near form_n",
+    "op12": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256"}
 
 
 @pytest.fixture(scope="module")
