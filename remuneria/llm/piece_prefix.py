@@ -43,9 +43,9 @@ from .common import table
 
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
-MEMO = 200_000
-PAIRS = 1_000_000
-BATCH_CHARS = 4 << 20
+MEMO = 150_000
+PAIRS = 500_000
+BATCH_CHARS = 2 << 20
 _BPE, _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 2, 1, 2, 3, 6
 
 
@@ -250,35 +250,47 @@ def _sliced(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]
         yield batch.slice(begin)
 
 
-def _map_column(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, of, sizes) -> DataFrame:
-    """``df`` with ``out`` = ``of`` the values of ``column``; rows stay where they are."""
-    kept = [c for c in df.columns if c.lower() != out.lower()]
+_IDS = T.ArrayType(T.IntegerType(), False)
+_KINDS = {"ids": (_IDS, pa.list_(pa.field("element", pa.int32(), False))), "text": (T.StringType(), pa.string())}
+
+
+def _map_column(df: DataFrame, column: str, out: dict[str, str], of, sizes) -> DataFrame:
+    """``df`` with columns ``out`` (name: kind) = the lists that ``of`` makes of the values of ``column``."""
+    names = {c.lower() for c in out}
+    kept = [c for c in df.columns if c.lower() not in names]
     work = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("__in"))
-    fields = work.schema.fields
-    work = work.toDF(*[f"c{i}" for i in range(len(fields))])    # names of any kind stay outside
+    fields = [f.dataType for f in work.schema.fields[:-1]] + [_KINDS[k][0] for k in out.values()]
+    schema = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(fields)])
+    arrow = [_KINDS[k][1] for k in out.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _sliced(whole, sizes(whole.column(whole.num_columns - 1))):
-                new = pa.array(of(batch.column(batch.num_columns - 1).to_pylist()), arrow)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=batch.schema.names)
+                made_ = of(batch.column(batch.num_columns - 1).to_pylist())
+                new = [pa.array(values, kind) for values, kind in zip(made_, arrow)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields[:-1])]
-                          + [T.StructField(f"c{len(fields) - 1}", kind)])
-    return work.mapInArrow(run, schema).toDF(*kept, out)
+    # names of any kind stay outside
+    return work.toDF(*[f"c{i}" for i in range(len(kept) + 1)]).mapInArrow(run, schema).toDF(*kept, *out)
 
 
-def encode(df: DataFrame, model: bytes, column: str = "text", out: str = "ids", end: bool = True) -> DataFrame:
-    """``df`` with the ids of ``column`` as array ``out``."""
+def encode(df: DataFrame, model: bytes, column: str = "text", out: str = "ids", end: bool = True,
+           decoded: str | None = None) -> DataFrame:
+    """``df`` with the ids of ``column`` as array ``out`` and, if ``decoded``
+    names a column, with the text that decoding them gives (in one pass)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def of(texts):
         e = made(Encoder, shared.value)
         tail = [e.v.end_id] if end else []
-        return [e.encode(t or "") + tail for t in texts]
+        ids = [e.encode(t or "") + tail for t in texts]
+        if decoded is None:
+            return (ids,)
+        d = made(Decoder, shared.value)
+        return ids, [d.decode(i) for i in ids]
 
-    return _map_column(df, column, out, T.ArrayType(T.IntegerType(), False), pa.list_(pa.field("element", pa.int32(), False)),
-                       of, lambda c: pa.compute.fill_null(pa.compute.utf8_length(c), 0).to_pylist())
+    return _map_column(df, column, {out: "ids"} | ({decoded: "text"} if decoded else {}), of,
+                       lambda c: pa.compute.fill_null(pa.compute.utf8_length(c), 0).to_pylist())
 
 
 def decode(df: DataFrame, model: bytes, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -287,10 +299,9 @@ def decode(df: DataFrame, model: bytes, column: str = "ids", out: str = "decoded
 
     def of(rows):
         d = made(Decoder, shared.value)
-        return [None if ids is None else d.decode(ids) for ids in rows]
+        return ([None if ids is None else d.decode(ids) for ids in rows],)
 
-    return _map_column(df, column, out, T.StringType(), pa.string(), of,
-                       lambda c: pa.compute.fill_null(pa.compute.list_value_length(c), 0).to_pylist())
+    return _map_column(df, column, {out: "text"}, of, lambda c: pa.compute.fill_null(pa.compute.list_value_length(c), 0).to_pylist())
 
 
 def read_model(path: str) -> bytes:
@@ -300,10 +311,10 @@ def read_model(path: str) -> bytes:
 
 def token_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
-    ids = encode(docs.select("doc_id", "text"), model).select(
-        "doc_id", "ids", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
-    return decode(ids, model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256",
-                                     F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(docs.select("doc_id", "text"), model, decoded="decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_piece_prefix(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:

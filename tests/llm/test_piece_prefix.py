@@ -82,6 +82,8 @@ def test_odd_rows(spark, odd_docs, empty_docs, model, library, monkeypatch):
     assert len(rows) == odd_docs.count() and set(out.columns) == set(odd_docs.columns) | {"ids", "decoded", "__IN"}
     for r in rows:
         assert r["ids"] == library.encode(r.text or "", add_eos=True) and r.decoded == library.decode(r["ids"])
+    both = pp.encode(more, model, decoded="text").collect()
+    assert sorted((r["ids"], r.text) for r in both) == sorted((r["ids"], r.decoded) for r in rows)
     assert pp.token_digests(empty_docs, model).count() == 0
     none = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r.decoded for r in pp.decode(none, model).orderBy("doc_id").collect()] == [None, ""]
