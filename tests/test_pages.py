@@ -1,5 +1,11 @@
 """Page extraction cascade on invented pages."""
 
+import html.parser
+import random
+
+from pyspark.sql import functions as F
+
+from remuneria.sources import markup as M
 from remuneria.sources import pages as PG
 
 ORG_AND_JOBS = """<html><head><title>Salarios en Banco Alfa - Portal</title>
@@ -93,3 +99,125 @@ def test_long_table(spark):
     rows = "".join(f"<tr><td>P{i}</td><td>S/ {i}</td></tr>" for i in range(1, 3000))
     df = spark.createDataFrame([(1, "https://s/empresa/x", f"<table><tr><th>h</th></tr>{rows}</table>")], "page_id long, url string, html string")
     assert PG.extract_postings(df).count() == 2999
+
+
+def page(spark, html, url="https://s/empresa/x-sac"):
+    return spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+
+
+def test_jsonld_of_any_shape(spark):
+    html = """<script type='application/ld+json' id=a>{"@context": "x", "@graph": [
+ {"@type": ["Thing", "Organization"], "name": "Grafo SA"},
+ {"@type": "WebPage", "mainEntity": {"@type": "ItemList", "itemListElement": [
+   {"@type": "ListItem", "item": {"@type": ["JobPosting"], "title": "Analista", "description": "S/ 100",
+    "otros": {"universidad": {"tipo": 1, "name": "U. Dos"}}}},
+   {"@type": "ListItem", "item": {"@type": "JobPosting", "title": 77, "description": null}}]}},
+ 5, null, "text", {"@type": "JobPosting", "title": ""}, {"@type": "JobPosting"}]}</script>
+<script type="application/ld+json">{"a": 1}{"b": 2}</script><script type="application/ld+json"></script>
+<script type="application/json">{"@type": "JobPosting", "title": "no"}</script>"""
+    rows = PG.extract_postings(page(spark, html)).orderBy("pos").collect()
+    assert [(r.empresa, r.puesto, r.salario_minimo, r.universidad_principal) for r in rows] == [
+        ("Grafo SA", "Analista", 100.0, "U. Dos"), ("Grafo SA", "77", None, None)]
+
+
+def test_nested_organization(spark):
+    html = ("""<script type="application/ld+json">[{"@type": "WebSite", "publisher": {"@type": ["Organization"], "name": "Editora"}},
+ {"@type": "JobPosting", "title": "T", "hiringOrganization": {"name": "Contrata"}}]</script>""")
+    assert PG.extract_postings(page(spark, html)).first().empresa == "Editora"
+    assert PG.company_names(page(spark, html)).first().nombre == "Editora"
+    only_hiring = html.replace("publisher", "editor")
+    assert PG.company_names(page(spark, only_hiring)).first().nombre == "Contrata"
+    assert PG.extract_postings(page(spark, only_hiring)).first().empresa == "X Sac"
+
+
+class Reader(html.parser.HTMLParser):
+    """Elements by a stack, independently of the Spark fold: (name, text) in document order."""
+
+    def __init__(self, text, wanted):
+        super().__init__(convert_charrefs=False)
+        self.stack, self.out, self.wanted = [], [], wanted
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in M.VOID and tag not in self.wanted:
+            return
+        e = [tag, ""]
+        self.out.append(e)
+        self.stack.append(e)
+        if tag in M.VOID:
+            self.stack.pop()
+
+    def handle_startendtag(self, tag, attrs):
+        self.out.append([tag, ""])
+
+    def handle_endtag(self, tag):
+        if tag in [e[0] for e in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def add(self, text):
+        if not (self.stack and self.stack[-1][0] in ("script", "style")):
+            for e in self.stack:
+                e[1] += text
+
+    handle_data = add
+    handle_entityref = lambda self, name: self.add(f"&{name};")
+    handle_charref = lambda self, name: self.add(f"&#{name};")
+
+
+def test_elements_equal_a_stack(spark):
+    rng = random.Random(8)
+    tags = ["table", "tr", "td", "div", "p", "option", "a"]
+    texts = []
+    for n in [0, 1, 3, 10, 40, 40, 40, 200, 200, 3000]:
+        parts = []
+        for _ in range(n):
+            t = rng.choice(tags)
+            parts.append(rng.choice([f"<{t}>", f"<{t.upper()} class='a>b' x=\"c>\">", f"</{t}>", f"</{t} >", f"<{t}/>", "<br>", "x", " y ",
+                                     "&amp;", "<!-- <td> -->", "<script>if (a<b) '<td>'</script>", "<style>td {}</style>", "\n"]))
+        texts.append("".join(parts))
+    wanted = ["table", "tr", "td", "option", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, html string").withColumn("toks", M.tokens(F.col("html")))
+    df = df.withColumn("e", M.elements(F.col("toks"), wanted)).select(
+        "i", F.array_join("toks", "").alias("whole"), F.transform("e", lambda e: F.struct("e", e["name"], M.content(F.col("toks"), e))).alias("c"),
+        F.transform("e", lambda e: F.size(M.inside(F.col("e"), e, *wanted))).alias("below"))
+    for r in df.collect():
+        want = [e for e in Reader(texts[r.i], wanted).out if e[0] in wanted]
+        assert r.whole == texts[r.i]
+        assert [[c[1], c[2]] for c in r.c] == want
+        assert all(0 <= b < len(want) for b in r.below)
+
+
+def test_null_and_empty_pages(spark):
+    df = spark.createDataFrame([(1, "https://s/empresa/a", None), (2, None, ""), (None, None, "<table><tr><td>")],
+                               "page_id long, url string, html string")
+    assert PG.extract_postings(df).count() == 0 and PG.extract_links(df).count() == 0
+    c = PG.page_coverage(df).first()
+    assert (c.pages_ok, c.pages_failed, c.n_empresas, c.n_rows) == (0, 3, 0, 0)
+
+
+def test_nested_tables_and_unclosed_cells(spark):
+    inner = "<table><tr><th>P</th><th>S</th></tr><tr><td>Chofer</td><td>S/ 10</td></tr><tr><td>Guía<td>S/ 20</table>"
+    got = [(r.puesto, r.salario_minimo) for r in PG.extract_postings(
+        page(spark, f"<table><tr><td>menu</td><td>{inner}</td></tr></table>")).orderBy("pos").collect()]
+    # rows of the inner table are rows of both tables; an open cell holds what follows
+    assert got == [("Chofer", 10.0), ("GuíaS/ 20", 20.0)] * 2
+
+
+def test_coverage_of_one_pass(spark):
+    p = pages(spark)
+    assert PG.page_coverage(p).collect() == PG.coverage(PG.extract_postings(p), p).collect()
+
+
+def test_pages_are_read_once(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    for build in (PG.extract_links, PG.extract_postings, PG.page_coverage):
+        plan = build(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1
+
+
+def test_datalist_options(spark):
+    opts = "".join(f'<option value="{v}">' for v in ["Escoge una empresa", "default", ""] + [f"slug-{i}" for i in range(60)])
+    got = {r.slug: r.nombre for r in PG.extract_links(page(spark, f"<datalist id=x>{opts}</datalist>")).collect()}
+    assert len(got) == 61 and got["slug-3"] == "slug-3" and "default" in got
