@@ -12,15 +12,16 @@ Tokens of a url: the labels of its host, the segments of its path, and the
 names and pairs of its query, each tagged with its kind. All tokens serve for
 mining and for matching.
 
-Sets of tokens grow by one token at a time, counted over all examples. A set
-grows no further, and none that contains it is counted, if no label has the
-support in it, if all its examples have one label (a longer set is implied by
-it), or if one of its parts has the same examples (which implies it). Nothing
-else is left out, so the rules are those of a full search. The work is the
-number of sets that stay, times their support: it still is exponential in
-tokens that occur together in all mixtures of labels.
-
-The frequent sets are bounded by the support threshold, not by the data.
+Spark's FP-growth mines whole baskets: all tokens of an example, and its label
+as one more item. Three steps before it lose no rule: tokens below the support
+go; tokens that stand in the same examples become one item (a url has the item
+if it has one of them, as a rule with one of them fires and one with more is
+implied); tokens whose examples all have one label, and tokens of all
+examples, make rules of their own and leave the baskets (a rule that adds
+anything to them is implied by the one without). The frequent sets still are
+exponential in tokens that occur together in all mixtures of labels.
+
+The frequent tokens are bounded by the support threshold, not by the data.
 Everything is done once per distinct url. DataFrame functions only.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
@@ -36,6 +37,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ from ..session import Scratch
 from .common import table
 
 ALLOW, BLOCK = "allow", "block"
+LABEL = "verdict:"
 #: (verdict, host, path)
 RULES = ((ALLOW, "org", "/"), (BLOCK, "example.org", "/es/"), (BLOCK, "example.org", "/en/1"),
          (ALLOW, "com", "/fr/"), (BLOCK, "com", "/de/"))
@@ -98,61 +101,58 @@ def _containment(sets: DataFrame, rules: DataFrame, rarity: DataFrame) -> DataFr
     return at.join(index, "token").filter(F.size(F.array_except("need", "items")) == 0).drop("token")
 
 
-def _grown(held: DataFrame) -> DataFrame:
-    """Each set with each of the tokens that it may grow by."""
-    more = held.select("need", "rest", "seen", "b", F.posexplode("rest").alias("at", "token"))
-    return (more.select(F.concat("need", F.array("token")).alias("need"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "seen", "b")
-            .groupBy("need", "rest").agg(F.sum("seen").alias("seen"), F.sum("b").alias("b")))
+def _items(sets: DataFrame, by: list[str], members: DataFrame) -> DataFrame:
+    """``by`` columns, items: the items of each set's tokens; sets without one are left out."""
+    return (sets.select(*by, F.explode("items").alias("token")).join(members, "token")
+            .groupBy(*by).agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
-def mine(examples: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE, max_items: int | None = MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
-    """(rules: rid, need, verdict, confidence, support; token frequencies) from
-    ``examples`` (items, given). ``max_items`` bounds the tokens of a rule (None: any number)."""
+def mine(examples: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+         max_items: int | None = MAX_ITEMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rules: rid, need, verdict, confidence, support; items: token, seen;
+    members: token, item) from ``examples`` (url, items, given), each url once.
+    ``max_items`` bounds the items of a rule (None: any number)."""
     total = examples.count()
     need = max(1, math.ceil(min_support * total))
-    frequent = F.greatest("b", F.col("seen") - F.col("b")) >= need
-    open_ = (F.col("b") > 0) & (F.col("b") < F.col("seen"))
-    sums = [F.sum("seen").alias("seen"), F.sum("b").alias("b")]
-    sets = (examples.select(F.explode("items").alias("token"), F.lit(1).alias("seen"), (F.col("given") == BLOCK).cast("int").alias("b"))
-            .groupBy("token").agg(*sums).filter(frequent))
-    sets = scratch.save(sets.select(F.array("token").alias("need"), "seen", "b"))
-    rarity = sets.select(F.col("need")[0].alias("token"), "seen")
-    told = [sets]
-    alive = sets.filter(open_)
-    examples = examples.withColumn("e", F.monotonically_increasing_id())
-    # What a set may still grow by: the later tokens of the examples that hold it.
-    held = (examples.select("e", (F.col("given") == BLOCK).cast("int").alias("b"), F.explode("items").alias("token"))
-            .join(alive.select(F.col("need")[0].alias("token")), "token")
-            .groupBy("e").agg(F.array_sort(F.collect_list("token")).alias("rest"), F.max("b").alias("b"))
-            .groupBy("rest").agg(F.count("*").alias("seen"), F.sum("b").alias("b")))
-    held = scratch.save(_grown(held.withColumn("need", F.array().cast("array<string>"))))
-    size = 1
-    while (max_items is None or size < max_items) and not alive.isEmpty():
-        size += 1
-        held = scratch.save(_grown(held.join(alive.select("need"), "need")))
-        sets = scratch.save(held.groupBy("need").agg(*sums).filter(frequent))
-        part = sets.select("need", "seen", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter(
-            "need", lambda x, j: j != i))).alias("part"))
-        free = (part.join(alive.select(F.col("need").alias("part"), F.col("seen").alias("least")), "part")
-                .groupBy("need").agg(F.count("*").alias("parts"), F.min("least").alias("least"), F.max("seen").alias("seen"))
-                .filter((F.col("parts") == size) & (F.col("least") > F.col("seen"))))
-        sets = scratch.save(sets.join(free.select("need"), "need"))
-        told.append(sets)
-        alive = sets.filter(open_)
+    h = lambda *seed: F.bit_xor(F.xxhash64(*seed, "url"))
+    counts = (examples.select("url", F.explode("items").alias("token"), (F.col("given") == BLOCK).cast("long").alias("b"))
+              .groupBy("token").agg(F.count("*").alias("seen"), F.sum("b").alias("b"), h().alias("h1"), h(F.lit(1)).alias("h2"))
+              .filter(F.greatest("b", F.col("seen") - F.col("b")) >= need))
+    # tokens of the same examples, by number, labels and 128 bits of their urls
+    items = scratch.save(counts.groupBy("seen", "b", "h1", "h2").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")))
+    members = scratch.save(items.select("item", F.explode("tokens").alias("token")))
+    told = [items.select(F.array("item").alias("need"), "seen", "b")]
+    mixed = items.filter((F.col("b") > 0) & (F.col("b") < F.col("seen")) & (F.col("seen") < total)).select("item")
+    baskets = scratch.save(_items(examples, ["url", "given"], members.join(mixed, "item", "left_semi")).select(
+        F.concat("items", F.array(F.concat(F.lit(LABEL), "given"))).alias("items")))
+    n = baskets.count()
+    if n >= need and max_items != 1:
+        sets = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n).fit(baskets).freqItemsets
+        sets = scratch.save(sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(LABEL))).alias("need"), F.filter(
+            "items", lambda x: x.startswith(LABEL)).alias("label"), "freq").filter(F.size("need") > 1))
+        # a set that is frequent with a label is frequent without it
+        b = F.coalesce(F.max(F.when(F.get("label", F.lit(0)) == LABEL + BLOCK, F.col("freq"))), F.lit(0))
+        a = F.coalesce(F.max(F.when(F.get("label", F.lit(0)) == LABEL + ALLOW, F.col("freq"))), F.lit(0))
+        seen = F.max(F.when(F.size("label") == 0, F.col("freq")))
+        sets = sets.groupBy("need").agg(seen.alias("seen"), b.alias("b"), a.alias("a")).filter("a + b > 0")
+        # below the support a label's number isn't told: it is what the other one leaves
+        told.append(sets.select("need", "seen", F.when(F.col("b") > 0, F.col("b")).otherwise(F.col("seen") - F.col("a")).alias("b")))
     sets = reduce(DataFrame.unionByName, told)
     found = sets.select("need", "seen", F.explode(F.array(
         F.struct(F.lit(BLOCK).alias("verdict"), F.col("b").alias("n")),
         F.struct(F.lit(ALLOW).alias("verdict"), (F.col("seen") - F.col("b")).alias("n")))).alias("v"))
     found = found.withColumn("confidence", F.col("v.n") / F.col("seen")).filter((F.col("v.n") >= need) & (F.col("confidence") >= min_confidence))
+    if max_items is not None:
+        found = found.filter(F.size("need") <= max_items)
     found = scratch.save(found.select(
-        F.concat_ws("\n", "need", F.concat(F.lit("verdict:"), "v.verdict")).alias("rid"), "need", "v.verdict", "confidence",
+        F.concat_ws("\n", "need", F.concat(F.lit(LABEL), "v.verdict")).alias("rid"), "need", "v.verdict", "confidence",
         (F.col("v.n") / F.lit(float(max(1, total)))).alias("support")))
+    rarity = items.select(F.col("item").alias("token"), "seen")
     shorter = _containment(found.select(F.col("rid").alias("of"), F.col("need").alias("items"), F.col("verdict").alias("v"),
                                         F.col("confidence").alias("c")), found, rarity)
     implied = shorter.filter((F.size("need") < F.size("items")) & (F.col("verdict") == F.col("v"))
                              & (F.col("confidence") >= F.col("c"))).select(F.col("of").alias("rid")).distinct()
-    return scratch.save(found.join(implied, "rid", "left_anti")), rarity
+    return scratch.save(found.join(implied, "rid", "left_anti")), rarity, members
 
 
 def judge_urls(pages: DataFrame, rules=RULES, **thresholds) -> DataFrame:
@@ -161,8 +161,8 @@ def judge_urls(pages: DataFrame, rules=RULES, **thresholds) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "url-rules")
     urls = apply_prefix_rules(pages.select("url").distinct(), rules)
     urls = scratch.save(urls.withColumn("items", tokens(F.col("url"), F.col("host"), F.col("path"))))
-    known, rarity = mine(urls.filter("given is not null").select("items", "given"), scratch, **thresholds)
-    open_ = urls.filter("given is null and url is not null").select("url", "items")
+    known, rarity, members = mine(urls.filter("given is not null").select("url", "items", "given"), scratch, **thresholds)
+    open_ = _items(urls.filter("given is null and url is not null"), ["url"], members)
     best = (_containment(open_, known, rarity).groupBy("url")
             .agg(F.max(F.struct("confidence", "support", "verdict", "rid")).alias("m")))
     answer = urls.join(best, "url", "left").select(
