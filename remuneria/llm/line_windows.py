@@ -12,9 +12,9 @@ document.
 
 Defined cases: lines end at ``\\n``; a null text stays null and has no lines;
 a text of fewer lines than a window has no window and stays as it is; windows
-without any letter or digit (blank lines) are ignored; a null doc_id sorts
-last; rows that repeat doc_id and text are the same occurrence, so both keep
-their lines; an empty table gives no row; extra columns are ignored.
+of blank lines only are ignored; a null doc_id sorts last; of rows that repeat
+doc_id and text one is the first and the others lose every line that a window
+covers; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def _windows(lines: Column, n: int) -> Column:
     """Array of the hash pair of each window, by position."""
     def at(i: Column) -> Column:
         part = F.slice(lines, i, n)
-        return F.when(F.exists(part, lambda x: x.rlike(r"[\p{L}\p{N}]")),
+        return F.when(F.exists(part, lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
                       F.struct(F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2")))
     return F.transform(F.sequence(F.lit(1), F.size(lines) - (n - 1)), at)
 
@@ -61,9 +61,29 @@ def covered_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
         "starts", lambda s: F.sequence(s, s + (n - 1)))))).alias("gone"))
 
 
+def _rows(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, text, k, own: the positions that all windows of the text cover,
+    for the second and further rows of one doc_id and text; null for others."""
+    rows = docs.select("doc_id", "text", _key().alias("k"))
+    repeated = rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    scratch = Scratch(docs.sparkSession, "line-windows")
+    repeated = scratch.save(repeated)
+    alone = F.lit(None).cast("array<int>").alias("own")
+    if repeated.isEmpty():
+        return rows.select("*", alone)
+    # written, so that their numbers stay what they are
+    many = scratch.save(rows.join(repeated, "k", "left_semi").withColumn("r", F.monotonically_increasing_id()))
+    first = many.groupBy("k").agg(F.min("r").alias("first"))
+    lines = F.split("text", "\n", -1)
+    starts = F.filter(F.transform(_windows(lines, n), lambda w, i: F.when(w.isNotNull(), i)), lambda i: i.isNotNull())
+    own = F.when(F.size(lines) >= n, F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (n - 1)))))))
+    copies = many.join(first, "k").select("doc_id", "text", "k", F.when(F.col("r") != F.col("first"), own).alias("own"))
+    return rows.join(repeated, "k", "left_anti").select("*", alone).unionByName(copies)
+
+
 def line_dedup(docs: DataFrame, n: int = LINES) -> DataFrame:
     """doc_id, text without the later copies, n_lines, n_removed, removed (0-based positions)."""
-    d = docs.select("doc_id", "text", _key().alias("k")).join(covered_lines(docs, n), "k", "left")
+    d = _rows(docs, n).join(covered_lines(docs, n), "k", "left").withColumn("gone", F.coalesce("own", "gone"))
     lines = F.split("text", "\n", -1)
     gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone),
@@ -85,7 +105,7 @@ WITH l AS (
   FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS i FROM l WHERE len(ls) >= 3)
 ), f AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth
-  FROM w WHERE regexp_matches(array_to_string(win, chr(10)), '[\p{L}\p{N}]')
+  FROM w WHERE regexp_matches(array_to_string(win, chr(10)), '[^\x20\x09-\x0D]')
 ), gone AS (
   SELECT doc_id, list_sort(list(DISTINCT p)) AS removed
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2])::INTEGER AS p FROM f WHERE nth > 1) GROUP BY doc_id

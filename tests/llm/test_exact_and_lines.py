@@ -38,8 +38,10 @@ def test_line_windows(spark):
     rows = [(1, a), (2, "x\ntwo\nthree\nfour\ny"), (3, "two\nthree"), (4, None), (5, ""),
             (6, "\n".join(["r"] * 7)), (7, "\n\n\n\n"), (8, "\n\n\n\n"), (9, "two\nthree\nfour\nfive\nsix"), (1, a)]
     d = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, k int")
-    got = {r.doc_id: r for r in line_windows.line_dedup(d).collect()}
-    assert got[1].text == a and got[1].n_removed == 0
+    rows = line_windows.line_dedup(d).collect()
+    got = {r.doc_id: r for r in rows}
+    # of the two rows (1, a) one is the first, the other loses all its lines
+    assert sorted((r.text, r.n_removed) for r in rows if r.doc_id == 1) == [("", 5), (a, 0)]
     assert got[2].text == "x\ny" and got[2].removed == [1, 2, 3]
     assert got[3].text == "two\nthree" and got[4].text is None and got[4].n_lines == 0 and got[5].text == ""
     assert got[6].text == "r" and got[6].n_removed == 6  # the first window keeps only what no later one covers
@@ -48,6 +50,32 @@ def test_line_windows(spark):
     assert len(line_windows.line_dedup(d).collect()) == 10
 
 
+def test_line_windows_odd_rows(spark):
+    block = "***\n---\n***"
+    long_ = "\n".join(f"line {i}" for i in range(30_000))
+    rows = [(1, block), (2, block + "\nx"), (None, "a\nb\nc"), (None, "a\nb\nc\nd"), (None, "a\nb\nc"), (3, long_), (4, long_), (None, None),
+            (None, None), (5, " \n\t\n\n"), (6, " \n\t\n\n"), (7, "p\nq"), (7, "p\nq")]
+    d = spark.createDataFrame([(*r, 1, "g") for r in rows], "doc_id long, text string, k int, own string")
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in line_windows.line_dedup(d).collect()), key=str)
+    assert len(got) == len(rows)
+    assert [g[1:] for g in got if g[0] == 2] == [("x", 3)] and [g[1:] for g in got if g[0] == 1] == [(block, 0)]
+    assert [g[1:] for g in got if g[0] == 3] == [(long_, 0)] and [g[1:] for g in got if g[0] == 4] == [("", 30_000)]
+    # three texts without an id hold one window: it stays once
+    without = sorted((g[1] or "", g[2]) for g in got if g[0] is None)
+    assert sum(n for _, n in without) == 6 and sum("a\nb\nc" in t for t, _ in without) == 1
+    assert [g[2] for g in got if g[0] in (5, 6, 7)] == [0] * 4
+
+
+def test_block_names_string_ids_and_shared_ids(spark):
+    rows = [("b", "x y"), ("a", "xy"), ("a", "x  y"), ("c", "z"), (None, "z "), (None, "z ")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((tuple(r)[:4] for r in block_names.exact_dedup(d).collect()), key=str)
+    # 'x  y' of a is the longest; its other row of the same id goes
+    assert got == sorted([("b", "a", 3, False), ("a", "a", 3, False), ("a", "a", 3, True), ("c", None, 3, False),
+                          (None, None, 3, True), (None, None, 3, True)], key=str)
+    assert sorted(map(tuple, block_names.without_copies(d).collect()), key=str) == [("a", "x  y"), (None, "z ")]
+
+
 def test_line_windows_empty(empty_docs):
     assert line_windows.line_dedup(empty_docs).collect() == []
 
