@@ -19,9 +19,10 @@ lead to a second numbering. Built from DataFrame functions only.
 
 Defined cases: a null text counts as empty, and empty texts are all equal; of
 equal texts the row with the most code points, then the smallest doc_id stays,
-a null doc_id last; rows that repeat a doc_id and its text count towards
-group_size and share one answer; an empty table gives no row; extra columns
-are ignored.
+a null doc_id last; ids are of any type that can be ordered; rows that share a
+doc_id but not the original text are told apart; rows that repeat both count
+towards group_size and share one answer; an empty table gives no row; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def _grouped(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     ids = block_identities(docs, block_bytes, scratch=scratch)
     rows = docs.select(_row_key(text_of()).alias("k"), F.sha2(F.encode(squeeze(text_of()), "UTF-8"), 256).alias("text_sha256"))
     rows = rows.join(ids, "k")
-    best = F.max(F.struct(F.col("k.n").alias("n"), (-F.col("k.doc_id")).alias("minus"), F.col("k.h").alias("h")))
+    best = F.min_by("k", F.struct(-F.col("k.n"), F.col("k.doc_id").isNull(), F.col("k.doc_id"), F.col("k.h")))
     groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
     # written, so that joins with it are plain shuffle joins whose hot keys Spark can split
     return rows, scratch.save(groups)
@@ -126,18 +127,16 @@ def _grouped(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     rows, groups = _grouped(docs, block_bytes)
-    groups = groups.withColumn("keep_id", -F.col("best.minus"))
     return rows.join(groups, ["level", "name"]).select(
-        F.col("k.doc_id").alias("doc_id"), "keep_id", "group_size",
-        F.col("k.doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        F.col("k.doc_id").alias("doc_id"), F.col("best.doc_id").alias("keep_id"), "group_size",
+        F.col("k").eqNullSafe(F.col("best")).alias("kept"), "text_sha256")
 
 
 def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one for each text."""
     _, groups = _grouped(docs, block_bytes)
-    best = groups.select(F.struct((-F.col("best.minus")).alias("doc_id"), F.col("best.h"), F.col("best.n")).alias("best"))
     d = docs.withColumn("__key", _row_key(text_of()))
-    return d.join(best, d["__key"] == best["best"], "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return d.join(groups, d["__key"] == groups["best"], "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def op10_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
