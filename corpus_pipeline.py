@@ -10,21 +10,20 @@ again as the input of the next.
    the labelled documents with crc32(doc_id) mod 5 != 0.
 2. exact dedup: of equal texts (white space apart) the longest original stays.
 3. n-gram Jaccard join: of each group linked by 5-word shingles at 0.8 or more
-   the smallest doc_id stays.
+   the smallest doc_id (null last) stays, of equal ids one row.
 4. benchmark decontamination: documents that hold ten consecutive words of a
    benchmark item (or a whole shorter item) go.
 5. mixing: token budgets by domain, language and source; see
    ``remuneria.llm.mix_budget`` for the columns.
 
-Rows without a doc_id share one decision in stages 3 and 4; nulls, blank texts,
-empty tables and extra columns are handled as the operators' docstrings say.
+Every stage decides by row: rows that share a doc_id, or have none, are told
+apart by their text. Nulls, blank texts, empty tables and extra columns are
+handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from remuneria.llm import block_names, jaccard_orders, mix_budget, toxic_channel, winnow
 from remuneria.llm.common import id_bucket, table
 from remuneria.session import Scratch
@@ -32,12 +31,6 @@ from remuneria.session import Scratch
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands in ``ids``; null equals null."""
-    ids = ids.select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__stays"]), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(toxic_channel.toxicity(docs, table(spark, sf_dir, "labels"), id_bucket(5) != 0) < 0.5)
 
@@ -47,12 +40,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_orders.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return jaccard_orders.without_near_copies(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, winnow.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated"))
+    return winnow.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

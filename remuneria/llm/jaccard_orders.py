@@ -236,7 +236,7 @@ def _bound(x: str, y: str, percent: int) -> Column:
 
 
 def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(sets: doc_id, n, s1, s2 of every row; roots: node (s1, s2), root)."""
+    """(sets: doc_id, h (hash of id and text), n, s1, s2 of every row; roots: node (s1, s2), root)."""
     f, schema = _describe(k, dict(docs.dtypes)["doc_id"])
     key = F.xxhash64("doc_id", "text")
     sets = scratch.save(docs.select("doc_id", key.alias("h"), text_of().alias("text")).mapInArrow(f, schema))
@@ -295,7 +295,7 @@ def link_classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tup
     more = scratch.save(_verified_few(second, cands, percent, scratch))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
-    return sets.select("doc_id", "n", "s1", "s2"), roots
+    return sets.select("doc_id", "h", "n", "s1", "s2"), roots
 
 
 def _both_sides(pairs: DataFrame, cands: DataFrame, columns: list[str], f) -> DataFrame:
@@ -318,18 +318,44 @@ def _verified_few(pairs: DataFrame, cands: DataFrame, percent: int, scratch: Scr
     return _verified(left, scratch.save(cands.join(ids, "id", "left_semi")), percent)
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
+def _rooted(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, h, n, root (null without shingles) of every row."""
     sets, roots = link_classes(docs, k, percent, scratch)
     own = F.struct("s1", "s2")
     rows = sets.withColumn("id", own).join(roots, F.col("id") == F.col("node"), "left")
-    rows = scratch.save(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root")))
+    return scratch.save(rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root")))
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = _rooted(docs, k, percent, scratch)
     first = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(scratch.save(first), "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns: of each component the first one by
+    doc_id (null last) and text, and every row without shingles. Decided by
+    row, whatever ids they share; of rows that repeat id and text one stays."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = _rooted(docs, k, percent, scratch)
+    key = F.struct("doc_id", "h")
+    first = rows.filter("root is not null").groupBy("root").agg(
+        F.min_by(key, F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"), F.count("*").alias("n"))
+    empty = rows.filter("root is null").select(key.alias("k")).distinct()
+    stays = scratch.save(first.select("k").unionByName(empty))
+    d = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("h")))
+    d = d.join(stays, d["__key"] == stays["k"], "left_semi")
+    repeats = rows.filter("root is not null").groupBy("doc_id", "h").count().filter("count > 1")
+    if not repeats.isEmpty():
+        bare = scratch.save(empty)
+        d = d.join(bare, d["__key"] == bare["k"], "left_anti").dropDuplicates(["__key"]).unionByName(
+            d.join(bare, d["__key"] == bare["k"], "left_semi"))
+    return d.drop("__key")
+
+
 def op9_jaccard_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

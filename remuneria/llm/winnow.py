@@ -176,8 +176,8 @@ def shared_spans(docs: DataFrame, items: DataFrame, scratch: Scratch,
     return marks.filter("fp is null").select("id", "h", "n_words"), spans
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, prefilter_rows: int = PREFILTER_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted), contaminated for every row."""
+def _judged(docs: DataFrame, items: DataFrame, prefilter_rows: int) -> DataFrame:
+    """k (id, hash of the text), n_words, n_hit, items for every row."""
     scratch = Scratch(docs.sparkSession, "winnow")
     rows, spans = shared_spans(docs, items, scratch, prefilter_rows)
     spans = scratch.save(spans.distinct().select(F.struct("id", "h").alias("k"), "item", "first", "last"))
@@ -186,9 +186,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, prefilter_rows: int = PREFI
     found = spans.groupBy("k").agg(F.array_sort(F.collect_set("item")).alias("items"))
     rows = rows.select(F.struct("id", "h").alias("k"), "n_words")
     out = rows.join(hit.join(found, "k"), "k", "left")
-    n = F.coalesce("n_hit", F.lit(0))
-    return out.select(F.col("k.id").alias("doc_id"), "n_words", n.alias("n_hit"),
-                      F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n > 0).alias("contaminated"))
+    return out.select("k", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, prefilter_rows: int = PREFILTER_ROWS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted), contaminated for every row."""
+    out = _judged(docs, items, prefilter_rows)
+    return out.select(F.col("k.id").alias("doc_id"), "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, prefilter_rows: int = PREFILTER_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, without a hit: decided by row, whatever ids they share."""
+    clean = _judged(docs, items, prefilter_rows).filter("n_hit = 0").select("k").distinct()
+    d = docs.withColumn("__key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    return d.join(clean, d["__key"] == clean["k"], "left_semi").drop("__key")
 
 
 def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,25 @@ def test_odd_rows(spark, odd_docs, empty_docs):
     assert sorted(corpus_pipeline.STAGES[0][1](spark, odd_docs, SF).columns) == sorted(odd_docs.columns)
 
 
+def test_shared_and_missing_ids(spark):
+    """Stages 2 to 4 decide by row, whatever ids the rows share."""
+    items = [r.text for r in table(spark, SF, "benchmark").collect()]
+    bad = max(items, key=len)
+    clean = [" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma", "delta")]
+    near = clean[0] + " tail"
+    rows = [(None, bad), (None, clean[0]), (7, bad + " more"), (7, clean[1]), (8, "x " + bad), (9, near), (3, near), (9, clean[2]), (3, clean[2] + " end"),
+            (5, clean[3]), (5, clean[3]), (None, ""), (None, ""), (None, None), (6, "")]
+    docs = spark.createDataFrame([(*r, "en", "src1", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    one = left(stage["exact dedup"](spark, docs, SF))
+    assert one == sorted({(d, t) for d, t in rows if t} - {(9, near)} | {(6, "")}, key=str)
+    got = left(stage["n-gram Jaccard join"](spark, docs, SF))
+    assert got == sorted([(3, near), (3, clean[2] + " end"), (5, clean[3]), (7, clean[1]), (7, bad + " more"), (None, ""), (None, ""), (None, None), (6, "")], key=str)
+    got = left(stage["benchmark decontamination"](spark, docs, SF))
+    assert got == sorted([(d, t) for d, t in rows if not t or bad not in t], key=str)
+
+
 def test_mix_prefers_siblings(spark):
     """A child that can't use its share: siblings first, then the parent's siblings."""
     rows = [(i, "w " * 10, "en", "src0") for i in range(10)] + [(100 + i, "w " * 10, "en", "src1") for i in range(100)]
