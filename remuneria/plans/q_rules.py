@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import matcher as X
 from ..functions import rules as R
 from ..functions import rulesets as RS
 from ..functions import scopes as SC
@@ -70,13 +71,11 @@ def texts(spark, sf):
 NONE = "(sin etiqueta)"
 
 
-def _by_label(df, columns: list[str], rs: R.RuleSet):
-    label = R.classify([F.col(c) for c in columns], rs)
-    if rs.policy == "multi":
-        label = F.explode(F.when(F.size(label) > 0, label).otherwise(F.array(F.lit(NONE))))
-    else:
-        label = F.coalesce(label, F.lit(NONE))
-    return df.select(label.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def _by_label(df, columns: list[str], rs: R.RuleSet, repeated: bool = True):
+    """Rows by label: equal texts are counted, then judged once; texts that don't repeat are judged as they stand."""
+    if repeated:
+        return X.count_labels(df, columns, rs, NONE)
+    return X.summed_labels(X.label_rows(df.select(*columns), {"__label": (columns, rs)}).withColumn("__n", F.lit(1)), rs, NONE)
 
 
 def _by_label_sql(source: str, columns: list[str], rs: R.RuleSet) -> str:
@@ -99,7 +98,7 @@ for _rs, _columns in LISTS:
 
 for _rs in (RS.JOB_AREA, RS.CAREER_AREA, RS.JUNIOR_AREA, RS.SECTOR_FULL):
     query(f"rules_{_rs.name.lower()}_documents", _rs.name, _by_label_sql("documents", ["text"], _rs))(
-        lambda spark, sf, rs=_rs: _by_label(B.table(spark, sf, "documents"), ["text"], rs))
+        lambda spark, sf, rs=_rs: _by_label(B.table(spark, sf, "documents"), ["text"], rs, repeated=False))
 
 _DEPARTMENT = "CASE " + " ".join(f"WHEN contains(upper(institucion), {q(d)}) THEN {q(d)}" for d in RS.DEPARTMENTS) + " END"
 
@@ -107,8 +106,9 @@ _DEPARTMENT = "CASE " + " ".join(f"WHEN contains(upper(institucion), {q(d)}) THE
 @query("rules_r25", "R25", f"""WITH {TEXTS}
 SELECT label, count(*) AS n FROM (SELECT coalesce({_DEPARTMENT}, {q(NONE)}) AS label FROM texts) GROUP BY label""")
 def rules_r25(spark, sf):
+    counted = texts(spark, sf).groupBy("institucion").agg(F.count(F.lit(1)).alias("n"))
     label = F.coalesce(P.department_of("institucion"), F.lit(NONE))
-    return texts(spark, sf).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(label.alias("label")).agg(F.sum("n").alias("n"))
 
 
 _SCOPES = {
@@ -127,13 +127,15 @@ _SCOPES = {
 s AS (SELECT *, {case(['empresa', 'puesto'], RS.SECTOR_FULL)} AS sector FROM texts)
 """ + " UNION ALL ".join(f"SELECT '{k}' AS scope, count_if({v}) AS n_in, count_if(NOT {v}) AS n_out FROM s" for k, v in _SCOPES.items()))
 def rules_scopes(spark, sf):
-    s = texts(spark, sf).withColumn("sector", R.classify(["empresa", "puesto"], RS.SECTOR_FULL))
+    # the scopes ask of a salary only whether it is above the cap
+    high = F.when(F.col("salario") > RS.JUNIOR_SALARY_CAP, RS.JUNIOR_SALARY_CAP + 1.0).otherwise(0.0).alias("salario")
+    s = texts(spark, sf).groupBy("puesto", "empresa", high).agg(F.count(F.lit(1)).alias("n"))
+    s = X.label_rows(s, {"sector": (["empresa", "puesto"], RS.SECTOR_FULL)})
     scopes = {
         "R10": R.flag("puesto", RS.TI_WORDS), "R11": R.flag("puesto", RS.SALES_WORDS), "R12": R.flag("puesto", RS.MANAGER_WORDS),
         "R15": SC.in_names("empresa", RS.CONSUMER_COMPANIES), "R16": SC.junior_scope("puesto", "salario"),
         "R18": SC.any_scope("empresa", "sector", "puesto", RS.TECH_COMPANIES, RS.TECH_SECTOR_REGEX, RS.TECH_ROLE_WORDS),
         "R19": SC.any_scope("empresa", "sector", None, RS.BANK_COMPANIES, RS.BANK_SECTOR_REGEX)}
-    one = s.agg(*[F.struct(F.lit(k).alias("scope"), F.count_if(c).alias("n_in")).alias(k) for k, c in scopes.items()],
-                F.count(F.lit(1)).alias("rows"))
-    one = one.select(*[F.struct(f"{k}.scope", f"{k}.n_in", (F.col("rows") - F.col(f"{k}.n_in")).alias("n_out")).alias(k) for k in scopes])
-    return one.select(F.explode(F.array(*scopes)).alias("s")).select("s.*")
+    rows = s.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("scope"), c.alias("is_in")) for k, c in scopes.items()])).alias("s"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return rows.groupBy("s.scope").agg(n(F.col("s.is_in")).alias("n_in"), n(~F.col("s.is_in")).alias("n_out"))

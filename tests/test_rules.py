@@ -1,7 +1,10 @@
 """Rule sets R1-R29 of the study on invented fixture rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from remuneria.functions import matcher as M
 from remuneria.functions import rules as R
 from remuneria.functions import rulesets as RS
 from remuneria.functions import scopes as SC
@@ -103,3 +106,32 @@ def test_label_columns_match_direct(spark):
     a = sorted((r[0] or "", r[1]) for r in R.label_columns(df, {"lvl": ("p", RS.LEVEL)}).collect())
     b = sorted((r[0] or "", r[1]) for r in df.select("p", R.classify("p", RS.LEVEL)).collect())
     assert a == b
+
+
+LISTS = [v for v in vars(RS).values() if isinstance(v, R.RuleSet)]
+
+
+def test_matcher_equals_the_compiled_rules(spark):
+    """Every list of the study, on texts of its keywords cut, joined and changed in case."""
+    rng = random.Random(4)
+    words = [k for rs in LISTS for r in rs.rules for k in r.keywords] + [k for rs in LISTS for k in rs.exact]
+    rows = [(None, "x"), ("", None), (None, None), ("İSTANBUL GERENTE", "ß")]
+    for _ in range(400):
+        parts = [rng.choice([w, w.upper(), w[1:], w.title(), "é", " ", "Ñ"]) for w in rng.sample(words, 3)]
+        rows.append((rng.choice(["", " "]).join(parts), rng.choice(words)))
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "a string, b string, c0 int").repartition(3)
+    specs = {f"l{i}": (["a", "b"] if i % 2 else ["a"], rs) for i, rs in enumerate(LISTS)}
+    want = df.select("c0", *[R.classify([F.col(c) for c in cols], rs).alias(o) for o, (cols, rs) in specs.items()]).orderBy("c0").collect()
+    assert M.label_rows(df, specs).select("c0", *specs).orderBy("c0").collect() == want
+    assert M.label_distinct(df, specs).select("c0", *specs).orderBy("c0").collect() == want
+    assert any(isinstance(v, list) and v for r in want for v in r) and len(LISTS) >= 19
+
+
+def test_matcher_counts(spark):
+    df = spark.createDataFrame([("Gerente de Ventas",)] * 5 + [("data analyst",), (None,), ("zzz",), ("zzz",)], "t string")
+    for rs in (RS.CAREER_AREA, RS.LEVEL, RS.SECTOR_FULL):
+        label = R.classify("t", rs)
+        label = F.explode(F.when(F.size(label) > 0, label).otherwise(F.array(F.lit("-")))) if rs.policy == "multi" else F.coalesce(label, F.lit("-"))
+        want = {r.label: r["count"] for r in df.select(label.alias("label")).groupBy("label").count().collect()}
+        assert {r.label: r.n for r in M.count_labels(df, ["t"], rs, "-").collect()} == want
+    assert M.count_labels(df.filter("false"), ["t"], RS.LEVEL, "-").collect() == []
