@@ -13,7 +13,7 @@ one partial+final aggregation keyed by the dimension (and year).
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +114,57 @@ def entity_list(snap: DataFrame, min_heads: int = 5, cut: int = 120) -> DataFram
                       F.col("ing_prom").alias("i"))
 
 
+def grouped_at_once(snap: DataFrame, sets: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """Heads, income and cost for each set of keys, from ONE
+    ``GROUPING SETS`` aggregation of ``snap``: a scan and a shuffle of partial
+    sums for all sets. The result (one row per group, no facts) is written to
+    the shared folder; each returned dataset is a filter on it: its keys,
+    cantidad, ing_prom (not rounded), costo. Groups with a null key are dropped
+    as in ``payroll_by``; the empty set of keys gives the totals, and no row
+    for an empty table. Sets that repeat are computed once."""
+    from ..session import Scratch
+    names = sorted({k for keys in sets.values() for k in keys})
+    wanted = sorted({tuple(sorted(keys)) for keys in sets.values()})
+    a = income_aggs()
+    slim = snap.select(*names, *INCOMES, "CANTIDAD", "COSTO_TOTAL_ANUAL")
+    rows = slim.groupingSets([list(map(F.col, w)) for w in wanted], *names).agg(
+        a["cantidad"].alias("cantidad"), a["ing_prom"].alias("ing_prom"),
+        F.sum(F.coalesce(F.col("COSTO_TOTAL_ANUAL"), F.lit(0.0))).alias("costo"), F.count(F.lit(1)).alias("n_rows"),
+        F.grouping_id().alias("gid"))
+    rows = Scratch(snap.sparkSession, "grouping-sets").save(rows.filter("n_rows > 0"))
+
+    def one(keys: Sequence[str]) -> DataFrame:
+        # a bit for each name, the first name's the highest: 1 where it isn't grouped by
+        gid = sum(1 << (len(names) - 1 - i) for i, n in enumerate(names) if n not in keys)
+        out = rows.filter(F.col("gid") == gid)
+        for k in keys:
+            out = out.filter(F.col(k).isNotNull())
+        return out.select(*keys, "cantidad", "ing_prom", "costo")
+
+    return {n: one(keys) for n, keys in sets.items()}
+
+
+def snapshot_datasets(snap: DataFrame, groups: Mapping[str, Sequence[str]], having: Mapping[str, int], search_min_heads: int = 5,
+                      search_cut: int = 120, digits: int = 4) -> dict[str, DataFrame]:
+    """K4: the datasets of the snapshot (A30, A32-A36) from one aggregation:
+    ``kpis`` with the period, one list for each of ``groups`` (those in
+    ``having`` from that many heads on), ``pliegos_search`` (A35)."""
+    search = ["PLIEGO", "NIVEL", "SECTOR"]
+    parts = grouped_at_once(snap, {**groups, "__all": ["PERIODO"], "__pliego": ["PLIEGO"], "__unidad": ["UNIDAD_EJECUTORA"], "__search": search})
+    out = {"kpis": parts["__all"].select(
+        F.col("cantidad").alias("total_servidores"), rnd(F.col("ing_prom"), 2).alias("ingreso_promedio_mensual"),
+        rnd(F.col("costo"), 2).alias("costo_total_anual"), parts["__pliego"].agg(F.count(F.lit(1))).scalar().alias("n_pliegos"),
+        parts["__unidad"].agg(F.count(F.lit(1))).scalar().alias("n_unidades_ejecutoras"), F.col("PERIODO").alias("periodo"))}
+    for name, keys in groups.items():
+        one = parts[name].select(*keys, "cantidad", rnd(F.col("ing_prom"), digits).alias("ing_prom"))
+        out[name] = one.filter(F.col("cantidad") >= having[name]) if name in having else one
+    found = parts["__search"].filter(F.col("cantidad") >= search_min_heads)
+    out["pliegos_search"] = found.select(
+        F.substring("PLIEGO", 1, search_cut).alias("n"), F.col("NIVEL").alias("l"), F.col("SECTOR").alias("s"),
+        F.col("cantidad").alias("c"), rnd(F.col("ing_prom"), 0).alias("i"))
+    return out
+
+
 def timeline(snap: DataFrame, year: str = "year", top_sectors: int = 20,
              materialize: bool = False) -> dict[str, DataFrame]:
     """H5: every year at once (no per-year loop) over the yearly snapshot

@@ -122,12 +122,9 @@ FROM d GROUP BY PLIEGO, NIVEL, SECTOR HAVING {HEADS} >= 5""")
 @query("io_payroll_snapshot_datasets", "K4 A30 A32 A33 A34 A35 A36", _k4_sql())
 def io_payroll_snapshot_datasets(spark, sf):
     """The ten-part snapshot output: KPIs with the period, and nine lists."""
-    snap = Scratch(spark, "snapshot").save(B.payroll_snapshot(spark, sf))
-    snap = snap.withColumn("depto", P.department_of("PLIEGO", BIND_DEPARTMENTS))
-    frames = {"kpis": P.payroll_kpis(snap).withColumn("periodo", snap.agg(F.max("PERIODO")).scalar())}
-    frames.update({n: P.payroll_by(snap, k, _HAVING.get(n)) for n, k in _GROUPS.items()})
+    snap = B.payroll_snapshot(spark, sf).withColumn("depto", P.department_of("PLIEGO", BIND_DEPARTMENTS))
+    frames = P.snapshot_datasets(snap, _GROUPS, _HAVING)
     frames["top_pliegos"] = K.top_n(frames["top_pliegos"], [F.col("cantidad").desc(), F.col("PLIEGO").asc()], 30)
-    frames["pliegos_search"] = P.entity_list(snap, 5)
     keys = {n: (k, "cantidad", "ing_prom") for n, k in _GROUPS.items()}
     keys["kpis"] = (["periodo"], "total_servidores", "ingreso_promedio_mensual")
     keys["pliegos_search"] = (["n", "l", "s"], "c", "i")

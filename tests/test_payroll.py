@@ -34,3 +34,27 @@ def test_timeline_per_year_latest(spark):
     t = P.timeline(P.active_snapshot(spark.createDataFrame(rows, COLS), year="year"))
     got = {r.year: r.total_servidores for r in t["kpis"].collect()}
     assert got == {2023: 10, 2024: 7}
+
+
+def test_grouping_sets_equal_single_groups(spark):
+    rows = [base(cnt=i % 7, inc=(1000.0 * i, None if i % 3 else 5.0, 0.1 * i), pliego=None if i % 11 == 0 else f"P{i % 5}") for i in range(200)]
+    rows += [base()[:3] + (None,) + base()[4:]]
+    snap = spark.createDataFrame(rows, COLS)
+    sets = {"a": ["PLIEGO"], "b": ["SECTOR", "PLIEGO"], "c": ["NIVEL"], "again": ["PLIEGO"], "all": []}
+    got = P.grouped_at_once(snap, sets)
+    for n, keys in sets.items():
+        want = sorted(map(tuple, P.payroll_by(snap, keys, digits=6).collect()))
+        assert sorted(map(tuple, got[n].selectExpr(*keys, "cantidad", "round(ing_prom, 6)").collect())) == want, n
+    empty = P.grouped_at_once(snap.filter("false"), sets)
+    assert all(df.count() == 0 for df in empty.values())
+
+
+def test_snapshot_datasets_equal_the_single_ones(spark):
+    rows = [base(cnt=i % 9 + 1, pliego=f"P{i % 5}", inc=(100.0 * i, 1.0, None)) for i in range(60)]
+    snap = spark.createDataFrame(rows, COLS)
+    got = P.snapshot_datasets(snap, {"por_sector": ["SECTOR"], "burbujas": ["PLIEGO"]}, {"burbujas": 60})
+    k = P.payroll_kpis(snap).first()
+    assert got["kpis"].select(*k.asDict()).first() == k and got["kpis"].first().periodo == "20241201"
+    assert sorted(got["por_sector"].collect()) == sorted(P.payroll_by(snap, ["SECTOR"]).collect())
+    assert sorted(got["burbujas"].collect()) == sorted(P.payroll_by(snap, ["PLIEGO"], 60).collect())
+    assert sorted(got["pliegos_search"].collect()) == sorted(P.entity_list(snap).collect())
