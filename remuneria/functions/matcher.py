@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Scratch
 from .rules import RuleSet, _prepared
 from .text import fold_text
 
@@ -146,15 +147,23 @@ def label_rows(df: DataFrame, specs: Specs) -> DataFrame:
 
 
 def label_distinct(df: DataFrame, specs: Specs) -> DataFrame:
-    """``df`` with label columns; every distinct combination of texts is judged once."""
-    columns = sorted({c for cols, _ in specs.values() for c in cols})
-    keys = [f"__text_{i}" for i in range(len(columns))]
-    words = label_rows(df.select(*columns).distinct(), specs).withColumnsRenamed(dict(zip(columns, keys)))
-    same = None
-    for c, k in zip(columns, keys):
-        one = df[c].eqNullSafe(words[k])
-        same = one if same is None else same & one
-    return df.join(words, same, "left").drop(*keys)
+    """``df`` with label columns; the texts of each set of columns are a
+    dictionary, of which every entry is judged once."""
+    out = df
+    for columns in dict.fromkeys(tuple(cols) for cols, _ in specs.values()):
+        keys = [f"__text_{i}" for i in range(len(columns))]
+        own = {o: s for o, s in specs.items() if tuple(s[0]) == columns}
+        words = label_rows(df.select(*columns).distinct(), own).withColumnsRenamed(dict(zip(columns, keys)))
+        same = F.lit(True)
+        for c, k in zip(columns, keys):
+            same = same & out[c].eqNullSafe(words[k])
+        out = out.join(words, same, "left").drop(*keys)
+    return out
+
+
+def label_narrow(df: DataFrame, columns: Sequence[str], specs: Specs) -> DataFrame:
+    """The named columns of ``df``, written once to the shared folder, with labels by ``label_distinct``."""
+    return label_distinct(Scratch(df.sparkSession, "labels").save(df.select(*columns)), specs)
 
 
 def count_labels(df: DataFrame, columns: Sequence[str], rs: RuleSet, none: str) -> DataFrame:

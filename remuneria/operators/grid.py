@@ -13,15 +13,16 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from . import stats
 
 
 def cell_stats(df: DataFrame, row: str, col: str, value: str, min_n: int = 1,
-               exact: bool = True) -> DataFrame:
+               exact: bool = True, written: bool = False) -> DataFrame:
     """Median and row count per (row, col); cells under ``min_n`` rows get a
     NULL median (the study shows an empty cell)."""
     src = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-    agg = stats.aggregate(src, [row, col], {"n": F.count(F.lit(1)), "_med": stats.median(value, exact)})
+    agg = stats.aggregate(src, [row, col], {"n": F.count(F.lit(1)), "_med": stats.median(value, exact)}, written)
     return agg.select(row, col, "n", F.when(F.col("n") >= min_n, F.col("_med")).alias("median"))
 
 
@@ -47,7 +48,8 @@ def grid_with_top_cols(df: DataFrame, row: str, col: str, value: str, rows: Sequ
     """M2: fixed row axis x the ``top_cols`` columns with the highest overall
     median (excluding ``exclude_col``). The column axis has at most
     ``top_cols`` rows; the row axis is a literal list exploded onto it."""
-    med = stats.aggregate(df.filter(F.col(col).isNotNull()), [col], {"_colmed": stats.median(value, exact)})
+    df = Scratch(df.sparkSession, "grid").save(df.filter(F.col(col).isNotNull()).select(row, col, value))  # read once
+    med = stats.aggregate(df, [col], {"_colmed": stats.median(value, exact)}, written=True)
     if exclude_col is not None:
         med = med.filter(F.col(col) != exclude_col)
     top = med.orderBy(F.col("_colmed").desc_nulls_last(), F.col(col).asc()).limit(top_cols)
@@ -55,7 +57,7 @@ def grid_with_top_cols(df: DataFrame, row: str, col: str, value: str, rows: Sequ
         F.struct(F.lit(r).alias(row), F.lit(i).alias("row_pos")) for i, r in enumerate(rows)])).alias("_r")
     ).select(col, "_r.*")
     cells = cell_stats(df.join(F.broadcast(top.select(col)), col, "left_semi")
-                       .filter(F.col(row).isin(list(rows))), row, col, value, min_n, exact)
+                       .filter(F.col(row).isin(list(rows))), row, col, value, min_n, exact, written=True)
     return (axis.join(cells, [row, col], "left")
             .select(row, col, "row_pos", F.coalesce("n", F.lit(0)).alias("n"), "median"))
 

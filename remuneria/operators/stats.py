@@ -76,11 +76,23 @@ def mean_of_cents(value: Column | str, digits: int = 4) -> Column:
     return F.round(F.try_divide(F.sum(cents), F.count(cents)), digits).cast("double")
 
 
-def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Quantile]) -> DataFrame:
+def _columns_of(df: DataFrame, exprs: Sequence[Column]) -> list[str]:
+    """The columns of ``df`` that the aggregates read."""
+    if not exprs:
+        return []
+    names, it = set(), df.agg(*exprs)._jdf.queryExecution().analyzed().references().iterator()
+    while it.hasNext():
+        names.add(it.next().name())
+    return [c for c in df.columns if c in names]
+
+
+def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Quantile], written: bool = False) -> DataFrame:
     """``groupBy(keys).agg(aggs)`` where some outputs may be quantiles or
     distinct counts. All exact quantiles of one value share one ranked table;
     the parts are put together on the keys (null-safe), or read as scalars
-    where there are no keys."""
+    where there are no keys. With exact quantiles ``df`` is read once: the
+    columns that the aggregates need are written, and all parts read those
+    (``written``: ``df`` is such a table already)."""
     keys = list(keys)
     dist = {n: e for n, e in aggs.items() if isinstance(e, DistinctCount)}
     plain = {n: e for n, e in aggs.items() if not isinstance(e, (Quantile, DistinctCount))}
@@ -89,9 +101,11 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Qu
     for n, q in qs.items():
         if isinstance(q.value, str):
             value_cols[n] = q.value
-        else:
-            value_cols[n] = f"_qv_{n}"
-            src = src.withColumn(value_cols[n], q.value)
+        else:                                   # equal expressions are one value
+            same = next((m for m in value_cols if not isinstance(qs[m].value, str) and str(qs[m].value) == str(q.value)), None)
+            value_cols[n] = value_cols[same] if same else f"_qv_{n}"
+            if same is None:
+                src = src.withColumn(value_cols[n], q.value)
     for n, q in qs.items():
         if not q.exact:
             v = F.col(value_cols[n])
@@ -100,6 +114,10 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | Qu
     for n, q in qs.items():
         if q.exact:
             by_value.setdefault(value_cols[n], {})[n] = q.p
+    if by_value and not written:
+        from ..session import Scratch
+        needed = dict.fromkeys([*keys, *value_cols.values(), *(d.col for d in dist.values()), *_columns_of(src, list(plain.values()))])
+        src = Scratch(df.sparkSession, "aggregate").save(src.select(*needed))
     parts = [Q.group_quantiles(src, keys, vcol, probs) for vcol, probs in by_value.items()]
     # each distinct count by itself: first the distinct (keys, value), then their number
     for n, d in dist.items():
@@ -147,7 +165,7 @@ def percentiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequen
 
 def group_stats(df: DataFrame, keys: Sequence[str] | str, aggs: Mapping[str, Column],
                 having: Column | None = None, order: Sequence[Column] | None = None,
-                limit: int | None = None, drop_null_keys: bool = True) -> DataFrame:
+                limit: int | None = None, drop_null_keys: bool = True, written: bool = False) -> DataFrame:
     """Group, aggregate,
     threshold, order (always made total by the keys), optional top-n.
     NULL keys are dropped, as pandas ``groupby`` does."""
@@ -156,7 +174,7 @@ def group_stats(df: DataFrame, keys: Sequence[str] | str, aggs: Mapping[str, Col
     if drop_null_keys:
         for k in keys:
             src = src.filter(F.col(k).isNotNull())
-    out = aggregate(src, keys, aggs)
+    out = aggregate(src, keys, aggs, written)
     if having is not None:
         out = out.filter(having)
     if order is not None:
@@ -297,7 +315,9 @@ def word_freq(df: DataFrame, text: str, value: str, tiebreak: str, top_share: fl
     (k = floor(share x rows)); the n most common words, then only words of at
     least ``min_len`` letters. Rows are counted per value; rows above the
     value at which the k-th row falls are in, and only its ties are ordered."""
+    from ..session import Scratch
     v = F.col(value)
+    df = Scratch(df.sparkSession, "word-freq").save(df.select(*dict.fromkeys([text, value, tiebreak])))  # read once
     per = df.groupBy(value).agg(F.count(F.lit(1)).alias("_w")).withColumn("_last", v.isNull())
     per = per.withColumn("_down", -v)
     k = F.floor(per.agg(F.sum("_w")).scalar() * top_share)

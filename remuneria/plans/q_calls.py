@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import matcher as X
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.text import rnd
@@ -12,6 +13,7 @@ from ..operators import grid as G
 from ..operators import history as H
 from ..operators import rank as K
 from ..operators import stats as S
+from ..session import Scratch
 from ..sources import bindings as B
 from . import bind_rules as BR
 from .registry import query
@@ -26,12 +28,14 @@ def _all(spark, sf):
     return R.label_columns(B.calls(spark, sf), {"tipo_inst": ("institucion", BR.INSTITUTION_TYPE)})
 
 
-def _valid(spark, sf):
+_LABELS = {"tipo_inst": (["institucion"], BR.INSTITUTION_TYPE), "nivel": (["puesto"], BR.PUBLIC_LEVEL),
+           "rol_granular": (["puesto"], BR.ROLE_17), "rol_cat": (["puesto"], BR.ROLE_CAT)}
+
+
+def _valid(spark, sf, *labels):
+    """Calls with a valid salary and the named labels: written once, each distinct text judged once."""
     c = B.calls(spark, sf).filter(T.valid_salary("salario", 100))
-    return R.label_columns(c, {"tipo_inst": ("institucion", BR.INSTITUTION_TYPE),
-                               "nivel": ("puesto", BR.PUBLIC_LEVEL),
-                               "rol_granular": ("puesto", BR.ROLE_17),
-                               "rol_cat": ("puesto", BR.ROLE_CAT)})
+    return X.label_narrow(c, ["institucion", "puesto", "salario"], {n: _LABELS[n] for n in labels})
 
 
 _TIPO = case("institucion", BR.INSTITUTION_TYPE)
@@ -43,7 +47,7 @@ v AS (SELECT *, {case('puesto', BR.PUBLIC_LEVEL)} AS nivel, {case('puesto', BR.R
 @query("call_roles_median", "A27 R21 C9", f"""{SAL}
 SELECT rol_granular, round(median(salario), 4) AS median FROM v WHERE rol_granular IS NOT NULL GROUP BY rol_granular""")
 def call_roles_median(spark, sf):
-    return S.group_stats(_valid(spark, sf), "rol_granular", {"median": rnd(S.median("salario"))},
+    return S.group_stats(_valid(spark, sf, "rol_granular"), "rol_granular", {"median": rnd(S.median("salario"))},
                          order=[F.col("median").asc()])
 
 
@@ -74,7 +78,7 @@ FROM {_axis_sql(BR.INSTITUTION_GRID_ORDER, 't', 'tipo_inst', 'row_pos')}
 CROSS JOIN {_axis_sql(BR.ROLE_CAT_DISPLAY, 'r', 'rol_cat', 'col_pos')}
 LEFT JOIN cells ON cells.tipo_inst = t.tipo_inst AND cells.rol_cat = r.rol_cat""")
 def grid_institution_role(spark, sf):
-    v = _valid(spark, sf).filter(F.col("rol_cat").isNotNull() & (F.col("tipo_inst") != "Otros"))
+    v = _valid(spark, sf, "rol_cat", "tipo_inst").filter(F.col("rol_cat").isNotNull() & (F.col("tipo_inst") != "Otros"))
     g = G.dense_grid(v, "tipo_inst", "rol_cat", "salario", BR.INSTITUTION_GRID_ORDER, BR.ROLE_CAT_DISPLAY, min_n=2)
     return g.withColumn("median", rnd(F.col("median")))
 
@@ -114,7 +118,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tipo_inst ORDER BY y DESC,
 SELECT tipo_inst, institucion, round(m, 0) AS x, y, greatest(8, least(40, CAST(floor(y * 1.5) AS BIGINT))) AS size,
        rank_in_group FROM r WHERE rank_in_group <= 30""")
 def top_institutions_by_type(spark, sf):
-    per = S.group_stats(_valid(spark, sf), ["tipo_inst", "institucion"],
+    per = S.group_stats(_valid(spark, sf, "tipo_inst"), ["tipo_inst", "institucion"],
                         {"m": F.avg("salario"), "y": F.count("salario")})
     top = K.top_k_per_group(per, "tipo_inst", [F.col("y").desc(), F.col("institucion").asc()], 30,
                             salt_col="institucion")
@@ -133,10 +137,11 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY rol_granular ORDER BY media
 SELECT rol_granular, substr(institucion, 1, 90) AS institucion, round(mediana, 4) AS mediana, n, rank_in_group
 FROM r WHERE rank_in_group <= 15""")
 def role_comparison(spark, sf):
-    v = _valid(spark, sf).filter(F.col("rol_granular").isNotNull())
+    v = _valid(spark, sf, "rol_granular").filter(F.col("rol_granular").isNotNull()).select("rol_granular", "institucion", "salario")
+    v = Scratch(spark, "roles").save(v)  # labelled and read once
     roles = K.top_keys(v, "rol_granular", 10).select("rol_granular")
     per = S.group_stats(v.join(F.broadcast(roles), "rol_granular", "left_semi"), ["rol_granular", "institucion"],
-                        {"mediana": S.median("salario"), "n": F.count("salario")}, having=F.col("n") >= 1)
+                        {"mediana": S.median("salario"), "n": F.count("salario")}, having=F.col("n") >= 1, written=True)
     top = K.top_k_per_group(per, "rol_granular", [F.col("mediana").desc(), F.col("institucion").asc()], 15,
                             salt_col="institucion")
     return top.select("rol_granular", T.cut("institucion", 90).alias("institucion"),
@@ -149,7 +154,7 @@ SELECT * FROM (SELECT nivel AS categoria, count(*) AS n, round(min(salario), 6)
        round(quantile_cont(salario, 0.75), 6) AS q3, round(max(salario), 6) AS max, round(avg(salario), 6) AS mean
        FROM v WHERE {in_list('nivel', BR.PUBLIC_LEVEL_ORDER)} GROUP BY nivel) WHERE n >= 2""")
 def call_level_box(spark, sf):
-    v = _valid(spark, sf).filter(F.col("nivel").isin(BR.PUBLIC_LEVEL_ORDER)).withColumnRenamed("nivel", "categoria")
+    v = _valid(spark, sf, "nivel").filter(F.col("nivel").isin(BR.PUBLIC_LEVEL_ORDER)).withColumnRenamed("nivel", "categoria")
     return S.five_number(v, "categoria", "salario", 2, digits=6)
 
 

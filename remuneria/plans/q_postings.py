@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import rnd
 
+from ..functions import matcher as X
 from ..functions import rules as R
 from ..functions import rulesets as RS
 from ..functions import scopes as SC
@@ -292,7 +293,7 @@ l AS (SELECT *, {case('puesto', BR.SENIORITY)} AS seniority_level FROM postings)
 SELECT seniority_level, round(avg({V}), 2) AS mean, round(median({V}), 4) AS median, count({V}) AS n,
        round(stddev_samp({V}), 2) AS std, count(DISTINCT empresa) AS n_empresas FROM l GROUP BY seniority_level""")
 def seniority_stats(spark, sf):
-    p = R.label_columns(_p(spark, sf), {"seniority_level": ("puesto", BR.SENIORITY)})
+    p = X.label_narrow(_p(spark, sf), ["puesto", "empresa", V], {"seniority_level": (["puesto"], BR.SENIORITY)})
     v = F.col(V)
     return S.group_stats(p, "seniority_level", {
         "mean": rnd(F.avg(v), 2), "median": rnd(S.median(v), 4), "n": F.count(v),
@@ -345,7 +346,7 @@ l AS (SELECT *, {case('puesto', BR.ROLE_FAMILY)} AS familia FROM postings)
 SELECT * FROM (SELECT familia, round(median({V}), 4) AS median, round(avg({V}), 4) AS mean, count({V}) AS n
  FROM l WHERE familia IS NOT NULL GROUP BY familia) WHERE n >= 5""")
 def role_family_median(spark, sf):
-    p = R.label_columns(_p(spark, sf), {"familia": ("puesto", BR.ROLE_FAMILY)})
+    p = X.label_narrow(_p(spark, sf), ["puesto", V], {"familia": (["puesto"], BR.ROLE_FAMILY)})
     v = F.col(V)
     return S.group_stats(p, "familia", {"median": r4(S.median(v)), "mean": r4(F.avg(v)), "n": F.count(v)},
                          having=F.col("n") >= 5, order=[F.col("median").desc()])
@@ -376,7 +377,7 @@ SELECT {out}, count(*) AS n, round(avg({V}), 4) AS mean, round(median({V}), 4) A
 
 
 def _multi(spark, sf, rs, out):
-    p = R.label_columns(_p(spark, sf), {"_labels": ("puesto", rs)}).withColumn(out, F.explode("_labels"))
+    p = X.label_narrow(_p(spark, sf), ["puesto", "empresa", V], {"_labels": (["puesto"], rs)}).withColumn(out, F.explode("_labels"))
     v = F.col(V)
     return S.group_stats(p, out, {"n": F.count(F.lit(1)), "mean": r4(F.avg(v)), "median": r4(S.median(v)),
                                   "max": r4(F.max(v)), "n_empresas": S.distinct_count("empresa")},
@@ -403,7 +404,7 @@ SELECT * FROM (SELECT categoria, count(*) AS n, round(min({V}), 4) AS min, round
 
 
 def _five(df, rs, min_rows):
-    return S.five_number(R.label_columns(df, {"categoria": ("puesto", rs)}), "categoria", V, min_rows, digits=4)
+    return S.five_number(X.label_narrow(df, ["puesto", V], {"categoria": (["puesto"], rs)}), "categoria", V, min_rows, digits=4)
 
 
 @query("quartiles_scope_ti", "A21 R10 R13", _five_sql(_TI, BR.TI_AREA, 3))
@@ -493,7 +494,7 @@ SELECT * FROM (SELECT categoria, count(*) AS n, round(min({V}), 4) AS min, round
        round(median({V}), 4) AS median, round(quantile_cont({V}, 0.75), 4) AS q3, round(max({V}), 4) AS max,
        round(avg({V}), 4) AS mean FROM s WHERE {in_list('categoria', BR.LEVEL_ORDER)} GROUP BY categoria) WHERE n >= 2""")
 def level_box_summary(spark, sf):
-    p = R.label_columns(_p(spark, sf).filter(T.valid_salary(V, 100)), {"categoria": ("puesto", BR.LEVEL)})
+    p = X.label_narrow(_p(spark, sf).filter(T.valid_salary(V, 100)), ["puesto", V], {"categoria": (["puesto"], BR.LEVEL)})
     return S.five_number(p.filter(F.col("categoria").isin(BR.LEVEL_ORDER)), "categoria", V, 2, digits=4)
 
 
@@ -717,7 +718,7 @@ SELECT ax.nivel, ax.sector, CAST(ax.row_pos AS INTEGER) AS row_pos, coalesce(cel
        CASE WHEN cells.n >= 2 THEN round(cells.med, 4) END AS median
 FROM ax LEFT JOIN cells ON ax.nivel = cells.nivel AND ax.sector = cells.sector""")
 def grid_level_sector(spark, sf):
-    p = R.label_columns(_p(spark, sf).filter(T.valid_salary(V, 100)), {"nivel": ("puesto", BR.LEVEL)})
+    p = X.label_narrow(_p(spark, sf).filter(T.valid_salary(V, 100)), ["puesto", "sector", V], {"nivel": (["puesto"], BR.LEVEL)})
     g = G.grid_with_top_cols(p, "nivel", "sector", V, BR.LEVEL_ORDER, top_cols=8, exclude_col="Otros", min_n=2)
     return g.withColumn("median", r4(F.col("median")))
 
