@@ -50,4 +50,4 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_payroll, q_postings, q_calls, q_history, q_pages, q_built_pages, q_io, q_rules, q_sketches  # noqa: F401
+    from . import q_payroll, q_postings, q_calls, q_history, q_pages, q_built_pages, q_io, q_rules, q_sketches, q_stored  # noqa: F401
