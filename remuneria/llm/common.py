@@ -18,3 +18,15 @@ def text_of(column: str = "text") -> Column:
 def id_bucket(n: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id counts as '')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: DuckDB SQL: a CTE with the table of the reflected polynomial, and the crc32 of a text beside it.
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    octets = f"list_transform(range(1, length(hex({text})), 2), lambda i: CAST('0x' || substr(hex({text}), i, 2) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"

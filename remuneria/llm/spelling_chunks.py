@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import table, text_of
+from .common import CRC_TABLE, crc32_sql, table, text_of
 
 MIN_CHARS, MIN_COUNT, RATIO, SLIP = 7, 2, 10, 31
 GROUP_PAIRS = 1 << 12
@@ -150,5 +150,35 @@ def op11_spelling_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf_dir, "documents")))
 
 
+# near words by what one deletion leaves, independently of the chunks
+ORACLE_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), k AS (
+  SELECT id || ':' || run AS named, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), h AS (
+  SELECT run, c, {crc32_sql('named')} AS h FROM k, crc_table
+), s AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h
+), w AS (
+  SELECT word, sum(c)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = cut.rest
+  UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = cut.rest
+), best AS (
+  SELECT word, count(*) AS n_near, min(struct_pack(a := -near_n, b := near)) AS m FROM near GROUP BY word
+), f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.a >= 10 * n THEN m.b END AS form, CASE WHEN -m.a >= 10 * n THEN -m.a END AS form_n
+  FROM w LEFT JOIN best USING (word)
+), r AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) JOIN f e ON e.word = r.root WHERE e.form IS NULL
+"""
+
 QUERIES = {"op11_spelling_chunks": op11_spelling_chunks}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op11_spelling_chunks": ORACLE_SQL}

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import table
+from .common import CRC_TABLE, crc32_sql, table
 
 KEEP, REROLE, DELETE, INSERT = "K", "R", "D", "I"
 REROLE_COST, DELETE_COST, INSERT_COST, CUT_COST = 3, 4, 3, 3
@@ -198,5 +198,65 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(damaged(table(spark, sf_dir, "conversations")))
 
 
+# cost-to-go and audit of every end of every distinct word, by recursion from the end
+ORACLE_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named FROM conversations
+), kinds AS (
+  SELECT *, {crc32_sql('named')} % 20 AS kind FROM c, crc_table
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN ''
+         WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS ini FROM d
+), p AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o
+), t AS (
+  SELECT *, CASE WHEN blank OR again THEN 'x' WHEN cut THEN upper(CASE WHEN ini IN ('s', 'u', 'a') THEN ini ELSE 'o' END)
+                 WHEN ini IN ('s', 'u', 'a') THEN ini ELSE 'o' END AS symbol FROM p
+), conv AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+         count_if(cut AND NOT again AND NOT blank) AS truncated, count_if(i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal,
+         string_agg(symbol, '' ORDER BY i) AS word FROM t GROUP BY conv_id
+), ends AS (
+  SELECT word, 0 AS k, struct_pack(c := 0, a := '') AS g0, struct_pack(c := 6, a := 'II') AS g1, struct_pack(c := 3, a := 'I') AS g2,
+         struct_pack(c := 0, a := '') AS g3 FROM (SELECT DISTINCT word FROM conv)
+  UNION ALL
+  SELECT word, k, list_min([b0, struct_pack(c := j2.c + 3, a := 'I' || j2.a)]), list_min([b1, struct_pack(c := j2.c + 3, a := 'I' || j2.a)]), j2,
+         list_min([b3, struct_pack(c := b2.c + 3, a := 'I' || b2.a)])
+  FROM (SELECT *, list_min([b2, struct_pack(c := b3.c + 3, a := 'I' || b3.a)]) AS j2 FROM (
+    SELECT word, k + 1 AS k,
+      list_min([struct_pack(c := g0.c + 4, a := 'D' || g0.a), CASE WHEN r <> 'x' THEN struct_pack(c := g2.c + 3 + e, a := 'R' || g2.a) END,
+        CASE WHEN r = 'u' THEN struct_pack(c := g2.c + e, a := 'K' || g2.a) WHEN r = 's' THEN struct_pack(c := g1.c + e, a := 'K' || g1.a) END]) AS b0,
+      list_min([struct_pack(c := g1.c + 4, a := 'D' || g1.a), CASE WHEN r <> 'x' THEN struct_pack(c := g2.c + 3 + e, a := 'R' || g2.a) END,
+        CASE WHEN r = 'u' THEN struct_pack(c := g2.c + e, a := 'K' || g2.a) END]) AS b1,
+      list_min([struct_pack(c := g2.c + 4, a := 'D' || g2.a), CASE WHEN r <> 'x' THEN struct_pack(c := g3.c + 3 + e, a := 'R' || g3.a) END,
+        CASE WHEN r = 'a' THEN struct_pack(c := g3.c + e, a := 'K' || g3.a) END]) AS b2,
+      list_min([struct_pack(c := g3.c + 4, a := 'D' || g3.a), CASE WHEN r <> 'x' THEN struct_pack(c := g2.c + 3 + e, a := 'R' || g2.a) END,
+        CASE WHEN r = 'u' THEN struct_pack(c := g2.c + e, a := 'K' || g2.a) END]) AS b3
+    FROM (SELECT *, lower(substr(word, length(word) - k, 1)) AS r, CASE WHEN substr(word, length(word) - k, 1) IN ('S', 'U', 'A', 'O') THEN 3 ELSE 0 END AS e
+          FROM ends WHERE k < length(word))))
+), best AS (
+  SELECT word, g0.c AS cost, g0.a AS audit FROM ends WHERE k = length(word)
+), edits AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS e, length(replace(left(audit, j), 'I', '')) AS i, length(replace(left(audit, j), 'D', '')) - 1 AS place
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM conv JOIN best USING (word))
+), said AS (
+  SELECT edits.*, t.role, t.text, bool_or(place = 0 AND e = 'K' AND left(t.role, 1) = 's') OVER (PARTITION BY edits.conv_id) AS system
+  FROM edits LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM edits.conv_id AND t.i = edits.i AND e <> 'I'
+), made AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place - CASE WHEN system THEN 1 ELSE 0 END) % 2 = 0 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY j) FILTER (e <> 'D') AS lines FROM said GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN conv ON conv.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best ON best.word = conv.word LEFT JOIN made ON made.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 QUERIES = {"op13_turn_repair": op13_turn_repair}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op13_turn_repair": ORACLE_SQL}
