@@ -3,7 +3,6 @@ C8-C10, C16, C21, J1, J2, J4, U3, U5, W1, W2, T1, T5, X1-X5, M1, M2, M4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rnd
@@ -682,9 +681,9 @@ def scatter_projection(spark, sf):
     """Every posting with the size and the rank (by mean salary) of its company."""
     p = _p(spark, sf)
     per = p.groupBy("empresa").agg(F.count(F.lit(1)).alias("empresa_size"), F.avg(V).alias("_m"))
-    # one row per company: the window is over the aggregate, not over postings
-    order = Window.orderBy(F.col("_m").desc_nulls_last(), F.col("empresa").asc())
-    per = per.withColumn("empresa_rank", F.row_number().over(order)).drop("_m")
+    # numbered over range partitions, not in one window over all companies
+    per = K.global_row_number(per, [F.col("_m").desc_nulls_last(), F.col("empresa").asc()], "empresa_rank")
+    per = per.withColumn("empresa_rank", F.col("empresa_rank").cast("int")).drop("_m")
     return S.scatter_projection(p.join(per, "empresa"), ["posting_id", V, "empresa_size", "empresa_rank"])
 
 
