@@ -249,14 +249,18 @@ f AS (SELECT year, SECTOR, CANTIDAD FROM payroll WHERE year <> 1995)
 SELECT year::VARCHAR AS year, SECTOR, count(*) AS n, sum(CANTIDAD)::BIGINT AS cantidad FROM f GROUP BY ALL
 UNION ALL SELECT 'columns missing: CANTIDAD', NULL, 1, NULL""")
 def io_payroll_files(spark, sf):
-    """Yearly files in three column orders, one year without a needed column: the rest in one scan, that year listed."""
+    """Yearly files in three column orders, one year without a needed column: the rest in one scan, that year listed.
+    A year is as many files as tasks write it, so that no task holds a year."""
     pay = B.payroll(spark, sf).select("year", "PERIODO", "SECTOR", F.col("CANTIDAD").cast("string").alias("CANTIDAD"), F.lit("x, y").alias("NOTA"))
-    path = _scratch(spark, "payroll-files")
+    scratch = Scratch(spark, "payroll-files")
+    path = f"{scratch.root}/csv"
+    pay = scratch.save(pay)   # joined once for the four writes
     orders = (["PERIODO", "SECTOR", "NOTA", "CANTIDAD"], ["NOTA", "CANTIDAD", "SECTOR", "PERIODO"], ["SECTOR", "CANTIDAD", "PERIODO"])
     for i, order in enumerate(orders):
-        SK.write_csv(pay.filter((F.col("year") % 3 == i) & (F.col("year") != 1995)).repartition("year").select("year", *order), f"{path}/o{i}", partition_by=["year"])
-    SK.write_csv(pay.filter("year = 1995").repartition("year").select("year", "PERIODO", "SECTOR"), f"{path}/o3", partition_by=["year"])
+        SK.write_csv(pay.filter((F.col("year") % 3 == i) & (F.col("year") != 1995)).select("year", *order), f"{path}/o{i}", partition_by=["year"])
+    SK.write_csv(pay.filter("year = 1995").select("year", "PERIODO", "SECTOR"), f"{path}/o3", partition_by=["year"])
     rows, refused = MF.read_by_name(spark, f"{path}/o*/year=*/*.csv", ["PERIODO", "SECTOR", "CANTIDAD"], "PERIODO", r"year=(\d+)/")
     n = rows.groupBy("year", "SECTOR").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("CANTIDAD").cast("bigint")).alias("cantidad"))
-    return n.withColumn("year", F.col("year").cast("string")).unionByName(refused.groupBy(F.col("reason").alias("year")).agg(
+    years = refused.select("reason", F.regexp_extract("path", r"year=(\d+)/", 1).alias("y")).distinct()
+    return n.withColumn("year", F.col("year").cast("string")).unionByName(years.groupBy(F.col("reason").alias("year")).agg(
         F.lit(None).cast("string").alias("SECTOR"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("cantidad")))

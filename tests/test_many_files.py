@@ -28,3 +28,13 @@ def test_orders_reasons_and_one_scan(spark, tmp_path):
                    "P_2102.csv": "columns missing: CANTIDAD", "P_2103.csv": "more than 12 columns"}
     plan = rows._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Scan csv") == 1
+
+
+def test_only_needed_places_are_parsed(spark, tmp_path):
+    (tmp_path / "P_1.csv").write_text("X,PERIODO,CANTIDAD\nPERIODO of,a,1\n\n  \nb,c,2,d,e,f\n")
+    (tmp_path / "P_2.csv").write_text('CANTIDAD,PERIODO\n5,"p, q"\nz,y,x,w, periodo \n')   # a second header further right
+    rows, refused = MF.read_by_name(spark, f"{tmp_path}/P_*", ["PERIODO", "CANTIDAD"], "PERIODO")
+    assert sorted((r.year, r.PERIODO, r.CANTIDAD) for r in rows.collect()) == [(1, "a", "1"), (1, "c", "2"), (2, "p, q", "5")]
+    assert refused.count() == 0
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "c4:string" in plan and "c5:string" not in plan
