@@ -110,17 +110,23 @@ def salary_text(x: ColumnOrName, strict: bool = False) -> Column:
     return F.coalesce(labelled, span)
 
 
-def parse_salary(x: ColumnOrName) -> Column:
-    """C4: salary text -> struct(min, max, avg). Strips 'S/', 'PEN' and
-    thousands commas; a range gives (a, b, (a+b)/2), a single amount gives
-    (v, v, v), anything else NULLs."""
+def bare_salary(x: ColumnOrName) -> Column:
+    """C4: salary text without 'S/', 'PEN' and thousands commas."""
     clean = _c(x)
     for token in ("S/", "PEN", ","):            # literal replaces, in this order
         clean = F.replace(clean, F.lit(token), F.lit(""))
-    clean = F.trim(clean)
-    lo = F.nullif(F.regexp_extract(clean, RANGE_NUMBERS, 1), F.lit("")).cast("double")
-    hi = F.nullif(F.regexp_extract(clean, RANGE_NUMBERS, 2), F.lit("")).cast("double")
-    one = F.nullif(F.regexp_extract(clean, ONE_NUMBER, 1), F.lit("")).cast("double")
+    return F.trim(clean)
+
+
+def salary_numbers(clean: Column) -> Column:
+    """C4: the first range a - b and the first amount of a ``bare_salary``."""
+    number = lambda pattern, i: F.nullif(F.regexp_extract(clean, pattern, i), F.lit("")).cast("double")
+    return F.struct(number(RANGE_NUMBERS, 1).alias("lo"), number(RANGE_NUMBERS, 2).alias("hi"), number(ONE_NUMBER, 1).alias("one"))
+
+
+def salary_range(n: Column) -> Column:
+    """C4: struct(min, max, avg) of ``salary_numbers``."""
+    lo, hi, one = n["lo"], n["hi"], n["one"]
     has_range = lo.isNotNull() & hi.isNotNull()
     mn = F.when(has_range, lo).otherwise(one)
     mx = F.when(has_range, hi).otherwise(one)
@@ -128,6 +134,13 @@ def parse_salary(x: ColumnOrName) -> Column:
     return F.struct(mn.alias("min"), mx.alias("max"), avg.alias("avg"))
 
 
+def parse_salary(x: ColumnOrName) -> Column:
+    """C4: salary text -> struct(min, max, avg). Strips 'S/', 'PEN' and
+    thousands commas; a range gives (a, b, (a+b)/2), a single amount gives
+    (v, v, v), anything else NULLs."""
+    return salary_range(salary_numbers(bare_salary(x)))
+
+
 # --------------------------------------------------------------------- C5/C6
 # Legal-suffix replacements of company slugs, applied in order.
 SLUG_SUFFIXES = [

@@ -1,4 +1,4 @@
-"""Tag-stack parser of page markup, as Column expressions.
+"""Tag-stack parser of page markup, as Column functions.
 
 ``tokens`` cuts a page in one pass into tags, whole scripts and styles,
 comments and text runs. ``elements`` folds the tags over a stack of open
@@ -8,31 +8,37 @@ element and is ignored without one; elements without content and ``<x/>`` close
 at once; the page's end closes the rest.
 
 Each element knows its content's tokens and, as elements are numbered in
-document order, its descendants are one slice of the list. The fold runs in
-blocks of ``BLOCK`` tags, so that the growing list isn't copied at each step:
-the work is linear in the page.
+document order, its descendants are one slice of the list. The stack is a small
+Python fold over a page's tokens, in Arrow batches: the work is linear in the page.
 
 A null page has null tokens and elements; an empty page has none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Elements that have no content.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 
-BLOCK = 512
 _QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
 _TAG = rf"""</?[a-z][^>"']*+(?:{_QUOTED}[^>"']*+){{0,500}}+>|</?[a-z][^>]*+>"""
 _RAW = r"<(?:script|style)\b[^>]*+>.*?(?:</(?:script|style)\s*+>|\z)"
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|{_RAW}|{_TAG}|[^<]++|<"
 
-_STACK = "array<struct<name:string,ord:int,at:int>>"
 _CLOSED = "array<struct<ord:int,name:string,at:int,until:int,last:int>>"
+_FIELDS = ["ord", "name", "at", "until", "last"]
+_TYPES = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)", re.ASCII)
+_NO_TAG = ("", "script", "style")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -45,67 +51,69 @@ def tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
 
 
-def _marks(toks: Column, wanted: list[str]) -> Column:
-    """The tags among the tokens: at, name, kind ('open', 'close', 'both'), is it wanted."""
-    def mark(t: Column, i: Column) -> Column:
-        def of(name: Column) -> Column:
-            kind = (F.when(name.isin("", "script", "style") | ~t.endswith(">"), "")
-                    .when(t.startswith("</"), "close").when(name.isin(*VOID) | t.endswith("/>"), "both").otherwise("open"))
-            return F.struct(i.alias("at"), name.alias("name"), kind.alias("kind"), name.isin(*wanted).alias("wanted"))
-
-        return F.when(t.startswith("<"), let(F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1)), of))
-
-    return F.filter(F.transform(toks, mark), lambda m: (m["kind"] != "") & ~((m["kind"] == "both") & ~m["wanted"]))
-
-
-def _state(stack: Column, n: Column, out: Column) -> Column:
-    return F.struct(stack.alias("stack"), n.alias("n"), out.alias("out"))
-
-
-def _closed(opened: Column, until: Column, n: Column) -> Column:
-    """The wanted elements of a part of the stack, ended at token ``until``."""
-    return F.transform(F.filter(opened, lambda e: e["ord"].isNotNull()), lambda e: F.struct(
-        e["ord"].alias("ord"), e["name"].alias("name"), e["at"].alias("at"), until.alias("until"), n.alias("last")))
-
-
-def _step(s: Column, m: Column) -> Column:
-    none = F.lit(None).cast("int")
-    pushed = _state(F.concat(s["stack"], F.array(F.struct(
-        m["name"].alias("name"), F.when(m["wanted"], s["n"]).otherwise(none).alias("ord"), m["at"].alias("at")))),
-        s["n"] + m["wanted"].cast("int"), s["out"])
-    at_once = _state(s["stack"], s["n"] + 1, F.concat(s["out"], F.array(F.struct(
-        s["n"].alias("ord"), m["name"].alias("name"), m["at"].alias("at"), m["at"].alias("until"), (s["n"] + 1).alias("last")))))
-    from_top = F.array_position(F.reverse(F.transform(s["stack"], lambda e: e["name"])), m["name"]).cast("int")
-
-    def popped(k: Column) -> Column:
-        keep = F.size(s["stack"]) - k
-        return F.when(k == 0, s).otherwise(_state(
-            F.slice(s["stack"], F.lit(1), keep), s["n"],
-            F.concat(s["out"], _closed(F.slice(s["stack"], keep + 1, k), m["at"], s["n"]))))
-
-    return F.when(m["kind"] == "open", pushed).when(m["kind"] == "both", at_once).otherwise(let(from_top, popped))
+def _mark(tag: str, wanted: frozenset[str]) -> tuple[str, str, bool]:
+    """kind ('open', 'close', 'both', '' for none), name, is it wanted."""
+    m = _NAME.match(tag)
+    name = m[1].lower() if m else ""
+    if name in _NO_TAG:
+        return "", name, False
+    kind = "close" if tag.startswith("</") else "both" if name in VOID or tag.endswith("/>") else "open"
+    return kind, name, name in wanted
+
+
+def _elements(marks: Iterable[tuple[int, tuple[str, str, bool]]], end: int) -> list[list]:
+    """name, at, until, last of the wanted elements of one page, in document order."""
+    out: list[list] = []
+    stack: list[tuple[str, list | None]] = []
+    depth: Counter[str] = Counter()
+    for at, (kind, name, wanted) in marks:
+        if kind == "open":
+            e = [name, at, end, None] if wanted else None
+            if wanted:
+                out.append(e)
+            stack.append((name, e))
+            depth[name] += 1
+        elif kind == "close":
+            while depth[name]:
+                opened, e = stack.pop()
+                depth[opened] -= 1
+                if e:
+                    e[2:] = at, len(out)
+                if opened == name:
+                    break
+        elif kind and wanted:
+            out.append([name, at, at, len(out) + 1])
+    for _, e in stack:
+        if e:
+            e[3] = len(out)
+    return out
 
 
 def elements(toks: Column, wanted: list[str]) -> Column:
     """The wanted elements in document order: ord, name, at (token of the start
     tag), until (token of the end), last (number after the last descendant)."""
-    def fold(marks: Column) -> Column:
-        empty = _state(F.array().cast(_STACK), F.lit(0), F.array().cast(_CLOSED))
-        start = F.struct(empty.alias("s"), F.array().cast(f"array<{_CLOSED}>").alias("blocks"))
-
-        def block(acc: Column, k: Column) -> Column:
-            one = F.aggregate(F.slice(marks, k * BLOCK + 1, F.lit(BLOCK)), _state(
-                acc["s"]["stack"], acc["s"]["n"], F.array().cast(_CLOSED)), _step)
-            return let(one, lambda s: F.struct(s.alias("s"), F.concat(acc["blocks"], F.array(s["out"])).alias("blocks")))
-
-        def end(acc: Column) -> Column:
-            rest = _closed(acc["s"]["stack"], F.size(toks), acc["s"]["n"])
-            return F.sort_array(F.concat(F.flatten(acc["blocks"]), rest))
-
-        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(marks) / BLOCK).cast("int") - 1, F.lit(0)))
-        return F.aggregate(blocks, start, block, end)
-
-    return F.when(toks.isNotNull(), let(_marks(toks, wanted), fold))
+    names = frozenset(wanted)
+
+    def fold(pages: pa.Array) -> pa.Array:
+        bounds = pages.offsets.to_numpy()
+        values = pages.values
+        tag = pc.and_(pc.starts_with(values, "<"), pc.ends_with(values, ">"))
+        at = np.flatnonzero(tag.to_numpy(zero_copy_only=False))
+        coded = values.take(pa.array(at)).dictionary_encode()
+        kinds = [_mark(t, names) for t in coded.dictionary.to_pylist()]
+        cuts, at, codes = np.searchsorted(at, bounds).tolist(), at.tolist(), coded.indices.to_pylist()
+        bounds, present = bounds.tolist(), pages.is_valid().to_pylist()
+        ends, found = [], []
+        for i, there in enumerate(present):
+            ends.append(len(found) if there else None)
+            if there:
+                marks = ((k - bounds[i], kinds[c]) for k, c in zip(at[cuts[i]:cuts[i + 1]], codes[cuts[i]:cuts[i + 1]]))
+                found += [(n, *e) for n, e in enumerate(_elements(marks, bounds[i + 1] - bounds[i]))]
+        columns = zip(*found) if found else [()] * len(_FIELDS)
+        fields = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_FIELDS)
+        return pa.ListArray.from_arrays(pa.array([*ends, len(found)], pa.int32()), fields)
+
+    return F.arrow_udf(fold, _CLOSED)(toks)
 
 
 def named(elems: Column, *names: str) -> Column:

@@ -10,6 +10,9 @@ The ``html`` column never travels through a shuffle.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +76,19 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(m), M.let(value, unescape_html))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url (if there), toks, elems: each page cut into tokens and
-    folded into elements once; what follows reads these."""
+def _cut(pages: DataFrame) -> DataFrame:
+    """page_id, url (if there), toks: each page cut into tokens once."""
     kept = [c for c in ("page_id", "url") if c in pages.columns]
     # never false, but not deterministic: a filter on what is extracted isn't
     # moved below, where it would repeat the extraction
     once = F.monotonically_increasing_id() >= 0
-    cut = pages.select(*kept, F.when(once, M.tokens(F.col("html"))).alias("toks"))
-    return cut.select(*kept, "toks", M.elements(F.col("toks"), ELEMENTS).alias("elems"))
+    return pages.select(*kept, F.when(once, M.tokens(F.col("html"))).alias("toks"))
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url (if there), toks, elems: each page cut into tokens and
+    folded into elements once; what follows reads these."""
+    return _cut(pages).withColumn("elems", M.elements(F.col("toks"), ELEMENTS))
 
 
 def _scripts(toks: Column) -> Column:
@@ -100,9 +107,9 @@ def _parsed_json(block: Column) -> Column:
 
 def _as_list(v: Column, path: str = "$") -> Column:
     """The values at a path: a list's items, else the one value, else none."""
-    one = F.try_variant_get(v, path, "variant")
-    return F.coalesce(F.try_variant_get(v, path, "array<variant>"),
-                      F.when(one.isNotNull() & ~F.is_variant_null(one), F.array(one)), F.array().cast("array<variant>"))
+    none = F.array().cast("array<variant>")
+    return M.let(F.try_variant_get(v, path, "variant"), lambda one: F.when(one.isNotNull(), F.coalesce(
+        F.try_variant_get(one, "$", "array<variant>"), F.when(~F.is_variant_null(one), F.array(one)), none)).otherwise(none))
 
 
 def _string(v: Column, path: str) -> Column:
@@ -133,24 +140,31 @@ def jsonld_items(toks: Column, depth: int = 5) -> Column:
     return M.let(outer, lambda items: with_parts(items, depth))
 
 
-def _posting(title: Column, salary: Column, university: Column | None = None,
-             begin: Column | None = None, end: Column | None = None) -> Column:
+def _entry(title: Column, text: Column, university: Column | None = None,
+           begin: Column | None = None, end: Column | None = None) -> Column:
+    """A posting as found on the page, its salary not yet parsed."""
     null = F.lit(None).cast("string")
-    sal = X.parse_salary(salary)
-    text = lambda c: null if c is None else F.nullif(c, F.lit(""))
-    return F.struct(
-        title.alias("puesto"), sal["min"].alias("salario_minimo"), sal["max"].alias("salario_maximo"),
-        sal["avg"].alias("salario_promedio"), (null if university is None else university).alias("universidad_principal"),
-        text(begin).alias("fecha_inicio"), text(end).alias("fecha_fin"))
+    return F.struct(title.alias("title"), text.alias("text"), *[
+        (null if c is None else c).alias(n) for n, c in (("university", university), ("begin", begin), ("end", end))])
+
+
+def _with_salary(rows: DataFrame) -> DataFrame:
+    """Rows of ``priority`` and entry ``e`` with the salary as columns (C4); a
+    JSON-LD entry's stands in its description (C3). ``X.parse_salary`` step by
+    step, so that each pattern is looked for once."""
+    d = rows.withColumn("bare", X.bare_salary(F.when(F.col("priority") == 1, X.salary_text(F.col("e.text"))).otherwise(F.col("e.text"))))
+    n = X.salary_numbers(F.col("bare"))
+    d = d.withColumns({c: n[c] for c in ("lo", "hi", "one")})
+    sal = X.salary_range(F.struct("lo", "hi", "one"))
+    return d.withColumns({f"salario_{c}": sal[f] for c, f in (("minimo", "min"), ("maximo", "max"), ("promedio", "avg"))})
 
 
 def jsonld_postings(items: Column) -> Column:
-    """The JobPosting items with a title, salary parsed from the
-    description (C3, C4); the university is looked for at any depth."""
+    """The entries of the JobPosting items with a title; the university is looked for at any depth."""
     jobs = F.filter(items, lambda x: is_type(x, "JobPosting") & (_string(x, "$.title") != ""))
-    return F.transform(jobs, lambda x: _posting(
-        _string(x, "$.title"), X.salary_text(_string(x, "$.description")),
-        F.nullif(F.regexp_extract(F.to_json(x), UNIVERSITY, 1), F.lit("")), _string(x, "$.datePosted"), _string(x, "$.validThrough")))
+    return F.transform(jobs, lambda x: _entry(
+        _string(x, "$.title"), _string(x, "$.description"), F.regexp_extract(F.to_json(x), UNIVERSITY, 1),
+        _string(x, "$.datePosted"), _string(x, "$.validThrough")))
 
 
 def payload_postings(toks: Column) -> Column:
@@ -159,7 +173,7 @@ def payload_postings(toks: Column) -> Column:
     pairs = F.flatten(F.transform(scripts, lambda s: F.arrays_zip(
         F.regexp_extract_all(s, F.lit(PAYLOAD_PAIR), 1).alias("title"),
         F.regexp_extract_all(s, F.lit(PAYLOAD_PAIR), 2).alias("salary_range"))))
-    return F.transform(pairs, lambda p: _posting(F.coalesce(p["title"], F.lit("Desconocido")), p["salary_range"]))
+    return F.transform(pairs, lambda p: _entry(F.coalesce(p["title"], F.lit("Desconocido")), p["salary_range"]))
 
 
 def table_postings(toks: Column, elems: Column) -> Column:
@@ -171,7 +185,7 @@ def table_postings(toks: Column, elems: Column) -> Column:
     pairs = F.transform(rows, lambda r: M.let(M.inside(elems, r, "td", "th"), lambda c: F.struct(
         text(F.get(c, F.lit(0))).alias("puesto"), text(F.get(c, F.lit(1))).alias("sal"))))
     kept = F.filter(pairs, lambda p: (p["puesto"] != "") & p["sal"].contains("S/"))
-    return F.transform(kept, lambda p: _posting(p["puesto"], p["sal"]))
+    return F.transform(kept, lambda p: _entry(p["puesto"], p["sal"]))
 
 
 def _last_name(items: Column) -> Column:
@@ -190,9 +204,14 @@ def page_slug(url: Column | str) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.nullif(last, F.lit("")))
 
 
+def _script_toks(html: Column) -> Column:
+    """The tokens of a page with a script; none for other pages."""
+    return F.when(html.rlike(r"<[sS][cC][rR][iI][pP][tT]"), M.tokens(html)).when(html.isNotNull(), F.array().cast("array<string>"))
+
+
 def jsonld_types(pages: DataFrame) -> DataFrame:
     """Type, n: how many JSON-LD objects of the pages are of each type."""
-    items = pages.select(jsonld_items(M.tokens(F.col("html"))).alias("items"))
+    items = pages.select(jsonld_items(_script_toks(F.col("html"))).alias("items"))
     types = F.flatten(F.transform("items", lambda v: F.coalesce(
         F.try_variant_get(v, "$['@type']", "array<string>"), F.array(_string(v, "$['@type']")))))
     # an outer explode infers no filter, which would read the items twice
@@ -203,7 +222,7 @@ def company_names(pages: DataFrame) -> DataFrame:
     """Name per page: the last Organization name, else the first
     hiringOrganization name, else the '<title>' pattern "Salarios en X -", else
     the slug made readable (C5)."""
-    d = pages.select("page_id", "url", jsonld_items(M.tokens(F.col("html"))).alias("items"), page_slug("url").alias("slug"),
+    d = pages.select("page_id", "url", jsonld_items(_script_toks(F.col("html"))).alias("items"), page_slug("url").alias("slug"),
                      F.trim(F.regexp_extract(F.regexp_extract("html", TITLE, 1), TITLE_NAME, 1)).alias("from_title"))
     hiring = F.get(F.filter(F.transform("items", lambda x: _string(x, "$.hiringOrganization.name")), lambda n: n.isNotNull()), F.lit(0))
     name = F.coalesce(F.nullif(_last_name(F.col("items")), F.lit("")), F.nullif(hiring, F.lit("")),
@@ -213,15 +232,18 @@ def company_names(pages: DataFrame) -> DataFrame:
 
 def cascade(pages: DataFrame) -> DataFrame:
     """S11 per page, before rows are written out: page_id, url, empresa,
-    priority (1 JSON-LD, 2 payload, 3 tables, null none) and that part's postings."""
-    d = parsed(pages).select("page_id", "url", jsonld_items(F.col("toks")).alias("items"),
-                             payload_postings(F.col("toks")).alias("payload"), table_postings(F.col("toks"), F.col("elems")).alias("table"))
-    d = d.select("page_id", "url", _last_name(F.col("items")).alias("org"), F.array(
-        jsonld_postings(F.col("items")), F.col("payload"), F.col("table")).alias("parts"))
-    first = F.when(F.size(F.col("parts")[0]) > 0, 1).when(F.size(F.col("parts")[1]) > 0, 2).when(F.size(F.col("parts")[2]) > 0, 3)
+    priority (1 JSON-LD, 2 payload, 3 tables, null none) and that part's entries.
+    A later part is looked for only where the earlier ones have no posting."""
+    d = _cut(pages).withColumn("items", jsonld_items(F.col("toks")))
+    d = d.withColumns({"org": _last_name(F.col("items")), "ld": jsonld_postings(F.col("items"))})
+    no = lambda *parts: functools.reduce(operator.and_, [F.coalesce(F.size(p), F.lit(0)) == 0 for p in parts])
+    d = d.withColumn("payload", F.when(no("ld"), payload_postings(F.col("toks"))))
+    d = d.withColumn("toks", F.when(no("ld", "payload"), F.col("toks")))
+    d = d.withColumn("elems", M.elements(F.col("toks"), ELEMENTS)).withColumn("table", table_postings(F.col("toks"), F.col("elems")))
+    first = F.when(~no("ld"), 1).when(~no("payload"), 2).when(~no("table"), 3)
     name = F.coalesce(F.nullif("org", F.lit("")), X.slug_to_name(page_slug("url")))
-    d = d.select("page_id", "url", name.alias("empresa"), "parts", first.alias("priority"))
-    return d.select("page_id", "url", "empresa", "priority", F.get("parts", F.col("priority") - 1).alias("postings"))
+    d = d.select("page_id", "url", name.alias("empresa"), first.alias("priority"), "ld", "payload", "table")
+    return d.select("page_id", "url", "empresa", "priority", F.get(F.array("ld", "payload", "table"), F.col("priority") - 1).alias("entries"))
 
 
 def extract_postings(pages: DataFrame, extracted: str | None = None) -> DataFrame:
@@ -229,12 +251,13 @@ def extract_postings(pages: DataFrame, extracted: str | None = None) -> DataFram
     else table rows (``priority`` 1 to 3, ``pos`` the row's place in its part).
     The company is the page's Organization, else its readable slug.
     ``extracted`` is the extraction stamp (a parameter, never the clock)."""
-    # an outer explode infers no filter on the size of the postings
-    d = cascade(pages).select("page_id", "priority", "url", "empresa", F.posexplode_outer("postings").alias("pos", "p"))
-    d = d.filter("p is not null")
-    return d.select("page_id", "priority", "pos", "empresa", "p.puesto", "p.salario_minimo", "p.salario_maximo",
-                    "p.salario_promedio", F.lit("PEN").alias("moneda"), "p.universidad_principal",
-                    F.col("url").alias("url_empresa"), "p.fecha_inicio", "p.fecha_fin",
+    # an outer explode infers no filter on the size of the entries
+    d = cascade(pages).select("page_id", "priority", "url", "empresa", F.posexplode_outer("entries").alias("pos", "e"))
+    d = _with_salary(d.filter("e is not null"))
+    text = lambda c: F.nullif(F.col(f"e.{c}"), F.lit(""))
+    return d.select("page_id", "priority", "pos", "empresa", F.col("e.title").alias("puesto"), "salario_minimo", "salario_maximo",
+                    "salario_promedio", F.lit("PEN").alias("moneda"), text("university").alias("universidad_principal"),
+                    F.col("url").alias("url_empresa"), text("begin").alias("fecha_inicio"), text("end").alias("fecha_fin"),
                     F.lit(extracted).cast("string").alias("fecha_extraccion"))
 
 
@@ -322,11 +345,8 @@ def coverage(rows: DataFrame, pages: DataFrame) -> DataFrame:
 def page_coverage(pages: DataFrame) -> DataFrame:
     """A38 of the pages' own extraction, from one pass: ``coverage`` of
     ``extract_postings(pages)`` without writing its rows out."""
-    per_page = cascade(pages).select(
-        F.when(F.col("priority").isNotNull(), F.col("empresa")).alias("empresa"), F.coalesce(F.size("postings"), F.lit(0)).alias("n"),
-        F.coalesce(F.size(F.filter("postings", lambda p: p["salario_promedio"].isNotNull())), F.lit(0)).alias("s"),
-        F.col("priority").isNotNull().alias("ok"))
-    return per_page.agg(
-        F.count_if("ok").alias("pages_ok"), F.count_if(~F.col("ok")).alias("pages_failed"),
-        F.count_distinct("empresa").alias("n_empresas"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum("s"), F.lit(0)).alias("n_with_salary"))
+    d = cascade(pages).select("priority", "empresa", F.posexplode_outer("entries").alias("pos", "e"))
+    # a page without entries is one row without a position
+    return _with_salary(d).withColumn("empresa", F.when(F.col("priority").isNotNull(), F.col("empresa"))).agg(
+        F.count_if(F.col("pos") == 0).alias("pages_ok"), F.count_if(F.col("pos").isNull()).alias("pages_failed"),
+        F.count_distinct("empresa").alias("n_empresas"), F.count("pos").alias("n_rows"), F.count("salario_promedio").alias("n_with_salary"))

@@ -221,3 +221,22 @@ def test_datalist_options(spark):
     opts = "".join(f'<option value="{v}">' for v in ["Escoge una empresa", "default", ""] + [f"slug-{i}" for i in range(60)])
     got = {r.slug: r.nombre for r in PG.extract_links(page(spark, f"<datalist id=x>{opts}</datalist>")).collect()}
     assert len(got) == 61 and got["slug-3"] == "slug-3" and "default" in got
+
+
+def test_salaries_parsed_once_and_no_fold_in_lambdas(spark):
+    from remuneria.functions import text as X
+    for build in (PG.extract_postings, PG.page_coverage):
+        plan = build(pages(spark))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(X.RANGE_NUMBERS) <= 2          # one for each number
+        assert "lambdafunction(named_struct(stack" not in plan and "ArrowEvalPython" in plan
+
+
+def test_pages_without_a_script_are_not_cut(spark):
+    htmls = [None, "", "<p>x</p>", "<SCRIPT type='application/ld+json'>{\"@type\": \"A\"}</SCRIPT>", "<!-- <script> --><p>"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "page_id long, html string")
+    got = {r.page_id: r for r in df.select("page_id", PG._script_toks(F.col("html")).alias("t"),
+                                           F.size(PG.jsonld_items(PG._script_toks(F.col("html")))).alias("n"),
+                                           F.size(PG.jsonld_items(M.tokens(F.col("html")))).alias("m")).collect()}
+    assert got[0].t is None and got[1].t == [] == got[2].t
+    assert [r.n for r in got.values()] == [r.m for r in got.values()]
+    assert PG.jsonld_types(df).collect()[0].asDict() == {"type": "A", "n": 1}
