@@ -132,7 +132,7 @@ LINKS = 1000
 
 
 def _link_pages(spark, sf):
-    """One page per nation and ``LINKS`` keys: a select list (some options without a value) of
+    """A nation's listing, a page for each ``LINKS`` keys: a select list (some options without a value) of
     customers, single-quoted anchors of suppliers."""
     def keyed(name, p):
         t = B.table(spark, sf, name)
@@ -143,14 +143,14 @@ def _link_pages(spark, sf):
     d = rows.groupBy("nation", "range").agg(*[F.sort_array(F.collect_list(F.when(F.col("p") == p, F.col("x")))).alias(p) for p in "sc"])
     anchors = F.array_join(F.transform("s", lambda x: F.concat(F.lit("<a class=x href='/empresa/s"), x["key"].cast("string"), F.lit("'><b>"), x["name"], F.lit("</b></a>"))), "")
     options = F.array_join(F.transform("c", lambda x: F.concat(F.lit("<option>x</option><option value='/empresa/c"), x["key"].cast("string"), F.lit("'>"), x["name"], F.lit(" &amp; Co</option>"))), "")
-    return d.select((F.col("nation") * _PAGE + F.col("range")).alias("page_id"),
+    return d.select((F.col("nation") * _PAGE + F.col("range")).alias("page_id"), "nation",
                     F.concat(F.lit("<select>"), options, F.lit("</select>"), anchors).alias("html"))
 
 
-@query("built_pages_links", "S14 U4 C7", f"""
-WITH c AS (SELECT c_custkey, c_name, count(*) OVER (PARTITION BY c_nationkey, c_custkey // {LINKS}) AS n FROM customer),
-s AS (SELECT s_suppkey, s_name, count(*) OVER (PARTITION BY s_nationkey, s_suppkey // {LINKS}) AS n FROM supplier)
+@query("built_pages_links", "S14 U4 C7", """
+WITH c AS (SELECT c_custkey, c_name, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+s AS (SELECT s_suppkey, s_name, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
 SELECT 'c' || c_custkey AS slug, c_name || ' & Co' AS nombre FROM c WHERE 2 * n > 50 AND c_custkey > 9
 UNION ALL SELECT 's' || s_suppkey, s_name FROM s WHERE n > 3 AND s_suppkey > 9""")
 def built_pages_links(spark, sf):
-    return PG.extract_links(_link_pages(spark, sf), min_anchors=3)
+    return PG.extract_links(_link_pages(spark, sf), min_anchors=3, part_of="nation")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import rulesets as RS
 from ..functions import text as X
 from ..operators.rank import dedup_first
+from ..session import Scratch
 from . import markup as M
 
 # Page patterns.
@@ -76,19 +77,19 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(m), M.let(value, unescape_html))
 
 
-def _cut(pages: DataFrame) -> DataFrame:
-    """page_id, url (if there), toks: each page cut into tokens once."""
-    kept = [c for c in ("page_id", "url") if c in pages.columns]
+def _cut(pages: DataFrame, *more: str) -> DataFrame:
+    """page_id, url (if there), ``more``, toks: each page cut into tokens once."""
+    kept = [c for c in ("page_id", "url", *more) if c in pages.columns]
     # never false, but not deterministic: a filter on what is extracted isn't
     # moved below, where it would repeat the extraction
     once = F.monotonically_increasing_id() >= 0
     return pages.select(*kept, F.when(once, M.tokens(F.col("html"))).alias("toks"))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
+def parsed(pages: DataFrame, *more: str) -> DataFrame:
     """page_id, url (if there), toks, elems: each page cut into tokens and
     folded into elements once; what follows reads these."""
-    return _cut(pages).withColumn("elems", M.elements(F.col("toks"), ELEMENTS))
+    return _cut(pages, *more).withColumn("elems", M.elements(F.col("toks"), ELEMENTS))
 
 
 def _scripts(toks: Column) -> Column:
@@ -270,13 +271,15 @@ def sitemap_slugs(df: DataFrame, text: str, pattern: str = SITEMAP_LOC) -> DataF
 
 
 def extract_links(pages: DataFrame, anchor_prefix: str = "/empresa/", min_options: int = 50,
-                  min_anchors: int = 20, min_slug_len: int = 2) -> DataFrame:
+                  min_anchors: int = 20, min_slug_len: int = 2, part_of: str | None = None) -> DataFrame:
     """S14 + U4: company links from <select> options and <datalist> options
     (each only when the list has more than ``min_options`` entries) and from
     anchors under ``anchor_prefix`` (only when a page has more than
     ``min_anchors``); one row per slug, the first method/page/position wins,
-    slugs of ``min_slug_len`` chars or fewer dropped."""
-    d = parsed(pages)
+    slugs of ``min_slug_len`` chars or fewer dropped. A listing may run over
+    several pages: the entries of those with the same ``part_of`` (a column) are
+    counted together, each list with the lists at its place on the others."""
+    d = parsed(pages, part_of) if part_of else parsed(pages)
     toks, elems = F.col("toks"), F.col("elems")
     text = lambda e: M.let(M.content(toks, e), lambda x: F.trim(unescape_html(x)))
     attr = lambda e, name: F.coalesce(_attribute(M.start_tag(toks, e), name), F.lit(""))
@@ -294,20 +297,35 @@ def extract_links(pages: DataFrame, anchor_prefix: str = "/empresa/", min_option
 
         return M.let(F.trim(attr(o, "value")), made)
 
-    def options(container: str) -> Column:
+    def enough(entries: Column, least: int) -> Column:
+        return F.lit(True) if part_of else F.size(entries) > least
+
+    def listed(method: int, nth: Column, n: Column, links: Column) -> Column:
+        return F.struct(F.lit(method).alias("method"), nth.alias("nth"), n.alias("n"), links.alias("links"))
+
+    def options(container: str, method: int) -> Column:
         lists = F.transform(M.named(elems, container), lambda c: M.inside(elems, c, "option"))
         # options without a value count too
-        return F.flatten(F.transform(F.filter(lists, lambda o: F.size(o) > min_options), lambda os: F.transform(
-            os, lambda o: option(o, container == "select"))))
+        return F.transform(F.filter(lists, lambda os: enough(os, min_options)), lambda os, i: listed(
+            method, i, F.size(os), F.transform(os, lambda o: option(o, container == "select"))))
 
     anchors = F.filter(F.transform(M.named(elems, "a"), lambda a: F.struct(a.alias("e"), attr(a, "href").alias("href"))),
                        lambda a: a["href"].contains(anchor_prefix))
     prefix = "^.*?" + _re_escape(anchor_prefix)
-    linked = F.when(F.size(anchors) > min_anchors, F.transform(anchors, lambda a: link(
-        F.regexp_replace(F.regexp_replace(a["href"], prefix, ""), "^/+|/+$", ""), text(a["e"]), 2, a["e"]["at"])))
-    found = F.concat(options("select"), options("datalist"), F.coalesce(linked, F.array().cast(
-        "array<struct<slug:string,nombre:string,method:int,at:int>>")))
-    rows = d.select("page_id", F.explode_outer(found).alias("x")).filter("x is not null and x.slug <> '' and x.nombre <> ''")
+    linked = M.let(anchors, lambda found: F.when(enough(found, min_anchors), F.array(listed(2, F.lit(0), F.size(found), F.transform(found, lambda a: link(
+        F.regexp_replace(F.regexp_replace(a["href"], prefix, ""), "^/+|/+$", ""), text(a["e"]), 2, a["e"]["at"]))))))
+    found = F.concat(options("select", 0), options("datalist", 1), F.coalesce(linked, F.array().cast(
+        "array<struct<method:int,nth:int,n:int,links:array<struct<slug:string,nombre:string,method:int,at:int>>>>")))
+    if part_of:
+        lists = Scratch(pages.sparkSession, "link-lists").save(
+            d.select("page_id", F.col(part_of).alias("part_of"), F.explode_outer(found).alias("l")).filter("l is not null").select("page_id", "part_of", "l.*"))
+        whole = lists.groupBy("part_of", "method", "nth").agg(F.sum("n").alias("total")).filter(
+            F.col("total") > F.when(F.col("method") == 2, min_anchors).otherwise(min_options))
+        same = [lists[c].eqNullSafe(whole[c]) for c in ("part_of", "method", "nth")]
+        rows = lists.join(whole, same, "left_semi").select("page_id", F.explode_outer("links").alias("x"))
+    else:
+        rows = d.select("page_id", F.explode_outer(F.flatten(F.transform(found, lambda l: l["links"]))).alias("x"))
+    rows = rows.filter("x is not null and x.slug <> '' and x.nombre <> ''")
     rows = rows.select("x.slug", "x.nombre", F.struct("x.method", "page_id", "x.at").alias("prio"))
     return dedup_first(rows, "slug", ["prio"], min_key_len=min_slug_len).select("slug", "nombre")
 

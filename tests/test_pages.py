@@ -240,3 +240,13 @@ def test_pages_without_a_script_are_not_cut(spark):
     assert got[0].t is None and got[1].t == [] == got[2].t
     assert [r.n for r in got.values()] == [r.m for r in got.values()]
     assert PG.jsonld_types(df).collect()[0].asDict() == {"type": "A", "n": 1}
+
+
+def test_a_listing_over_several_pages_counts_as_one(spark):
+    page = lambda lo, hi: "<select>" + "".join(f"<option value='/empresa/s{i:03d}'>E {i}</option>" for i in range(lo, hi)) + "</select>" + "".join(
+        f"<a href='/empresa/a{i:03d}'>A {i}</a>" for i in range(lo, hi, 3))
+    df = spark.createDataFrame([(1, "x", page(0, 40)), (2, "x", page(40, 70)), (3, "y", page(100, 130)), (4, None, page(200, 230)), (5, None, page(230, 260))],
+                               "page_id long, site string, html string")
+    got = {r.slug for r in PG.extract_links(df, part_of="site").collect()}
+    assert got == {f"s{i:03d}" for i in [*range(70), *range(200, 260)]} | {f"a{i:03d}" for i in range(0, 40, 3)} | {f"a{i:03d}" for i in range(40, 70, 3)}
+    assert PG.extract_links(df).count() == 0    # no page is long enough alone
