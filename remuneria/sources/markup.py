@@ -17,7 +17,6 @@ A null page has null tokens and elements; an empty page has none.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -31,8 +30,9 @@ VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 _QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
 _TAG = rf"""</?[a-z][^>"']*+(?:{_QUOTED}[^>"']*+){{0,500}}+>|</?[a-z][^>]*+>"""
-_RAW = r"<(?:script|style)\b[^>]*+>.*?(?:</(?:script|style)\s*+>|\z)"
-TOKEN = rf"(?is)<!--.*?(?:-->|\z)|{_RAW}|{_TAG}|[^<]++|<"
+_RAW = r"<(?:script|style)\b[^>]*+>(?:[^<]++|<(?!/(?:script|style)\s*+>))*+(?:<[^>]*+>)?+"
+MARKUP = rf"<!--(?:[^-]++|-(?!->))*+(?:-->)?+|{_RAW}|{_TAG}|<"
+TOKEN = rf"(?is)[^<]++|{MARKUP}"
 
 _CLOSED = "array<struct<ord:int,name:string,at:int,until:int,last:int>>"
 _FIELDS = ["ord", "name", "at", "until", "last"]
@@ -65,20 +65,21 @@ def _elements(marks: Iterable[tuple[int, tuple[str, str, bool]]], end: int) -> l
     """name, at, until, last of the wanted elements of one page, in document order."""
     out: list[list] = []
     stack: list[tuple[str, list | None]] = []
-    depth: Counter[str] = Counter()
+    depth: dict[str, int] = {}
     for at, (kind, name, wanted) in marks:
         if kind == "open":
-            e = [name, at, end, None] if wanted else None
+            e = None
             if wanted:
-                out.append(e)
+                out.append(e := [name, at, end, None])
             stack.append((name, e))
-            depth[name] += 1
+            depth[name] = depth.get(name, 0) + 1
         elif kind == "close":
-            while depth[name]:
+            while depth.get(name):
                 opened, e = stack.pop()
                 depth[opened] -= 1
                 if e:
-                    e[2:] = at, len(out)
+                    e[2] = at
+                    e[3] = len(out)
                 if opened == name:
                     break
         elif kind and wanted:

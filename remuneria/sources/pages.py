@@ -3,16 +3,13 @@
 The study parses one fetched page at a time. Here the same extraction is a
 Spark job over a table of already-fetched pages ``(page_id, url, html)``: one
 pass cuts a page into tokens, a fold with a stack finds its elements
-(``markup``), JSON-LD blocks are VARIANT values routed by path, and the part of
-the cascade that wins is chosen in the same projection before one ``explode``.
-The ``html`` column never travels through a shuffle.
+(``markup``), JSON-LD blocks are VARIANT values routed by path. The cascade
+reads whole pages in Arrow batches (``scan``) and chooses the part that wins
+before one ``explode``. The ``html`` column never travels through a shuffle.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,32 +18,21 @@ from ..functions import text as X
 from ..operators.rank import dedup_first
 from ..session import Scratch
 from . import markup as M
+from .scan import ENTITIES, ENTITY, GRAPH_DEPTH, GRAPH_KEYS, LD_JSON, ORGANIZATION_KEYS, UNIVERSITY, scan
 
-# Page patterns.
-LD_JSON = "application/ld+json"
-PAYLOAD_MARK = "self.__next_f.push"
-PAYLOAD_PAIR = r'"title"\s*:\s*"([^"]+)"[^}]*?"salary_range"\s*:\s*"([^"]+)"'
+# Page patterns (what the cascade reads stands in ``scan``).
 TAG = r"<[^>]+>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 TITLE_NAME = r"Salarios en (.+?)(?:\s*[-|])"
 COMPANY_PATH = r"/empresa/([^/?#\"']+)"
 SITEMAP_LOC = r"<loc>https?://(?:www\.)?[^/<]+/empresa/([^<]+)</loc>"
 
-#: Paths under which a JSON-LD object holds further objects.
-GRAPH_PATHS = ["$['@graph']", "$.mainEntity", "$.itemListElement", "$.item"]
-#: Paths of an object's organisation, in order of trust.
-ORGANIZATION_PATHS = ["$.publisher", "$.provider", "$.sourceOrganization", "$.about"]
-UNIVERSITY = r'"universidad"\s*:\s*\{[^}]*"name"\s*:\s*"([^"]+)"'
+#: The same as paths.
+GRAPH_PATHS = [f"$['{k}']" for k in GRAPH_KEYS]
+ORGANIZATION_PATHS = [f"$['{k}']" for k in ORGANIZATION_KEYS]
 #: The elements that the extraction reads.
 ELEMENTS = ["table", "tr", "td", "th", "select", "datalist", "option", "a"]
 
-# The named entities of page text.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-            ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"),
-            ("&ntilde;", "ñ"), ("&Aacute;", "Á"), ("&Eacute;", "É"), ("&Iacute;", "Í"), ("&Oacute;", "Ó"),
-            ("&Uacute;", "Ú"), ("&Ntilde;", "Ñ"), ("&amp;", "&")]
-ENTITY = r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z]+);"
-
 
 def _code_point(n: Column) -> Column:
     """The character of a code point, through its UTF-32 bytes."""
@@ -123,7 +109,7 @@ def is_type(item: Column, name: str) -> Column:
                       _string(item, "$['@type']") == name, F.lit(False))
 
 
-def jsonld_items(toks: Column, depth: int = 5) -> Column:
+def jsonld_items(toks: Column, depth: int = GRAPH_DEPTH) -> Column:
     """Every JSON-LD object of a page as VARIANT. A block is any JSON
     value: an object, a list, an object that holds further objects under
     ``GRAPH_PATHS``; these follow the outer ones, ``depth`` levels down. What
@@ -168,27 +154,6 @@ def jsonld_postings(items: Column) -> Column:
         _string(x, "$.datePosted"), _string(x, "$.validThrough")))
 
 
-def payload_postings(toks: Column) -> Column:
-    """(title, salary_range) pairs from the inline framework payload scripts."""
-    scripts = F.filter(_scripts(toks), lambda s: s.contains(PAYLOAD_MARK))
-    pairs = F.flatten(F.transform(scripts, lambda s: F.arrays_zip(
-        F.regexp_extract_all(s, F.lit(PAYLOAD_PAIR), 1).alias("title"),
-        F.regexp_extract_all(s, F.lit(PAYLOAD_PAIR), 2).alias("salary_range"))))
-    return F.transform(pairs, lambda p: _entry(F.coalesce(p["title"], F.lit("Desconocido")), p["salary_range"]))
-
-
-def table_postings(toks: Column, elems: Column) -> Column:
-    """Every table, nested ones too: its rows but the first, first two
-    cells, kept when the second holds the currency mark 'S/'. As in the study
-    the rows of a table inside a table are rows of both."""
-    rows = F.flatten(F.transform(M.named(elems, "table"), lambda t: F.filter(M.inside(elems, t, "tr"), lambda r, i: i > 0)))
-    text = lambda e: F.when(e.isNotNull(), M.let(M.content(toks, e), lambda x: F.trim(unescape_html(x))))
-    pairs = F.transform(rows, lambda r: M.let(M.inside(elems, r, "td", "th"), lambda c: F.struct(
-        text(F.get(c, F.lit(0))).alias("puesto"), text(F.get(c, F.lit(1))).alias("sal"))))
-    kept = F.filter(pairs, lambda p: (p["puesto"] != "") & p["sal"].contains("S/"))
-    return F.transform(kept, lambda p: _entry(p["puesto"], p["sal"]))
-
-
 def _last_name(items: Column) -> Column:
     """The name of the last Organization item, else of the last organisation
     that an item names under one of ``ORGANIZATION_PATHS``; null without one."""
@@ -228,18 +193,22 @@ def company_names(pages: DataFrame) -> DataFrame:
 
 def cascade(pages: DataFrame) -> DataFrame:
     """S11 per page, before rows are written out: page_id, url, empresa,
-    priority (1 JSON-LD, 2 payload, 3 tables, null none) and that part's entries.
-    A later part is looked for only where the earlier ones have no posting."""
-    d = _cut(pages).withColumn("items", jsonld_items(F.col("toks")))
-    d = d.withColumns({"org": _last_name(F.col("items")), "ld": jsonld_postings(F.col("items"))})
-    no = lambda *parts: functools.reduce(operator.and_, [F.coalesce(F.size(p), F.lit(0)) == 0 for p in parts])
-    d = d.withColumn("payload", F.when(no("ld"), payload_postings(F.col("toks"))))
-    d = d.withColumn("toks", F.when(no("ld", "payload"), F.col("toks")))
-    d = d.withColumn("elems", M.elements(F.col("toks"), ELEMENTS)).withColumn("table", table_postings(F.col("toks"), F.col("elems")))
-    first = F.when(~no("ld"), 1).when(~no("payload"), 2).when(~no("table"), 3)
-    name = F.coalesce(F.nullif("org", F.lit("")), X.slug_to_name(page_slug("url")))
-    d = d.select("page_id", "url", name.alias("empresa"), first.alias("priority"), "ld", "payload", "table")
-    return d.select("page_id", "url", "empresa", "priority", F.get(F.array("ld", "payload", "table"), F.col("priority") - 1).alias("entries"))
+    priority (1 JSON-LD, 2 payload, 3 tables, null none) and that part's entries:
+    S9 the (title, salary_range) pairs of the inline framework payload; S10 every
+    table, nested ones too: its rows but the first, first two cells, kept when the
+    second holds the currency mark 'S/'. As in the study the rows of a table inside
+    a table are rows of both. A later part is looked for only where the earlier
+    ones have no posting; JSON-LD that ``scan`` leaves is read here."""
+    # never false, but not deterministic: a filter on what is extracted isn't moved below, where it would repeat the extraction
+    once = F.monotonically_increasing_id() >= 0
+    d = pages.select("page_id", "url", F.when(once, F.col("html")).alias("html")).withColumn("x", scan(F.col("html")))
+    d = d.withColumn("items", F.when(F.col("x.odd"), jsonld_items(M.tokens(F.col("html")))))
+    d = d.select("page_id", "url", "x", _last_name(F.col("items")).alias("org"), jsonld_postings(F.col("items")).alias("ld"))
+    left = F.coalesce(F.size("ld"), F.lit(0)) > 0
+    org = F.when(F.col("x.odd"), F.col("org")).otherwise(F.col("x.org"))
+    name = F.coalesce(F.nullif(org, F.lit("")), X.slug_to_name(page_slug("url")))
+    return d.select("page_id", "url", name.alias("empresa"), F.when(left, 1).otherwise(F.col("x.priority")).alias("priority"),
+                    F.when(left, F.col("ld")).otherwise(F.col("x.entries")).alias("entries"))
 
 
 def extract_postings(pages: DataFrame, extracted: str | None = None) -> DataFrame:

@@ -239,3 +239,43 @@ def test_a_listing_over_several_pages_counts_as_one(spark):
     got = {r.slug for r in PG.extract_links(df, part_of="site").collect()}
     assert got == {f"s{i:03d}" for i in [*range(70), *range(200, 260)]} | {f"a{i:03d}" for i in range(0, 40, 3)} | {f"a{i:03d}" for i in range(40, 70, 3)}
     assert PG.extract_links(df).count() == 0    # no page is long enough alone
+
+
+def test_scan_reads_ordinary_pages_whole(spark):
+    got = pages(spark).select("page_id", PG.scan(F.col("html")).alias("x")).orderBy("page_id").select("x.*").collect()
+    assert [(r.odd, r.org, r.priority, r.entries and len(r.entries)) for r in got] == [
+        (False, "Banco Alfa S.A.", 1, 2), (False, None, 2, 1), (False, None, 3, 2), (False, None, None, None)]
+    table = pages(spark).filter("page_id = 3").unionByName(page(spark, None)).unionByName(page(spark, ""))
+    assert [r.n for r in table.select(F.size(PG.scan(F.col("html"))["entries"]).alias("n")).collect()] == [2, None, None]
+
+
+def test_jsonld_that_scan_leaves_is_read_by_columns(spark):
+    job = '<script type="application/ld+json">{"@type": "JobPosting", "title": %s, "description": "S/ 9"}</script>' + TABLE_ONLY
+    titles = {"7.50": "7.5", '{"b": 1, "a": "x"}': '{"a":"x","b":1}', "[1]": "[1]", "12345678901234567890": "12345678901234567890",
+              '"x\\u0001"': "x\x01", "[" * 600 + "]" * 600: "[" * 600 + "]" * 600}
+    df = spark.createDataFrame([(i, "https://s/empresa/x", job % t) for i, t in enumerate(titles)], "page_id long, url string, html string")
+    assert all(r.odd for r in df.select(PG.scan(F.col("html"))["odd"].alias("odd")).collect())
+    assert [(r.priority, r.puesto) for r in PG.extract_postings(df).orderBy("page_id").collect()] == [(1, t) for t in titles.values()]
+    # neither an object with a key twice nor a half-read number hides the table
+    for bad in ('"a", "title": "b"', "NaN", "01", '"raw\ttab"', "'a'"):
+        assert {r.priority for r in PG.extract_postings(page(spark, job % bad)).collect()} == {3}
+
+
+def test_scan_equals_columns(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(['"A \\u00e1"', '"B &amp; C"', '"x\\"y"', '""', "null", "5", "true", '"JobPosting"'] * 8 + ["2.5", '["u"]', '"😀"'])
+    kind = lambda: rng.choice(['"JobPosting"', '["Thing", "JobPosting"]', '"Organization"', '["Organization", null]', "7", "null"])
+
+    def item(depth):
+        more = [f'"{rng.choice(["@graph", "mainEntity", "itemListElement", "item", "publisher", "about", "otro"])}": ' + (
+            item(depth + 1) if rng.random() < 0.5 else f"[{item(depth + 1)}, 7, null, {item(depth + 1)}]")] if depth < 7 and rng.random() < 0.6 else []
+        more += [f'"otros": {{"universidad": {{"z": 1.5, "name": {word()}}}}}'] if rng.random() < 0.3 else []
+        return "{" + ", ".join([f'"@type": {kind()}', f'"title": {word()}', f'"name": {word()}', f'"description": {word()}', *more]) + "}"
+
+    block = lambda: f"<{rng.choice(['script', 'SCRIPT'])} type='application/ld+json'>{item(0)}{rng.choice(['', '', '', '] x', ','])}</script>"
+    texts = ["".join([block() for _ in range(rng.randint(1, 3))] + ["<!-- ", block(), "-->"]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").withColumn("x", PG.scan(F.col("html")))
+    df = df.withColumn("items", PG.jsonld_items(M.tokens(F.col("html")))).select("x", PG._last_name(F.col("items")).alias("org"), PG.jsonld_postings(F.col("items")).alias("ld"))
+    got = df.filter("not x.odd").collect()
+    assert len(got) > 100 and any(r.ld for r in got)
+    assert [(r.x.org, r.x.entries or []) for r in got] == [(r.org, r.ld) for r in got]
