@@ -99,14 +99,19 @@ ONE_NUMBER = r"(\d+\.?\d*)"
 STRICT_RANGE_LABEL = r"Rango salarial:\s*(" + MONEY_SPAN + ")"
 
 
+def _with(x: Column, mark: str) -> Column:
+    """The text if the mark, which a pattern asks for, is in it: others needn't be searched."""
+    return F.when(x.contains(mark), x)
+
+
 def salary_text(x: ColumnOrName, strict: bool = False) -> Column:
     """First "Rango salarial: S/..." up to the next '.', else the first
     S/ amount or S/ a - S/ b range; NULL when neither is present. The
     default keeps the study's behaviour ("S/3,600.00 - S/5,000.00" gives
     "S/3,600"); ``strict=True`` reads the whole labelled amount or range."""
     d = _c(x)
-    labelled = F.nullif(F.trim(F.regexp_extract(d, STRICT_RANGE_LABEL if strict else RANGE_LABEL, 1)), F.lit(""))
-    span = F.nullif(F.trim(F.regexp_extract(d, MONEY_SPAN, 0)), F.lit(""))
+    labelled = F.nullif(F.trim(F.regexp_extract(_with(d, "Rango salarial:"), STRICT_RANGE_LABEL if strict else RANGE_LABEL, 1)), F.lit(""))
+    span = F.nullif(F.trim(F.regexp_extract(_with(d, "S/"), MONEY_SPAN, 0)), F.lit(""))
     return F.coalesce(labelled, span)
 
 
@@ -120,8 +125,9 @@ def bare_salary(x: ColumnOrName) -> Column:
 
 def salary_numbers(clean: Column) -> Column:
     """C4: the first range a - b and the first amount of a ``bare_salary``."""
-    number = lambda pattern, i: F.nullif(F.regexp_extract(clean, pattern, i), F.lit("")).cast("double")
-    return F.struct(number(RANGE_NUMBERS, 1).alias("lo"), number(RANGE_NUMBERS, 2).alias("hi"), number(ONE_NUMBER, 1).alias("one"))
+    number = lambda x, pattern, i: F.nullif(F.regexp_extract(x, pattern, i), F.lit("")).cast("double")
+    ranged = _with(clean, "-")
+    return F.struct(number(ranged, RANGE_NUMBERS, 1).alias("lo"), number(ranged, RANGE_NUMBERS, 2).alias("hi"), number(clean, ONE_NUMBER, 1).alias("one"))
 
 
 def salary_range(n: Column) -> Column:

@@ -35,6 +35,16 @@ def test_salary_text_and_parse(spark):
     assert tuple(parsed[3]) == (None, None, None)
 
 
+def test_salary_patterns_only_where_their_mark_stands(spark):
+    got = one_col(spark, ["5 - 7.5", "5-", "-5", "5 7", "- 1-2", "", "x", None], lambda c: T.salary_numbers(c))
+    assert [tuple(r) for r in got] == [(5.0, 7.5, 5.0), (None, None, 5.0), (None, None, 5.0), (None, None, 5.0), (1.0, 2.0, 1.0)] + [(None, None, None)] * 3
+    assert one_col(spark, ["Rango salarial: nada S/5", "rango salarial: S/ 6 x", "S/", "S /7", "Rango salarial:S/8.9"], T.salary_text) == ["S/5", "S/ 6", None, None, "S/8"]
+    df = spark.createDataFrame([("S/ 1",)], "v string")
+    plan = df.select(T.salary_text("v"), T.salary_numbers(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    for mark, pattern in (("Rango salarial:", T.RANGE_LABEL), ("S/", T.MONEY_SPAN), ("-", T.RANGE_NUMBERS)):
+        assert "regexp_extract(CASE WHEN Contains(v#" in plan and f", {mark}) THEN v#" in plan and pattern in plan
+
+
 def test_fold_accents(spark):
     got = one_col(spark, ["DIRECCIÓN de Educación", "niño", "Mondelēz"], T.fold)
     assert got == ["direccion de educacion", "nino", "mondelez"]
