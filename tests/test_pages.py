@@ -279,3 +279,11 @@ def test_scan_equals_columns(spark):
     got = df.filter("not x.odd").collect()
     assert len(got) > 100 and any(r.ld for r in got)
     assert [(r.x.org, r.x.entries or []) for r in got] == [(r.org, r.ld) for r in got]
+
+
+def test_only_whole_scripts_are_scripts(spark):
+    ld = """<script type="application/ld+json">{"@type": "JobPosting", "title": "%s", "description": "S/ 1"}</script>"""
+    html = "".join(["x < y", "<!--", ld % "comment", "-->", '<a title="', (ld % "attribute").replace('"', "'"), '">', "<style>", ld % "style", "</style>",
+                    "<scripts>", ld % "yes", "</scripts>", (ld % "open").removesuffix("</script>")])
+    # a style ends at the end of a script too, and an open script at the page's
+    assert [r.puesto for r in PG.extract_postings(page(spark, html)).orderBy("pos").collect()] == ["yes", "open"]
